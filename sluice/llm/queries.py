@@ -7,6 +7,8 @@ import importlib
 _WHERE = {
     "op1_histogram_shards": "op1_shard",
     "op2_simhash_vptree": "op2_simhash",
+    "op3_warc_chunks": "op3_warc",
+    "op6_canonical_digest": "op6_digest",
 }
 
 
