@@ -9,6 +9,7 @@ _WHERE = {
     "op2_simhash_vptree": "op2_simhash",
     "op3_warc_chunks": "op3_warc",
     "op6_canonical_digest": "op6_digest",
+    "op7_fixed_block_anchors": "op7_substring",
 }
 
 
