@@ -8,8 +8,10 @@ _WHERE = {
     "op1_histogram_shards": "op1_shard",
     "op2_simhash_vptree": "op2_simhash",
     "op3_warc_chunks": "op3_warc",
+    "op5_bpe_transducer": "op5_bpe",
     "op6_canonical_digest": "op6_digest",
     "op7_fixed_block_anchors": "op7_substring",
+    "op9_inverted_multi_index": "op9_imi",
 }
 
 
