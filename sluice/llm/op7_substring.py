@@ -6,7 +6,8 @@ by a probe in one document and on a block of the other. Hits are then extended:
 `window` words, these are compared exactly (96 bits of hash), and neighbouring repeats join to maximal ones.
 
 Rows that move are packed: a slab of documents sends each bucket one binary row. Probes are salted, and the index, a small part of them,
-is copied to each salt, so a passage that very many documents hold doesn't meet in one task. What a task holds is the index of a bucket; probes stream by.
+is copied to each salt, so a passage that very many documents hold doesn't meet in one task; of the windows about hits, a slab sends on only
+those of its least document, as the others are repeats already. What a task holds is the index of a bucket; probes stream by.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .common import by_bytes, cut, map_arrow, parts, table, utf8, words_of
 SLAB_BYTES = 12 << 20
 SALTS = 2
 ROWS = "part int, salt int, kind int, payload binary"
-HITS, DOCS, FIRSTS, WINDOWS, RESULTS = range(5)
+HITS, DOCS, WINDOWS, RESULTS = range(4)
 ROOT = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -282,25 +283,31 @@ def by_doc_part(rows: Iterator[tuple]) -> Iterator[tuple[pa.Table, np.ndarray, n
         yield un_ipc(payload), uid, pos
 
 
+def taken(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which windows, of equal (a, b) if equal, a smaller document has too."""
+    order = np.lexsort((key, b, a))
+    sa, sb, sk = a[order], b[order], key[order]
+    first = np.concatenate(([True], (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])))
+    out = np.empty(len(a), bool)
+    out[order] = sk > sk[first][np.cumsum(first) - 1]
+    return out
+
+
 def window_rows(rows: Iterator[tuple], window: int, buckets: int, with_text: bool, most: int = 600_000) -> Iterator[tuple]:
     """For `buckets` of windows and as many parts of documents: hashes of the windows about hits, the documents that have such, and results for those that have none."""
     block = window // 2
-    held, n, turn = [], 0, TaskContext.get().partitionId() if TaskContext.get() else 0
+    held, n, out = [], 0, _Out(buckets, HITS)
 
     def flush():
-        nonlocal held, n, turn
-        a, b, pos = (np.concatenate([x[i] for x in held]) for i in range(3))
-        uid, key = (np.concatenate([x[i] for x in held]) for i in (3, 4))
-        part = bucket_of(a, buckets)
-        order = np.lexsort((key, b, a))
-        sa, sb = a[order], b[order]
-        first = order[np.concatenate(([True], (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])))]
-        one = np.zeros(len(first), np.int64)
-        yield from dealt(part[first], buckets, FIRSTS, list(range(SALTS)), [], one, [a[first], b[first], key[first].astype("<i8")])
+        nonlocal held, n
+        a, b, pos, uid, key = (np.concatenate([x[i] for x in held]) for i in range(5))
+        again = taken(a, b, key)
+        yield from out.add(uid[again], pos[again])
+        a, b, pos, uid, key = (x[~again] for x in (a, b, pos, uid, key))
         owner = np.concatenate(([0], np.cumsum((uid[1:] != uid[:-1]) | (key[1:] != key[:-1]))))
         at = np.concatenate(([0], np.nonzero(np.diff(owner))[0] + 1))
-        yield from dealt(part, buckets, WINDOWS, [turn % SALTS], [uid[at], key[at]], owner, [a, b, pos])
-        held, n, turn = [], 0, turn + 1
+        yield from dealt(bucket_of(a, buckets), buckets, WINDOWS, [0], [uid[at], key[at]], owner, [a, b, pos])
+        held, n = [], 0
 
     for t, uids, poss in by_doc_part(rows):
         part = int(np.mod(t.column("uid")[0].as_py(), buckets))
@@ -337,30 +344,27 @@ def window_rows(rows: Iterator[tuple], window: int, buckets: int, with_text: boo
             yield from flush()
     if n:
         yield from flush()
+    yield from out.flush()
 
 
 def repeat_rows(rows: Iterator[tuple], docs_parts: int) -> Iterator[tuple]:
-    """Positions of windows that a smaller document has too; rows come by bucket and salt, the least holders first."""
+    """Positions of windows that a smaller document has too; rows come by bucket."""
     out = _Out(docs_parts, HITS)
-    bucket, index, firsts = None, None, []
-    for part, salt, kind, payload in rows:
-        if (part, salt) != bucket:
-            bucket, index, firsts = (part, salt), None, []
-        if kind == FIRSTS:
-            firsts.append(unpack(payload, 0, ["<u8", "<u4", "<i8"])[1])
-            continue
-        if index is None:
-            a, b, key = (np.concatenate([x[i] for x in firsts]) for i in range(3))
-            order = np.lexsort((key, b, a))
-            a, b, key = a[order], b[order], key[order]
-            first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-            index, firsts = (a[first], b[first], key[first]), []
+    bucket, held = None, []
+
+    def end():
+        if held:
+            uid, key, a, b, pos = (np.concatenate([x[i] for x in held]) for i in range(5))
+            again = taken(a, b, key)
+            yield from out.add(uid[again], pos[again])
+
+    for part, _, _, payload in rows:
+        if part != bucket:
+            yield from end()
+            bucket, held = part, []
         (uid, key), (a, b, pos) = unpack(payload, 2, ["<u8", "<u4", "<u4"])
-        at = np.searchsorted(index[0], a)
-        while len(off := np.nonzero(index[1][at] != b)[0]):  # equal in 64 bits only
-            at[off] += 1
-        again = index[2][at] < key
-        yield from out.add(uid[again], pos[again])
+        held.append((uid, key, a, b, pos))
+    yield from end()
     yield from out.flush()
 
 
@@ -404,8 +408,8 @@ def drop_repeats(df: DataFrame, id_col: str, text_col: str, window: int = 50, ca
     found = cut(stage(shuffled(both), lambda b: window_rows(rows_of(b), window, n, with_text)))
     del both, hits
     release(df)
-    again = stage(shuffled(found.where(F.col("kind").isin(FIRSTS, WINDOWS))), lambda b: repeat_rows(rows_of(b), n))
-    late = stage(shuffled(again.unionByName(found.where(F.col("kind") == DOCS))), lambda b: result_rows(rows_of(b), window, with_text))
+    again = stage(shuffled(found.where(F.col("kind") == WINDOWS)), lambda b: repeat_rows(rows_of(b), n))
+    late = stage(shuffled(again.unionByName(found.where(F.col("kind").isin(HITS, DOCS)))), lambda b: result_rows(rows_of(b), window, with_text))
     done = found.where(F.col("kind") == RESULTS).unionByName(late)
     names = [f"c{i}" for i in range(len(carry))]
     schema = ", ".join([*[f"{c} {types[o]}" for c, o in zip(names, carry)], *(["text string"] if with_text else []), "n_words long", "n_removed long", "kept_sha256 string"])

@@ -8,10 +8,13 @@ _WHERE = {
     "op1_histogram_shards": "op1_shard",
     "op2_simhash_vptree": "op2_simhash",
     "op3_warc_chunks": "op3_warc",
+    "op4_best_fit_packing": "op4_packing",
     "op5_bpe_transducer": "op5_bpe",
     "op6_canonical_digest": "op6_digest",
     "op7_fixed_block_anchors": "op7_substring",
+    "op8_levenshtein_lexicon": "op8_toxicity",
     "op9_inverted_multi_index": "op9_imi",
+    "op10_factorisation_machine": "op10_quality",
 }
 
 
