@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -69,6 +71,11 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def worker_cache() -> dict:
+    """What a Python worker keeps from task to task; whoever fills it bounds it."""
+    return sys.modules.setdefault("sluice_worker_cache", types.ModuleType("sluice_worker_cache")).__dict__.setdefault("held", {})
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 
