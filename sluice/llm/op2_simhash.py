@@ -170,10 +170,13 @@ def local_links(values: np.ndarray, radius: int, also=None, leaf: int = 384, see
             i, j = np.nonzero(np.bitwise_count(values[block][:, None] ^ values[rest][None, :]) <= radius)
             keep = i < j
             a, b = block[i[keep]], rest[j[keep]]
-            if also is not None and len(a):
-                ok = also(a, b)
-                a, b = a[ok], b[ok]
-            settle(a, b, label)
+            for t in range(0, len(a), 200_000):
+                x, y = a[t : t + 200_000], b[t : t + 200_000]
+                x, y = (z[label[x] != label[y]] for z in (x, y))  # the others are connected as it is
+                if also is not None and len(x):
+                    ok = also(x, y)
+                    x, y = x[ok], y[ok]
+                settle(x, y, label)
     return label
 
 
@@ -217,6 +220,56 @@ def simhash_components(df: DataFrame, id_col: str, text_col: str, shingle: int =
     return rows.join(of, "fp").select("id", "fp", "component_id")
 
 
+def bits_at(similarity: float, bits: int) -> int:
+    """The bits that two fingerprints are expected to differ in whose shingle sets have this Jaccard similarity."""
+    return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
+
+
+def similar_components(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8, slack: float = 0.03, lanes: int = 8, radius: int = 2, sample: int = 65_536, per_shard: int = 100_000) -> DataFrame:
+    """(id, component_id) of each row, with links by Jaccard similarity of shingle sets as SimHash estimates it.
+
+    Each text has `lanes` * 64 SimHash bits. They are read as 2 * lanes views of 32 bits, and a vantage-point tree for each view finds the pairs that
+    lie within `radius` bits in it; such a pair is linked if all bits together estimate `similarity` - `slack` or more. One tree over all bits would
+    prune nothing at this similarity; of pairs at 0.8, 0.85 and 0.9, sixteen views bring 87, 97 and 99.9 % together. Equal fingerprints are linked; texts without words are equal.
+    An empty table gives no rows.
+    """
+    names = [f"f{i}" for i in range(lanes)]
+    rows = cut(fingerprints(df, id_col, text_col, shingle, lanes))
+    distinct = cut(rows.groupBy(*names).agg(F.min("id").alias("least")))
+    n, most = distinct.count(), bits_at(similarity - slack, 64 * lanes)
+    seen = sample_at_most(distinct, "least", sample, n).select(*names).toArrow()
+    views = []
+    for i in range(2 * lanes if seen.num_rows else 0):
+        v = seen.column(i // 2).to_numpy().view(np.uint64)
+        views.append(grow((v >> np.uint64(32 * (i % 2))) & np.uint64(0xFFFFFFFF), radius, per_shard * seen.num_rows / n, seed=i))
+
+    def deal(batches):
+        for b in batches:
+            f = np.stack([b.column(i).to_numpy().view(np.uint64) for i in range(lanes)], 1)
+            packed = [x.tobytes() for x in f]
+            for i, nodes in enumerate(views):
+                v = (f[:, i // 2] >> np.uint64(32 * (i % 2))) & np.uint64(0xFFFFFFFF)
+                where, shard = route(nodes, v, radius)
+                at = pa.array(where)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), i, np.int32)), pa.array(shard), b.column(lanes).take(at), pa.array(packed, pa.binary()).take(at)], ["view", "shard", "id", "bits"])
+
+    def link(t: pa.Table) -> pa.Table:
+        f = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, lanes)
+        ids, i = t.column("id").to_numpy(), t.column("view")[0].as_py()
+        order = np.argsort(ids, kind="stable")
+        ids, f = ids[order], f[order]
+        v = (f[:, i // 2] >> np.uint64(32 * (i % 2))) & np.uint64(0xFFFFFFFF)
+        root = local_links(v, radius, lambda x, y: np.bitwise_count(f[x] ^ f[y]).sum(1) <= most)
+        hung = root != np.arange(len(root))
+        return pa.table({"a": pa.array(ids[hung]), "b": pa.array(ids[root[hung]])})
+
+    edges = map_arrow(distinct, deal, "view int, shard long, id long, bits binary").groupBy("view", "shard").applyInArrow(link, "a long, b long")
+    roots = connected_components(edges)
+    rooted = distinct.join(roots.withColumnRenamed("node", "least"), "least", "left").withColumn("root", F.coalesce("root", "least"))
+    of = rooted.select(*names, "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    return rows.join(of.select(*names, "component_id"), names).select("id", "component_id")
+
+
 def op2_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"), "doc_id", "text", 3, 2)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

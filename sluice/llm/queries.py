@@ -19,7 +19,8 @@ _WHERE = {
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in _WHERE.items()}
+    found = {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in _WHERE.items()}
+    return found | {"pipeline": importlib.import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:
