@@ -23,7 +23,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, map_arrow, shared_dir, table
+from .common import by_bytes, cut, map_arrow, shared_dir, table, worker_cache
 
 #: What the tokeniser takes for white space.
 BLANK = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -68,6 +68,22 @@ class Vocabulary:
         letters = [self.letters[b] for b in word.encode()]
         letters[-1] += self.suffix
         ids = [self.ids[x] for x in letters if x in self.ids]
+        return self._short(ids) if len(ids) <= 32 else self._long(ids)
+
+    def _short(self, ids: list[int]) -> list[int]:
+        rule, none = self.rules.get, (1 << 30, -1)
+        ranks = [rule(p, none) for p in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) is not none and best[1] >= 0:
+            i = ranks.index(best)
+            ids[i : i + 2] = (best[1],)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rule((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = rule((ids[i], ids[i + 1]), none)
+        return ids
+
+    def _long(self, ids: list[int]) -> list[int]:
         n = len(ids)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         heap = [(*self.rules[p], i) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in self.rules]
@@ -200,13 +216,20 @@ class Codec:
 
 
 def frequent_words(df: DataFrame, text_col: str, most: int) -> list[str]:
-    """The `most` frequent runs of letters of all texts, lower-cased; a bounded list."""
+    """The frequent runs of letters of all texts, lower-cased: those of the least count that leaves `most` of them at most."""
     words = df.select(F.explode(F.split(F.lower(F.col(f"`{text_col}`")), r"[^\p{L}]+")).alias("w"))
-    count = words.groupBy("w").count().where("count > 1 and w <> '' and length(w) <= 40")
-    return [r["w"] for r in count.orderBy(F.desc("count"), "w").limit(most).collect()]
-
-
-def encode_decode(df: DataFrame, id_col: str, text_col: str, vocabulary: str, lexicon_words: int = 32_768, with_ids: bool = False) -> DataFrame:
+    count = cut(words.groupBy("w").count().where("count >= 4 and w <> '' and length(w) <= 40"))
+    step = F.floor(F.log2("count") * 16)
+    left, least = most, None
+    for r in count.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # some hundreds of rows
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["step"]
+    return [r["w"] for r in count.where(step >= least).select("w").collect()] if least is not None else []
+
+
+def encode_decode(df: DataFrame, id_col: str, text_col: str, vocabulary: str, lexicon_words: int = 50_000, with_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each row's whole text and, if asked for, its ids and decoded text. Null texts are empty; an empty table gives no rows."""
     spec = open(vocabulary, encoding="utf-8").read()
     voc = Vocabulary(json.loads(spec))
@@ -218,7 +241,11 @@ def encode_decode(df: DataFrame, id_col: str, text_col: str, vocabulary: str, le
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches):
-        codec = Codec(Vocabulary(json.loads(shipped.value)), open_lexicon(where))
+        kept = worker_cache()  # a worker's next task finds the words that this one met
+        if where not in kept:
+            kept.clear()
+            kept[where] = Codec(Vocabulary(json.loads(shipped.value)), open_lexicon(where))
+        codec = kept[where]
         for b in by_bytes(batches, "text"):
             got = [codec.text(t or "") for t in b.column(1).to_pylist()]
             sha = lambda i: pa.array([hashlib.sha256(x[i]).hexdigest() for x in got])
