@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from .common import by_bytes, cut, map_arrow, parts, table, utf8, words_of
 SLAB_BYTES = 12 << 20
 SALTS = 2
 ROWS = "part int, salt int, kind int, payload binary"
-HITS, DOCS, WINDOWS, RESULTS = range(4)
+HITS, DOCS, WINDOWS, RESULTS = range(4)  # positions come before what they are looked up in
 ROOT = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -293,8 +294,8 @@ def taken(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
-def window_rows(rows: Iterator[tuple], window: int, buckets: int, with_text: bool, most: int = 600_000) -> Iterator[tuple]:
-    """For `buckets` of windows and as many parts of documents: hashes of the windows about hits, the documents that have such, and results for those that have none."""
+def window_rows(rows: Iterator[tuple], window: int, buckets: int, most: int = 600_000) -> Iterator[tuple]:
+    """For `buckets` of windows and as many parts of documents: hashes of the windows about hits, but for those that are known repeats."""
     block = window // 2
     held, n, out = [], 0, _Out(buckets, HITS)
 
@@ -310,18 +311,12 @@ def window_rows(rows: Iterator[tuple], window: int, buckets: int, with_text: boo
         held, n = [], 0
 
     for t, uids, poss in by_doc_part(rows):
-        part = int(np.mod(t.column("uid")[0].as_py(), buckets))
         words = [words_of(x) for x in utf8(t.column("text").combine_chunks())]
         uid = t.column("uid").to_numpy()
         lo, hi = np.searchsorted(uids, uid, "left"), np.searchsorted(uids, uid, "right")
         some = [i for i in range(len(words)) if hi[i] > lo[i] and len(words[i]) >= window]
-        rest = np.setdiff1d(np.arange(len(words)), some)
-        if len(rest):
-            yield part, 0, RESULTS, finished(t.take(pa.array(rest)), [words[i] for i in rest], [None] * len(rest), with_text)
         if not some:
             continue
-        chosen = t.take(pa.array(some))
-        yield part, 0, DOCS, ipc(chosen.combine_chunks().to_batches()[0])
         lengths = np.array([len(words[i]) for i in some], np.int64)
         starts = np.cumsum(lengths) - lengths
         turns = np.zeros(int(lengths.sum()) + 1, np.int64)
@@ -338,7 +333,7 @@ def window_rows(rows: Iterator[tuple], window: int, buckets: int, with_text: boo
         doc, pos = flat(lengths)
         x, y = h[at], h[at + window - block]
         a, b = mixed(x * np.uint64(ROOT) + y), (mixed(x + y * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype("<u4")
-        held.append((a, b, pos[at].astype("<u4"), uid[some][doc[at]], chosen.column("key").to_numpy()[doc[at]]))
+        held.append((a, b, pos[at].astype("<u4"), uid[some][doc[at]], t.column("key").to_numpy()[some][doc[at]]))
         n += len(at)
         if n >= most:
             yield from flush()
@@ -358,7 +353,10 @@ def repeat_rows(rows: Iterator[tuple], docs_parts: int) -> Iterator[tuple]:
             again = taken(a, b, key)
             yield from out.add(uid[again], pos[again])
 
-    for part, _, _, payload in rows:
+    for part, salt, kind, payload in rows:
+        if kind == HITS:
+            yield part, salt, kind, payload
+            continue
         if part != bucket:
             yield from end()
             bucket, held = part, []
@@ -369,7 +367,7 @@ def repeat_rows(rows: Iterator[tuple], docs_parts: int) -> Iterator[tuple]:
 
 
 def result_rows(rows: Iterator[tuple], window: int, with_text: bool) -> Iterator[tuple]:
-    """Results of documents whose repeated windows are known."""
+    """Results of documents, the positions of their repeated windows first."""
     for t, uids, poss in by_doc_part(rows):
         words = [words_of(x) for x in utf8(t.column("text").combine_chunks())]
         uid = t.column("uid").to_numpy()
@@ -404,13 +402,11 @@ def drop_repeats(df: DataFrame, id_col: str, text_col: str, window: int = 50, ca
     hits = cut(stage(shuffled(probes), lambda b: hit_rows(rows_of(b), n)))
     del probes
     release(df)
-    both = stage(rows, lambda b: doc_rows(b, n)).unionByName(hits)
-    found = cut(stage(shuffled(both), lambda b: window_rows(rows_of(b), window, n, with_text)))
-    del both, hits
+    windows = stage(shuffled(stage(rows.select("uid", "key", "text"), lambda b: doc_rows(b, n)).unionByName(hits)), lambda b: window_rows(rows_of(b), window, n))
+    again = cut(stage(shuffled(windows), lambda b: repeat_rows(rows_of(b), n)))
+    del windows, hits
     release(df)
-    again = stage(shuffled(found.where(F.col("kind") == WINDOWS)), lambda b: repeat_rows(rows_of(b), n))
-    late = stage(shuffled(again.unionByName(found.where(F.col("kind").isin(HITS, DOCS)))), lambda b: result_rows(rows_of(b), window, with_text))
-    done = found.where(F.col("kind") == RESULTS).unionByName(late)
+    done = stage(shuffled(stage(rows, lambda b: doc_rows(b, n)).unionByName(again)), lambda b: result_rows(rows_of(b), window, with_text))
     names = [f"c{i}" for i in range(len(carry))]
     schema = ", ".join([*[f"{c} {types[o]}" for c, o in zip(names, carry)], *(["text string"] if with_text else []), "n_words long", "n_removed long", "kept_sha256 string"])
     wide = map_arrow(done, lambda batches: (x for _, _, _, payload in rows_of(batches) for x in un_ipc(payload).to_batches()), schema)
@@ -419,8 +415,10 @@ def drop_repeats(df: DataFrame, id_col: str, text_col: str, window: int = 50, ca
 
 def release(df: DataFrame) -> None:
     """Let Spark drop the shuffle files of results that are kept elsewhere by now."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def op7_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
