@@ -67,8 +67,9 @@ def hash_dense(x: Column) -> Column:
 
 
 def ngrams(x: Column, n: int) -> Column:
-    """Runs of n characters, in order; none if the text is shorter."""
-    return F.when(F.char_length(x) >= n, F.transform(F.sequence(F.lit(1), F.char_length(x) - n + 1), lambda i: F.substring(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """Runs of n characters, in order; none if the text is shorter. x is computed once, not for each run."""
+    runs = lambda s: F.when(F.char_length(s) >= n, F.transform(F.sequence(F.lit(1), F.char_length(s) - n + 1), lambda i: F.substring(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.array(x), runs)[0]
 
 
 def bm25_tokens(x: Column) -> Column:

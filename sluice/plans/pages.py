@@ -91,10 +91,10 @@ def u10(spark, sf_dir):
 @query("u11_link_discovery", f"""
 with l as (select page_id, url as page, unnest({_HREFS}) as link from pages),
 s as (select link, page_id, (case when regexp_matches(link, '/(?:info|detail|article|content)/|\\.html?$') then 6 else 0 end + case when regexp_matches(link, '/\\d+') then 4 else 0 end + case when length(link) >= 6 then 2 else 0 end + case when regexp_matches(link, '(?i)guide|policy|rule|notice|办法|指南') then 2 else 0 end - case when regexp_matches(link, '(?i)/news/') then 2 else 0 end)::bigint as score from l)
-select link, max(score) as score, min(page_id) as first_page, count(*) as seen from s where score >= 5 group by 1""")
+select link, max(score) as score, min(page_id) as first_page, count(*) as seen from s where score >= 2 group by 1""")
 def u11(spark, sf_dir):
     rows = _pages(spark, sf_dir).select("page_id", F.explode(P.hrefs(F.col("html"))).alias("link"))
-    rows = rows.withColumn("score", P.link_score(F.col("link"), F.col("link")).cast("long")).where("score >= 5")
+    rows = rows.withColumn("score", P.link_score(F.col("link"), F.col("link")).cast("long")).where("score >= 2")
     return rows.groupBy("link").agg(F.max("score").alias("score"), F.min("page_id").alias("first_page"), F.count("*").alias("seen"))
 
 
