@@ -67,9 +67,9 @@ def hash_dense(x: Column) -> Column:
 
 
 def ngrams(x: Column, n: int) -> Column:
-    """Runs of n characters, in order; none if the text is shorter. x is computed once, not for each run."""
-    runs = lambda s: F.when(F.char_length(s) >= n, F.transform(F.sequence(F.lit(1), F.char_length(s) - n + 1), lambda i: F.substring(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.array(x), runs)[0]
+    """Runs of n characters, in order; none if the text is shorter. The text is cut into characters once, as finding one in UTF-8 takes a walk."""
+    runs = lambda c: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, n), ""))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.array(F.split(x, "")), runs)[0]
 
 
 def bm25_tokens(x: Column) -> Column:
