@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 #: White space that separates words: space and the controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that Python works on at a time, whatever the size of an Arrow batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch, at most; texts of some kilobytes make megabytes of these.
+ROWS_A_BATCH = 1500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,8 +79,26 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("sluice_worker_cache", types.ModuleType("sluice_worker_cache")).__dict__.setdefault("held", {})
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live from task to task, and their executors have bounds."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+    """mapInArrow for rows with long texts: batches of fewer rows than Spark's default, and memory given back at the end of each task."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ROWS_A_BATCH:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+
+    def run(batches):
+        yield from f(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def sample_at_most(df: DataFrame, key: str, n: int, total: int | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from .common import by_bytes, held_out, map_arrow, sample_at_most, table, utf8
 
 BUCKETS = 1 << 15
 FACTORS = 6
-MEMO = 300_000
+MEMO = 150_000
 LETTERS = bytes(b for b in range(256) if b >= 128 or chr(b).isalpha())
 UPPER = bytes(range(65, 91))
 DIGITS = bytes(range(48, 58))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, cut, map_arrow, parts, table, utf8, words_of
 
-SLAB_BYTES = 12 << 20
+SLAB_BYTES = 6 << 20
 SALTS = 2
 ROWS = "part int, salt int, kind int, payload binary"
 HITS, DOCS, WINDOWS, RESULTS = range(4)  # positions come before what they are looked up in

@@ -22,7 +22,7 @@ WORD = re.compile(r"[^\W\d_]+")
 QUOTED = re.compile(r'"[^"\n]{1,400}"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“”\n]{1,400}[“”]|‘[^’\n]{1,400}’')
 SHORTEST, LONGEST = 4, 8
 WINDOW = 8
-MEMO = 400_000
+MEMO = 150_000
 FEATURES = ("open", "quoted", "fuzzy", "fuzzy_quoted", "window", "share")
 #: What the model believes before it sees labels, in the order of FEATURES; the last is the constant.
 PRIOR = np.array([4.0, 0.6, 1.4, 0.2, 1.0, 1.0, -2.0])
@@ -49,7 +49,7 @@ class FuzzyLexicon:
     A term is a word, or a stem (ending in *), which holds for any word that goes on from it. Each has its own allowance of edits.
     """
 
-    MOST_STATES = 60_000
+    MOST_STATES = 20_000
 
     def __init__(self, terms: dict[str, float]):
         self.children: list[dict[str, int]] = [{}]
