@@ -126,3 +126,41 @@ def claims(df: DataFrame, ids: list[str], text: Column, least: int = 8) -> DataF
     parts = F.filter(F.transform(F.split(text, r"[.;!\n]+"), lambda s: F.trim(s)), lambda s: F.char_length(s) >= least)
     rows = df.select(*ids, F.posexplode(parts).alias("i", "claim"))
     return rows.select(*ids, (F.col("i") + 1).cast("long").alias("claim_no"), "claim", first_rule([(n, F.col("claim").rlike(p)) for n, p in CLAIMS], "FACTUAL").alias("claim_type"))
+
+
+def verdicts(df: DataFrame, by: list[str], score: str, part: str, full: float = 0.6, some: float = 0.3, gain: float = 0.10) -> DataFrame:
+    """SUPPORTED, PARTIAL or UNSUPPORTED for each claim from its two best spans.
+
+    `part` is an array of the claim's grams that a span has: a second span counts if the union covers `gain` more of the claim than the first alone.
+    """
+    top = df.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(score), "id"))).where("_r <= 2")
+    rows = top.groupBy(*by).agg(F.max(score).alias("first"), F.size(F.array_distinct(F.flatten(F.collect_list(part)))).alias("u"), F.first("n_grams").alias("n"))
+    union = F.round(F.col("u") / F.greatest(F.lit(1), F.col("n")), 6)
+    label = first_rule([("SUPPORTED", F.col("first") >= full), ("PARTIAL", (F.col("first") >= some) | (union - F.col("first") >= gain))], "UNSUPPORTED")
+    return rows.select(*by, "first", union.alias("union_score"), label.alias("label"))
+
+
+def calibrate(df: DataFrame, score: str, truth: str, steps: int = 100) -> DataFrame:
+    """(threshold, f1): the threshold on a grid whose F1 is best, ties to the lower one; one pass over counts by step."""
+    at = df.select(F.least(F.lit(steps - 1), F.floor(F.col(score) * steps)).cast("int").alias("s"), F.col(truth).cast("int").alias("y")).groupBy("s").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
+    grid = df.sparkSession.range(steps).select(F.col("id").cast("int").alias("s")).join(at, "s", "left").na.fill(0)
+    above = W.orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
+    sums = grid.select("s", F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("named"), F.sum("p").over(W.partitionBy()).alias("all"))
+    f1 = sums.select((F.col("s") / steps).alias("threshold"), F.when(F.col("named") + F.col("all") > 0, F.round(2 * F.col("tp") / (F.col("named") + F.col("all")), 6)).otherwise(0.0).alias("f1"))
+    return f1.orderBy(F.desc("f1"), "threshold").limit(1)
+
+
+def required_points(df: DataFrame, key: str, sentence: str, score: str, most: int = 3, alike: float = 0.75) -> DataFrame:
+    """(key, point_no, sentence): the best sentences of each query that aren't alike one already kept; sequential within a query, on its best 50."""
+    import difflib
+
+    best = df.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(score), sentence))).where("_r <= 50")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list[str] = []
+        for s in pdf.sort_values("_r")[sentence]:
+            if len(kept) < most and all(difflib.SequenceMatcher(None, s, k, autojunk=False).ratio() < alike for k in kept):
+                kept.append(s)
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(kept), "point_no": range(1, len(kept) + 1), "sentence": kept})
+
+    return best.groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, point_no long, sentence string")

@@ -273,3 +273,39 @@ def p20(spark, sf_dir):
     rows = _claims(spark, sf_dir).groupBy("conv_id").agg(F.count("*").alias("claims"), F.count_if(kind.isin("FACTUAL", "NUMERIC", "TEMPORAL", "ENTITY")).alias("required"), F.bool_or(kind == "UNCERTAIN").alias("u"), F.count_if(F.char_length("claim") > 200).alias("l"))
     labels = all_rules([("UNCERTAIN", F.col("u")), ("LONG_CLAIM", F.col("l") > 0), ("FEW_CLAIMS", F.col("claims") < 2)])
     return rows.select("conv_id", "claims", "required", F.array_join(labels, ",").alias("labels"))
+
+
+_SPANS = _BM25 + ", top as (select query_id as item_id, id from (select *, row_number() over (partition by query_id order by score desc, id) as rank from hits) where rank <= 5), " + f"""
+ig as (select item_id, {_GRAMS.format(c='c')} as g from (select item_id, {_G.format('text')} as c from benchmark)), dg as (select doc_id as id, {_GRAMS.format(c='c')} as g from (select doc_id, {_G.format('left(text, 1000)')} as c from documents where doc_id in (select id from top))),
+spans as (select item_id, id, list_intersect(ig.g, dg.g) as shared, len(ig.g) as n, round(len(list_intersect(ig.g, dg.g)) / greatest(1, len(ig.g)), 6) as score from ig join top using (item_id) join dg using (id)), best2 as (select *, row_number() over (partition by item_id order by score desc, id) as r from spans)"""
+
+
+def _spans(spark, sf_dir):
+    top = S.ranked(_hits(spark, sf_dir), "score", 5).select(F.col("query_id").alias("item_id"), "id")
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.content_grams(F.col("text")).alias("ig"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.content_grams(F.substring("text", 1, 1000)).alias("dg"))
+    rows = items.join(top, "item_id").join(docs, "id").withColumn("shared", F.array_intersect("ig", "dg"))
+    return rows.select("item_id", "id", "shared", F.size("ig").alias("n_grams"), F.round(F.size("shared") / F.greatest(F.lit(1), F.size("ig")), 6).alias("score"))
+
+
+@query("p12_claim_top_spans", f"with {_SPANS} select item_id, r as rank, id, score from best2 where r <= 3")
+def p12(spark, sf_dir):
+    return E.best_spans(_spans(spark, sf_dir), ["item_id"], 3).select("item_id", F.col("rank").cast("long").alias("rank"), "id", "score")
+
+
+@query("p13_verdicts", f"with {_SPANS}, u as (select item_id, max(score) as first, round(len(list_distinct(flatten(list(shared)))) / greatest(1, any_value(n)), 6) as union_score from best2 where r <= 2 group by 1) select item_id, first, union_score, case when first >= 0.6 then 'SUPPORTED' when first >= 0.3 or union_score - first >= 0.10 then 'PARTIAL' else 'UNSUPPORTED' end as label from u")
+def p13(spark, sf_dir):
+    return E.verdicts(_spans(spark, sf_dir), ["item_id"], "score", "shared")
+
+
+@query("p14_threshold_calibration", "with a as (select least(99, floor(n_chars / 20000.0 * 100))::int as s, quality as y from labels join documents using (doc_id)), g as (select s::int as s from range(0, 100) t(s)), c as (select s, coalesce(sum(y), 0) as p, count(y) as n from g left join a using (s) group by 1), t as (select s, sum(p) over w as tp, sum(n) over w as named, sum(p) over () as total from c window w as (order by s desc)) select s / 100.0::double as threshold, case when named + total > 0 then round(2 * tp / (named + total), 6) else 0 end as f1 from t order by f1 desc, s limit 1")
+def p14(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select((F.col("n_chars") / 20000.0).alias("score"), "quality")
+    return E.calibrate(rows, "score", "quality")
+
+
+@query("p19_required_points")
+def p19(spark, sf_dir):
+    """Which sentence counts depends on those kept before it; a fixture tests it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(T.sentences(F.col("text"), "latin", 18), lambda s: F.char_length(s) <= 260)).alias("s"))
+    return E.required_points(docs.withColumn("score", F.size(F.array_distinct(T.word_tokens(F.col("s"))))), "doc_id", "s", "score")

@@ -139,3 +139,35 @@ def q2(spark, sf_dir):
     sums = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum("o_totalprice"), 2).alias("total")).join(c, "c_custkey")
     place = F.row_number().over(W.partitionBy("c_nationkey").orderBy(F.desc("total"), "c_custkey"))
     return sums.withColumn("place", place.cast("long")).where("place <= 3").select("c_nationkey", "c_custkey", "total", "place")
+
+
+@query("j6_theta_screen", "select c_custkey, count(*) as cheaper_orders from customer join orders on o_custkey = c_custkey and o_totalprice < c_acctbal * 10 group by 1")
+def j6(spark, sf_dir):
+    c, o = _t(spark, sf_dir, "customer", "orders")
+    return c.join(o, (F.col("o_custkey") == F.col("c_custkey")) & (F.col("o_totalprice") < F.col("c_acctbal") * 10)).groupBy("c_custkey").agg(F.count("*").alias("cheaper_orders"))
+
+
+@query("j8_term_join", r"with t as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) as term from documents), q as (select item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) as term from benchmark) select item_id, count(distinct doc_id) as docs, count(*) as postings from q join t using (term) group by 1")
+def j8(spark, sf_dir):
+    from ..functions import text as T
+
+    d, b = _t(spark, sf_dir, "documents", "benchmark")
+    terms = lambda df, i: df.select(i, F.explode(F.array_distinct(T.word_tokens(F.col("text")))).alias("term"))
+    hits = terms(b, "item_id").join(terms(d, "doc_id"), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
+    return hits.groupBy("item_id").agg(F.count("*").alias("docs"), F.sum("n").alias("postings"))
+
+
+@query("x2_symmetric_difference", "with a as (select distinct n_chars as n from documents where doc_id % 2 = 0), b as (select distinct n_chars as n from documents where doc_id % 2 = 1) select n, case when b.n is null then 'left' else 'right' end as side from a full join b using (n) where a.n is null or b.n is null".replace("select n, case", "select coalesce(a.n, b.n) as n, case").replace("full join b using (n)", "full join b on a.n = b.n"))
+def x2(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").groupBy(F.col("n_chars").alias("n")).agg(F.bool_or(F.col("doc_id") % 2 == 0).alias("l"), F.bool_or(F.col("doc_id") % 2 == 1).alias("r"))
+    return d.where(F.col("l") != F.col("r")).select("n", F.when(F.col("l"), "left").otherwise("right").alias("side"))
+
+
+@query("q3_cube_and_grouping", "select l_returnflag, l_linestatus, grouping(l_returnflag)::int as g, count(*) as n from lineitem group by cube (l_returnflag, l_linestatus)")
+def q3(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.grouping("l_returnflag").cast("int").alias("g"), F.count("*").alias("n"))
+
+
+@query("q4_pivot", "select source, count(*) filter (where lang = 'en') as en, count(*) filter (where lang = 'de') as de, count(*) filter (where lang = 'fr') as fr, count(*) filter (where lang = 'es') as es from documents group by 1")
+def q4(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").pivot("lang", ["en", "de", "fr", "es"]).count().na.fill(0)

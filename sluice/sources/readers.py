@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 BOM = "﻿"
 
 
@@ -41,7 +43,7 @@ def markdown(spark: SparkSession, path: str) -> DataFrame:
     pairs = F.filter(F.split(head, r"\r?\n"), lambda s: s.contains(":"))
     meta = F.map_from_entries(F.transform(pairs, lambda s: F.struct(F.trim(F.substring_index(s, ":", 1)).alias("k"), F.trim(F.regexp_replace(s, r"^[^:]*:", "")).alias("v"))))
     body = F.regexp_replace(F.regexp_replace("t", r"(?s)\A---\r?\n.*?\r?\n---\r?\n", ""), r"(?s)\n-{3,}\s*\n+\s*(?:Source|来源)[:：].*\z", "")
-    return text.select("path", meta.alias("meta"), F.trim(body).alias("body"))
+    return text.select("path", meta.alias("meta"), strip(body).alias("body"))
 
 
 def parquet_slice(df: DataFrame, row_id: str, start: int, end: int) -> DataFrame:

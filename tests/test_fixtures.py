@@ -183,3 +183,9 @@ def test_partitions_dont_matter(spark, parts):
     q = frame(spark, [(1, "alpha gamma"), (2, "w7")], "q long, text string")
     got = [tuple(r) for r in Q.ranked(Q.bm25(q, "q", T.word_tokens(F.col("text")), docs, "id", T.word_tokens(F.col("text"))), "score", 5).orderBy("query_id", "rank").select("query_id", "rank", "id").collect()]
     assert got[:2] == [(1, 1, 3), (1, 2, 7)] and got[-1] == (2, 1, 7)
+
+
+def test_required_points_arent_alike(spark):
+    rows = [(1, "the fee is ten euros", 5.0), (1, "the fee is ten euro", 4.0), (1, "apply at the main office", 3.0)]
+    got = sorted(tuple(r) for r in E.required_points(frame(spark, rows, "q long, s string, score double"), "q", "s", "score").collect())
+    assert got == [(1, 1, "the fee is ten euros"), (1, 2, "apply at the main office")]
