@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .rounds import keep
+
 
 def two_pass(df: DataFrame, hash_col: str, url_col: str, order: list[str]) -> DataFrame:
     """The first row of each hash, then of those the first of each URL."""
@@ -18,20 +20,30 @@ def two_pass(df: DataFrame, hash_col: str, url_col: str, order: list[str]) -> Da
     return first(first(df, hash_col), url_col)
 
 
-def greedy(df: DataFrame, keys: list[str], id_col: str, group: str) -> DataFrame:
-    """Rows kept one after the other, in the order of ids, unless a kept row has one of the keys; `group` holds all rows that keys may connect."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: list[set] = [set() for _ in keys]
-        keep = []
-        for row in pdf.sort_values(id_col)[[id_col, *keys]].itertuples(index=False):
-            if not any(k is not None and k in s for k, s in zip(row[1:], seen)):
-                keep.append(row[0])
-                for k, s in zip(row[1:], seen):
-                    s.add(k)
-        return pdf[pdf[id_col].isin(keep)]
+def greedy(df: DataFrame, keys: list[str], id_col: str, most_rounds: int = 200) -> DataFrame:
+    """Rows kept one after the other, in the order of ids, unless a kept row has one of the keys. Null keys don't count; ids tell rows apart.
 
-    return df.groupBy(group).applyInPandas(run, df.schema)
+    In rounds: an undecided row that is the least of each of its keys is kept, and rows that share a key with it go. That is what going through the
+    rows one by one gives, and each round is a few aggregations, so no group has to meet in one task.
+    """
+    undecided, kept = keep(df.select(id_col, *keys)), None
+    for _ in range(most_rounds):
+        rows = undecided
+        for k in keys:
+            least = undecided.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(id_col).alias(f"_least_{k}"))
+            rows = rows.join(least, k, "left")
+        first = F.lit(True)
+        for k in keys:
+            first = first & (F.col(k).isNull() | (F.col(f"_least_{k}") == F.col(id_col)))
+        winners = keep(rows.where(first).select(id_col, *keys))
+        kept = winners.select(id_col) if kept is None else kept.unionByName(winners.select(id_col))
+        rows = undecided.join(winners.select(id_col), id_col, "left_anti")
+        for k in keys:
+            rows = rows.join(winners.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
+        undecided = keep(rows.select(id_col, *keys))
+        if not undecided.take(1):
+            return df.join(kept, id_col, "left_semi")
+    raise RuntimeError(f"rows weren't decided in {most_rounds} rounds")
 
 
 def duplicate_of(df: DataFrame, id_col: str, key: Column) -> DataFrame:

@@ -54,7 +54,10 @@ def evenly_spaced(df: DataFrame, by: str, order: str, k: int) -> DataFrame:
 
 
 def diverse(df: DataFrame, stratum: str, id_col: str, features: list[str], n: int) -> DataFrame:
-    """n rows of each stratum, each time one whose feature values were used least, ties by the seeded order; sequential within a stratum."""
+    """n rows of each stratum, each time one whose feature values were used least, ties by the seeded order.
+
+    Of rows with the same features the first in order is taken first, so n of each at most can ever be; only these meet in the sequential part.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         used: dict = {}
@@ -67,7 +70,7 @@ def diverse(df: DataFrame, stratum: str, id_col: str, features: list[str], n: in
             out.append(row)
         return pd.DataFrame(out, columns=pdf.columns)
 
-    rows = df.withColumn("_h", seeded("diverse", F.col(id_col)))
+    rows = first_per(df.withColumn("_h", seeded("diverse", F.col(id_col))), [stratum, *features], ["_h"], n)
     return rows.groupBy(stratum).applyInPandas(run, rows.schema).drop("_h")
 
 

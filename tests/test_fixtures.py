@@ -67,11 +67,22 @@ def test_paragraph_chunks_hold_all_text():
 
 
 def test_greedy_drops_by_kept_rows_only(spark):
-    rows = [(1, "h1", "u1", "g"), (2, "h1", "u2", "g"), (3, "h3", "u2", "g"), (4, None, "u1", "g"), (5, None, "u9", "g")]
-    got = D.greedy(frame(spark, rows, "id long, h string, u string, g string"), ["h", "u"], "id", "g")
+    rows = [(1, "h1", "u1"), (2, "h1", "u2"), (3, "h3", "u2"), (4, None, "u1"), (5, None, "u9")]
+    got = D.greedy(frame(spark, rows, "id long, h string, u string"), ["h", "u"], "id")
     assert sorted(r.id for r in got.collect()) == [1, 3, 5]  # 2 fell by 1's hash, so 3 may have its URL
 
 
+def test_greedy_equals_going_through_the_rows(spark):
+    rows = [(i, f"h{i * 7 % 23}", f"u{i * 11 % 31}") for i in range(120)]
+    seen, want = (set(), set()), []
+    for i, h, u in rows:
+        if h not in seen[0] and u not in seen[1]:
+            want.append(i)
+            seen[0].add(h)
+            seen[1].add(u)
+    assert sorted(r.id for r in D.greedy(frame(spark, rows, "id long, h string, u string"), ["h", "u"], "id").collect()) == want
+
+
 def test_near_pairs_equal_brute_force(spark):
     fps = [(i, (i * 0x9E3779B97F4A7C15 + 7) & (2**63 - 1)) for i in range(60)]
     fps += [(100 + i, fps[i][1] ^ (1 << (i % 60)) ^ (1 << (i * 7 % 60))) for i in range(40)]
