@@ -25,10 +25,20 @@ def points(df: DataFrame, id_col: str, text: Column, most: int = 5, least: int =
     return rows.select(id_col, F.posexplode("ps").alias("i", "point")).select(id_col, (F.col("i") + 1).cast("long").alias("point_no"), "point")
 
 
-def attributes(text: Column) -> Column:
-    """The attributes that a text asks for; TIME yields to DEADLINE."""
-    deadline = text.rlike(ATTRIBUTES[0][1])
-    return F.array_compact(F.array(*[F.when(text.rlike(p) & (~deadline if name == "TIME" else F.lit(True)), F.lit(name)) for name, p in ATTRIBUTES]))
+def attributes(text: Column, lexicon=ATTRIBUTES) -> Column:
+    """The attributes of a lexicon of (name, pattern) that a text asks for; TIME yields to DEADLINE."""
+    deadline = text.rlike(dict(lexicon)["DEADLINE"])
+    return F.array_compact(F.array(*[F.when(text.rlike(p) & (~deadline if name == "TIME" else F.lit(True)), F.lit(name)) for name, p in lexicon]))
+
+
+def patterns(lexicon: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
+    """A lexicon of words as one of patterns."""
+    return [(name, "|".join(words)) for name, words in lexicon.items()]
+
+
+def attribute_values(text: Column, values: dict[str, str]) -> Column:
+    """What a text says of each attribute: a map to the distinct values, in order of appearance."""
+    return F.create_map(*[x for name, p in values.items() for x in (F.lit(name), F.array_distinct(F.regexp_extract_all(text, F.lit(f"({p})"), 1)))])
 
 
 def best_spans(scored: DataFrame, by: list[str], k: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lexicons import AUDIENCES, CONTENT_KINDS, EVERYONE
 from ..functions.urls import host
 from .pages import first_rule, hrefs
 
@@ -100,3 +101,16 @@ def page_class(plain: Column, links: Column) -> Column:
         ("empty", F.char_length(plain) == 0), ("template", plain.rlike(r"\{\{.*\}\}|%%|lorem ipsum")), ("dated_list", dated >= 0.4), ("link_list", link_share >= 0.6), ("short", F.char_length(plain) < 200), ("mixed", link_share >= 0.3),
     ], "article")
     return F.struct(kind.alias("class"), F.round(link_share, 6).alias("link_share"), F.round(dated, 6).alias("dated_share"))
+
+
+def content_kind(title: Column, text: Column) -> Column:
+    """policy, procedure_guide, notice (by the title alone), faq or reference."""
+    joined = F.concat(title, F.lit("\n"), F.substring(text, 1, 3000))
+    return first_rule([(kind, (title if kind == "notice" else joined).rlike(p)) for kind, p in CONTENT_KINDS], "reference")
+
+
+def audiences(title: Column, text: Column) -> Column:
+    """Whom a text is for, sorted; everyone if it names no one."""
+    joined = F.concat(title, F.lit("\n"), F.substring(text, 1, 1200))
+    found = F.array_sort(F.array_distinct(labels([(label, joined.contains(marker)) for marker, label in AUDIENCES])))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(EVERYONE)))

@@ -109,3 +109,16 @@ def evidence_blocks(hits: DataFrame, text: str) -> DataFrame:
     block = F.concat(F.lit("["), F.col("rank"), F.lit("] "), F.col(text))
     rows = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("bs"))
     return rows.select("query_id", F.array_join(F.transform("bs", lambda x: x["b"]), "\n---\n").alias("evidence"))
+
+
+def lookup(x: Column, values: dict[str, float], default: float = 0.35) -> Column:
+    """The number that a small table has for x."""
+    out = F.when(F.lit(False), F.lit(0.0))
+    for k, v in values.items():
+        out = out.when(x == k, v)
+    return out.otherwise(default)
+
+
+def case_sql(x: str, values: dict[str, float], default: float = 0.35) -> str:
+    """The same as SQL."""
+    return f"(case {x} " + " ".join(f"when '{k}' then {v}" for k, v in values.items()) + f" else {default} end)::double"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.lexicons import AUTHORITY, RECENCY
 from ..operators import metadata as M
 from ..operators import search as S
 from ..operators.pages import all_rules, first_rule
@@ -71,11 +72,11 @@ def r6(spark, sf_dir):
     return _fused(spark, sf_dir).withColumn("methods", F.array_join("methods", "+"))
 
 
-#: What an authority level and the age of a source count for.
-AUTHORITY = {"official_internal": 1.0, "official": 0.9, "authoritative_external": 0.6, "unverified": 0.2}
-_RERANK = _FUSED + f""", m as ({M.META_SQL}), x as (select f.*, max(rrf) over (partition by query_id) as top from fused f), y as (select x.query_id, x.id, m.department, b.text as q, m.title, m.topics, m.audience, rrf / top as fusion,
- case authority_level when 'official_internal' then 1.0 when 'official' then 0.9 when 'authoritative_external' then 0.6 else 0.2 end::double as auth, case when publish_date >= date '2025-01-01' then 1.0 when publish_date >= date '2024-07-01' then 0.6 else 0.3 end::double as recency from x join m on m.doc_id = x.id join benchmark b on b.item_id = x.query_id where admission_status = 'serving' and access_level = 'public'),
-z as (select query_id, id, department, round(0.42 * fusion + 0.24 * len(list_intersect(list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')), list_distinct(regexp_extract_all(lower(q), '[\\p{{L}}\\p{{N}}]+')))) / greatest(1, len(list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')))) + 0.10 * auth + 0.07 * recency + 0.07 * (case when list_contains(topics, 'foreign') then 1 else 0.15 end + case when len(audience) = 0 or list_contains(audience, 'staff') then 1 else 0.3 end) / 2, 6)::double as score from y)"""
+_WORDS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'))"
+_STATUS = "case when expiry_date < date '2025-06-01' then 'expired' when effective_date > date '2025-06-01' then 'upcoming' when expiry_date is null and effective_date is null then 'unknown' else 'active' end"
+_RERANK = _FUSED + f""", m as ({M.META_SQL}), x as (select f.*, max(rrf) over (partition by query_id) as top from fused f), y as (select x.query_id, x.id, m.department, m.topics, m.audience, rrf / top as fusion, {_WORDS.format('b.text')} as q, {_WORDS.format('m.title')} as tw, {_WORDS.format('m.text')} as bw,
+ {S.case_sql('authority_level', AUTHORITY)} as auth, {S.case_sql(_STATUS, RECENCY)} as recency from x join m on m.doc_id = x.id join benchmark b on b.item_id = x.query_id where admission_status = 'serving' and access_level = 'public'),
+z as (select query_id, id, department, round(0.42 * fusion + 0.24 * len(list_intersect(q, tw)) / greatest(1, len(q)) + 0.10 * len(list_intersect(q, bw)) / greatest(1, len(q)) + 0.10 * auth + 0.07 * recency + 0.07 * (case when list_contains(topics, 'foreign') then 1 else 0.15 end + case when len(audience) = 0 or list_contains(audience, 'staff') then 1 else 0.3 end) / 2, 6)::double as score from y)"""
 
 
 def _reranked(spark, sf_dir):
@@ -84,9 +85,8 @@ def _reranked(spark, sf_dir):
     meta = M.sources(table(spark, sf_dir, "documents")).where("admission_status = 'serving' and access_level = 'public'")
     rows = fused.join(top, "query_id").join(meta, F.col("id") == F.col("doc_id")).join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id")
     words = lambda c: F.array_distinct(T.word_tokens(F.col(c)))
-    auth = F.element_at(F.create_map(*[F.lit(x) for kv in AUTHORITY.items() for x in kv]), F.col("authority_level"))
-    recency = F.when(F.col("publish_date") >= F.lit("2025-01-01").cast("date"), 1.0).when(F.col("publish_date") >= F.lit("2024-07-01").cast("date"), 0.6).otherwise(0.3)
-    score = 0.42 * F.col("rrf") / F.col("top") + 0.24 * T.coverage(words("title"), words("q")) + 0.10 * auth + 0.07 * recency + 0.07 * _meta_match()
+    status = M.temporal_status(F.col("effective_date"), F.col("expiry_date"), "2025-06-01")
+    score = 0.42 * F.col("rrf") / F.col("top") + 0.24 * T.coverage(words("q"), words("title")) + 0.10 * T.coverage(words("q"), words("text")) + 0.10 * S.lookup(F.col("authority_level"), AUTHORITY) + 0.07 * S.lookup(status, RECENCY) + 0.07 * _meta_match()
     return rows.select("query_id", "id", "department", F.round(score, 6).alias("score"))
 
 

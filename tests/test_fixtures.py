@@ -200,3 +200,12 @@ def test_required_points_arent_alike(spark):
     rows = [(1, "the fee is ten euros", 5.0), (1, "the fee is ten euro", 4.0), (1, "apply at the main office", 3.0)]
     got = sorted(tuple(r) for r in E.required_points(frame(spark, rows, "q long, s string, score double"), "q", "s", "score").collect())
     assert got == [(1, 1, "the fee is ten euros"), (1, 2, "apply at the main office")]
+
+
+def test_chinese_lexicons(spark):
+    from sluice.functions import lexicons as L
+
+    rows = [("奖学金申请截止时间是什么时候", "研究生奖学金管理办法\n截止 2026年3月15日，费用 20 元，电话 62781234", "研究生奖学金管理办法")]
+    r = frame(spark, rows, "q string, t string, title string").select(E.attributes(F.col("q"), E.patterns(L.ASKED)).alias("a"), E.attribute_values(F.col("t"), L.VALUES).alias("v"), M.content_kind(F.col("title"), F.col("t")).alias("k"), M.audiences(F.col("title"), F.col("t")).alias("w"), T.content_grams(F.col("q"), L.QUESTION_STOPS).alias("g")).first()
+    assert r.a == ["DEADLINE"] and r.k == "policy" and r.w == ["研究生"] and "什么" not in r.g
+    assert r.v["DEADLINE"] == ["2026年3月15日"] and r.v["PRICE"] == ["20 元"] and "62781234" in r.v["CONTACT"]
