@@ -215,7 +215,7 @@ def simhash_components(df: DataFrame, id_col: str, text_col: str, shingle: int =
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = hamming_components(distinct, "fp", radius)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # by itself, so that the join below can be split
     of = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return rows.join(of, "fp").select("id", "fp", "component_id")
 
@@ -231,11 +231,11 @@ def similar_components(df: DataFrame, id_col: str, text_col: str, shingle: int =
     Each text has `lanes` * 64 SimHash bits. They are read as 2 * lanes views of 32 bits, and a vantage-point tree for each view finds the pairs that
     lie within `radius` bits in it; such a pair is linked if all bits together estimate `similarity` - `slack` or more. One tree over all bits would
     prune nothing at this similarity; of pairs at 0.8, 0.85 and 0.9, sixteen views bring 87, 97 and 99.9 % together. Equal fingerprints are linked; texts without words are equal.
-    An empty table gives no rows.
+    Rows of one id are one document: their links join. A row without an id has a component only with an equal text that has one. An empty table gives no rows.
     """
     names = [f"f{i}" for i in range(lanes)]
     rows = cut(fingerprints(df, id_col, text_col, shingle, lanes))
-    distinct = cut(rows.groupBy(*names).agg(F.min("id").alias("least")))
+    distinct = cut(rows.groupBy(*names).agg(F.min("id").alias("least")).where("least is not null"))
     n, most = distinct.count(), bits_at(similarity - slack, 64 * lanes)
     seen = sample_at_most(distinct, "least", sample, n).select(*names).toArrow()
     views = []
@@ -266,8 +266,9 @@ def similar_components(df: DataFrame, id_col: str, text_col: str, shingle: int =
     edges = map_arrow(distinct, deal, "view int, shard long, id long, bits binary").groupBy("view", "shard").applyInArrow(link, "a long, b long")
     roots = connected_components(edges)
     rooted = distinct.join(roots.withColumnRenamed("node", "least"), "least", "left").withColumn("root", F.coalesce("root", "least"))
-    of = rooted.select(*names, "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    return rows.join(of.select(*names, "component_id"), names).select("id", "component_id")
+    least = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    of = rooted.select(*names, "root").join(least, "root")
+    return rows.join(of.select(*names, "component_id"), names, "left").select("id", "component_id")
 
 
 def op2_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
