@@ -38,7 +38,11 @@ def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """(path, meta, body) of whole files: front matter between --- lines as a map, and the text without it and without a source footer."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", f"^{BOM}", "").alias("t"))
+    return front_matter(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", f"^{BOM}", "").alias("t")))
+
+
+def front_matter(text: DataFrame) -> DataFrame:
+    """(path, meta, body) of (path, t)."""
     head = F.regexp_extract("t", r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n", 1)
     pairs = F.filter(F.split(head, r"\r?\n"), lambda s: s.contains(":"))
     meta = F.map_from_entries(F.transform(pairs, lambda s: F.struct(F.trim(F.substring_index(s, ":", 1)).alias("k"), F.trim(F.regexp_replace(s, r"^[^:]*:", "")).alias("v"))))
