@@ -68,7 +68,7 @@ def _range_of(x: Column, bounds: list[int], per: int) -> Column:
     return find(0, len(bounds) - 1).cast("int")
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str, carry: list[str], rows_per_range: int = 2000) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, text_col: str, carry: list[str], rows_per_range: int = 500) -> DataFrame:
     """id, text, `carry` and, of the row that follows in the order of ids (after the last: the first), next_text and next_<c> of each carried column.
 
     Ids are cut into ranges, so texts move once and no task holds more than a range; only the first row of each range, of which there are
