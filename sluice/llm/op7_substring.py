@@ -127,8 +127,9 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield part[i], salt[i], kind[i], b.column(3)[i].as_py()
 
 
-def shuffled(df: DataFrame) -> DataFrame:
-    return df.repartition(parts(df), "part", "salt").sortWithinPartitions("part", "salt", "kind")
+def shuffled(df: DataFrame, salts: int = 1) -> DataFrame:
+    """A partition for each part and salt, so that no two large ones share a task by chance."""
+    return df.repartitionById(parts(df) * salts, F.col("part") * salts + F.col("salt")).sortWithinPartitions("part", "salt", "kind")
 
 
 def flat(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -399,7 +400,7 @@ def drop_repeats(df: DataFrame, id_col: str, text_col: str, window: int = 50, ca
         return map_arrow(source, lambda batches: batches_of(f(batches)), ROWS)
 
     probes = stage(rows.select("uid", "text"), lambda b: probe_rows(b, block, n))
-    hits = cut(stage(shuffled(probes), lambda b: hit_rows(rows_of(b), n)))
+    hits = cut(stage(shuffled(probes, SALTS), lambda b: hit_rows(rows_of(b), n)))
     del probes
     release(df)
     windows = stage(shuffled(stage(rows.select("uid", "key", "text"), lambda b: doc_rows(b, n)).unionByName(hits)), lambda b: window_rows(rows_of(b), window, n))
@@ -415,10 +416,10 @@ def drop_repeats(df: DataFrame, id_col: str, text_col: str, window: int = 50, ca
 
 def release(df: DataFrame) -> None:
     """Let Spark drop the shuffle files of results that are kept elsewhere by now."""
-    for _ in range(2):
+    for _ in range(4):  # the event of the last job, which is delivered later, holds on to its plan
         gc.collect()
         df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+        time.sleep(0.6)
 
 
 def op7_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
