@@ -150,6 +150,22 @@ def settle(pairs_a: np.ndarray, pairs_b: np.ndarray, label: np.ndarray) -> None:
             label[:] = up
 
 
+def meet(values: np.ndarray, rows: np.ndarray, radius: int, label: np.ndarray, also=None) -> None:
+    """Settle all pairs of `rows` (positions that ascend) that lie within `radius` bits and meet the further condition."""
+    for s in range(0, len(rows), 256):
+        block, rest = rows[s : s + 256], rows[s:]
+        i, j = np.nonzero(np.bitwise_count(values[block][:, None] ^ values[rest][None, :]) <= radius)
+        keep = i < j
+        a, b = block[i[keep]], rest[j[keep]]
+        for t in range(0, len(a), 200_000):
+            x, y = a[t : t + 200_000], b[t : t + 200_000]
+            x, y = (z[label[x] != label[y]] for z in (x, y))  # the others are connected as it is
+            if also is not None and len(x):
+                ok = also(x, y)
+                x, y = x[ok], y[ok]
+            settle(x, y, label)
+
+
 def local_links(values: np.ndarray, radius: int, also=None, leaf: int = 384, seed: int = 11) -> np.ndarray:
     """For each value, the position of the least one that it is connected with by links of `radius` bits at most.
 
@@ -165,18 +181,18 @@ def local_links(values: np.ndarray, radius: int, also=None, leaf: int = 384, see
         if got:
             todo += [rows[got[2]], rows[got[3]]]
             continue
-        for s in range(0, len(rows), 256):  # a leaf, or a knot of fingerprints that no vantage point parts
-            block, rest = rows[s : s + 256], rows[s:]
-            i, j = np.nonzero(np.bitwise_count(values[block][:, None] ^ values[rest][None, :]) <= radius)
-            keep = i < j
-            a, b = block[i[keep]], rest[j[keep]]
-            for t in range(0, len(a), 200_000):
-                x, y = a[t : t + 200_000], b[t : t + 200_000]
-                x, y = (z[label[x] != label[y]] for z in (x, y))  # the others are connected as it is
-                if also is not None and len(x):
-                    ok = also(x, y)
-                    x, y = x[ok], y[ok]
-                settle(x, y, label)
+        meet(values, rows, radius, label, also)  # a leaf, or a knot of fingerprints that no vantage point parts
+    return label
+
+
+def block_links(values: np.ndarray, radius: int, also=None, bits: int = 32) -> np.ndarray:
+    """As `local_links`, for values of few bits, where trees copy too much: of `radius` + 1 blocks of bits, two values this near share one."""
+    label, edges = np.arange(len(values)), np.linspace(0, bits, radius + 2).astype(int)
+    for low, high in zip(edges[:-1], edges[1:]):
+        block = (values >> np.uint64(low)) & np.uint64((1 << int(high - low)) - 1)
+        order = np.argsort(block, kind="stable")
+        for rows in np.split(order, np.nonzero(np.diff(block[order]))[0] + 1):
+            meet(values, rows, radius, label, also)
     return label
 
 
@@ -220,23 +236,119 @@ def simhash_components(df: DataFrame, id_col: str, text_col: str, shingle: int =
     return rows.join(of, "fp").select("id", "fp", "component_id")
 
 
-def bits_at(similarity: float, bits: int) -> int:
-    """The bits that two fingerprints are expected to differ in whose shingle sets have this Jaccard similarity."""
-    return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
+#: Texts of so many distinct shingles at most also meet by exact prefixes: votes of so few are too coarse for SimHash's estimate.
+SHORT = 40
+#: Members of a chunk of an unfinished group; two chunks are compared in one task.
+CHUNK = 256
+
+
+def set_fingerprints(df: DataFrame, shingle: int, lanes: int, similarity: float) -> DataFrame:
+    """(id, key, short, f0, f1, ...) of (id, key, text): SimHash words of the set of shingles, each counted once.
+
+    short: of a set of `SHORT` shingles at most, the least hashes, one of which any set with this Jaccard similarity has among its own.
+    """
+    schema = "id long, key long, short array<long>, " + ", ".join(f"f{i} long" for i in range(lanes))
+
+    def run(batches):
+        for b in by_bytes(batches, "text"):
+            h = [np.unique(shingle_hashes(t, shingle)) for t in utf8(b.column(2))]
+            n = np.array([len(x) for x in h], np.int64)
+            first = [x[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1].view(np.int64) if 0 < len(x) <= SHORT else x[:0].view(np.int64) for x in h]
+            h = np.concatenate(h)
+            words = [pa.array(majority(spread(h, i), n).view(np.int64)) for i in range(lanes)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(first, pa.list_(pa.int64())), *words], ["id", "key", "short", *[f"f{i}" for i in range(lanes)]])
+
+    return map_arrow(df.select("id", "key", "text"), run, schema)
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have this Jaccard similarity or more."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def exact_links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set, the position of the least one that it is connected with by links of this Jaccard similarity or more; all pairs are compared."""
+    n, label = np.array([len(x) for x in sets], np.int64), np.arange(len(sets))
+    full = np.nonzero(n)[0]
+    if len(full) < 2:
+        return label
+    n = n[full]
+    _, flat = np.unique(np.concatenate([sets[i] for i in full]), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+    has = np.zeros(flat.max() + 1, np.int64)
+    for i in range(len(full) - 1):
+        own = flat[starts[i] : starts[i] + n[i]]
+        has[own] = 1
+        both = np.add.reduceat(has[flat[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
+        has[own] = 0
+        j = i + 1 + np.nonzero(both >= similarity * (n[i] + n[i + 1 :] - both) - 1e-9)[0]
+        settle(np.full(len(j), full[i]), full[j], label)
+    return label
+
+
+def verified_edges(texts: DataFrame, members: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) that connect what exact Jaccard similarity connects within each group of `members` (id, key, root); `texts` has (id, key, text).
+
+    Each member is compared with its group's root first. Where some aren't like it, these are compared with the whole group, two chunks to a task,
+    so that no task takes a large group alone, and groups that their root holds together cost no pairs.
+    """
+    def run(batches):
+        for b in by_bytes(batches, "text"):
+            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in utf8(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["id", "root", "shingles"])
+
+    found = texts.join(members, ["id", "key"]).dropDuplicates(["id", "key"]).select("id", "root", "text")
+    sets = cut(map_arrow(found, run, "id long, root long, shingles binary"))
+
+    def compare(batches):
+        for b in batches:
+            x, y = ([np.frombuffer(v, np.uint64) for v in b.column(i).to_pylist()] for i in (2, 3))
+            ok = pa.array([alike(p, q, similarity) for p, q in zip(x, y)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(ok)
+
+    pivots = sets.where("id = root").select("root", F.col("shingles").alias("pivot"))
+    star = cut(map_arrow(sets.where("id <> root").join(pivots, "root").select("id", "root", "shingles", "pivot"), compare, "a long, b long").distinct())
+
+    held = sets.join(star.select(F.col("a").alias("id"), F.lit(True).alias("held")), "id", "left").withColumn("held", F.coalesce("held", F.col("id") == F.col("root")))
+    counts = held.groupBy("root").agg(F.count_if(~F.col("held")).alias("loose"), F.count_if("held").alias("tied")).where("loose > 0 and loose + tied > 2")
+    width = lambda c: F.ceil(F.col(c) / CHUNK)
+    chunk = F.when(F.col("held"), width("loose") + F.pmod(F.xxhash64("id"), F.greatest(width("tied"), F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), width("loose")))
+    dealt = held.join(counts, "root").select("root", "id", "shingles", "held", chunk.cast("int").alias("c"), width("loose").cast("int").alias("k"), (width("loose") + width("tied")).cast("int").alias("all"))
+    others = F.sequence(F.lit(0), F.when(F.col("held"), F.col("k") - 1).otherwise(F.col("all") - 1))
+    dealt = dealt.select("root", "id", "shingles", "c", F.explode(others).alias("o")).select("root", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "id", "shingles")
+
+    def link(t: pa.Table) -> pa.Table:
+        ids = t.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        packed, ids = t.column("shingles").to_pylist(), ids[order]
+        root = exact_links([np.frombuffer(packed[i], np.uint64) for i in order], similarity)
+        hung = root != np.arange(len(root))
+        return pa.table({"a": pa.array(ids[hung]), "b": pa.array(ids[root[hung]])})
+
+    return star.unionByName(dealt.groupBy("root", "i", "j").applyInArrow(link, "a long, b long"))
 
 
-def similar_components(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8, slack: float = 0.03, lanes: int = 8, radius: int = 2, sample: int = 65_536, per_shard: int = 100_000) -> DataFrame:
-    """(id, component_id) of each row, with links by Jaccard similarity of shingle sets as SimHash estimates it.
+def similar_components(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8, lanes: int = 12, radius: int = 3, sample: int = 65_536, per_shard: int = 100_000) -> DataFrame:
+    """(id, component_id) of each row, with links by exact Jaccard similarity of shingle sets.
 
-    Each text has `lanes` * 64 SimHash bits. They are read as 2 * lanes views of 32 bits, and a vantage-point tree for each view finds the pairs that
-    lie within `radius` bits in it; such a pair is linked if all bits together estimate `similarity` - `slack` or more. One tree over all bits would
-    prune nothing at this similarity; of pairs at 0.8, 0.85 and 0.9, sixteen views bring 87, 97 and 99.9 % together. Equal fingerprints are linked; texts without words are equal.
+    SimHash only finds candidates. Each set has `lanes` * 64 bits. They are read as 2 * lanes views of 32 bits, and a vantage-point tree for each view
+    finds the pairs that lie within `radius` bits in it; such a pair is a candidate unless all bits together are five standard deviations beyond what
+    `similarity` lets expect. By the binomial model, 24 views of radius 3 bring 99.9 % of pairs at 0.8 together. Sets too small for that model also meet
+    by exact prefixes. Groups of candidates are then linked by exact Jaccard similarity (`verified_edges`), so a candidate costs no link and a link that
+    a chain of candidates stands for is still seen. Equal fingerprints are linked; texts without words are equal.
     Rows of one id are one document: their links join. A row without an id has a component only with an equal text that has one. An empty table gives no rows.
     """
     names = [f"f{i}" for i in range(lanes)]
-    rows = cut(fingerprints(df, id_col, text_col, shingle, lanes))
-    distinct = cut(rows.groupBy(*names).agg(F.min("id").alias("least")).where("least is not null"))
-    n, most = distinct.count(), bits_at(similarity - slack, 64 * lanes)
+    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("key", F.xxhash64("text"))
+    rows = cut(set_fingerprints(texts, shingle, lanes, similarity))
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "key", "short"))).alias("m")
+    distinct = cut(rows.groupBy(*names).agg(first).where("m is not null").select(*names, F.col("m.id").alias("least"), "m.key", "m.short"))
+    bits = 64 * lanes
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n, most = distinct.count(), int(bits * p + 5 * np.sqrt(bits * p * (1 - p)))
     seen = sample_at_most(distinct, "least", sample, n).select(*names).toArrow()
     views = []
     for i in range(2 * lanes if seen.num_rows else 0):
@@ -259,12 +371,17 @@ def similar_components(df: DataFrame, id_col: str, text_col: str, shingle: int =
         order = np.argsort(ids, kind="stable")
         ids, f = ids[order], f[order]
         v = (f[:, i // 2] >> np.uint64(32 * (i % 2))) & np.uint64(0xFFFFFFFF)
-        root = local_links(v, radius, lambda x, y: np.bitwise_count(f[x] ^ f[y]).sum(1) <= most)
+        root = block_links(v, radius, lambda x, y: np.bitwise_count(f[x] ^ f[y]).sum(1) <= most)
         hung = root != np.arange(len(root))
         return pa.table({"a": pa.array(ids[hung]), "b": pa.array(ids[root[hung]])})
 
-    edges = map_arrow(distinct, deal, "view int, shard long, id long, bits binary").groupBy("view", "shard").applyInArrow(link, "a long, b long")
-    roots = connected_components(edges)
+    met = map_arrow(distinct.select(*names, "least"), deal, "view int, shard long, id long, bits binary").groupBy("view", "shard").applyInArrow(link, "a long, b long")
+    short = distinct.select(F.col("least").alias("a"), F.explode("short").alias("s"))
+    heads = short.groupBy("s").agg(F.min("a").alias("b"))
+    groups = connected_components(met.unionByName(short.join(heads, "s").where("a <> b").select("a", "b")))
+    lowest = groups.groupBy("root").agg(F.min("node").alias("low"))
+    members = groups.join(lowest, "root").select(F.col("node").alias("least"), "low").join(distinct, "least").select(F.col("least").alias("id"), "key", F.col("low").alias("root"))
+    roots = connected_components(verified_edges(texts, cut(members), shingle, similarity))
     rooted = distinct.join(roots.withColumnRenamed("node", "least"), "least", "left").withColumn("root", F.coalesce("root", "least"))
     least = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     of = rooted.select(*names, "root").join(least, "root")

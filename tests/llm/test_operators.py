@@ -114,6 +114,33 @@ def test_similar_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1, 6: 6}
 
 
+def test_similar_components_are_exact(spark):
+    """Repeated lines don't link texts of their own; pairs a little above 0.8 link, those a little below don't; short texts and chains too."""
+    rng = np.random.default_rng(5)
+    line = " ".join(f"line{i}" for i in range(20))
+    rows = [(i, "\n".join([line] * 20 + [" ".join(f"own{i}x{j}" for j in range(200))])) for i in (1, 2)]
+    for k in range(150):
+        n = int(rng.integers(5, 400))
+        words = [f"d{k}w{j}" for j in range(n)]
+        cut_ = int(n * rng.uniform(0.02, 0.3))
+        rows += [(10 + 3 * k, " ".join(words)), (11 + 3 * k, " ".join(words[cut_:])), (12 + 3 * k, " ".join(words[cut_:] + [f"e{k}w{j}" for j in range(cut_)]))]
+    sets = {i: {tuple(w[j : j + 5]) for w in [t.split()] for j in range(max(1, len(w) - 4))} for i, t in rows}
+    ids = sorted(sets)
+    pairs = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    got = {r.id: r.component_id for r in op2_simhash.similar_components(docs(spark, rows), "doc_id", "text").collect()}
+    assert len(pairs) > 100 and got == components(ids, pairs)
+
+
+def test_verified_edges_of_chunks(spark, monkeypatch):
+    """A group whose root isn't like most of it, over several chunks."""
+    monkeypatch.setattr(op2_simhash, "CHUNK", 8)
+    texts = [(i, i, " ".join(f"w{j}" for j in range(20 * i, 20 * i + 200))) for i in range(40)] + [(50 + i, i, f"other text {i} of its own words") for i in range(9)]
+    members = spark.createDataFrame([(i, k, 0) for i, k, _ in texts], "id long, key long, root long")
+    edges = op2_simhash.verified_edges(spark.createDataFrame(texts, "id long, key long, text string"), members, 5, 0.8).collect()
+    got = components([i for i, _, _ in texts], [(r.a, r.b) for r in edges])
+    assert got == {i: 0 if i < 40 else i for i, _, _ in texts}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(7, 7), (3, 2)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
