@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import sys
 import tempfile
 import types
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that Python works on at a time, whatever the size of an Arrow batch.
 SLICE_BYTES = 2 << 20
-#: Rows of an Arrow batch, at most; texts of some kilobytes make megabytes of these.
-ROWS_A_BATCH = 1500
+#: Bytes of an Arrow batch that Spark hands to Python, at most, but for a row that is longer by itself.
+BATCH_BYTES = 4 << 20
+#: Spark drops the shuffle files of a query when it ends, where this is true (Spark 4.1).
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,20 +29,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode, and an error on a cluster."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    where = where or "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     sc.setCheckpointDir(where)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared folder, so that a lost executor costs no recomputation."""
+    """The same rows, kept in the shared folder, so that a lost executor costs no recomputation; what was shuffled on the way there is dropped."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
 
 
 def parts(df: DataFrame) -> int:
@@ -89,10 +101,13 @@ def give_back() -> None:
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow for rows with long texts: batches of fewer rows than Spark's default, and memory given back at the end of each task."""
+    """mapInArrow for rows with long texts: memory is given back at the end of each task, and batches are cut by bytes.
+
+    The latter is a setting of the session, as what is returned runs later: `spark.sql.execution.arrow.maxBytesPerBatch` becomes `BATCH_BYTES` where it is more.
+    """
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ROWS_A_BATCH:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches):
         yield from f(batches)

@@ -3,18 +3,18 @@
 Each document is cut into non-overlapping blocks of window // 2 words, which are indexed; every rolling window of that many
 words, of every document, probes the index. A repeat of `window` words holds a whole block wherever it starts, so it has a hit
 by a probe in one document and on a block of the other. Hits are then extended: each run of words about a hit is hashed in all its windows of
-`window` words, these are compared exactly (96 bits of hash), and neighbouring repeats join to maximal ones.
+`window` words, these are compared by 96 bits of hash, and neighbouring repeats join to maximal ones. Of 1e13 windows, some two of a thousand
+corpora would have one pair of unlike windows with equal hashes; words themselves never move.
 
-Rows that move are packed: a slab of documents sends each bucket one binary row. Probes are salted, and the index, a small part of them,
-is copied to each salt, so a passage that very many documents hold doesn't meet in one task; of the windows about hits, a slab sends on only
+Rows that move are packed: a slab of documents sends each bucket one binary row. What two documents of a slab share is a hit without asking, and
+the slab sends two of its blocks and two of its probes on for all of them; so a passage that very many documents hold costs a bucket a few numbers a slab.
+Probes are salted as well, and the index, a small part of them, is copied to each salt. Of the windows about hits, a slab sends on only
 those of its least document, as the others are repeats already. What a task holds is the index of a bucket; probes stream by.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,7 @@ from .common import by_bytes, cut, map_arrow, parts, table, utf8, words_of
 SLAB_BYTES = 6 << 20
 SALTS = 2
 ROWS = "part int, salt int, kind int, payload binary"
-HITS, DOCS, WINDOWS, RESULTS = range(4)  # positions come before what they are looked up in
+HITS, DOCS, WINDOWS, RESULTS, LOCAL = range(5)  # positions come before what they are looked up in
 ROOT = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -138,9 +138,36 @@ def flat(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return doc, np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
+def ends_of(run: np.ndarray) -> np.ndarray:
+    """Which places are the first or the last of their run of equal values."""
+    if not len(run):
+        return np.empty(0, bool)
+    change = run[1:] != run[:-1]
+    return np.concatenate(([True], change)) | np.concatenate((change, [True]))
+
+
+def met_here(h: np.ndarray, doc: np.ndarray, is_block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(what two documents of the slab share, blocks to send on, probes to send on), as masks; documents ascend."""
+    shared, blocks, probes = (np.zeros(len(h), bool) for _ in range(3))
+    if not len(h):
+        return shared, blocks, probes
+    order = np.argsort(h, kind="stable")
+    change = np.concatenate(([True], np.diff(h[order]) != 0))
+    run = np.cumsum(change) - 1
+    starts = np.nonzero(change)[0]
+    d = doc[order]
+    many = (d[starts] != d[np.append(starts[1:], len(d)) - 1])[run]
+    shared[order] = many
+    probes[order] = ~many | ends_of(run)
+    at = is_block[order]
+    blocks[order[at]] = ~many[at] | ends_of(run[at])
+    return shared, blocks, probes
+
+
 def probe_rows(batches: Iterator[pa.RecordBatch], block: int, buckets: int) -> Iterator[tuple]:
-    """Blocks and probes of (uid, text) rows."""
+    """Blocks and probes of (uid, text) rows, and hits that need no asking."""
     salt = TaskContext.get().partitionId() if TaskContext.get() else 0
+    local = _Out(buckets, LOCAL)
     for b in by_bytes(batches, "text", SLAB_BYTES):
         uid = b.column(0).to_numpy()
         words = [words_of(t) for t in utf8(b.column(1))]
@@ -151,33 +178,34 @@ def probe_rows(batches: Iterator[pa.RecordBatch], block: int, buckets: int) -> I
         at = np.nonzero(pos + block <= lengths[doc])[0]
         h, doc, pos = h[at], doc[at].astype(np.int32), pos[at].astype("<u4")
         part, rest = bucket_of(h, buckets), (h & np.uint64(0xFFFFFFFF)).astype("<u4")
-        is_block = pos % block == 0
-        yield from dealt(part[is_block], buckets, HITS, list(range(SALTS)), [uid], doc[is_block], [rest[is_block], pos[is_block]])
-        yield from dealt(part, buckets, DOCS, [salt % SALTS], [uid], doc, [rest, pos])
+        shared, blocks, probes = met_here(h, doc, pos % block == 0)
+        yield from local.add(uid[doc[shared]], pos[shared])
+        yield from dealt(part[blocks], buckets, HITS, list(range(SALTS)), [uid], doc[blocks], [rest[blocks], pos[blocks]])
+        yield from dealt(part[probes], buckets, DOCS, [salt % SALTS], [uid], doc[probes], [rest[probes], pos[probes]])
         salt += 1
+    yield from local.flush()
 
 
 class _Out:
-    """Positions of documents, packed for the part that the document belongs to."""
+    """Positions of documents, packed for the part that the document belongs to; with the documents' keys, if they are given."""
 
     def __init__(self, docs_parts: int, kind: int, most: int = 400_000):
-        self.parts, self.kind, self.most, self.uid, self.pos, self.n = docs_parts, kind, most, [], [], 0
+        self.parts, self.kind, self.most, self.held, self.n = docs_parts, kind, most, [], 0
 
-    def add(self, uid: np.ndarray, pos: np.ndarray) -> Iterator[tuple]:
-        self.uid.append(uid)
-        self.pos.append(pos)
+    def add(self, uid: np.ndarray, pos: np.ndarray, *key: np.ndarray) -> Iterator[tuple]:
+        self.held.append((uid, *key, pos))
         self.n += len(uid)
         if self.n >= self.most:
             yield from self.flush()
 
     def flush(self) -> Iterator[tuple]:
         if self.n:
-            uid, pos = np.concatenate(self.uid), np.concatenate(self.pos)
-            order = np.lexsort((pos, uid))
-            uid, pos = uid[order], pos[order]
-            values, owner = np.unique(uid, return_inverse=True)
-            yield from dealt(np.mod(uid, self.parts).astype(np.uint32), self.parts, self.kind, [0], [values], owner, [pos.astype("<u4")])
-        self.uid, self.pos, self.n = [], [], 0
+            *names, pos = (np.concatenate(x) for x in zip(*self.held))
+            order = np.lexsort((pos, *names[::-1]))
+            names, pos = [x[order] for x in names], pos[order]
+            first = np.concatenate(([True], np.any([x[1:] != x[:-1] for x in names], axis=0)))
+            yield from dealt(np.mod(names[0], self.parts).astype(np.uint32), self.parts, self.kind, [0], [x[first] for x in names], np.cumsum(first) - 1, [pos.astype("<u4")])
+        self.held, self.n = [], 0
 
 
 def hit_rows(rows: Iterator[tuple], docs_parts: int) -> Iterator[tuple]:
@@ -205,6 +233,9 @@ def hit_rows(rows: Iterator[tuple], docs_parts: int) -> Iterator[tuple]:
             yield from out.add(uid[met], pos[met])
 
     for part, salt, kind, payload in rows:
+        if kind == LOCAL:
+            yield part, 0, HITS, payload
+            continue
         if (part, salt) != bucket:
             yield from end()
             bucket, index, blocks = (part, salt), None, []
@@ -267,22 +298,27 @@ def finished(t: pa.Table, words: list[list[bytes]], gone: list[np.ndarray | None
     return ipc(t.combine_chunks().to_batches()[0])
 
 
-def by_doc_part(rows: Iterator[tuple]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    """(rows, uids of positions, positions) for packed rows that come by part, positions first."""
-    part, found, uid, pos = None, [], None, None
+def by_doc_part(rows: Iterator[tuple], keyed: bool = False) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
+    """(rows, positions of each) for packed rows that come by part, positions first. A row has those of its uid and, if positions bear it, its key."""
+    part, found, held = None, [], None
     for p, _, kind, payload in rows:
         if p != part:
-            part, found, uid = p, [], None
+            part, found, held = p, [], None
         if kind == HITS:
-            (u,), (x,) = unpack(payload, 1, ["<u4"])
-            found.append((u, x))
+            names, (x,) = unpack(payload, 1 + keyed, ["<u4"])
+            found.append((*names, x))
             continue
-        if uid is None:
-            uid = np.concatenate([x[0] for x in found]) if found else np.empty(0, np.int64)
-            pos = np.concatenate([x[1] for x in found]).astype(np.int64) if found else np.empty(0, np.int64)
-            order = np.argsort(uid, kind="stable")
-            uid, pos, found = uid[order], pos[order], []
-        yield un_ipc(payload), uid, pos
+        if held is None:
+            held = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64)] * (2 + keyed)
+            order = np.argsort(held[0], kind="stable")
+            held, found = [x[order] for x in held], []
+        t = un_ipc(payload)
+        uid = t.column("uid").to_numpy()
+        lo, hi = np.searchsorted(held[0], uid, "left"), np.searchsorted(held[0], uid, "right")
+        pos = [held[-1][a:b].astype(np.int64) for a, b in zip(lo, hi)]
+        if keyed:
+            pos = [x[held[1][a:b] == k] for x, a, b, k in zip(pos, lo, hi, t.column("key").to_numpy())]
+        yield t, pos
 
 
 def taken(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -304,25 +340,24 @@ def window_rows(rows: Iterator[tuple], window: int, buckets: int, most: int = 60
         nonlocal held, n
         a, b, pos, uid, key = (np.concatenate([x[i] for x in held]) for i in range(5))
         again = taken(a, b, key)
-        yield from out.add(uid[again], pos[again])
+        yield from out.add(uid[again], pos[again], key[again])
         a, b, pos, uid, key = (x[~again] for x in (a, b, pos, uid, key))
         owner = np.concatenate(([0], np.cumsum((uid[1:] != uid[:-1]) | (key[1:] != key[:-1]))))
         at = np.concatenate(([0], np.nonzero(np.diff(owner))[0] + 1))
         yield from dealt(bucket_of(a, buckets), buckets, WINDOWS, [0], [uid[at], key[at]], owner, [a, b, pos])
         held, n = [], 0
 
-    for t, uids, poss in by_doc_part(rows):
+    for t, found in by_doc_part(rows):
         words = [words_of(x) for x in utf8(t.column("text").combine_chunks())]
         uid = t.column("uid").to_numpy()
-        lo, hi = np.searchsorted(uids, uid, "left"), np.searchsorted(uids, uid, "right")
-        some = [i for i in range(len(words)) if hi[i] > lo[i] and len(words[i]) >= window]
+        some = [i for i in range(len(words)) if len(found[i]) and len(words[i]) >= window]
         if not some:
             continue
         lengths = np.array([len(words[i]) for i in some], np.int64)
         starts = np.cumsum(lengths) - lengths
         turns = np.zeros(int(lengths.sum()) + 1, np.int64)
         for k, i in enumerate(some):
-            p = poss[lo[i] : hi[i]]
+            p = found[i]
             a, b = np.maximum(p - (window - block), 0), np.minimum(p, lengths[k] - window)
             ok = a <= b
             np.add.at(turns, starts[k] + a[ok], 1)
@@ -352,7 +387,7 @@ def repeat_rows(rows: Iterator[tuple], docs_parts: int) -> Iterator[tuple]:
         if held:
             uid, key, a, b, pos = (np.concatenate([x[i] for x in held]) for i in range(5))
             again = taken(a, b, key)
-            yield from out.add(uid[again], pos[again])
+            yield from out.add(uid[again], pos[again], key[again])
 
     for part, salt, kind, payload in rows:
         if kind == HITS:
@@ -369,14 +404,12 @@ def repeat_rows(rows: Iterator[tuple], docs_parts: int) -> Iterator[tuple]:
 
 def result_rows(rows: Iterator[tuple], window: int, with_text: bool) -> Iterator[tuple]:
     """Results of documents, the positions of their repeated windows first."""
-    for t, uids, poss in by_doc_part(rows):
+    for t, found in by_doc_part(rows, keyed=True):
         words = [words_of(x) for x in utf8(t.column("text").combine_chunks())]
-        uid = t.column("uid").to_numpy()
-        lo, hi = np.searchsorted(uids, uid, "left"), np.searchsorted(uids, uid, "right")
         gone = []
         for i, w in enumerate(words):
             turns = np.zeros(len(w) + 1, np.int64)
-            p = np.unique(poss[lo[i] : hi[i]])
+            p = np.unique(found[i])
             turns[p] += 1
             turns[p + window] -= 1
             gone.append(np.cumsum(turns)[:-1] > 0 if len(p) else None)
@@ -386,8 +419,8 @@ def result_rows(rows: Iterator[tuple], window: int, with_text: bool) -> Iterator
 def drop_repeats(df: DataFrame, id_col: str, text_col: str, window: int = 50, carry: list[str] | None = None, with_text: bool = True) -> DataFrame:
     """Each row's `carry` columns (all, if None, but the text), its text without repeated words, and n_words, n_removed and kept_sha256.
 
-    A word goes if it lies in `window` consecutive words that also start in a row with a smaller id; windows are judged on the input. The text of a row
-    that loses words is its kept words, joined by one space; others stay as they are. Null texts have no words; a null id counts as smaller than
+    A word goes if it lies in `window` consecutive words that also start in a row with a smaller id; windows are judged on the input. What repeats
+    within one row only stays. The text of a row that loses words is its kept words, joined by one space; others stay as they are. Null texts have no words; a null id counts as smaller than
     all others, and rows of one id don't take words from each other. An empty table gives no rows.
     """
     block, n = window // 2, parts(df)
@@ -401,12 +434,8 @@ def drop_repeats(df: DataFrame, id_col: str, text_col: str, window: int = 50, ca
 
     probes = stage(rows.select("uid", "text"), lambda b: probe_rows(b, block, n))
     hits = cut(stage(shuffled(probes, SALTS), lambda b: hit_rows(rows_of(b), n)))
-    del probes
-    release(df)
     windows = stage(shuffled(stage(rows.select("uid", "key", "text"), lambda b: doc_rows(b, n)).unionByName(hits)), lambda b: window_rows(rows_of(b), window, n))
     again = cut(stage(shuffled(windows), lambda b: repeat_rows(rows_of(b), n)))
-    del windows, hits
-    release(df)
     done = stage(shuffled(stage(rows, lambda b: doc_rows(b, n)).unionByName(again)), lambda b: result_rows(rows_of(b), window, with_text))
     names = [f"c{i}" for i in range(len(carry))]
     schema = ", ".join([*[f"{c} {types[o]}" for c, o in zip(names, carry)], *(["text string"] if with_text else []), "n_words long", "n_removed long", "kept_sha256 string"])
@@ -414,14 +443,9 @@ def drop_repeats(df: DataFrame, id_col: str, text_col: str, window: int = 50, ca
     return wide.select(*[F.col(c).alias(o) for c, o in zip(names, carry)], *([F.col("text").alias(text_col)] if with_text else []), "n_words", "n_removed", "kept_sha256")
 
 
-def release(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of results that are kept elsewhere by now."""
-    for _ in range(4):  # the event of the last job, which is delivered later, holds on to its plan
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.6)
-
-
 def op7_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`drop_repeats` of the whole `documents`, windows of 50 words. No SQL: hashing every window of every text is too slow there; tests compare it with going through all
+    windows. Null and empty texts have no words, so n_removed is 0; repeated rows of one id keep what they share; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_repeats(docs, "doc_id", "text", 50, ["doc_id"], with_text=False)
