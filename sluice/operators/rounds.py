@@ -1,15 +1,49 @@
-"""Results that an iteration keeps from round to round."""
+"""Results that are kept: from round to round, or from question to question."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
+from collections import OrderedDict
+from collections.abc import Callable, Hashable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share. Where that is unset, a temporary one in local mode, and an error on a cluster."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="rounds-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """The same rows, in the folder of ``spark.checkpoint.dir`` (a temporary one only where that is unset), so that lineage doesn't grow."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rounds-"))
+    """The same rows, in the shared folder, so that lineage doesn't grow."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class ResultCache:
+    """Results by key, each for `seconds` after it was made, at most `most` of them: the one that was asked for longest ago goes first.
+
+    What it holds are kept DataFrames, so the rows lie in the shared folder and not in the driver. A key must name all that a result depends on.
+    """
+
+    def __init__(self, seconds: float = 300, most: int = 128, clock: Callable[[], float] = time.monotonic):
+        self.seconds, self.most, self.clock, self.held = seconds, most, clock, OrderedDict()
+
+    def get(self, key: Hashable, make: Callable[[], DataFrame]) -> DataFrame:
+        now = self.clock()
+        for k in [k for k, (t, _) in self.held.items() if now - t > self.seconds]:
+            del self.held[k]
+        if key not in self.held:
+            self.held[key] = (now, keep(make()))
+            while len(self.held) > self.most:
+                self.held.popitem(last=False)
+        self.held.move_to_end(key)
+        return self.held[key][1]

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Query vectors of a pass over the index.
+from .rounds import keep
+
+#: Query vectors of a pass over the index; queries that are held in every task.
 QUERIES_A_PASS = 4096
+#: Query terms that are held in every task, at most.
+TERMS_A_PASS = 200_000
 
 
 def postings(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -24,6 +33,89 @@ def statistics(df: DataFrame, tokens: Column) -> DataFrame:
     return n.agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"))
 
 
+def pool_size(top_k: int) -> int:
+    """How many rows each method gives to fusion and reranking."""
+    return max(30, 5 * top_k)
+
+
+def bm25_top(
+    queries: DataFrame, query_id: str, query_tokens: Column, docs: DataFrame, id_col: str, tokens: Column, k: int, by: tuple[str, ...] = ("score",), k1: float = 1.5, b: float = 0.75
+) -> DataFrame:
+    """(query_id, id, score, matched): of what `bm25` gives, the k rows of each query that lead by any of the columns `by`, ties to smaller ids, and some more.
+
+    Documents are read and cut into tokens once. What is kept of each is a row: its length, and the query terms that it has with their counts; document
+    frequencies and the mean length come from there. Each task scores its documents against all queries and passes on its own leaders only, so the one
+    exchange moves k rows a query and task at most. Beyond `QUERIES_A_PASS` queries or `TERMS_A_PASS` terms, postings are joined instead.
+    """
+    q = keep(queries.select(F.col(query_id).alias("query_id"), F.explode(query_tokens).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
+    n_queries, n_terms = q.agg(F.count_distinct("query_id"), F.count("*")).first()
+    if n_queries > QUERIES_A_PASS or n_terms > TERMS_A_PASS:
+        return bm25(queries, query_id, query_tokens, docs, id_col, tokens, k1, b)
+    held = q.toArrow()
+    names = pc.unique(held.column("query_id").combine_chunks())
+    terms = pc.unique(held.column("term").combine_chunks())
+    asked = pc.index_in(held.column("query_id").combine_chunks(), names).to_numpy(zero_copy_only=False).astype(np.int64)
+    of = pc.index_in(held.column("term").combine_chunks(), terms).to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    asked, times, first = asked[order], held.column("qtf").to_numpy()[order].astype(float), np.searchsorted(of[order], np.arange(len(terms) + 1))
+
+    def count(batches):
+        for x in batches:
+            lists = x.column(1)
+            n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = pc.index_in(lists.flatten(), terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(np.arange(len(n)), n)[at >= 0]
+            pair, tf = np.unique(doc * max(1, len(terms)) + at[at >= 0], return_counts=True)
+            starts = pa.array(np.searchsorted(pair // max(1, len(terms)), np.arange(len(n) + 1)), pa.int32())
+            of_term = pa.ListArray.from_arrays(starts, pa.array(pair % max(1, len(terms)), pa.int32()))
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(n), of_term, pa.ListArray.from_arrays(starts, pa.array(tf, pa.int32()))], ["id", "len", "terms", "tfs"])
+
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    index = keep(docs.select(F.col(id_col).alias("id"), tokens.alias("t")).mapInArrow(count, f"id {kind}, len long, terms array<int>, tfs array<int>"))
+    n_docs, avg_len = index.agg(F.count("*"), F.avg("len")).first()
+    df_ = np.zeros(len(terms))
+    for r in index.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row for each query term
+        df_[r["t"]] = r["count"]
+    weight = times * np.repeat(np.log1p((n_docs - df_ + 0.5) / (df_ + 0.5)), np.diff(first))
+    rows_at_once = max(1, 1_000_000 // max(1, n_queries))
+
+    def lead(found: list[tuple]) -> list[tuple]:
+        """The leaders among (query, id, score, matched) arrays."""
+        own, ids, score, matched = (np.concatenate(x) for x in zip(*found))
+        some = np.zeros(len(own), bool)
+        for c in by:
+            line = np.lexsort((ids, -np.round(score, 6) if c == "score" else -matched, own))
+            some[line[np.arange(len(own)) - np.searchsorted(own[line], own[line]) < k]] = True
+        return [(own[some], ids[some], score[some], matched[some])]
+
+    def score(batches):
+        found, size = [], 0
+        for x in batches:
+            for s in range(0, x.num_rows, rows_at_once):
+                part = x.slice(s, rows_at_once)
+                ids, length = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy()
+                n = pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False)
+                doc, term, tf = np.repeat(np.arange(len(n)), n), part.column(2).flatten().to_numpy(), part.column(3).flatten().to_numpy().astype(float)
+                own = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / avg_len))
+                each = first[term + 1] - first[term]
+                rep = np.repeat(np.arange(len(term)), each)
+                at = np.arange(len(rep)) - np.repeat(np.cumsum(each) - each, each) + first[term][rep]
+                cell = asked[at] * len(n) + doc[rep]
+                total, matched = np.bincount(cell, weight[at] * own[rep], n_queries * len(n)), np.bincount(cell, minlength=n_queries * len(n))
+                hit = np.nonzero(matched)[0]
+                found.append((hit // len(n), ids[hit % len(n)], total[hit], matched[hit]))
+                size += len(hit)
+                if size > 8 * k * n_queries + 200_000:
+                    found = lead(found)
+                    size = len(found[0][0])
+        if found:
+            own, ids, total, matched = lead(found)[0]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(own)), pa.array(ids), pa.array(total), pa.array(matched.astype(np.int64))], ["query_id", "id", "score", "matched"])
+
+    out = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {kind}, score double, matched long"
+    return index.where(F.size("terms") > 0).mapInArrow(score, out).withColumn("score", F.round("score", 6))
+
+
 def bm25(queries: DataFrame, query_id: str, query_tokens: Column, docs: DataFrame, id_col: str, tokens: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, id, score, matched) of every document that shares a term with a query.
 
@@ -58,6 +150,85 @@ def tfidf(df: DataFrame, id_col: str, grams: Column, max_features: int = 60_000)
     return w.join(norm, "id").select("term", "id", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def tfidf_top(queries: DataFrame, query_id: str, docs: DataFrame, id_col: str, text: str, k: int, sizes: tuple[int, ...] = (2, 3, 4), max_features: int = 60_000) -> DataFrame:
+    """(query_id, rank, id, score): the k documents nearest to each query by the cosine of TF-IDF weights of character n-grams.
+
+    The features are those most frequent in the documents; queries are weighted by the documents' frequencies. Texts are read twice, to count features and to
+    score; each task combines its counts, and passes on its own leaders only. What tasks hold is `max_features` features and `QUERIES_A_PASS` queries at most; more
+    queries are taken in further passes. Ties go to smaller ids. Null texts are empty; a text without features is like none.
+    """
+    items = queries.select(F.col(query_id).alias("q"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    passes = -(-items.count() // QUERIES_A_PASS)
+
+    def grams(t: str) -> Counter:
+        return Counter(g for n in sizes for g in map("".join, zip(*(t[i:] for i in range(n)))))
+
+    def count(batches):
+        cf, df_ = Counter(), Counter()
+
+        def flush():
+            yield pa.RecordBatch.from_pydict({"term": list(cf), "cf": pa.array(list(cf.values()), pa.int64()), "df": pa.array([df_[t] for t in cf], pa.int64())})
+            cf.clear()
+            df_.clear()
+
+        for x in batches:
+            for t in x.column(0).to_pylist():
+                c = grams(t)
+                cf.update(c)
+                df_.update(c.keys())
+                if len(cf) > 500_000:
+                    yield from flush()
+        yield from flush()
+
+    terms = rows.select("t").mapInArrow(count, "term string, cf long, df long").groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+    found = terms.orderBy(F.desc("cf"), "term").limit(max_features).toArrow()
+    at = {t: i for i, t in enumerate(found.column("term").to_pylist())}
+    n_docs = rows.count()
+    idf = np.log((1 + n_docs) / (1 + found.column("df").to_numpy())) + 1
+
+    def weights(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, feature, weight) of each feature of each text."""
+        own, feature, tf = [], [], []
+        for i, t in enumerate(texts):
+            c = [(at[g], n) for g, n in grams(t).items() if g in at]
+            own += [i] * len(c)
+            feature += [f for f, _ in c]
+            tf += [n for _, n in c]
+        own, feature = np.array(own, np.int64), np.array(feature, np.int64)
+        w = (1 + np.log(np.array(tf, float))) * idf[feature]
+        return own, feature, w / np.sqrt(np.bincount(own, w * w, len(texts)))[own]
+
+    def one_pass(share: DataFrame) -> DataFrame:
+        asked = share.toArrow()
+        ids, (own, feature, w) = asked.column("q").to_pylist(), weights(asked.column("t").to_pylist())
+        order = np.argsort(feature, kind="stable")
+        own, w, first = own[order], w[order], np.searchsorted(feature[order], np.arange(len(at) + 1))
+        at_once = max(1, 1_000_000 // max(1, len(ids)))
+
+        def score(batches):
+            for x in batches:
+                for s in range(0, x.num_rows, at_once):
+                    part = x.slice(s, at_once).sort_by("id")
+                    doc, f, dw = weights(part.column(1).to_pylist())
+                    each = first[f + 1] - first[f]
+                    rep = np.repeat(np.arange(len(f)), each)
+                    here = np.arange(len(rep)) - np.repeat(np.cumsum(each) - each, each) + first[f][rep]
+                    total = np.round(np.bincount(own[here] * part.num_rows + doc[rep], w[here] * dw[rep], len(ids) * part.num_rows), 6).reshape(len(ids), -1)
+                    lead = np.argsort(-total, axis=1, kind="stable")[:, :k]
+                    q, j = np.repeat(np.arange(len(ids)), lead.shape[1]), lead.ravel()
+                    some = total[q, j] > 0
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q[some]], asked.schema.field("q").type), part.column(0).take(pa.array(j[some])), pa.array(total[q, j][some])], ["query_id", "id", "score"])
+
+        return rows.mapInArrow(score, f"query_id {items.schema['q'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double")
+
+    hits = None
+    for i in range(max(1, passes)):
+        one = one_pass(items if passes <= 1 else items.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == i))
+        hits = one if hits is None else hits.unionByName(one)
+    return ranked(hits, "score", k)
+
+
 def cosine(a: DataFrame, b: DataFrame) -> DataFrame:
     """(query_id, id, score) of rows of two weighted indexes that share a term."""
     q = a.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("wq"))
@@ -99,6 +270,46 @@ def reciprocal_ranks(lists: list[tuple[str, DataFrame, float]], constant: int =
     return rows.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") / (constant + F.col("rank"))), 9).alias("rrf"), F.max("score").alias("best"), F.array_sort(F.collect_set("method")).alias("methods"))
 
 
+def rerank(pairs: DataFrame, query: str, text: str, scorer: Callable[[list[str], list[str]], list[float]], order: list[Column], k: int, most: int = 32) -> DataFrame:
+    """rank (from 1, to k) and rerank_score of (query_id, ...) rows: `scorer` takes lists of queries and texts, `most` pairs at a time, and gives a number for each.
+
+    It stands where a cross-encoder does; whole texts reach it. `order` breaks ties. Null texts count as empty.
+    """
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        a, b = a.fillna("").tolist(), b.fillna("").tolist()
+        return pd.Series([float(x) for s in range(0, len(a), most) for x in scorer(a[s : s + most], b[s : s + most])], dtype=float)
+
+    return top_k(pairs.drop("rank").withColumn("rerank_score", score(F.col(query), F.col(text))), ["query_id"], [F.desc("rerank_score"), *order], k)
+
+
+def encode(df: DataFrame, text: str, encoder: Callable[[list[str]], list[list[float]]], prefix: str = "", most: int = 16, name: str = "embedding") -> DataFrame:
+    """The column `name`: what `encoder` makes of the texts, `most` at a time, each with `prefix` before it (queries bear an instruction), scaled to length 1.
+
+    A vector of zeros stays as it is. Null texts count as empty.
+    """
+
+    @F.pandas_udf("array<float>")
+    def run(x: pd.Series) -> pd.Series:
+        x = [prefix + t for t in x.fillna("")]
+        out = []
+        for s in range(0, len(x), most):
+            v = np.asarray(encoder(x[s : s + most]), np.float64)
+            n = np.sqrt((v * v).sum(1, keepdims=True))
+            out += list((v / np.where(n > 0, n, 1)).astype(np.float32))
+        return pd.Series(out, dtype=object)
+
+    return df.withColumn(name, run(F.col(text)))
+
+
+def answer(queries: DataFrame, planner, retriever, gate, composer) -> DataFrame:
+    """The whole way from questions to answers, each step a callable that the caller supplies: planner(queries), retriever(plans), gate(plans, hits), composer(plans, hits, verdicts)."""
+    plans = planner(queries)
+    hits = retriever(plans)
+    return composer(plans, hits, gate(plans, hits))
+
+
 def cap_per_source(df: DataFrame, source: str, order: list[Column], cap: int, k: int) -> DataFrame:
     """At most `cap` rows of a source for each query, then the first k; the greedy choice in order is the same."""
     return top_k(top_k(df, ["query_id", source], order, cap).drop("rank"), ["query_id"], order, k)

@@ -8,9 +8,13 @@ from ..functions import text as T
 from ..functions.lexicons import AUTHORITY, RECENCY
 from ..operators import metadata as M
 from ..operators import search as S
-from ..operators.pages import all_rules, first_rule
+from ..operators.pages import first_rule
+from ..operators.rounds import ResultCache
 from .registry import query, table
 
+#: Leaders of the search, which many queries start from, by session and table.
+CACHE = ResultCache()
+
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 #: BM25 of the benchmark's items over documents: hits(query_id, id, score, matched).
 _BM25 = f"""
@@ -21,15 +25,26 @@ _FUSED = _BM25 + """, a as (select query_id, id, score, row_number() over (parti
 l as (select *, 'bm25' as method, 1.0 as weight from a where rank <= 30 union all select *, 'overlap', 1.25 from b where rank <= 30), fused as (select query_id, id, round(sum(weight / (60 + rank))::double, 9) as rrf, max(score) as best, array_to_string(list_sort(list(distinct method)), '+') as methods from l group by 1, 2)"""
 
 
-def _hits(spark, sf_dir):
+#: Rows that each method gives to fusion.
+POOL = S.pool_size(6)
+
+
+def _pool(spark, sf_dir):
+    """Of each benchmark item, the documents that lead by BM25 or by the number of shared terms, `POOL` each and some more."""
     tokens = T.word_tokens(F.col("text"))
-    return S.bm25(table(spark, sf_dir, "benchmark"), "item_id", tokens, table(spark, sf_dir, "documents"), "doc_id", tokens)
+    make = lambda: S.bm25_top(table(spark, sf_dir, "benchmark"), "item_id", tokens, table(spark, sf_dir, "documents"), "doc_id", tokens, POOL, ("score", "matched"))
+    return CACHE.get((spark.sparkContext.applicationId, sf_dir), make)
+
+
+def _top(spark, sf_dir, k: int):
+    """(query_id, rank, id, score, matched): the k best by BM25, no more than `POOL`."""
+    return S.ranked(_pool(spark, sf_dir), "score", k)
 
 
 def _fused(spark, sf_dir):
-    hits = _hits(spark, sf_dir)
+    hits = _pool(spark, sf_dir)
     overlap = hits.select("query_id", "id", F.col("matched").cast("double").alias("score"))
-    return S.reciprocal_ranks([("bm25", S.ranked(hits.select("query_id", "id", "score"), "score", 30), 1.0), ("overlap", S.ranked(overlap, "score", 30), 1.25)])
+    return S.reciprocal_ranks([("bm25", S.ranked(hits.select("query_id", "id", "score"), "score", POOL), 1.0), ("overlap", S.ranked(overlap, "score", POOL), 1.25)])
 
 
 @query("r1_index_build", f"with t as (select doc_id, {_TOK} as ts from documents), e as (select doc_id, unnest(ts) as term from t) select term, count(distinct doc_id) as df, count(*) as cf from e group by 1")
@@ -40,22 +55,25 @@ def r1(spark, sf_dir):
 
 @query("r2_bm25_search", f"with {_BM25}, r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from hits) select query_id, rank, id, score, matched from r where rank <= 10")
 def r2(spark, sf_dir):
-    return S.ranked(_hits(spark, sf_dir), "score", 10).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score", "matched")
+    return _top(spark, sf_dir, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score", "matched")
 
 
-_GRAM = "list_concat(" + ", ".join("list_transform(range(1, length(text) - {0}), lambda i: substring(text, i, {1}))".format(n - 2, n) for n in (2, 3)) + ")"
+_GRAM = "list_concat(" + ", ".join("list_transform(range(1, length(text) - {0}), lambda i: substring(text, i, {1}))".format(n - 2, n) for n in (2, 3, 4)) + ")"
 
 
 def _weights(name: str, source: str, i: str) -> str:
-    return f"""{name}g as (select {i} as id, unnest({_GRAM}) as term from {source}), {name}f as (select id, term, count(*) as tf from {name}g group by 1, 2), {name}t as (select term, count(*) as df, sum(tf) as cf from {name}f group by 1 order by cf desc, term limit 60000),
-{name}w as (select id, term, (1 + ln(tf)) * (ln((1 + (select count(*) from {source})) / (1 + df)) + 1) as w from {name}f join {name}t using (term)), {name} as (select term, id, w / sqrt(sum(w * w) over (partition by id)) as weight from {name}w)"""
+    return f"""{name}g as (select {i} as id, unnest({_GRAM}) as term from {source}), {name}f as (select id, term, count(*) as tf from {name}g group by 1, 2),
+{name}w as (select id, term, (1 + ln(tf)) * (ln((1 + (select count(*) from documents)) / (1 + df)) + 1) as w from {name}f join features using (term)), {name} as (select term, id, w / sqrt(sum(w * w) over (partition by id)) as weight from {name}w)"""
+
 
+_TFIDF = f"features as (select term, count(*) as df, sum(tf) as cf from (select id, term, count(*) as tf from (select doc_id as id, unnest({_GRAM}) as term from documents) group by 1, 2) group by 1 order by cf desc, term limit 60000), {_weights('q', 'benchmark', 'item_id')}, {_weights('d', 'documents', 'doc_id')}"
 
-@query("r3_tfidf_cosine", f"with {_weights('q', 'benchmark', 'item_id')}, {_weights('d', 'benchmark', 'item_id')}, s as (select q.id as query_id, d.id, round(sum(q.weight * d.weight), 6) as score from q join d using (term) where q.id <> d.id group by 1, 2), r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) select query_id, rank, id, score from r where rank <= 5")
+
+@query("r3_tfidf_cosine", f"with {_TFIDF}, s as (select q.id as query_id, d.id, round(sum(q.weight * d.weight), 6) as score from q join d using (term) group by 1, 2), r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s where score > 0) select query_id, rank, id, score from r where rank <= 5")
 def r3(spark, sf_dir):
-    grams = F.concat(T.ngrams(F.col("text"), 2), T.ngrams(F.col("text"), 3))
-    w = S.tfidf(table(spark, sf_dir, "benchmark"), "item_id", grams)
-    return S.ranked(S.cosine(w, w).where("query_id <> id"), "score", 5).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
+    """Benchmark items against an index of all documents, character 2- to 4-grams."""
+    out = S.tfidf_top(table(spark, sf_dir, "benchmark"), "item_id", table(spark, sf_dir, "documents"), "doc_id", "text", 5)
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
 
 
 _DENSE = "with q as (select vec_id as query_id, embedding::double[] as qv from embeddings where vec_id % 100 = 0), s as (select query_id, vec_id as id, round(list_inner_product(qv, embedding::double[]), 6) as score from q, embeddings), r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s)"
@@ -83,10 +101,14 @@ def _reranked(spark, sf_dir):
     fused = _fused(spark, sf_dir)
     top = fused.groupBy("query_id").agg(F.max("rrf").alias("top"))  # over all candidates, before filters
     meta = M.sources(table(spark, sf_dir, "documents")).where("admission_status = 'serving' and access_level = 'public'")
-    rows = fused.join(top, "query_id").join(meta, F.col("id") == F.col("doc_id")).join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id")
-    words = lambda c: F.array_distinct(T.word_tokens(F.col(c)))
+    words = lambda c: F.array_distinct(T.word_tokens(F.col(c))).alias(f"{c}_words")
+    # each document of the pool is cut into words once, before it meets the queries that it leads for
+    meta = meta.join(fused.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "department", "effective_date", "expiry_date", "authority_level", "topics", "audience", words("title"), words("text"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words("text").alias("q_words"))
+    rows = fused.join(top, "query_id").join(meta, F.col("id") == F.col("doc_id")).join(items, "query_id")
     status = M.temporal_status(F.col("effective_date"), F.col("expiry_date"), "2025-06-01")
-    score = 0.42 * F.col("rrf") / F.col("top") + 0.24 * T.coverage(words("q"), words("title")) + 0.10 * T.coverage(words("q"), words("text")) + 0.10 * S.lookup(F.col("authority_level"), AUTHORITY) + 0.07 * S.lookup(status, RECENCY) + 0.07 * _meta_match()
+    share = lambda c: T.coverage(F.col("q_words"), F.col(f"{c}_words"))
+    score = 0.42 * F.col("rrf") / F.col("top") + 0.24 * share("title") + 0.10 * share("text") + 0.10 * S.lookup(F.col("authority_level"), AUTHORITY) + 0.07 * S.lookup(status, RECENCY) + 0.07 * _meta_match()
     return rows.select("query_id", "id", "department", F.round(score, 6).alias("score"))
 
 
@@ -112,15 +134,38 @@ def r10(spark, sf_dir):
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "department")
 
 
-@query("r11_pair_scorer")
-def r11(spark, sf_dir):
-    """Any scorer of (query, text) batches takes the place of a cross-encoder; here matching blocks, as no model is at hand."""
-    from ..operators.dedup import block_ratio
+def word_coverage(queries: list[str], texts: list[str]) -> list[float]:
+    """A scorer in place of a cross-encoder, as no model is at hand: the share of a query's words that the text has."""
+    out = []
+    for q, t in zip(queries, texts):
+        asked, there = set(q.lower().split()), set(t.lower().split())
+        out.append(len(asked & there) / max(1, len(asked)))
+    return out
 
-    hits = S.ranked(_hits(spark, sf_dir), "score", 3)
+
+@query("r11_pair_scorer", rf"with {_BM25}, r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from hits), wd as (select query_id, rank, id, list_distinct(regexp_split_to_array(trim(lower(b.text), ' ' || chr(10) || chr(9)), '\s+')) as q, list_distinct(regexp_split_to_array(trim(lower(d.text), ' ' || chr(10) || chr(9)), '\s+')) as t from r join benchmark b on b.item_id = query_id join documents d on d.doc_id = id where rank <= 20), pairs as (select query_id, rank as first, id, round(len(list_intersect(q, t)) / greatest(1, len(q)), 6) as score from wd), k as (select *, row_number() over (partition by query_id order by score desc, first, id) as rank from pairs) select query_id, rank, id, score from k where rank <= 10")
+def r11(spark, sf_dir):
+    """Any scorer of lists of queries and whole texts takes the place of a cross-encoder; ties keep the order of the search."""
+    hits = _top(spark, sf_dir, 20).withColumn("first", F.col("rank"))
     pairs = hits.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("a")), "query_id").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("b")), "id")
-    pairs = pairs.withColumn("b", F.substring("b", 1, 2000))
-    return S.top_k(block_ratio(pairs, "a", "b").drop("rank"), ["query_id"], [F.desc("ratio"), F.asc("id")], 3).select("query_id", "rank", "id", "ratio")
+    out = S.rerank(pairs, "a", "b", word_coverage, [F.asc("first"), F.asc("id")], 10)
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("rerank_score", 6).alias("score"))
+
+
+def letter_shares(texts: list[str]) -> list[list[float]]:
+    """An encoder in place of a model: how often each letter from a to z occurs."""
+    return [[float(t.lower().count(chr(97 + i))) for i in range(26)] for t in texts]
+
+
+_LETTERS = "[" + ", ".join(f"length(t) - length(replace(t, '{chr(97 + i)}', ''))" for i in range(26)) + "]::double[]"
+
+
+@query("r5_encode", f"with v as (select item_id, {_LETTERS} as v from (select item_id, lower('query: ' || text) as t from benchmark)), n as (select item_id, v, sqrt(list_inner_product(v, v)) as n from v) select item_id, round((v[5] / n)::float::double, 4) as e, round((v[20] / n)::float::double, 4) as t, 26::bigint as dim from n")
+def r5(spark, sf_dir):
+    """Any encoder of lists of texts takes the place of a model; queries bear an instruction, vectors have length 1."""
+    v = S.encode(table(spark, sf_dir, "benchmark"), "text", letter_shares, "query: ")
+    at = lambda i: F.round(F.element_at("embedding", i).cast("double"), 4)
+    return v.select("item_id", at(5).alias("e"), at(20).alias("t"), F.size("embedding").cast("long").alias("dim"))
 
 
 @query("r12_web_rank", "select page_id, round(0.4 * case when contains(url, '.org') then 0.8 else 0.5 end + 0.6 * least(1.0, length(html) / 5000.0) + 0.05 * (page_id % 10) / 10.0, 6)::double as rank_score from pages")
@@ -164,9 +209,9 @@ def r16(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", route(F.col("text"), rules, 2, "local").alias("route"))
 
 
-@query("r17_evidence_blocks", f"with {_BM25}, r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from hits) select query_id, sha256(string_agg('[' || rank || '] ' || left(text, 200), chr(10) || '---' || chr(10) order by rank)) as evidence_sha256 from r join documents d on d.doc_id = r.id where rank <= 5 group by 1")
+@query("r17_evidence_blocks", f"with {_BM25}, r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from hits) select query_id, sha256(string_agg('[' || rank || '] ' || text, chr(10) || '---' || chr(10) order by rank)) as evidence_sha256 from r join documents d on d.doc_id = r.id where rank <= 5 group by 1")
 def r17(spark, sf_dir):
-    hits = S.ranked(_hits(spark, sf_dir), "score", 5).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("text")), "id")
+    hits = _top(spark, sf_dir, 5).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     return S.evidence_blocks(hits, "text").select("query_id", F.sha2("evidence", 256).alias("evidence_sha256"))
 
 
