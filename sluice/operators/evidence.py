@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +15,10 @@ SUPPORTED, PARTIAL, RELATED = 0.52, 0.18, 0.08
 ATTRIBUTES = (("DEADLINE", r"(?i)\b(?:deadline|until|expires?)\b"), ("TIME", r"(?i)\b(?:when|time|date)\b"), ("PRICE", r"(?i)\b(?:price|cost|fee)\b"), ("CONTACT", r"(?i)\b(?:contact|email|phone)\b"), ("PLACE", r"(?i)\b(?:where|place|address)\b"), ("STEPS", r"(?i)\b(?:how|steps?|process)\b"))
 
 
+#: Needles without a word between two others that are looked for in one pass.
+BARE = 500
+
+
 def points(df: DataFrame, id_col: str, text: Column, most: int = 5, least: int = 4) -> DataFrame:
     """(id, point_no, point): a query cut at commas and conjunctions; kept whole if a part is too short."""
     parts = F.filter(F.transform(F.split(text, r"[,;，；、]|\s(?:and|und|et|y)\s"), lambda s: F.trim(s)), lambda s: s != "")
@@ -41,9 +43,9 @@ def attribute_values(text: Column, values: dict[str, str]) -> Column:
     return F.create_map(*[x for name, p in values.items() for x in (F.lit(name), F.array_distinct(F.regexp_extract_all(text, F.lit(f"({p})"), 1)))])
 
 
-def best_spans(scored: DataFrame, by: list[str], k: int) -> DataFrame:
-    """The k spans of each point that score highest, ties to smaller ids."""
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+def best_spans(scored: DataFrame, by: list[str], k: int, ties: list[str]) -> DataFrame:
+    """The k spans of each point that score highest, ties in the order of the columns `ties`."""
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), *ties))).where(F.col("rank") <= k)
 
 
 def point_status(best: Column) -> Column:
@@ -69,18 +71,20 @@ def near(text: Column, a: str, b: str, within: int) -> Column:
     return text.rlike(f"(?i)(?:{a}){gap}(?:{b})|(?i)(?:{b}){gap}(?:{a})")
 
 
-def past_deadline(df: DataFrame, text_col: str, as_of: str, marker: str = r"deadline|until|before|截止") -> DataFrame:
-    """past_deadline: a date with a marker within 50 characters lies before `as_of`."""
-    mark, day = re.compile(marker, re.I), re.compile(r"(\d{4})-(\d{1,2})-(\d{1,2})")
-
-    def one(t: str) -> bool:
-        return any(mark.search(t[max(0, m.start() - 50) : m.end() + 50]) and "%04d-%02d-%02d" % tuple(map(int, m.groups())) < as_of for m in day.finditer(t or ""))
-
-    @F.pandas_udf("boolean")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(one)
+def past_deadline(df: DataFrame, text_col: str, as_of: str, marker: str = r"deadline|until|before|截止", within: int = 50) -> DataFrame:
+    """past_deadline: a date with a marker within 50 characters lies before `as_of`. Null texts have none.
 
-    return df.withColumn("past_deadline", run(F.col(text_col)))
+    Dates are told by where they stand, so windows about two of them may overlap; what is no day of the calendar counts as none.
+    """
+    day = r"\d{4}-\d{1,2}-\d{1,2}"
+    pieces = F.split(F.col(text_col), f"(?={day})(?<![0-9])")  # each but the first begins with a date
+    starts = F.aggregate(F.transform("_p", F.char_length), F.array(F.lit(1)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    near = lambda at, n: F.substring(F.col(text_col), F.greatest(F.lit(1), at - within), at + n + within - F.greatest(F.lit(1), at - within)).rlike(f"(?i){marker}")
+    found = F.transform("_d", lambda d: F.struct(F.try_to_date(d["day"], "yyyy-M-d").alias("day"), near(d["at"], F.char_length(d["day"])).alias("near")))
+    dates = F.filter(F.transform(F.arrays_zip("_p", F.slice("_s", 1, F.size("_p")).alias("_s")), lambda x: F.struct(F.regexp_extract(x["_p"], f"^({day})", 1).alias("day"), x["_s"].alias("at"))), lambda d: d["day"] != "")
+    past = F.exists(found, lambda d: d["near"] & (d["day"] < F.lit(as_of).cast("date")))
+    rows = df.withColumn("_p", pieces).withColumn("_s", starts).withColumn("_d", dates)
+    return rows.withColumn("past_deadline", F.coalesce(past, F.lit(False))).drop("_p", "_s", "_d")
 
 
 def four_states(conflict: Column, supported: Column, asked: Column, degraded: Column) -> Column:
@@ -101,6 +105,36 @@ def locate(df: DataFrame, text_col: str, needle_col: str) -> DataFrame:
     return df.withColumns({"start": F.when(at > 0, (at - 1).cast("long")), "end": F.when(at > 0, (at - 1 + F.char_length(needle_col)).cast("long")), "occurrences": times.cast("long")})
 
 
+def locate_all(docs: DataFrame, id_col: str, text_col: str, needles: DataFrame, needle_id: str, needle: str) -> DataFrame:
+    """What `locate` gives for every text that holds a needle. Texts don't move with their words: ids of candidates are found first, and texts fetched for these.
+
+    A needle's words that stand between two others are words of any text that holds it. A needle without such a word may begin or end inside a word; such ones
+    are looked for in every text, `BARE` to a pass. An empty needle is nowhere.
+    """
+    inner = F.regexp_extract_all(needle, F.lit(r"(?<=[^\p{L}\p{N}])([\p{L}\p{N}]+)(?=[^\p{L}\p{N}])"), 1)
+    asked = needles.where(F.char_length(needle) > 0).select(needle_id, needle, F.element_at(F.array_sort(F.concat(F.array(F.lit("")), inner), lambda a, b: F.char_length(b) - F.char_length(a)), 1).alias("_w"))
+    words = docs.select(id_col, F.explode(F.array_distinct(F.split(text_col, r"[^\p{L}\p{N}]+"))).alias("_w"))
+    pairs = words.join(asked.where("_w <> ''").select(needle_id, "_w"), "_w").select(id_col, needle_id).distinct()
+    found = pairs.join(docs.select(id_col, text_col), id_col).join(asked.select(needle_id, needle), needle_id).where(F.contains(text_col, needle))
+    bare = asked.where("_w = ''").select(needle_id, needle).collect()
+    for i in range(0, len(bare), BARE):
+        some = F.array(*[F.struct(F.lit(r[0]).alias(needle_id), F.lit(r[1]).alias(needle)) for r in bare[i : i + BARE]])
+        here = docs.select(id_col, text_col, F.explode(F.filter(some, lambda n: F.contains(text_col, n[needle]))).alias("n"))
+        found = found.unionByName(here.select(id_col, text_col, f"n.{needle_id}", f"n.{needle}"))
+    return locate(found, text_col, needle)
+
+
+def sentence_offsets(df: DataFrame, id_col: str, text_col: str, ends: str = r"[.!?\n]+") -> DataFrame:
+    """(id, start, end) of the sentences of whole texts, without the marks that end them; blank ones are left out."""
+    parts = F.split(F.col(text_col), f"(?<={ends[:-1]})(?!{ends[:-1]})")  # each with the marks at its end
+    rows = df.select(id_col, parts.alias("p")).select(id_col, "p", F.aggregate(F.transform("p", F.char_length), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n))).alias("s"))
+    rows = rows.select(id_col, F.explode(F.arrays_zip("p", F.slice("s", 1, F.size("p")).alias("s"))).alias("x"))
+    body = F.regexp_replace("x.p", f"{ends}$", "")
+    lead = F.char_length("x.p") - F.char_length(F.regexp_replace("x.p", r"^\s+", ""))
+    rows = rows.where(F.trim(body) != "").select(id_col, (F.col("x.s") + lead).cast("long").alias("start"), (F.col("x.s") + F.char_length(body)).cast("long").alias("end"))
+    return rows.where("end > start")
+
+
 def merge_adjacent(df: DataFrame, by: str, gap: int, longest: int) -> DataFrame:
     """(by, start, end, parts): neighbouring spans joined while the gap is small and the whole not too long; sequential within one chunk."""
 
@@ -117,10 +151,10 @@ def merge_adjacent(df: DataFrame, by: str, gap: int, longest: int) -> DataFrame:
     return df.groupBy(by).applyInPandas(run, f"{by} {df.schema[by].dataType.simpleString()}, start long, end long, parts long")
 
 
-def roles(df: DataFrame, unit: str, point: str, order: list[str]) -> DataFrame:
+def roles(df: DataFrame, unit: list[str], point: str, order: list[str]) -> DataFrame:
     """PRIMARY for a unit that is the first of any point, else SUPPORTING."""
     first = F.row_number().over(W.partitionBy(point).orderBy(*order)) == 1
-    return df.withColumn("_first", first).groupBy(unit).agg(F.when(F.bool_or("_first"), "PRIMARY").otherwise("SUPPORTING").alias("role"), F.count_distinct(point).alias("points"))
+    return df.withColumn("_first", first).groupBy(*unit).agg(F.when(F.bool_or("_first"), "PRIMARY").otherwise("SUPPORTING").alias("role"), F.count_distinct(point).alias("points"))
 
 
 def support_gate(decision: Column, mapped: Column, required: Column, blocked: Column) -> Column:
@@ -138,12 +172,12 @@ def claims(df: DataFrame, ids: list[str], text: Column, least: int = 8) -> DataF
     return rows.select(*ids, (F.col("i") + 1).cast("long").alias("claim_no"), "claim", first_rule([(n, F.col("claim").rlike(p)) for n, p in CLAIMS], "FACTUAL").alias("claim_type"))
 
 
-def verdicts(df: DataFrame, by: list[str], score: str, part: str, full: float = 0.6, some: float = 0.3, gain: float = 0.10) -> DataFrame:
+def verdicts(df: DataFrame, by: list[str], score: str, part: str, ties: list[str], full: float = 0.6, some: float = 0.3, gain: float = 0.10) -> DataFrame:
     """SUPPORTED, PARTIAL or UNSUPPORTED for each claim from its two best spans.
 
     `part` is an array of the claim's grams that a span has: a second span counts if the union covers `gain` more of the claim than the first alone.
     """
-    top = df.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(score), "id"))).where("_r <= 2")
+    top = df.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(score), *ties))).where("_r <= 2")
     rows = top.groupBy(*by).agg(F.max(score).alias("first"), F.size(F.array_distinct(F.flatten(F.collect_list(part)))).alias("u"), F.first("n_grams").alias("n"))
     union = F.round(F.col("u") / F.greatest(F.lit(1), F.col("n")), 6)
     label = first_rule([("SUPPORTED", F.col("first") >= full), ("PARTIAL", (F.col("first") >= some) | (union - F.col("first") >= gain))], "UNSUPPORTED")
@@ -161,15 +195,17 @@ def calibrate(df: DataFrame, score: str, truth: str, steps: int = 100) -> DataFr
 
 
 def required_points(df: DataFrame, key: str, sentence: str, score: str, most: int = 3, alike: float = 0.75) -> DataFrame:
-    """(key, point_no, sentence): the best sentences of each query that aren't alike one already kept; sequential within a query, on its best 50."""
+    """(key, point_no, sentence): the best sentences of each query that aren't alike one already kept; sequential within a query, over all its sentences, until `most` are kept."""
     import difflib
 
-    best = df.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(score), sentence))).where("_r <= 50")
+    best = df.groupBy(key, sentence).agg(F.max(score).alias(score))  # a sentence is like itself
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[str] = []
-        for s in pdf.sort_values("_r")[sentence]:
-            if len(kept) < most and all(difflib.SequenceMatcher(None, s, k, autojunk=False).ratio() < alike for k in kept):
+        for s in pdf.sort_values([score, sentence], ascending=[False, True])[sentence]:
+            if len(kept) == most:
+                break
+            if all(difflib.SequenceMatcher(None, s, k, autojunk=False).ratio() < alike for k in kept):
                 kept.append(s)
         return pd.DataFrame({key: [pdf[key].iloc[0]] * len(kept), "point_no": range(1, len(kept) + 1), "sentence": kept})
 
