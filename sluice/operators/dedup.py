@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import hashlib
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import jaccard as similarity
+from ..functions.text import ngrams, norm, trigram_set
 from .rounds import keep
 
 
@@ -90,55 +93,126 @@ def simhash_blake(df: DataFrame, id_col: str, text_col: str, words: int = 3) ->
     return df.select(id_col, run(F.col(text_col)).alias("simhash"))
 
 
-def bands(fp: Column, n: int, bits: int = 64) -> Column:
-    """n blocks of a fingerprint's bits, numbered; fingerprints that differ in fewer than n bits share one."""
-    width = -(-bits // n)
-    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftright(fp, min(bits - 1, i * width)).bitwiseAND(F.lit((1 << min(width, bits - i * width)) - 1 if i * width else (1 << width) - 1)).alias("value")) for i in range(n) if i * width < bits])
+def as_long(digest: Column) -> Column:
+    """16 hex digits as the long of the same bits."""
+    half = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+
+
+def blocks(fp: Column, most: int, spare: int = 3, bits: int = 64) -> Column:
+    """Keys of a fingerprint, one of which any other within `most` bits has too: all choices of `spare` of its `most` + `spare` blocks."""
+    n = most + spare
+    edges = [i * bits // n for i in range(n + 1)]
+    block = [F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:])]
+    key = lambda some: F.struct(F.lit(sum(1 << i for i in some)).alias("blocks"), F.array(*[block[i] for i in some]).alias("value"))
+    return F.array(*[key(some) for some in itertools.combinations(range(n), spare)])
 
 
 def near_pairs(df: DataFrame, id_col: str, fp_col: str, most: int) -> DataFrame:
-    """(a, b, distance) of distinct fingerprints within `most` bits: blocks give candidates, the distance decides. Each fingerprint stands for all its rows."""
-    fps = df.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("id"))
-    rows = fps.select("id", "fp", F.explode(bands(F.col("fp"), most + 1)).alias("b")).select("id", "fp", "b.band", "b.value")
+    """(a, b, distance) of distinct fingerprints within `most` bits. Each fingerprint stands for all its rows, by their least id; null ones take no part.
+
+    Two of them agree on three of `most` + 3 blocks of bits, so such choices of blocks give candidates, 24 bits of each at 5, and the distance decides.
+    """
+    fps = df.where(F.col(fp_col).isNotNull()).groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("id"))
+    rows = fps.select("id", "fp", F.explode(blocks(F.col("fp"), most)).alias("b")).select("id", "fp", "b.blocks", "b.value")
     x, y = rows.alias("x"), rows.alias("y")
     distance = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp")))
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.id") < F.col("y.id")) & (distance <= most))
+    pairs = x.join(y, (F.col("x.blocks") == F.col("y.blocks")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.id") < F.col("y.id")) & (distance <= most))
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), distance.cast("int").alias("distance")).distinct()
 
 
-def best_overlap(rows: DataFrame, row_id: str, pool: DataFrame, pool_id: str, least: float) -> DataFrame:
-    """(row, pool row, jaccard) of the most similar pool row, ties to the least id, where it reaches `least`; both sides bear an array `tokens` without repeats.
+def overlap_pairs(rows: DataFrame, row_id: str, pool: DataFrame, pool_id: str, least: float) -> DataFrame:
+    """(a, b, jaccard) of rows and pool rows whose `tokens`, arrays without repeats, have this Jaccard similarity or more; the pool is the smaller side.
 
-    Only pairs that share a token meet, and only on their `prefix`: of sets this similar, one of the rarer tokens must be shared.
+    Of each pool row only the tokens that are rare in the pool are indexed, as many as make sure that one of them is shared. Rows whose size fits no pool row go
+    first, and what is left of both sides is kept, so that texts are cut into tokens once. Empty sets are like none.
     """
     sizes = lambda d, i: d.select(F.col(i).alias("id"), "tokens", F.size("tokens").alias("n")).where("n > 0")
-    a, b = sizes(rows, row_id), sizes(pool, pool_id)
-    order = a.select(F.explode("tokens").alias("t")).unionByName(b.select(F.explode("tokens").alias("t"))).groupBy("t").agg(F.count("*").alias("df"))
-
-    def prefix(d: DataFrame) -> DataFrame:
-        t = d.select("id", "n", F.explode("tokens").alias("t")).join(order, "t")
-        rank = F.row_number().over(W.partitionBy("id").orderBy("df", "t"))
-        return t.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("id", "n", "t")
-
-    pa, pb = prefix(a).alias("p"), prefix(b).alias("q")
-    near = pa.join(pb, (F.col("p.t") == F.col("q.t")) & (F.col("p.n") >= F.col("q.n") * least) & (F.col("q.n") >= F.col("p.n") * least))
-    pairs = near.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
-    both = pairs.join(a.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(b.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    b = keep(sizes(pool, pool_id))
+    lo, hi = b.agg(F.min("n"), F.max("n")).first()
+    a = keep(sizes(rows, row_id).where(F.col("n").between((lo or 0) * least - 1e-9, (hi or 0) / least + 1e-9)))
+    held = b.select("id", "n", F.explode("tokens").alias("t"))
+    held = held.join(held.groupBy("t").agg(F.count("*").alias("df")), "t")
+    rank = F.row_number().over(W.partitionBy("id").orderBy("df", "t"))
+    index = held.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(F.col("id").alias("b"), F.col("n").alias("bn"), "t")
+    near = a.select(F.col("id").alias("a"), "n", F.explode("tokens").alias("t")).join(index, "t").where((F.col("n") >= F.col("bn") * least - 1e-9) & (F.col("bn") >= F.col("n") * least - 1e-9))
+    both = near.select("a", "b").distinct().join(a.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(b.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
-    both = both.select("a", "b", F.round(shared / (F.size("ta") + F.size("tb") - shared), 6).alias("jaccard")).where(F.col("jaccard") >= least)
-    return both.groupBy("a").agg(F.max_by(F.struct("b", "jaccard"), F.struct("jaccard", (-F.col("b")).alias("o"))).alias("m")).select(F.col("a").alias(row_id), F.col("m.b").alias("match_id"), F.col("m.jaccard").alias("jaccard"))
+    return both.select("a", "b", F.round(shared / (F.size("ta") + F.size("tb") - shared), 6).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
-def block_ratio(df: DataFrame, a: str, b: str, name: str = "ratio") -> DataFrame:
-    """The matching-blocks ratio of two texts, after candidates were found by other means."""
+def best_overlap(rows: DataFrame, row_id: str, pool: DataFrame, pool_id: str, least: float) -> DataFrame:
+    """(row, match_id, jaccard): of `overlap_pairs`, the most similar pool row of each row, ties to the least id."""
+    pairs = overlap_pairs(rows, row_id, pool, pool_id, least)
+    return pairs.groupBy("a").agg(F.max_by(F.struct("b", "jaccard"), F.struct("jaccard", (-F.col("b")).alias("o"))).alias("m")).select(F.col("a").alias(row_id), F.col("m.b").alias("match_id"), F.col("m.jaccard").alias("jaccard"))
+
+
+def ratio_pairs(rows: DataFrame, row_id: str, pool: DataFrame, pool_id: str, text_col: str, least: float) -> DataFrame:
+    """(a, b, ratio) of texts whose matching-blocks ratio is `least`, over two thirds, or more; ids that are equal don't count.
+
+    Texts of S letters together with this ratio have `least` / 2 * S letters in matching blocks, and between the blocks (1 - `least`) * S at most, so they share
+    (1.5 * `least` - 1) * S - 1 pairs of letters, repeats told apart; and the shorter has least / (2 - least) of the longer's letters. Rare pairs of letters
+    give candidates by that bound, lengths and the letters as such cut them down, and matching blocks decide. Nulls take no part.
+    """
+
+    def grams(d: DataFrame, i: str) -> DataFrame:
+        d = d.where(F.char_length(text_col) > 0).select(F.col(i).alias("id"), F.char_length(text_col).alias("n"), F.explode(ngrams(F.concat(F.lit("\u0002"), text_col), 2)).alias("g"))
+        d = d.groupBy("id", "n", "g").agg(F.count("*").alias("k"))  # the mark at the start gives a text of one letter a pair too
+        return d.select("id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("k").cast("int")), lambda k: F.concat("g", k.cast("string")))).alias("t"))
+
+    b = keep(grams(pool, pool_id))
+    lo, hi = b.agg(F.min("n"), F.max("n")).first()
+    part = least / (2 - least)
+    a = grams(rows.where(F.char_length(text_col).between((lo or 0) * part - 1e-9, (hi or 0) / part + 1e-9)), row_id)
+    need = F.greatest(F.lit(1), F.ceil((1.5 * least - 1) * F.col("n") * 2 / (2 - least) - 1 - 1e-9))
+    counts = b.groupBy("t").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(W.partitionBy("id").orderBy("df", "t"))
+    index = b.join(counts, "t").withColumn("r", rank).where(F.col("r") <= F.col("n") - need + 1).select(F.col("id").alias("b"), F.col("n").alias("bn"), "t")
+    met = a.join(index, "t").where((F.col("id") != F.col("b")) & (F.col("n") >= F.col("bn") * part - 1e-9) & (F.col("bn") >= F.col("n") * part - 1e-9))
+    met = met.select(F.col("id").alias("a"), "b").distinct()
+    texts = lambda d, i, name: d.select(F.col(i).alias(name), F.col(text_col).alias(f"_{name}"))
+    return block_ratio(met.join(texts(rows, row_id, "a"), "a").join(texts(pool, pool_id, "b"), "b"), "_a", "_b", "ratio", least).where(F.col("ratio") >= least).select("a", "b", "ratio")
+
+
+def block_ratio(df: DataFrame, a: str, b: str, name: str = "ratio", least: float = 0.0) -> DataFrame:
+    """The matching-blocks ratio of two texts, after candidates were found by other means; 0 where bounds show that it is less than `least`."""
+
+    def one(p: str, q: str) -> float:
+        m = difflib.SequenceMatcher(None, p, q, autojunk=False)
+        return 0.0 if min(m.real_quick_ratio(), m.quick_ratio()) < least - 1e-9 else round(m.ratio(), 6)
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([round(difflib.SequenceMatcher(None, p or "", q or "", autojunk=False).ratio(), 6) for p, q in zip(x, y)], dtype=float)
+        return pd.Series([one(p or "", q or "") for p, q in zip(x, y)], dtype=float)
 
     return df.withColumn(name, run(F.col(a), F.col(b)))
 
 
+def contamination(items: DataFrame, item_id: str, docs: DataFrame, doc_id: str, text_col: str, ratio: float, jaccard: float) -> DataFrame:
+    """(item, exact, normalised, match_id, ratio, jaccard, near, contaminated): whether each item stands in the documents.
+
+    match_id is the document with the greatest (ratio, jaccard) of those that reach either bound, ties to the least id; null, with zeros, where there is none. Null texts match nothing.
+    """
+    flag = lambda k: F.coalesce(F.col(k), F.lit(False)).alias(k)
+    keyed = lambda d, i: d.select(F.col(i).alias("id"), text_col, F.sha2(text_col, 256).alias("e"), F.sha2(norm(F.col(text_col)), 256).alias("m"))
+    a, b = keyed(items, item_id), keyed(docs, doc_id)
+    out = a.join(b.select("e").distinct().withColumn("exact", F.lit(True)), "e", "left").join(b.select("m").distinct().withColumn("normalised", F.lit(True)), "m", "left")
+    grams = lambda d, i: d.where(F.col(text_col).isNotNull()).select(F.col(i).alias("id"), trigram_set(F.col(text_col)).alias("tokens"))
+    like = overlap_pairs(grams(docs, doc_id), "id", grams(items, item_id), "id", jaccard).select(F.col("b").alias("item"), F.col("a").alias("doc"))
+    # ids of the two sides are of different kinds, and an equal one means nothing
+    other = docs.select(F.concat(F.lit("d"), F.col(doc_id).cast("string")).alias("k"), text_col)
+    own = items.select(F.concat(F.lit("i"), F.col(item_id).cast("string")).alias("k"), text_col)
+    alike = ratio_pairs(other, "k", own, "k", text_col, ratio)
+    plain = lambda c, d, i: F.substring(c, F.lit(2), F.char_length(c)).cast(d.schema[i].dataType)
+    met = like.unionByName(alike.select(plain(F.col("b"), items, item_id).alias("item"), plain(F.col("a"), docs, doc_id).alias("doc"))).distinct()
+    pairs = met.join(items.select(F.col(item_id).alias("item"), F.col(text_col).alias("_p")), "item").join(docs.select(F.col(doc_id).alias("doc"), F.col(text_col).alias("_q")), "doc")
+    pairs = block_ratio(pairs, "_p", "_q").withColumn("jaccard", F.round(similarity(trigram_set(F.col("_p")), trigram_set(F.col("_q"))), 6))
+    best = pairs.groupBy("item").agg(F.max_by(F.struct("doc", "ratio", "jaccard"), F.struct("ratio", "jaccard", (-F.col("doc")).alias("o"))).alias("b"))
+    out = out.join(best, out["id"] == best["item"], "left").select(F.col("id").alias(item_id), flag("exact"), flag("normalised"), F.col("b.doc").alias("match_id"), F.coalesce("b.ratio", F.lit(0.0)).alias("ratio"), F.coalesce("b.jaccard", F.lit(0.0)).alias("jaccard"))
+    near = F.col("match_id").isNotNull()
+    return out.select("*", near.alias("near"), (F.col("exact") | F.col("normalised") | near).alias("contaminated"))
+
+
 def superseded(df: DataFrame, key: str, day: str, id_col: str) -> DataFrame:
     """superseded_by: of a key with two dated rows or more, the newest; older rows bear it, and undated ones too, as they rank below any date."""
     w = W.partitionBy(key)
