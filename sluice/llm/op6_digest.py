@@ -1,7 +1,7 @@
 """Canonical exact digests, with DataFrame functions only.
 
-A text is normalised (NFKC), case-folded and its white space folded; two XXH64 of the result with unlike seeds make a
-fingerprint of 128 bits. Texts group by fingerprint and, inside an equal bucket, by their canonical bytes.
+A text is normalised (NFKC), case-folded (Unicode's full folding, so ß is ss) and its white space folded; two XXH64 of the result with unlike seeds
+make a fingerprint of 128 bits. Texts group by fingerprint and, inside an equal bucket, by their canonical bytes.
 """
 
 from __future__ import annotations
@@ -14,15 +14,16 @@ from .common import cut, table
 
 #: White space of any script, as Java's expressions name it.
 BLANK = r"[\s\p{Z}\x85]+"
-#: At most so many ranges of ids stand in one plan, however large the table.
-MOST_RANGES = 65_536
+#: At most so many ranges of ids, however large the table: a number and a key of each are broadcast.
+MOST_RANGES = 1 << 20
 
 
 def canonical(text: Column) -> Column:
     """NFKC, case and white space folded and trimmed; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
     nfkc = lambda x: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
-    folded = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(nfkc(F.lower(nfkc(text))))
+    fold = lambda x: F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), x, F.lit(True))
+    folded = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(nfkc(fold(nfkc(text))))
     return F.trim(F.regexp_replace(folded, BLANK, " "))
 
 
@@ -68,12 +69,14 @@ def _range_of(x: Column, bounds: list[int], per: int) -> Column:
     return find(0, len(bounds) - 1).cast("int")
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str, carry: list[str], rows_per_range: int = 500) -> DataFrame:
-    """id, text, `carry` and, of the row that follows in the order of ids (after the last: the first), next_text and next_<c> of each carried column.
+def with_next(df: DataFrame, id_col: str, text_col: str, carry: list[str], derive: dict[str, Column] | None = None, rows_per_range: int = 500) -> DataFrame:
+    """id, text, `carry`, `derive` (columns made of `text`) and, of the row that follows in the order of ids (after the last: the first), next_text and next_<c> of each.
 
     Ids are cut into ranges, so texts move once and no task holds more than a range; only the first row of each range, of which there are
-    `MOST_RANGES` at most, is looked up apart. Null ids come first; rows of one id follow the order of their texts.
+    `MOST_RANGES` at most, is looked up apart. What is derived is computed once for a row, where it has arrived, and for those first rows.
+    Null ids come first; rows of one id follow the order of their texts. Null texts count as empty. An empty table gives no rows.
     """
+    derive, carry = derive or {}, list(carry)
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 62)))
     rows = df.select(key.alias("key"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *carry)
     n, lo, hi, cuts = df.select(key.alias("key")).agg(F.count("*"), F.min("key"), F.max("key"), F.percentile_approx("key", [i / 64 for i in range(65)], 1000)).first()
@@ -83,21 +86,29 @@ def with_next(df: DataFrame, id_col: str, text_col: str, carry: list[str], rows_
     rows = rows.withColumn("range", _range_of(F.col("key"), bounds, per))
     order = [F.col("key"), F.col("text")]
     nearest = W.partitionBy("range").orderBy(*order)
-    ahead = rows.select("*", F.lead(F.struct("text", *carry)).over(nearest).alias("ahead"))
+    # the window sorts by itself; the columns between its exchange and the lead are made where the row lies
+    placed = rows.repartition("range").withColumns(derive) if derive else rows
+    ahead = placed.select("*", F.lead(F.struct("text", *carry, *derive)).over(nearest).alias("ahead"))
     # of each range, where the first row of the one that follows lies; a range has a row here, so there are few
     heads = rows.groupBy("range").agg(F.min("key").alias("key"))
     heads = heads.select(F.col("range").alias("at"), "key", F.lag("range").over(W.orderBy("range")).alias("before"), F.max("range").over(W.partitionBy()).alias("last"))
     heads = F.broadcast(heads.select("at", "key", F.coalesce("before", "last").alias("before")))
     first = rows.join(heads, (rows["range"] == heads["at"]) & (rows["key"] == heads["key"])).groupBy("before").agg(F.min(F.struct("text", *carry)).alias("head"))
+    first = first.select("before", "head.*").withColumns(derive).select("before", F.struct("text", *carry, *derive).alias("head"))
     out = ahead.join(first, ahead["range"] == first["before"], "left").withColumn("ahead", F.coalesce("ahead", "head"))
+    carry += derive
     return out.select("id", "text", *carry, F.col("ahead.text").alias("next_text"), *[F.col(f"ahead.{c}").alias(f"next_{c}") for c in carry])
 
 
 def op6_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of the whole `documents` and of their edited texts, and the group of equal canonical texts. No SQL: DuckDB has no such folding and no XXH64 of Spark's; tests
+    compare it with Python's. Null texts are empty; repeated rows follow each other; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     groups = digest_groups(docs, "doc_id", "text")
+    collided = bool(groups.where("canon is not null").take(1))
     a, b = halves(canonical(F.col("text")))
-    rows = with_next(docs.withColumns({"fp_a": a, "fp_b": b}), "doc_id", "text", ["fp_a", "fp_b"])
+    rows = with_next(docs, "doc_id", "text", [], {"fp_a": a, "fp_b": b})
     n = F.char_length("text")
     m = F.floor(n / 4).cast("int")
     rows = rows.select("*", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - m), F.substring("next_text", F.lit(1), m)).alias("edited"))
@@ -106,7 +117,11 @@ def op6_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = lambda x, y, other: F.when((F.col("fp_a") == F.col(x)) & (F.col("fp_b") == F.col(y)), (canonical(F.col("text")) == canonical(F.col(other))).cast("double")).otherwise(F.lit(0.0))
     rows = rows.select(
         F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), hex128(F.col("fp_a"), F.col("fp_b")).alias("fingerprint"), hex128(F.col("ea"), F.col("eb")).alias("edited_fingerprint"),
-        same("ea", "eb", "edited").alias("near_edited"), same("next_fp_a", "next_fp_b", "next_text").alias("near_next"), "fp_a", "fp_b",
+        same("ea", "eb", "edited").alias("near_edited"), same("next_fp_a", "next_fp_b", "next_text").alias("near_next"), "fp_a", "fp_b", *([canonical(F.col("text")).alias("own")] if collided else []),
     )
-    known = groups.where("canon is null").select("fp_a", "fp_b", "group_id", "copies")
-    return rows.join(known, ["fp_a", "fp_b"], "left").drop("fp_a", "fp_b")
+    if not collided:
+        return rows.join(groups.drop("canon"), ["fp_a", "fp_b"], "left").drop("fp_a", "fp_b")
+    # two canonical texts share a fingerprint: such groups are told apart by their bytes
+    groups = groups.select(F.col("fp_a").alias("ga"), F.col("fp_b").alias("gb"), "group_id", "copies", "canon")
+    met = (F.col("fp_a") == F.col("ga")) & (F.col("fp_b") == F.col("gb")) & (F.col("canon").isNull() | (F.col("canon") == F.col("own")))
+    return rows.join(groups, met, "left").drop("fp_a", "fp_b", "own", "ga", "gb", "canon")
