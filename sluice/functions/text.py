@@ -31,8 +31,8 @@ def normalize_document(x: Column) -> Column:
 
 
 def clean_text(x: Column) -> Column:
-    """Markdown links become their labels, tags and runs of white space one space."""
-    x = F.regexp_replace(x, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    """NFKC; markdown links become their labels, tags and runs of white space one space."""
+    x = F.regexp_replace(nfkc(x), r"\[([^\]]*)\]\([^)]*\)", "$1")
     x = F.regexp_replace(x, r"<[^>]+>", " ")
     return strip(F.regexp_replace(x, r"\s+", " "))
 

@@ -11,7 +11,7 @@ from .pages import first_rule, hrefs
 
 #: What `sources` derives from documents, as SQL.
 META_SQL = r"""
-select 'S' || doc_id as source_id, doc_id, trim(regexp_replace(left(text, 60), '\s+', ' ', 'g')) as title, text, 'https://' || source || '.example.org/info/' || doc_id as url, source as department,
+select 'S' || doc_id as source_id, doc_id, trim(regexp_replace(regexp_extract(text, '^\s*([^.!?\n]*)', 1), '\s+', ' ', 'g')) as title, text, 'https://' || source || '.example.org/info/' || doc_id as url, source as department,
  date '2024-01-01' + (doc_id % 700)::int as publish_date, case when doc_id % 5 <> 0 then date '2024-02-01' + (doc_id % 600)::int end as effective_date, case when doc_id % 3 = 0 then date '2024-06-01' + (doc_id % 500)::int end as expiry_date,
  case when source in ('src0', 'src1', 'src2') then 'official_internal' when source in ('src3', 'src4', 'src5', 'src6') then 'official' when doc_id % 11 = 0 then 'unverified' else 'authoritative_external' end as authority_level,
  list_filter([case when contains(lower(text), 'license') then 'license' end, case when contains(lower(text), 'token') then 'secrets' end, case when lang <> 'en' then 'foreign' end, case when n_chars > 5000 then 'long' end], lambda t: t is not null) as topics,
@@ -20,11 +20,11 @@ select 'S' || doc_id as source_id, doc_id, trim(regexp_replace(left(text, 60), '
 
 
 def sources(docs: DataFrame) -> DataFrame:
-    """Source metadata of documents: departments, dates, authority, topics, kinds and audiences by rule."""
+    """Source metadata for the driver's documents, which have none: a title (the first sentence), and dates, standing, topics, kinds and audiences by rule. What rules infer from titles and texts is below."""
     d, low = F.col("doc_id"), F.lower("text")
     day = lambda start, n: F.date_add(F.lit(start).cast("date"), (d % n).cast("int"))
     return docs.select(
-        F.concat(F.lit("S"), d).alias("source_id"), "doc_id", F.trim(F.regexp_replace(F.substring("text", 1, 60), r"\s+", " ")).alias("title"), "text", F.concat(F.lit("https://"), "source", F.lit(".example.org/info/"), d).alias("url"), F.col("source").alias("department"),
+        F.concat(F.lit("S"), d).alias("source_id"), "doc_id", F.trim(F.regexp_replace(F.regexp_extract("text", r"^\s*([^.!?\n]*)", 1), r"\s+", " ")).alias("title"), "text", F.concat(F.lit("https://"), "source", F.lit(".example.org/info/"), d).alias("url"), F.col("source").alias("department"),
         day("2024-01-01", 700).alias("publish_date"), F.when(d % 5 != 0, day("2024-02-01", 600)).alias("effective_date"), F.when(d % 3 == 0, day("2024-06-01", 500)).alias("expiry_date"),
         first_rule([("official_internal", F.col("source").isin("src0", "src1", "src2")), ("official", F.col("source").isin("src3", "src4", "src5", "src6")), ("unverified", d % 11 == 0)], "authoritative_external").alias("authority_level"),
         labels([("license", low.contains("license")), ("secrets", low.contains("token")), ("foreign", F.col("lang") != "en"), ("long", F.col("n_chars") > 5000)]).alias("topics"),

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import metadata as M
 from ..sources import readers as R
+from ..operators.rounds import shared_folder
 from ..sources import sinks as K
 from .registry import query, table
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="files-")
-    return f"{base}/files-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 @query("s2_csv_round_trip", "select doc_id, lang, source, sha256(text) as text_sha256 from documents")
@@ -25,10 +24,10 @@ def s2(spark, sf_dir):
     return R.csv(spark, path, "doc_id long, lang string, source string, text string").select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("s4_markdown_round_trip", f"select doc_id, department, sha256(regexp_replace(regexp_replace(replace(left(text, 500), chr(10) || '---', ''), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) as body_sha256 from ({M.META_SQL})")
+@query("s4_markdown_round_trip", f"select doc_id, department, sha256(regexp_replace(regexp_replace(replace(text, chr(10) || '---', ''), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) as body_sha256 from ({M.META_SQL})")
 def s4(spark, sf_dir):
     path = _folder(spark)
-    body = F.trim(F.regexp_replace(F.replace(F.substring("text", 1, 500), F.lit("\n---"), F.lit("")), r"\s+", " "))
+    body = F.trim(F.regexp_replace(F.replace("text", F.lit("\n---"), F.lit("")), r"\s+", " "))
     page = F.concat(F.lit("---\ndoc_id: "), F.col("doc_id"), F.lit("\ndepartment: "), F.col("department"), F.lit("\n---\n"), body, F.lit("\n\n---\n\nSource: "), F.col("url"), F.lit("\n"))
     # one file of many documents, parted by a mark, and read as such
     M.sources(table(spark, sf_dir, "documents")).select(page.alias("value")).write.option("lineSep", "\x1e").text(path)

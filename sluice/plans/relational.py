@@ -55,10 +55,10 @@ def k1(spark, sf_dir):
     return rows.select("doc_id", F.sha2(K.canonical_json(rows), 256).alias("row_sha256"))
 
 
-@query("k6_markdown_card", f"select source_id, sha256('# ' || title || chr(10) || chr(10) || '- department: ' || department || chr(10) || '- published: ' || publish_date || chr(10) || chr(10) || left(text, 300)) as card_sha256 from ({M.META_SQL})")
+@query("k6_markdown_card", f"select source_id, sha256('# ' || title || chr(10) || chr(10) || '- department: ' || department || chr(10) || '- published: ' || publish_date || chr(10) || chr(10) || text) as card_sha256 from ({M.META_SQL})")
 def k6(spark, sf_dir):
     m = M.sources(table(spark, sf_dir, "documents"))
-    card = K.markdown_card(F.col("title"), [("department", F.col("department")), ("published", F.col("publish_date"))], F.substring("text", 1, 300))
+    card = K.markdown_card(F.col("title"), [("department", F.col("department")), ("published", F.col("publish_date"))], F.col("text"))
     return m.select("source_id", F.sha2(card, 256).alias("card_sha256"))
 
 
@@ -122,9 +122,9 @@ def x1(spark, sf_dir):
     return one(a.intersect(b), "both").unionByName(one(a.subtract(b), "left")).unionByName(one(b.subtract(a), "right"))
 
 
-@query("x3_ordered_distinct", "select doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(ts), lambda t: {'i': list_position(ts, t), 't': t})), lambda s: s.t), ' ') as words from (select doc_id, regexp_extract_all(lower(left(text, 200)), '[a-z]+') as ts from documents)")
+@query("x3_ordered_distinct", "select doc_id, sha256(array_to_string(list_transform(list_sort(list_transform(list_distinct(ts), lambda t: {'i': list_position(ts, t), 't': t})), lambda s: s.t), ' ')) as words_sha256 from (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as ts from documents)")
 def x3(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_distinct(F.regexp_extract_all(F.lower(F.substring("text", 1, 200)), F.lit("([a-z]+)"), 1)), " ").alias("words"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.array_join(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)), " "), 256).alias("words_sha256"))
 
 
 @query("q1_pricing_summary", "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_disc_price, round(avg(l_discount), 6) as avg_disc, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2")

@@ -92,7 +92,7 @@ def t12(spark, sf_dir):
 def t13(spark, sf_dir):
     """Canonical text with the source offset of each of its characters; inherently sequential, so no SQL."""
     out = C.canonical_with_offsets(table(spark, sf_dir, "pages"), "page_id", "html")
-    return out.select("page_id", F.char_length("canonical").alias("n_chars"), F.size("offsets").alias("n_offsets"), F.sha2("canonical", 256).alias("canonical_sha256"))
+    return out.select("page_id", F.char_length("canonical").alias("n_chars"), F.size("offsets").alias("n_offsets"), F.sha2("canonical", 256).alias("canonical_sha256"), F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("t14_visible_line", r"""
@@ -112,11 +112,16 @@ def t15(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.sha2(F.array_join(s, "|"), 256).alias("sentences_sha256"))
 
 
-@query("t16_chinese_numbers")
+@query("t16_chinese_numbers", "select event_id, year(ts)::double as year, month(ts)::double as month, (floor(value) % 10 * 10000 + 100 * (1 + event_id % 9) + 5)::double as amount from events")
 def t16(spark, sf_dir):
-    """Numbers written in Chinese numerals; the driver's tables hold none, so fixtures test it."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("第"), F.when(F.col("item_id") % 2 == 0, "三十二").otherwise("一百零五"), F.lit("条")).alias("text"))
-    return rows.select("item_id", C.chinese_number("text").alias("value"))
+    """Years in positional numerals, months and amounts with units, written from the events' own numbers and read back; fixtures test more forms."""
+    digit = lambda n: F.translate(n.cast("int").cast("string"), "0123456789", "〇一二三四五六七八九")
+    n = F.month("ts")
+    month = F.concat(F.when(n >= 10, "十").otherwise(""), F.when(n % 10 > 0, digit(n % 10)).otherwise(""))
+    wan = F.floor("value") % 10
+    amount = F.concat(F.when(wan > 0, F.concat(digit(wan), F.lit("万零"))).otherwise(""), digit(1 + F.col("event_id") % 9), F.lit("百零五"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("于"), digit(F.year("ts")), F.lit("年")).alias("y"), F.concat(month, F.lit("月")).alias("m"), F.concat(F.lit("共"), amount, F.lit("元")).alias("a"))
+    return rows.select("event_id", C.chinese_number("y").alias("year"), C.chinese_number("m").alias("month"), C.chinese_number("a").alias("amount"))
 
 
 @query("t17_excerpt", r"select doc_id, sha256(case when length(text) <= 500 then text else left(text, 220) || chr(10) || '...' || chr(10) || right(text, 280) end) as excerpt_sha256 from documents")
@@ -124,15 +129,15 @@ def t17(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.sha2(T.excerpt(F.col("text"), 220, 280), 256).alias("excerpt_sha256"))
 
 
-@query("t18_template_key", r"select regexp_replace(lower(regexp_replace(regexp_replace(left(text, 40), '[0-9]+(?:\.[0-9]+)?', '<N>', 'g'), '\s+', ' ', 'g')), '^\s+|\s+$', '', 'g') as template, count(*) as n from documents group by 1")
+@query("t18_template_key", r"select sha256(regexp_replace(lower(regexp_replace(regexp_replace(text, '[0-9]+(?:\.[0-9]+)?', '<N>', 'g'), '\s+', ' ', 'g')), '^\s+|\s+$', '', 'g')) as template_sha256, count(*) as n from documents group by 1")
 def t18(spark, sf_dir):
-    return _docs(spark, sf_dir).groupBy(T.template_key(F.substring("text", 1, 40)).alias("template")).agg(F.count("*").alias("n"))
+    return _docs(spark, sf_dir).groupBy(F.sha2(T.template_key(F.col("text")), 256).alias("template_sha256")).agg(F.count("*").alias("n"))
 
 
 @query("t19_policy_key", r"""
-select doc_id, substring(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(left(text, 120), '(?:19|20)\d{2}[-/.年]\d{1,2}(?:[-/.月]\d{1,2}日?)?|(?:19|20)\d{2}年?', '', 'g'), '[(（\[【][^)）\]】]*(?:版|修订|version|rev|v\d)[^)）\]】]*[)）\]】]', '', 'g'), '第?\d+号|["''“”‘’《》]', '', 'g'), '[^\p{L}\p{N}_]+', '', 'g')), 1, 80) as policy_key from documents""")
+select doc_id, substring(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?:19|20)\d{2}[-/.年]\d{1,2}(?:[-/.月]\d{1,2}日?)?|(?:19|20)\d{2}年?', '', 'g'), '[(（\[【][^)）\]】]*(?:版|修订|version|rev|v\d)[^)）\]】]*[)）\]】]', '', 'g'), '第?\d+号|["''“”‘’《》]', '', 'g'), '[^\p{L}\p{N}_]+', '', 'g')), 1, 80) as policy_key from documents""")
 def t19(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.policy_key(F.substring("text", 1, 120)).alias("policy_key"))
+    return _docs(spark, sf_dir).select("doc_id", T.policy_key(F.col("text")).alias("policy_key"))
 
 
 @query("c1_boundary_chunks")
