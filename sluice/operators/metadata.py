@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexicons import AUDIENCES, CONTENT_KINDS, EVERYONE
+from ..functions.lexicons import AUDIENCES, CONTENT_KINDS, EVERYONE, TITLE_DEPARTMENTS, TOPICS
 from ..functions.urls import host
 from .pages import first_rule, hrefs
 
@@ -71,11 +74,67 @@ def source_tier(df: DataFrame, url_col: str, tiers: list[tuple[str, str, float]]
     return df.withColumns({"tier": tier.otherwise(default[0]), "authority": score.otherwise(default[1])})
 
 
-def inherit(child: DataFrame, parent: DataFrame, key: str, parent_id: str, fields: list[str], defaults: dict[str, str]) -> DataFrame:
-    """Fields that a row lacks come from its parent, else from the defaults."""
-    p = parent.select(F.col(parent_id).alias("_pid"), *[F.col(f).alias(f"_p_{f}") for f in fields])
-    out = child.join(p, child[key] == F.col("_pid"), "left")
-    return out.withColumns({f: F.coalesce(f, f"_p_{f}", F.lit(defaults.get(f))) for f in fields}).drop("_pid", *[f"_p_{f}" for f in fields])
+def inherit(child: DataFrame, parents: DataFrame, links: list[tuple[str, str]], fields: list[str], defaults: dict[str, str], seeds: DataFrame | None = None, seed_key: str | None = None) -> DataFrame:
+    """Fields of a row come from its parent, else they are what the row has itself, else a default.
+
+    links: pairs of (column of the row, column of the parents), tried in order: by id first, then by URL. A row that stands in `seeds`, which name it by
+    `seed_key`, takes their fields, nulls too, and nothing from a parent. Parents with equal keys count by their least values.
+    """
+    out, sources = child, {f: [] for f in fields}
+    for i, (own, theirs) in enumerate(links):
+        p = parents.where(F.col(theirs).isNotNull()).groupBy(F.col(theirs).alias(f"_k{i}")).agg(*[F.min(f).alias(f"_p{i}_{f}") for f in fields])
+        out = out.join(p, out[own] == F.col(f"_k{i}"), "left")
+        for f in fields:
+            sources[f].append(F.col(f"_p{i}_{f}"))
+    held = F.lit(False)
+    if seeds is not None:
+        s = seeds.groupBy(F.col(seed_key).alias("_s")).agg(*[F.min(f).alias(f"_s_{f}") for f in fields])
+        out = out.join(s, out[seed_key] == F.col("_s"), "left")
+        held = F.col("_s").isNotNull()
+    value = lambda f: F.coalesce(*sources[f], F.col(f))
+    out = out.withColumns({f: F.coalesce(F.when(held, F.col(f"_s_{f}")).otherwise(value(f)) if seeds is not None else value(f), F.lit(defaults.get(f))) for f in fields})
+    return out.select(*child.columns)
+
+
+def html_metadata(html: Column) -> Column:
+    """(title, published, updated, department) of a page: by its meta tags, whatever the order of their attributes; the title else by h1 and title, the date else by a label at the head."""
+    attr = lambda m, name: F.regexp_extract(m, rf"(?is)\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+    tags = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), 1), lambda m: F.struct(F.lower(F.coalesce(F.nullif(attr(m, "property"), F.lit("")), attr(m, "name"))).alias("k"), F.trim(attr(m, "content")).alias("v")))
+    tags = F.filter(tags, lambda t: t["v"] != "")
+    of = lambda *names: F.filter(tags, lambda t: t["k"].isin(*names))
+    tidy = lambda x: F.nullif(F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), r"\s+", " ")), F.lit(""))
+    day = r"((?:19|20)\d{2})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})"
+    iso = lambda x, p=day: F.when(x.rlike(p), F.format_string("%04d-%02d-%02d", *[F.regexp_extract(x, p, i).cast("int") for i in (1, 2, 3)]))
+    last = lambda *names: iso(F.try_element_at(of(*names), F.lit(-1))["v"])
+    head = F.substring(F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " "), 1, 1500)
+    title = F.coalesce(F.try_element_at(of("og:title"), F.lit(1))["v"], F.try_element_at(of("articletitle"), F.lit(1))["v"], tidy(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)), tidy(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1)))
+    named = [F.try_element_at(F.filter(of(k), lambda t: F.char_length(t["v"]).between(2, 50)), F.lit(1))["v"] for k in ("author", "source", "department")]
+    published = F.coalesce(last("article:published_time", "pubdate", "publishdate"), iso(head, r"(?:发布时间|发布日期|发布于|时间)\s*[：:]?\s*" + day))
+    return F.struct(F.substring(title, 1, 300).alias("title"), published.alias("published"), last("article:modified_time", "last-modified").alias("updated"), F.coalesce(*named).alias("department"))
+
+
+def within(host_: Column, domain: str) -> Column:
+    return (host_ == domain) | host_.endswith("." + domain)
+
+
+def department(url: Column, title: Column, hosts: dict[str, str], markers=TITLE_DEPARTMENTS, default: str = "相关部门") -> Column:
+    """By the host, the first domain that holds; else by the first marker in the title."""
+    return first_rule([*[(name, within(host(url), d)) for d, name in hosts.items()], *[(name, F.contains(title, F.lit(m))) for m, name in markers]], default)
+
+
+def authority(url: Column, restricted: Column, own: tuple[str, ...], trusted: tuple[str, ...] = ("edu.cn", "gov.cn")) -> Column:
+    """official_internal where access is restricted, official on one's own domains, authoritative_external below trusted ones, else unverified."""
+    h = host(url)
+    any_ = lambda cs: reduce(lambda a, b: a | b, cs, F.lit(False))
+    return first_rule([("official_internal", restricted), ("official", any_([within(h, d) for d in own])), ("authoritative_external", any_([h.endswith("." + d) for d in trusted]))], "unverified")
+
+
+def topics(category: Column, title: Column, text: Column, groups: dict[str, tuple[str, ...]] = TOPICS, of_category: dict[str, str] | None = None, default: str = "学生事务", head: int = 3000) -> Column:
+    """What title, category and body say, in this order and each topic once. The body, of which the first `head` characters count by the rule itself, never gives the first topic before the others."""
+    says = lambda x: labels([(t, F.lower(x).rlike("|".join(map(re.escape, words)))) for t, words in groups.items()])
+    mapped = labels([(t, category == c) for c, t in (of_category or {}).items()])
+    found = F.array_distinct(F.concat(says(title), mapped, says(F.substring(text, 1, head))))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))
 
 
 def content_status(text: Column) -> list[Column]:
@@ -103,14 +162,14 @@ def page_class(plain: Column, links: Column) -> Column:
     return F.struct(kind.alias("class"), F.round(link_share, 6).alias("link_share"), F.round(dated, 6).alias("dated_share"))
 
 
-def content_kind(title: Column, text: Column) -> Column:
-    """policy, procedure_guide, notice (by the title alone), faq or reference."""
-    joined = F.concat(title, F.lit("\n"), F.substring(text, 1, 3000))
-    return first_rule([(kind, (title if kind == "notice" else joined).rlike(p)) for kind, p in CONTENT_KINDS], "reference")
+def content_kind(title: Column, text: Column, kinds=CONTENT_KINDS, head: int = 3000) -> Column:
+    """The first of the kinds whose pattern title or text bear (notice by the title alone), else reference; the first `head` characters of the text count, by the rule itself."""
+    joined = F.concat(title, F.lit("\n"), F.substring(text, 1, head))
+    return first_rule([(kind, (title if kind == "notice" else joined).rlike(p)) for kind, p in kinds], "reference")
 
 
-def audiences(title: Column, text: Column) -> Column:
-    """Whom a text is for, sorted; everyone if it names no one."""
-    joined = F.concat(title, F.lit("\n"), F.substring(text, 1, 1200))
-    found = F.array_sort(F.array_distinct(labels([(label, joined.contains(marker)) for marker, label in AUDIENCES])))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(EVERYONE)))
+def audiences(title: Column, text: Column, markers=AUDIENCES, everyone: str = EVERYONE, head: int = 1200) -> Column:
+    """Whom a text is for, sorted; everyone if it names no one; the first `head` characters of the text count, by the rule itself."""
+    joined = F.concat(title, F.lit("\n"), F.substring(text, 1, head))
+    found = F.array_sort(F.array_distinct(labels([(label, joined.contains(marker)) for marker, label in markers])))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(everyone)))

@@ -107,12 +107,17 @@ def u12(spark, sf_dir):
     return rows.groupBy(P.follow_priority(F.col("link"), F.col("page_id") % 6).alias("priority")).agg(F.count("*").alias("n"))
 
 
-_TIDY = r"nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '{}', 1), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')), '')"
+_TIDY = r"nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '{}', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '')"
 
 
-@query("u13_html_metadata", "select page_id, coalesce(" + ", ".join(_TIDY.format(p) for p in ('(?is)<meta[^>]+property="og:title"[^>]+content="([^"]*)"', "(?is)<h1[^>]*>(.*?)</h1>", "(?is)<title[^>]*>(.*?)</title>")) + ") as title from pages")
+@query("u13_html_metadata", "select page_id, left(coalesce(" + ", ".join(_TIDY.format(p) for p in ("(?is)<h1[^>]*>(.*?)</h1>", "(?is)<title[^>]*>(.*?)</title>")) + "), 300) as title, case when page_id % 3 = 0 then strftime(date '2024-01-05' + (page_id % 500)::int, '%Y-%m-%d') end as published, case when page_id % 4 = 0 then '2025-02-03' end as updated, case when page_id % 5 > 0 then 'Dept ' || page_id % 7 end as department from pages")
 def u13(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", P.html_title(F.col("html")).alias("title"))
+    """The driver's pages have no dates or departments, so tags are put before them; fixtures test more forms."""
+    i = F.col("page_id")
+    tag = lambda c, *x: F.when(c, F.concat(*x)).otherwise("")
+    day = F.date_format(F.date_add(F.lit("2024-01-05").cast("date"), (i % 500).cast("int")), "yyyy/M/d")
+    head = F.concat(tag(i % 3 == 0, F.lit('<META content="'), day, F.lit(' 10:00" name="PubDate">')), tag(i % 4 == 0, F.lit("<meta property='article:modified_time' content='2025-02-03T01:00'>")), tag(i % 5 > 0, F.lit('<meta name="author" content="x"><meta name="Source" content=" Dept '), i % 7, F.lit(' ">')))
+    return _pages(spark, sf_dir).select("page_id", M.html_metadata(F.concat(head, "html")).alias("m")).select("page_id", "m.title", "m.published", "m.updated", "m.department")
 
 
 _COUNT = "len(regexp_extract_all(lower(text), '{}'))"
@@ -126,19 +131,37 @@ def u14(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", P.best_label(F.col("text"), words, "other").alias("category"))
 
 
-@query("u15_authority_level", "select source_id, authority_level, department from (" + M.META_SQL + ")")
+_HOSTS = {"blog.example.org": "Blog", "example.org": "Registry", "example.net": "Network"}
+_MARKS = (("the", "Library"), ("und", "Bibliothek"))
+_TITLE = r"coalesce(" + ", ".join(_TIDY.format(p) for p in ("(?is)<h1[^>]*>(.*?)</h1>", "(?is)<title[^>]*>(.*?)</title>")) + ", '')"
+
+
+@query("u15_authority_level", f"select page_id, case when page_id % 9 = 0 then 'official_internal' when {_HOST} = 'example.org' or ends_with({_HOST}, '.example.org') then 'official' when ends_with({_HOST}, '.net') then 'authoritative_external' else 'unverified' end as authority_level, case " + " ".join(f"when {_HOST} = '{d}' or ends_with({_HOST}, '.{d}') then '{n}'" for d, n in _HOSTS.items()) + " " + " ".join(f"when contains({_TITLE}, '{m}') then '{n}'" for m, n in _MARKS) + " else 'other' end as department from pages")
 def u15(spark, sf_dir):
-    return M.sources(table(spark, sf_dir, "documents")).select("source_id", "authority_level", "department")
+    title = F.coalesce(M.html_metadata(F.col("html"))["title"], F.lit(""))
+    return _pages(spark, sf_dir).select("page_id", M.authority(F.col("url"), F.col("page_id") % 9 == 0, ("example.org",), ("net",)).alias("authority_level"), M.department(F.col("url"), title, _HOSTS, _MARKS, "other").alias("department"))
+
 
+_GROUPS = {"umlauts": ("ü", "ß"), "spanish": ("ción", "ñ"), "licence": ("license", "licence"), "secret": ("token", "password"), "english": ("the ",)}
+_OF_SOURCE = {"src0": "licence", "src1": "english"}
+_SAYS = lambda x, t: "regexp_matches(lower({}), '{}')".format(x, "|".join(_GROUPS[t]))
 
-@query("u16_topics", "select source_id, array_to_string(topics, ',') as topics from (" + M.META_SQL + ")")
+
+@query("u16_topics", "select source_id, array_to_string(list_filter([" + ", ".join(f"case when {_SAYS('title', t)} then '{t}' end" for t in _GROUPS) + ", " + ", ".join(f"case when department = '{s}' and not {_SAYS('title', t)} then '{t}' end" for s, t in _OF_SOURCE.items()) + ", " + ", ".join(f"case when {_SAYS('left(text, 3000)', t)} and not {_SAYS('title', t)}" + "".join(f" and department <> '{s}'" for s, o in _OF_SOURCE.items() if o == t) + f" then '{t}' end" for t in _GROUPS) + ", case when not (" + " or ".join(f"{_SAYS('title', t)} or {_SAYS('left(text, 3000)', t)}" for t in _GROUPS) + " or department in ('src0', 'src1')) then 'other' end], lambda x: x is not null), ',') as topics from (" + M.META_SQL + ")")
 def u16(spark, sf_dir):
-    return M.sources(table(spark, sf_dir, "documents")).select("source_id", F.array_join("topics", ",").alias("topics"))
+    """Topics that title, category (here the source) and body say, by markers of the driver's languages."""
+    m = M.sources(table(spark, sf_dir, "documents"))
+    return m.select("source_id", F.array_join(M.topics(F.col("department"), F.col("title"), F.col("text"), _GROUPS, _OF_SOURCE, "other"), ",").alias("topics"))
+
+
+_KINDS = (("policy", "(?i)license|rights"), ("procedure_guide", "(?i)token|step"), ("notice", "(?i)und|que"), ("faq", r"\?"))
+_FOR = (("the ", "readers"), ("ü", "Leser"), ("ción", "lectores"), ("eau", "lecteurs"), ("and ", "readers"))
 
 
-@query("u17_content_type_audience", "select source_id, content_type, array_to_string(audience, ',') as audience from (" + M.META_SQL + ")")
+@query("u17_content_type_audience", "select source_id, case " + " ".join(f"when regexp_matches({'title' if k == 'notice' else 'title || chr(10) || left(text, 3000)'}, '{p}') then '{k}'" for k, p in _KINDS) + " else 'reference' end as content_type, case when len(a) > 0 then array_to_string(a, ',') else 'all' end as audience from (select *, list_sort(list_distinct(list_filter([" + ", ".join(f"case when contains(title || chr(10) || left(text, 1200), '{m}') then '{n}' end" for m, n in _FOR) + "], lambda x: x is not null))) as a from (" + M.META_SQL + "))")
 def u17(spark, sf_dir):
-    return M.sources(table(spark, sf_dir, "documents")).select("source_id", "content_type", F.array_join("audience", ",").alias("audience"))
+    m = M.sources(table(spark, sf_dir, "documents"))
+    return m.select("source_id", M.content_kind(F.col("title"), F.col("text"), _KINDS).alias("content_type"), F.array_join(M.audiences(F.col("title"), F.col("text"), _FOR, "all"), ",").alias("audience"))
 
 
 @query("u18_date_extraction", r"""
@@ -177,12 +200,16 @@ def u23(spark, sf_dir):
 
 
 @query("u24_parent_inheritance", """
-with child as (select doc_id, doc_id // 10 * 10 as parent_id, case when doc_id % 3 = 0 then null else source end as department from documents)
-select c.doc_id, coalesce(c.department, p.source, 'unknown') as department from child c left join documents p on p.doc_id = c.parent_id""")
+with child as (select doc_id, 'u' || doc_id as url, case when doc_id % 2 = 0 then doc_id // 10 * 10 end as parent_id, 'u' || (doc_id // 20 * 20) as parent_url, case when doc_id % 3 = 0 then 'own' end as department from documents where doc_id % 10 <> 0), parents as (select doc_id as pid, 'u' || doc_id as purl, source as department from documents where doc_id % 10 = 0 and doc_id % 70 <> 0)
+select c.doc_id, case when c.doc_id % 50 = 7 then case when c.doc_id % 100 = 7 then 'seeded' else 'unknown' end else coalesce(a.department, b.department, c.department, 'unknown') end as department from child c left join parents a on a.pid = c.parent_id left join parents b on b.purl = c.parent_url""")
 def u24(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    child = docs.select("doc_id", (F.floor(F.col("doc_id") / 10) * 10).alias("parent_id"), F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.col("source")).alias("department"))
-    return M.inherit(child, docs.select("doc_id", F.col("source").alias("department")), "parent_id", "doc_id", ["department"], {"department": "unknown"}).select("doc_id", "department")
+    """By the parent's id, else its URL; explicit seeds take the place of both."""
+    docs, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    url = lambda x: F.concat(F.lit("u"), x)
+    child = docs.where(i % 10 != 0).select("doc_id", url(i).alias("url"), F.when(i % 2 == 0, F.floor(i / 10) * 10).alias("parent_id"), url(F.floor(i / 20) * 20).alias("parent_url"), F.when(i % 3 == 0, "own").alias("department"))
+    parents = docs.where((i % 10 == 0) & (i % 70 != 0)).select(i.alias("pid"), url(i).alias("purl"), F.col("source").alias("department"))
+    seeds = docs.where(i % 50 == 7).select(url(i).alias("url"), F.when(i % 100 == 7, "seeded").alias("department"))
+    return M.inherit(child, parents, [("parent_id", "pid"), ("parent_url", "purl")], ["department"], {"department": "unknown"}, seeds, "url").select("doc_id", "department")
 
 
 @query("u25_record_subtype", r"select conv_id, turn, case when regexp_matches(lower(text), '```|def |select ') then 'code' when regexp_matches(text, '\d+\s*[-+*/=]\s*\d+') then 'math' when regexp_matches(lower(text), '\?\s*$') then 'question' when length(text) > 400 then 'long_form' else 'chat' end as subtype from conversations")
