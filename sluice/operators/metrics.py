@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -53,3 +55,24 @@ def label_pairs(df: DataFrame, labels: str) -> DataFrame:
     rows = df.select(F.array_sort(F.array_distinct(labels)).alias("l"))
     pairs = F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return rows.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+
+
+def intent_coverage(docs: DataFrame, intents: DataFrame, id_col: str, text: Column, day: Column, as_of: str, within: int = 400, keep: int = 8) -> DataFrame:
+    """A row for each intent of (intent, subjects, actions, minimum): status, how many sources speak of it, how many of these are recent or undated, and the `keep` that come first.
+
+    A source counts if a subject and an action begin within `within` characters of each other, anywhere in its text. Recent ones come first, then newer ones. READY
+    from `minimum` on, PARTIAL with any, GAP without. Intents are few, and are read in the driver; texts are looked at once for all of them.
+    """
+    rules = intents.collect()
+    near = lambda a, b: f"(?s)(?=(?:{a})).{{0,{within}}}?(?=(?:{b}))"
+    words = lambda xs: "|".join(re.escape(x.lower()) for x in xs)
+    low = F.lower(text)
+    hits = F.array_compact(F.array(*[F.when(low.rlike(near(words(r["subjects"]), words(r["actions"]))) | low.rlike(near(words(r["actions"]), words(r["subjects"]))), F.lit(r["intent"])) for r in rules]))
+    rows = docs.select(F.col(id_col).alias("id"), day.alias("day"), F.explode(hits).alias("intent"))
+    rows = rows.withColumn("recent", F.coalesce(F.year("day") >= F.year(F.lit(as_of).cast("date")) - 1, F.lit(False)))
+    place = F.row_number().over(W.partitionBy("intent").orderBy(F.desc("recent"), F.desc_nulls_last("day"), F.desc("id")))
+    first = rows.withColumn("place", place).where(F.col("place") <= keep).groupBy("intent").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias("s"))
+    counts = rows.groupBy("intent").agg(F.count("*").alias("sources"), F.count_if("recent").alias("recent"), F.count_if(F.col("day").isNull()).alias("undated"))
+    out = intents.select("intent", "minimum").join(counts, "intent", "left").join(first, "intent", "left")
+    n = F.coalesce("sources", F.lit(0))
+    return out.select("intent", F.when(n >= F.col("minimum"), "READY").when(n > 0, "PARTIAL").otherwise("GAP").alias("status"), n.alias("sources"), F.coalesce("recent", F.lit(0)).alias("recent"), F.coalesce("undated", F.lit(0)).alias("undated"), F.coalesce(F.transform("s", lambda x: x["id"]), F.array().cast("array<string>")).alias("first"))

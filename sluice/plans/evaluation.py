@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import metadata as M
 from ..operators import metrics as G
 from ..operators import sampling as P
 from ..operators import search as S
@@ -40,15 +41,16 @@ def g3(spark, sf_dir):
     return out.withColumn("status", F.when(F.col("score") >= 0.75, "ROBUST").when(F.col("score") >= 0.4, "PARTIAL").otherwise("GAP"))
 
 
-_INTENTS = [("licence", "license", "released"), ("secret", "token", "="), ("table", r"\|", "the")]
+_INTENTS = [("licence", "license", "released", 5), ("secret", "token", "secret", 20), ("articles", "the", "and", 20), ("nowhere", "qqqq", "zzzz", 1)]
+_NEAR = " or ".join("(intent = '{0}' and (regexp_matches(lower(text), '(?s){1}.{{0,{3}}}{2}') or regexp_matches(lower(text), '(?s){2}.{{0,{4}}}{1}')))".format(n, a, b, 400 - len(a), 400 - len(b)) for n, a, b, _ in _INTENTS)
 
 
-@query("g4_intent_coverage", "with i as (select * from (values " + ", ".join(f"('{n}', '{a}', '{b}')" for n, a, b in _INTENTS) + ") t(intent, subject, action)), h as (select intent, doc_id, n_chars from i join documents on regexp_matches(lower(text), subject) and regexp_matches(lower(text), action)) select intent, count(*) as n, min(doc_id) as first_doc, case when count(*) >= 20 then 'READY' when count(*) >= 5 then 'PARTIAL' else 'GAP' end as status from h group by 1")
+@query("g4_intent_coverage", "with i as (select * from (values " + ", ".join(f"('{n}', {k})" for n, _, _, k in _INTENTS) + f") t(intent, minimum)), m as ({M.META_SQL}), h as (select intent, source_id as id, coalesce(effective_date, case when doc_id % 2 = 0 then publish_date end) as day from i join m on {_NEAR}), r as (select *, coalesce(year(day) >= 2024, false) as recent from h), p as (select *, row_number() over (partition by intent order by recent desc, day desc nulls last, id desc) as place from r)" + " select intent, case when count(id) >= any_value(minimum) then 'READY' when count(id) > 0 then 'PARTIAL' else 'GAP' end as status, count(id) as sources, coalesce(count(*) filter (where recent), 0) as recent, count(*) filter (where id is not null and day is null) as undated, coalesce(string_agg(id, ',' order by place) filter (where place <= 8), '') as first from i left join p using (intent) group by 1")
 def g4(spark, sf_dir):
-    low = F.lower("text")
-    hits = F.array_compact(F.array(*[F.when(low.rlike(a) & low.rlike(b), F.lit(n)) for n, a, b in _INTENTS]))
-    out = _docs(spark, sf_dir).select("doc_id", F.explode(hits).alias("intent")).groupBy("intent").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-    return out.withColumn("status", F.when(F.col("n") >= 20, "READY").when(F.col("n") >= 5, "PARTIAL").otherwise("GAP"))
+    intents = spark.createDataFrame([(n, [a], [b], k) for n, a, b, k in _INTENTS], "intent string, subjects array<string>, actions array<string>, minimum int")
+    day = F.coalesce("effective_date", F.when(F.col("doc_id") % 2 == 0, F.col("publish_date")))
+    out = G.intent_coverage(M.sources(_docs(spark, sf_dir)), intents, "source_id", F.col("text"), day, "2025-06-01")
+    return out.withColumn("first", F.array_join("first", ","))
 
 
 _CLASS = _PRED + """, c as (select expected, predicted, count(*) as n from p group by 1, 2), l as (select distinct expected as label from c union select predicted from c), s as (select label, (select coalesce(sum(n), 0) from c where expected = label) as support, (select coalesce(sum(n), 0) from c where predicted = label) as named, (select coalesce(sum(n), 0) from c where expected = label and predicted = label) as tp from l)

@@ -15,37 +15,54 @@ def _meta(spark, sf_dir):
     return M.sources(table(spark, sf_dir, "documents"))
 
 
-@query("f1_admission_first_reason", r"""
-select source_id, case when access_level = 'restricted' then 'RESTRICTED' when length(text) < 220 then 'TOO_SHORT' when content_type = 'table' then 'TYPE' when expiry_date < date '2025-06-01' then 'EXPIRED' when authority_level = 'unverified' then 'UNVERIFIED' when year(publish_date) < 2024 then 'STALE' end as reason,
- access_level <> 'restricted' and length(text) >= 220 and content_type <> 'table' and coalesce(expiry_date >= date '2025-06-01', true) and authority_level <> 'unverified' and year(publish_date) >= 2024 as admitted from (""" + M.META_SQL + ")")
+_HOSTS, _SHUT, _ACTIONS = ("src1.example.org", "src2.example.org", "src3.example.org", "src4.example.org", "src5.example.org", "src0.example.org"), ("table",), ("license", "token", "contact", "the ")
+#: Source rows with the kinds that the rules speak of, a social account and a quality.
+_ROWS = f"(select *, case when doc_id % 4 = 0 then 'notice' when content_type = 'article' then 'reference' else content_type end as kind, case when doc_id % 23 = 0 then 'https://src1.example.org/a' else url end as u, (n % 100) / 100.0 as q, case when doc_id % 6 = 0 then title || ' ' || (2021 + doc_id % 5) else title end as t from (select m.*, length(text) as n from ({M.META_SQL}) m))"
+_ACT = "(" + " + ".join(f"contains(lower(t || chr(10) || left(text, 5000)), '{w}')::int" for w in _ACTIONS) + ")"
+_ACT_TITLE = "(" + " or ".join(f"contains(lower(t), '{w}')" for w in _ACTIONS) + ")"
+_F1_HOST = r"regexp_extract(u, '://([^/]*)', 1)"
+
+
+@query("f1_admission_first_reason", f"""
+with r as (select source_id, case when access_level <> 'public' then 'restricted_source' when not ({" or ".join(f"{_F1_HOST} = '{h}' or ends_with({_F1_HOST}, '.{h}')" for h in _HOSTS)}) then 'unverified_host' when {_F1_HOST} = 'src2.example.org' then 'unverified_social_account' when n < 220 then 'insufficient_content' when regexp_matches(t, '(?i)und der|que ') then 'news_or_publicity' when kind in ('table') then 'non_transactional_type' when expiry_date < date '2025-06-01' then 'expired'
+ when kind in ('reference', 'notice') and {_ACT} = 0 then 'not_actionable' when kind = 'reference' and not {_ACT_TITLE} and ({_ACT} < 3 or q < 0.8) then 'weak_reference' when kind = 'notice' and list_max(list_transform(regexp_extract_all(t, '\\b(20\\d\\d)\\b'), lambda y: y::int)) < 2024 then 'stale_notice' when authority_level = 'unverified' then 'unverified_authority' end as reason from {_ROWS})
+select source_id, reason, reason is null as admitted from r""")
 def f1(spark, sf_dir):
-    n, day = F.char_length("text"), F.lit("2025-06-01").cast("date")
-    rules = [("RESTRICTED", F.col("access_level") == "restricted"), ("TOO_SHORT", n < 220), ("TYPE", F.col("content_type") == "table"), ("EXPIRED", F.col("expiry_date") < day), ("UNVERIFIED", F.col("authority_level") == "unverified"), ("STALE", F.year("publish_date") < 2024)]
-    return A.first_failing(_meta(spark, sf_dir), rules).select("source_id", "reason", "admitted")
+    d = F.col("doc_id")
+    m = _meta(spark, sf_dir).withColumns({
+        "content_type": F.when(d % 4 == 0, "notice").when(F.col("content_type") == "article", "reference").otherwise(F.col("content_type")), "url": F.when(d % 23 == 0, "https://src1.example.org/a").otherwise(F.col("url")), "quality_score": (F.char_length("text") % 100) / 100.0,
+        "title": F.when(d % 6 == 0, F.concat("title", F.lit(" "), 2021 + d % 5)).otherwise(F.col("title")),
+    })
+    rules = A.admission_rules("2025-06-01", _HOSTS, "(?i)und der|que ", _SHUT, _ACTIONS, "src2.example.org")
+    return A.first_failing(m, rules).select("source_id", "reason", "admitted")
 
 
-_F2 = "0.25 + case when length(text) >= 800 then 0.25 else 0.08 end + case when publish_date is not null then 0.2 else 0.1 end + case when len(topics) > 0 then 0.15 else 0 end + case when content_type = 'article' then 0.15 else 0.05 end"
+_VIS = r"regexp_replace(text, '\s+', ' ', 'g')"
+_SAMPLE = f"title || chr(10) || left({_VIS}, 5000)"
 
 
-@query("f2_admission_all_reasons", f"""
-with r as (select source_id, list_filter([case when length(text) < 220 then 'TOO_SHORT' end, case when authority_level = 'unverified' then 'UNVERIFIED' end, case when expiry_date < date '2025-06-01' then 'EXPIRED' end], lambda x: x is not null) as rs, round(({_F2})::double, 6) as score from ({M.META_SQL}))
+@query("f2_admission_all_reasons", rf"""
+with m as (select *, case when content_type = 'article' and doc_id % 3 = 0 then 'policy' else content_type end as kind, length({_VIS}) as n, regexp_matches({_SAMPLE}, '(?i)the|und') as rel, regexp_matches({_SAMPLE}, '(?i)license') as act, regexp_matches({_SAMPLE}, '[0-9]') as facts from ({M.META_SQL})), k as (select *, kind in ('policy', 'procedure_guide', 'faq') or act or (rel and facts) as able from m),
+r as (select source_id, list_filter([case when n < 200 then 'CONTENT_TOO_SHORT' end, case when regexp_matches(title, '^(?:En|La) ') then 'LOW_VALUE_NEWS_OR_PROFILE' end, case when regexp_matches(title, '^\w+$') and not able then 'GENERIC_NON_ACTIONABLE_TITLE' end, case when not rel then 'NO_SUBJECT_SIGNAL' end, case when rel and not able then 'NO_ACTIONABLE_OR_SERVICE_FACTS' end], lambda x: x is not null) as rs,
+ round((0.25 + case when kind in ('policy', 'procedure_guide', 'faq') then 0.25 else 0.08 end + case when n >= 500 then 0.20 when n >= 200 then 0.10 else 0 end + case when effective_date is not null then 0.15 else 0 end + case when len(topics) > 0 and topics <> ['foreign'] then 0.15 else 0.05 end)::double, 6) as score from k)
 select source_id, array_to_string(rs, ',') as reasons, score, len(rs) = 0 and score >= 0.58 as admitted from r""")
 def f2(spark, sf_dir):
-    n = F.char_length("text")
-    pick = lambda c, a, b: F.when(c, a).otherwise(b)
-    score = F.lit(0.25) + pick(n >= 800, 0.25, 0.08) + pick(F.col("publish_date").isNotNull(), 0.2, 0.1) + pick(F.size("topics") > 0, 0.15, 0.0) + pick(F.col("content_type") == "article", 0.15, 0.05)
-    rules = [("TOO_SHORT", n < 220), ("UNVERIFIED", F.col("authority_level") == "unverified"), ("EXPIRED", F.col("expiry_date") < F.lit("2025-06-01").cast("date"))]
+    kind = F.when((F.col("content_type") == "article") & (F.col("doc_id") % 3 == 0), "policy").otherwise(F.col("content_type"))
+    rules, score = A.crawl_admission(F.col("title"), F.col("text"), F.col("effective_date"), kind, F.col("topics"), "^(?:En|La) ", r"^\w+$", "(?i)the|und", "(?i)license", "[0-9]", "foreign")
     return A.all_failing(_meta(spark, sf_dir), rules, score, 0.58).select("source_id", F.array_join("reasons", ",").alias("reasons"), "score", "admitted")
 
 
-@query("f3_shadow_decision", f"""
-with r as (select m.source_id, list_filter([case when quality < 1 then 'LOW_QUALITY' end, case when toxic > 0 then 'TOXIC' end, case when admission_status <> 'serving' then 'NOT_SERVING' end, case when effective_date is null then 'NO_EFFECTIVE_DATE' end, case when len(list_filter(regexp_split_to_array(text, '\\n+'), lambda s: length(s) >= 80)) = 0 then 'NO_VALID_CHUNKS' end], lambda x: x is not null) as rs from ({M.META_SQL}) m left join labels l using (doc_id))
+@query("f3_shadow_decision", rf"""
+with m as (select *, case when doc_id % 3 = 0 then 'policy' else content_type end as kind, case when doc_id % 5 > 0 then 'V1' end as version, (length(text) % 100) / 100.0 as q from ({M.META_SQL})), served as (select distinct url from m where doc_id % 40 = 0),
+r as (select source_id, list_filter([case when admission_status not in ('review_required', 'auto_review_candidate') then 'NOT_IN_REVIEW_QUEUE' end, case when url in (select url from served) then 'DUPLICATE_SERVED_SOURCE' end, case when access_level <> 'public' then 'NON_PUBLIC_ACCESS' end, case when authority_level <> 'official' then 'NOT_OFFICIAL' end, case when coalesce(version, '') not in ('V1') then 'NOT_CRAWL_VERIFIED' end, case when q < 0.7 then 'QUALITY_BELOW_LIMIT' end, case when kind not in ('policy', 'procedure_guide', 'faq') then 'NOT_ACTIONABLE_TYPE' end, case when not regexp_matches(title, '(?i)the|und|que') then 'TITLE_NOT_TRANSACTIONAL' end, case when regexp_matches(title, '^En ') or regexp_matches(title, '^\w+$') then 'NEWS_OR_GENERIC_TITLE' end, case when regexp_matches(title, 'ción') then 'OUT_OF_SCOPE' end, case when coalesce(publish_date, effective_date, expiry_date) is null then 'NO_TEMPORAL_METADATA' end, case when coalesce(trim(text), '') = '' then 'MISSING_CONTENT' end, case when len(list_filter(regexp_split_to_array(text, '\n+'), lambda s: length(s) >= 80)) = 0 then 'NO_VALID_CHUNKS' end], lambda x: x is not null) as rs from m)
 select source_id, array_to_string(rs, ',') as reasons, len(rs) = 0 as admitted from r""")
 def f3(spark, sf_dir):
-    rows = _meta(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    d = F.col("doc_id")
+    m = _meta(spark, sf_dir).withColumns({"content_type": F.when(d % 3 == 0, "policy").otherwise(F.col("content_type")), "source_version": F.when(d % 5 > 0, "V1"), "quality_score": (F.char_length("text") % 100) / 100.0})
+    m = m.join(m.where(d % 40 == 0).select("url").distinct().withColumn("served", F.lit(True)), "url", "left")
     chunks = F.size(F.filter(F.split("text", r"\n+"), lambda s: F.char_length(s) >= 80))
-    rules = [("LOW_QUALITY", F.col("quality") < 1), ("TOXIC", F.col("toxic") > 0), ("NOT_SERVING", F.col("admission_status") != "serving"), ("NO_EFFECTIVE_DATE", F.col("effective_date").isNull()), ("NO_VALID_CHUNKS", chunks == 0)]
-    out = A.all_failing(rows, rules, F.lit(1.0), 0.7)
+    rules = A.shadow_rules(F.coalesce("served", F.lit(False)), "(?i)the|und|que", "^En ", r"^\w+$", "ción", ("V1",))
+    out = A.all_failing(m, [*rules, ("NO_VALID_CHUNKS", chunks == 0)], F.lit(1.0), 0.7)
     return out.select("source_id", F.array_join("reasons", ",").alias("reasons"), "admitted")
 
 
@@ -86,9 +103,14 @@ def f9(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(S.redact_secrets(F.col("text")), 256).alias("redacted_sha256"))
 
 
-@query("f10_private_content", rf"""select source_id, case when regexp_matches(url, '{S.PRIVATE[0][1]}') then 'url' when regexp_matches(left(text, 8000), '{S.PRIVATE[1][1]}') then 'word' when regexp_matches(left(text, 8000), '{S.PRIVATE[2][1]}') then 'number' when regexp_matches(left(text, 8000), '{S.PRIVATE[3][1]}') then 'email' end as reason from ({M.META_SQL})""")
+_WORDS, _VALUES = ("und der", "theon", "ción"), (r"\b[0-9]{10,14}\b", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"(?i)password\s*[=:]")
+
+
+@query("f10_private_content", f"select source_id, case when regexp_matches(lower(u), '{S.PRIVATE_URL}') then 'private_url' " + " ".join(f"when contains(lower(u || ' ' || title), '{w}') then 'private_word:{w}'" for w in _WORDS) + " " + " ".join(f"when regexp_matches(left(text, 8000), '{v}') then 'private_value:{i + 1}'" for i, v in enumerate(_VALUES)) + f" end as reason from (select *, case when doc_id % 10 = 0 then url || '/my/x' else url end as u from ({M.META_SQL}))")
 def f10(spark, sf_dir):
-    return _meta(spark, sf_dir).select("source_id", S.private_reason(F.col("url"), F.col("text")).alias("reason"))
+    """Words and values of the driver's languages; those for Han texts are the defaults, which fixtures test."""
+    url = F.when(F.col("doc_id") % 10 == 0, F.concat("url", F.lit("/my/x"))).otherwise(F.col("url"))
+    return _meta(spark, sf_dir).select("source_id", S.private_reason(url, F.col("title"), F.col("text"), words=_WORDS, values=_VALUES).alias("reason"))
 
 
 _BAD = "(?i)" + "|".join(S.INJECTION)
@@ -128,22 +150,30 @@ def f15(spark, sf_dir):
     return A.copy_guard(b.join(nxt, "item_id"), "text", "other").select("item_id", "copied")
 
 
-@query("f16_source_assessor", f"select page_id, case when html is null or html = '' then 'REJECT' when regexp_matches(url, '/login') then 'REJECT' when length(html) < 600 then 'REJECT' when len(regexp_extract_all(html, '<p')) < 2 then 'PARTIAL' else 'PASS' end as verdict from pages")
+_TEXT = r"trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+_PAGE = f"(select page_id, case when page_id % 11 = 0 then '' when page_id % 7 = 0 then 'Home menu navigation cookie ' || left({_TEXT}, 150) when page_id % 5 = 0 then 'Sign in to read. ' || {_TEXT} else {_TEXT} end as t, case when page_id % 13 = 0 then 'no url' else url end as u from pages)"
+
+
+@query("f16_source_assessor", rf"with r as (select page_id, list_filter([case when low = '' then 'EMPTY' end, case when length(low) < 120 then 'TOO_SHORT' end, case when regexp_matches(low, 'login required|sign in to|access denied|404 not found') then 'LOGIN_OR_ERROR' end, case when contains(low, 'home')::int + contains(low, 'navigation')::int + contains(low, 'menu')::int + contains(low, 'cookie')::int >= 3 and length(low) < 500 then 'NAVIGATION_ONLY' end, case when not regexp_matches(u, '://[^/]') then 'UNKNOWN_HOST' end], lambda x: x is not null) as rs from (select page_id, u, trim(lower(t)) as low from {_PAGE})) select page_id, array_to_string(rs, ',') as reasons, case when list_contains(rs, 'EMPTY') or list_contains(rs, 'LOGIN_OR_ERROR') then 'REJECT' when len(rs) > 0 then 'PARTIAL' else 'PASS' end as verdict from r")
 def f16(spark, sf_dir):
-    from ..operators.pages import first_rule
+    i, text = F.col("page_id"), F.trim(F.regexp_replace(F.regexp_replace("html", r"<[^>]*>", " "), r"\s+", " "))
+    seen = F.when(i % 11 == 0, "").when(i % 7 == 0, F.concat(F.lit("Home menu navigation cookie "), F.substring(text, 1, 150))).when(i % 5 == 0, F.concat(F.lit("Sign in to read. "), text)).otherwise(text)
+    reasons, verdict = A.assess_page(F.when(i % 13 == 0, "no url").otherwise(F.col("url")), seen)
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(reasons, ",").alias("reasons"), verdict.alias("verdict"))
 
-    h = F.col("html")
-    rules = [("REJECT", h.isNull() | (h == "")), ("REJECT", F.col("url").rlike("/login")), ("REJECT", F.char_length(h) < 600), ("PARTIAL", F.regexp_count(h, F.lit("<p")) < 2)]
-    return table(spark, sf_dir, "pages").select("page_id", first_rule(rules, "PASS").alias("verdict"))
 
+_REVIEW = "(select doc_id, n_chars % 101 as rel, doc_id * 7 % 101 as val, case doc_id % 3 when 0 then 'approve' when 1 then 'reject' else 'review' end as act, case when doc_id % 5 = 0 then 'news' else 'guide' end as kind, case when doc_id % 2 = 0 then 'high' else 'low' end as auth, case when doc_id % 7 = 0 then 'outdated' else 'current' end as fresh, case when doc_id % 11 = 0 then 'high' else 'low' end as sens, case when doc_id % 13 = 0 then 'name' else 'none' end as pers, doc_id % 17 = 0 as conf from documents)"
 
-@query("f17_review_abnormality", "select doc_id, array_to_string(list_filter([case when quality = 0 and toxic = 0 then 'LOW_BUT_CLEAN' end, case when quality = 1 and toxic = 1 then 'GOOD_BUT_TOXIC' end, case when n_chars < 50 and quality = 1 then 'SHORT_BUT_GOOD' end, case when n_chars > 20000 then 'VERY_LONG' end], lambda x: x is not null), ',') as flags from documents join labels using (doc_id)")
-def f17(spark, sf_dir):
-    from ..operators.pages import all_rules
 
-    q, t, n = F.col("quality"), F.col("toxic"), F.col("n_chars")
-    flags = all_rules([("LOW_BUT_CLEAN", (q == 0) & (t == 0)), ("GOOD_BUT_TOXIC", (q == 1) & (t == 1)), ("SHORT_BUT_GOOD", (n < 50) & (q == 1)), ("VERY_LONG", n > 20000)])
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.array_join(flags, ",").alias("flags"))
+@query("f17_review_abnormality", "select doc_id, array_to_string(list_filter([case when rel >= 80 and act = 'reject' then 'RELEVANT_BUT_REJECTED' end, case when rel <= 30 and act = 'approve' then 'IRRELEVANT_BUT_APPROVED' end, case when val <= 40 and act = 'approve' then 'WORTHLESS_BUT_APPROVED' end, case when kind = 'news' and act = 'approve' then 'NEWS_BUT_APPROVED' end, case when auth = 'high' and val <= 20 then 'AUTHORITATIVE_BUT_WORTHLESS' end, case when fresh = 'outdated' and act = 'approve' then 'OUTDATED_BUT_APPROVED' end, case when sens = 'high' and act = 'approve' then 'VOLATILE_BUT_APPROVED' end, case when pers <> 'none' and act = 'approve' then 'PERSONAL_BUT_APPROVED' end, case when conf and act = 'approve' then 'CONFLICT_BUT_APPROVED' end], lambda x: x is not null), ',') as flags from " + _REVIEW)
+def f17(spark, sf_dir):
+    d = F.col("doc_id")
+    pick = lambda c, a, b: F.when(c, a).otherwise(b)
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.col("n_chars") % 101).alias("relevance_score"), (d * 7 % 101).alias("knowledge_value"), F.when(d % 3 == 0, "approve").when(d % 3 == 1, "reject").otherwise("review").alias("recommended_action"), pick(d % 5 == 0, "news", "guide").alias("content_type"), pick(d % 2 == 0, "high", "low").alias("authority"),
+        pick(d % 7 == 0, "outdated", "current").alias("freshness"), pick(d % 11 == 0, "high", "low").alias("time_sensitivity"), pick(d % 13 == 0, "name", "none").alias("personal_data_risk"), (d % 17 == 0).alias("possible_conflict"),
+    )
+    return rows.select("doc_id", F.array_join(A.review_flags(("news",)), ",").alias("flags"))
 
 
 _PAIRS = r"list_distinct(list_transform(range(1, length({0})), i -> substring({0}, i, 2)))".replace("i ->", "lambda i:")
