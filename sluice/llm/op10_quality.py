@@ -117,10 +117,11 @@ class Machine:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(text, y) of a bounded sample of the labelled rows outside the held-out third. Rows of one doc_id count by their least label."""
+    """(text, y) of a bounded sample of the labelled rows outside the held-out third. Rows of one doc_id count once, by their least label and text."""
     rows = labels.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     rows = sample_at_most(rows.withColumnRenamed("doc_id", "label_id"), "label_id", most)
-    return docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("label_id")).select("text", "y")  # `most` rows at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("label_id"))  # `most` rows at most
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).select("text", "y")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 10_000) -> tuple[Machine, tuple[np.ndarray, np.ndarray]] | None:
@@ -153,7 +154,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most
 
 
 def score_quality(df: DataFrame, id_col: str, text_col: str, model, carry: list[str] | None = None) -> DataFrame:
-    """`carry` columns (the id, if None) and score: how likely label 1 is. Null texts are empty; without a model all score 0.5."""
+    """`carry` columns (the id, if None) and score: how likely label 1 is.
+
+    Null texts are empty; repeated rows score alike; columns that bear inner names don't clash; without a model all score 0.5; an empty table gives no rows.
+    """
     carry = [id_col] if carry is None else carry
     rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], F.col(f"`{text_col}`").alias("text"))
     kinds = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
@@ -172,6 +176,9 @@ def score_quality(df: DataFrame, id_col: str, text_col: str, model, carry: list[
 
 
 def op10_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of the whole `documents` by a machine fitted on labelled rows outside the held-out third. No SQL: it is a trained model; tests measure it on held-out labels.
+    Null and empty texts have a score too; repeated rows score alike.
+    """
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     out = score_quality(docs, "doc_id", "text", model)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, held_out, map_arrow, table, worker_cache
+from .common import by_bytes, cut, held_out, map_arrow, table, worker_cache
 from .op10_quality import labelled
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -23,6 +23,8 @@ QUOTED = re.compile(r'"[^"\n]{1,400}"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|
 SHORTEST, LONGEST = 4, 8
 WINDOW = 8
 MEMO = 150_000
+#: Partitions of the sample that is learned from, which is bounded.
+TASKS = 48
 FEATURES = ("open", "quoted", "fuzzy", "fuzzy_quoted", "window", "share")
 #: What the model believes before it sees labels, in the order of FEATURES; the last is the constant.
 PRIOR = np.array([4.0, 0.6, 1.4, 0.2, 1.0, 1.0, -2.0])
@@ -174,7 +176,7 @@ def judge_of(terms: dict[str, float]) -> Judge:
 
 
 def learn_terms(rows: DataFrame, least: int = 4, part: float = 0.02, purity: float = 0.6, most: int = 5_000) -> dict[str, float]:
-    """Words and stems that the (text, y) rows show to be toxic, with their worth from 0 to 1.
+    """Words and stems that the distinct (text, y) rows show to be toxic, with their worth from 0 to 1.
 
     A term stands in toxic rows more often than in others, and in `part` of the distinct toxic texts, `least` at least, with as many different neighbours. So what copies
     of a few texts repeat is no term. At most `most` candidates, the frequent ones, are looked at.
@@ -195,8 +197,8 @@ def learn_terms(rows: DataFrame, least: int = 4, part: float = 0.02, purity: flo
         if seen:
             yield pa.RecordBatch.from_pydict({"term": list(seen), **{k: pa.array([v[i] for v in seen.values()], pa.int64()) for i, k in enumerate(("clean", "toxic", "rows"))}})
 
-    need = max(least, int(part * rows.where("y > 0").distinct().count()))
-    sums = map_arrow(rows.distinct(), count, "term string, clean long, toxic long, rows long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "rows")])
+    need = max(least, int(part * rows.where("y > 0").count()))
+    sums = map_arrow(rows, count, "term string, clean long, toxic long, rows long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "rows")])
     pure = sums.where((F.col("rows") >= need) & (F.col("toxic") >= purity * (F.col("toxic") + F.col("clean") + 4)) & (F.length("term") >= SHORTEST))
     found = {r["term"]: (r["toxic"], r["clean"], r["rows"]) for r in pure.orderBy(F.desc("toxic"), "term").limit(most).collect()}
     support = {t: n for t, (n, _, _) in found.items()}
@@ -211,7 +213,7 @@ def learn_terms(rows: DataFrame, least: int = 4, part: float = 0.02, purity: flo
         if seen:
             yield pa.RecordBatch.from_pydict({"term": [x[0] for x in seen], "before": [x[1] for x in seen]})
 
-    met = map_arrow(rows.distinct(), neighbours, "term string, before string").groupBy("term").agg(F.countDistinct("before").alias("n"))
+    met = map_arrow(rows, neighbours, "term string, before string").groupBy("term").agg(F.countDistinct("before").alias("n"))
     enough = {r["term"] for r in met.collect() if r["n"] >= need and (r["n"] >= 0.2 * found[r["term"]][2] or r["n"] >= 4 * need)}
     return {t: 2 * found[t][0] / sum(found[t][:2]) - 1 for t in choose({t: n for t, n in support.items() if t in enough})}
 
@@ -248,15 +250,15 @@ def fit_weights(x: np.ndarray, y: np.ndarray, pull: float = 2.0, rounds: int = 6
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20_000) -> tuple[dict[str, float], np.ndarray]:
     """(terms, weights), learned from `most` labelled rows at most; no terms and the prior without labels."""
-    rows = labelled(docs, labels, label, most)
-    terms = learn_terms(rows)
+    rows = cut(labelled(docs, labels, label, most))  # read thrice
+    terms = learn_terms(cut(rows.distinct().repartition(TASKS)))
 
     def features(batches):
         judge = judge_of(terms)
         for b in by_bytes(batches, "text"):
             yield pa.RecordBatch.from_arrays([pa.array([judge.features(t or "") for t in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
-    t = map_arrow(rows, features, "x array<double>, y int").toArrow().combine_chunks()
+    t = map_arrow(rows.repartition(TASKS), features, "x array<double>, y int").toArrow().combine_chunks()
     if not t.num_rows:
         return terms, PRIOR
     x = t.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
@@ -264,7 +266,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most:
 
 
 def score_toxicity(df: DataFrame, id_col: str, text_col: str, model, carry: list[str] | None = None) -> DataFrame:
-    """`carry` columns (the id, if None) and score: how likely label 1 is. Null and empty texts have no hits and score as any text without."""
+    """`carry` columns (the id, if None) and score: how likely label 1 is. 
+
+    Null and empty texts have no hits and score as any text without; repeated rows score alike; columns that bear inner names don't clash; an empty table gives no rows.
+    """
     carry = [id_col] if carry is None else carry
     rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], F.col(f"`{text_col}`").alias("text"))
     kinds = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
@@ -280,6 +285,9 @@ def score_toxicity(df: DataFrame, id_col: str, text_col: str, model, carry: list
 
 
 def op8_levenshtein_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of the whole `documents` by a lexicon and weights learned from labelled rows outside the held-out third. No SQL: automata are walked letter by letter; tests hold
+    them against edit distances, and the scores against held-out labels. Null and empty texts have no hits; repeated rows score alike.
+    """
     docs = table(spark, sf_dir, "documents")
     out = score_toxicity(docs, "doc_id", "text", fit_toxicity(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
