@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicons import AUTHORITY, RECENCY
 from ..operators import metadata as M
+from ..operators import planning as PL
 from ..operators import search as S
 from ..operators.pages import first_rule
 from ..operators.rounds import ResultCache
@@ -183,30 +184,76 @@ def r13(spark, sf_dir):
     return S.top_k(first, ["h"], order, 3).select("h", F.col("rank").cast("long").alias("rank"), "page_id")
 
 
-@query("r14_query_plan", r"""
-with p as (select conv_id, text, list_filter(list_transform(regexp_split_to_array(text, '[.;?!\n]+'), lambda s: trim(s)), lambda s: length(s) >= 6) as parts from conversations where role = 'user' and turn = 1)
-select conv_id, case when len(parts) > 2 or length(text) > 160 then 'FULL' else 'FAST' end as path, array_to_string(list_filter([case when len(parts) > 2 then 'MULTI_PART' end, case when length(text) > 160 then 'LONG' end, case when regexp_matches(lower(text), '\b(?:how|steps|plan)\b') then 'ACTION' end], lambda x: x is not null), ',') as reasons, len(parts[1:4])::bigint as n_subqueries from p""")
+_PLAN = PL.Lexicon(
+    {"article": ("the ", "an "), "relation": ("of ",)}, {"letters": ("tion", "ness"), "words": ("whou", "ther"), "ends": ("ing",)}, ("thand", "onon"), ("ed",), ("re", "st"), ((("er",), " and who may"), (("in",), " and its papers"), (("ti",), " and its day")), " and its steps", ("now", "at "), (("he", "him"), ("ha", "her")),
+    clauses=r"\.\s|\n|;", trimmed=r"^[ ?,.]+|[ ?,.]+$",
+)
+_IN = lambda ws: "regexp_matches(q, '" + "|".join(ws) + "')"
+_LIST = lambda pairs: "list_filter([" + ", ".join(f"case when {c} then '{n}' end" for n, c in pairs) + "], lambda x: x is not null)"
+
+
+@query("r14_query_plan", rf"""
+with u as (select conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) as q, case when conv_id % 6 = 0 then 'FAST' when conv_id % 6 = 1 then 'FULL' end as forced from conversations where role = 'user'),
+t as (select *, list_sort({_LIST([(n, " or ".join(f"contains(lower(q), '{w}')" for w in (n, *ws))) for n, ws in _PLAN.aliases.items()])}) as terms, {_LIST([(n, _IN(ws)) for n, ws in _PLAN.topics.items()])} as topics, {_IN(_PLAN.procedures)} as act from u),
+w as (select *, list_filter(terms, lambda x: not contains(q, x)) as new, {_LIST([("complex_intent_marker", _IN(_PLAN.complex)), ("cross_topic", "len(topics) > 1"), ("long_query", "length(q) > 45"), ("actionable_procedure", f"act and {_IN(_PLAN.asking)}")])} as why from t),
+p as (select *, case when len(new) > 0 then q || ' (terms: ' || array_to_string(new, ', ') || ')' else q end as rewritten, coalesce(forced, case when len(why) > 0 then 'FULL' else 'FAST' end) as path, list_sort(list_filter(list_concat(why, ['user_selected_' || lower(forced)]), lambda x: x is not null)) as reasons from w),
+c as (select *, case when path = 'FULL' then list_filter(list_transform(regexp_split_to_array(q, '\.\s|\n|;'), lambda s: regexp_replace(s, '^[ ?,.]+|[ ?,.]+$', '', 'g')), lambda s: length(s) >= 3) else [rewritten] end as parts, coalesce(terms[1], q) as subject from p),
+a as (select *, list_filter([case when {_IN(("er",))} then subject || ' and who may' end, case when {_IN(("in",))} then subject || ' and its papers' end, case when {_IN(("ti",))} then subject || ' and its day' end], lambda x: x is not null) as asp from c),
+s as (select *, (case when path = 'FULL' and act and len(parts) = 1 then case when len(asp) > 0 then asp else [subject || ' and its steps'] end else parts end)[1:4] as subs from a)
+select conv_id, turn, path, array_to_string(reasons, ',') as reasons, array_to_string(topics, ',') as topics, array_to_string(terms, ',') as terms, case when len(subs) > 0 then len(list_distinct(subs)) else 1 end::bigint as n_subqueries, sha256(case when len(subs) > 0 then subs[1] else rewritten end) as first_sha256, act as wants_action, {_IN(_PLAN.current)} as current_only from s""")
 def r14(spark, sf_dir):
-    from ..operators.planning import plan_queries
+    """Plans by a lexicon of the driver's language; fixtures test one of Han words."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("id"), "text", F.when(F.col("conv_id") % 6 == 0, "fast").when(F.col("conv_id") % 6 == 1, "full").alias("forced"))
+    out = PL.plan_queries(rows, "id", "text", _PLAN, "forced")
+    return out.select("id.conv_id", "id.turn", "path", *[F.array_join(c, ",").alias(c) for c in ("reasons", "topics", "terms")], F.size("subqueries").cast("long").alias("n_subqueries"), F.sha2(F.element_at("subqueries", 1), 256).alias("first_sha256"), "wants_action", "current_only")
 
-    rows = table(spark, sf_dir, "conversations").where("role = 'user' and turn = 1")
-    return plan_queries(rows, "conv_id", "text").select("conv_id", "path", F.array_join("reasons", ",").alias("reasons"), F.size("subqueries").cast("long").alias("n_subqueries"))
 
+#: Rules of understanding: a name, what a query says, and what is added to it.
+_RULES = [("who", r"(?i)\bwh", ("person", "name")), ("when", r"(?i)\bat\b", ("date", "name")), ("digit", r"\d", ("number",)), ("ing", r"ing\b", ("action",)), ("no", r"(?i)zzzz", ("never",))]
 
-@query("r15_query_understanding", "with u as (select conv_id, turn, text, lag(text, 1) over w as p1, lag(text, 2) over w as p2 from conversations where role = 'user' window w as (partition by conv_id order by turn)) select conv_id, turn, p1 is not null and length(text) < 80 as needs_context, sha256(case when p1 is not null and length(text) < 80 then coalesce(p2 || ' ', '') || p1 || ' ' || text else text end) as effective_sha256 from u")
-def r15(spark, sf_dir):
-    from ..operators.planning import with_context
 
-    out = with_context(table(spark, sf_dir, "conversations").where("role = 'user'"), "conv_id", "turn", "text", 2, 80)
-    return out.select("conv_id", "turn", "needs_context", F.sha2("effective", 256).alias("effective_sha256"))
+@query("r15_query_understanding", "with u as (select conv_id, turn, text, lag(text, 1) over w as p1, lag(text, 2) over w as p2 from conversations where role = 'user' window w as (partition by conv_id order by turn)), e as (select *, p1 is not null and length(text) < 80 as needs, case when p1 is not null and length(text) < 80 then coalesce(p2 || ' ', '') || p1 || ' ' || text else text end as eff from u), k as (select *, list_filter([" + ", ".join(f"case when regexp_matches(eff, '{p}') then '{n}' end" for n, p, _ in _RULES) + "], lambda x: x is not null) as rules, list_filter([" + ", ".join(f"case when regexp_matches(eff, '{p}') and not contains(eff, '{w}')" + "".join(f" and not regexp_matches(eff, '{o}')" for m, o, ws in _RULES[:i] if w in ws) + f" then '{w}' end" for i, (_, p, add) in enumerate(_RULES) for w in add) + "], lambda x: x is not null) as more from e) select conv_id, turn, needs as needs_context, array_to_string(rules, ',') as rules, sha256(case when len(more) > 0 then eff || ' ' || array_to_string(more, ' ') else eff end) as effective_sha256 from k")
+def r15(spark, sf_dir):
+    """A short query takes up to two earlier ones before it; each rule that it meets adds its words, once."""
+    out = PL.with_context(table(spark, sf_dir, "conversations").where("role = 'user'"), "conv_id", "turn", "text", 2, 80)
+    names, effective = PL.expanded(F.col("effective"), _RULES)
+    return out.select("conv_id", "turn", "needs_context", F.array_join(names, ",").alias("rules"), F.sha2(effective, 256).alias("effective_sha256"))
 
 
 @query("r16_router", r"with s as (select conv_id, turn, 3 * len(regexp_extract_all(lower(text), '\b(?:today|latest|news)\b')) as web, 2 * len(regexp_extract_all(lower(text), '\b(?:pdf|file|document)\b')) as file, len(regexp_extract_all(lower(text), '\d+')) as math from conversations where role = 'user') select conv_id, turn, case when greatest(web, file, math) < 2 then 'local' when web = greatest(web, file, math) then 'web' when file = greatest(web, file, math) then 'file' else 'math' end as route from s")
 def r16(spark, sf_dir):
-    from ..operators.planning import route
-
     rules = {"web": (r"\b(?:today|latest|news)\b", 3), "file": (r"\b(?:pdf|file|document)\b", 2), "math": (r"\d+", 1)}
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", route(F.col("text"), rules, 2, "local").alias("route"))
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", PL.route(F.col("text"), rules, 2, "local").alias("route"))
+
+
+_ORDERED = [("LOCAL_PUBLIC", "whou|onon"), ("ACADEMIC_RETRIEVAL", r"thint|\d"), ("GENERAL_WEB", "thand")]
+
+
+@query("r16_keyword_router", "select conv_id, turn, case when regexp_matches(low, '^[0-9]+[-+*/][0-9]+$') then 'NO_WEB_NEEDED' " + " ".join(f"when regexp_matches(low, '{p}') then '{n}'" for n, p in _ORDERED) + " when length(low) < 4 then 'UNCERTAIN' else 'GENERAL_WEB' end as route from (select conv_id, turn, case when turn % 7 = 0 then '12*3' when turn % 5 = 0 then 'ab' else trim(lower(text)) end as low from conversations)")
+def r16_keyword(spark, sf_dir):
+    text = F.when(F.col("turn") % 7 == 0, "12*3").when(F.col("turn") % 5 == 0, "ab").otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", PL.keyword_route(text, _ORDERED).alias("route"))
+
+
+_HAS = lambda ws: "(" + " + ".join(f"contains(low, '{w}')::int" for w in ws) + ")"
+_SUBJECTS, _TASKS, _HERE, _NOW = {"a": ("whou", "tily"), "b": ("thint",)}, ("thand", "ouing"), ("onon", "haer"), ("erha", "anor")
+
+
+@query("r16_intent_router", f"""with l as (select conv_id, turn, trim(lower(text)) as low from conversations), c as (select *, 2 * ({_HAS(_SUBJECTS['a'])} + {_HAS(_SUBJECTS['b'])}) as dom, {_HAS(_TASKS)} as task, case when regexp_matches(low, '\\d') then 3 else 0 end + case when regexp_matches(low, 'select|def ') then 3 else 0 end as form, 3 * {_HAS(_HERE)} as here, 2 * {_HAS(_NOW)} as now from l),
+s as (select *, dom + least(6, 2 * task) + form as academic from c), k as (select *, academic >= 3 and (dom >= 2 or form > 0 or task >= 1) as aca, list_reverse_sort([academic, here, greatest(1, now)]) as r from s)
+select conv_id, turn, case when now > 0 and here < 3 and task = 0 and form = 0 then 'GENERAL_WEB' when aca then 'ACADEMIC_RETRIEVAL' when here >= 3 and not (aca and task > 0) then 'LOCAL_PUBLIC' else 'GENERAL_WEB' end as mode, academic::bigint as academic, here::bigint as local, now::bigint as current, (r[1] - r[2])::bigint as margin from k""")
+def r16_intent(spark, sf_dir):
+    r = PL.intent_route(F.col("text"), _SUBJECTS, _TASKS, r"\d", "select|def ", _HERE, _NOW)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", r.alias("r")).select("conv_id", "turn", "r.mode", *[F.col(f"r.{c}").cast("long").alias(c) for c in ("academic", "local", "current", "margin")])
+
+
+@query("r16_file_router", r"""with u as (select conv_id, turn, lower(text) as low, case turn % 4 when 1 then 'a.pdf' when 2 then 'b.XLSX' when 3 then 'notes.txt' end as up from conversations), k as (select *, up is not null or regexp_matches(low, 'whou|onon') as want, case when regexp_matches(low, 'thint') then 'pptx' when regexp_matches(low, 'sheet') then 'xlsx' when regexp_matches(low, 'qqq') then 'docx' when regexp_matches(low, 'pdf') then 'pdf' when up = 'a.pdf' then 'pdf' when up = 'b.XLSX' then 'xlsx' else 'docx' end as f, case when up is not null and regexp_matches(low, 'tion') and not regexp_matches(low, 'ouing') then 'read' when up is not null and regexp_matches(low, 'thand') then 'create' when up is not null or regexp_matches(low, 'ouing') then 'modify' else 'create' end as a from u)
+select conv_id, turn, case when want then 'file_tool' else 'rag_qa' end as route, case when want then a end as action, case when want then f end as format, case when want then case f when 'docx' then 'word_file_tool' when 'xlsx' then 'excel_file_tool' when 'pptx' then 'powerpoint_file_tool' else 'pdf_file_tool' end end as tool from k""")
+def r16_file(spark, sf_dir):
+    t = F.col("turn") % 4
+    upload = F.when(t == 1, "a.pdf").when(t == 2, "b.XLSX").when(t == 3, "notes.txt")
+    r = PL.file_route(F.col("text"), upload, {"pptx": ("thint",), "xlsx": ("sheet",), "docx": ("qqq",), "pdf": ("pdf",)}, ("whou", "onon"), ("tion",), ("ouing",), ("thand",))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", r.alias("r")).select("conv_id", "turn", "r.*")
 
 
 @query("r17_evidence_blocks", f"with {_BM25}, r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from hits) select query_id, sha256(string_agg('[' || rank || '] ' || text, chr(10) || '---' || chr(10) order by rank)) as evidence_sha256 from r join documents d on d.doc_id = r.id where rank <= 5 group by 1")
