@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.lexicons import NEARNESS, SUBJECTS, TITLE_AUDIENCES
 from .pages import first_rule
 
 #: When a point counts as supported, partly supported, or related at all.
@@ -184,6 +187,110 @@ def verdicts(df: DataFrame, by: list[str], score: str, part: str, ties: list[str
     return rows.select(*by, "first", union.alias("union_score"), label.alias("label"))
 
 
+def core_relevant(query: Column, title: Column, text: Column, groups=SUBJECTS, audiences: tuple[str, ...] = TITLE_AUDIENCES, nearness: dict = NEARNESS) -> Column:
+    """Whether evidence is of the question's subject.
+
+    Its title names no audience that the question doesn't; it names a subject of each group that the question does; and where the question asks for what
+    `nearness` says, one of its subjects and one of its actions begin within so many characters of each other.
+    """
+    whole = F.concat(title, F.lit("\n"), text)
+    any_of = lambda x, ws: x.rlike("|".join(map(re.escape, ws)))
+    fits = F.lit(True)
+    for a in audiences:
+        fits = fits & (~F.contains(title, F.lit(a)) | F.contains(query, F.lit(a)))
+    for asked, shown in groups:
+        fits = fits & (~any_of(query, asked) | any_of(whole, shown))
+    words = lambda k: "|".join(map(re.escape, nearness[k]))
+    close = lambda a, b: whole.rlike(f"(?s)(?=(?:{a})).{{0,{nearness['within']}}}?(?=(?:{b}))")
+    return fits & (~any_of(query, nearness["asked"]) | close(words("subjects"), words("actions")) | close(words("actions"), words("subjects")))
+
+
+#: The features of the learned gate, in their order.
+FEATURES = ("query_chars", "n_points", "n_evidence", "log_chars", "longest", "shortest", "navigation", "query_score", "best_point", "worst_point", "mean_point", "all_short", "one_for_many", "title_score", "attribute_score")
+
+
+def learned_gate(train: DataFrame, rows: DataFrame, label: str, threshold: float, trees: int = 96, depth: int = 5, seed: int = 7) -> DataFrame:
+    """rows with p_sufficient and decision: a random forest over `FEATURES`, fitted on `train`, whose `label` is 0 (insufficient), 1 (partial) or 2 (sufficient).
+
+    SUFFICIENT from `threshold` on, else the likelier of the others. Rows weigh inversely to how often their label occurs.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    n = train.groupBy(label).agg(F.count("*").alias("_n"))
+    weighed = train.join(F.broadcast(n), label).withColumn("_w", 1 / F.col("_n")).withColumn(label, F.col(label).cast("double"))  # three rows at most
+    forest = RandomForestClassifier(featuresCol="_x", labelCol=label, weightCol="_w", numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y")
+    model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="_x"), forest]).fit(weighed)
+    p = lambda i: F.coalesce(F.get(vector_to_array("_p"), i), F.lit(0.0))
+    decision = F.when(p(2) >= threshold, "SUFFICIENT").when(p(1) >= p(0), "PARTIAL").otherwise("INSUFFICIENT")
+    return model.transform(rows).select(*rows.columns, F.round(p(2), 6).alias("p_sufficient"), decision.alias("decision"))
+
+
+RELATIONS = ("ENTAILED", "PARTIAL", "NOT_FOUND", "CONTRADICTED")
+
+
+def matrix_fault(points: Column, matrix: Column, spans: Column, most: int = 3) -> Column:
+    """Why a support matrix isn't valid; null if it is. points: ids; matrix: structs of point, relation, spans, attribute_match, score, directness; spans: the ids there are."""
+    each = lambda f: F.forall(matrix, f)
+    owners = F.transform(matrix, lambda m: m["point"])
+    share = lambda x: x.isNotNull() & x.between(0, 1)
+    return first_rule([
+        ("point_matrix_count", ~F.size(points).between(1, most) | (F.size(matrix) != F.size(points))), ("point_ids", (F.size(F.array_distinct(points)) != F.size(points)) | ~F.forall(points, lambda p: p.rlike(f"^P[1-{most}]$"))),
+        ("matrix_point_ids", (F.size(F.array_distinct(owners)) != F.size(owners)) | (F.size(F.array_except(owners, points)) > 0)), ("relation", ~each(lambda m: F.coalesce(m["relation"].isin(*RELATIONS), F.lit(False)))),
+        ("span_reference", ~each(lambda m: F.size(F.array_except(m["spans"], spans)) == 0)), ("attribute_match", ~each(lambda m: m["attribute_match"].isNotNull())), ("scores", ~each(lambda m: share(m["score"]) & share(m["directness"]))),
+    ], None)
+
+
+def matrix_features(df: DataFrame, key: list[str], point: str, relation: Column, score: Column, attribute: Column, direct: Column) -> DataFrame:
+    """What the gate sees of a support matrix with a row for each point: counts and shares of relations, and the scores' least, mean and spread."""
+    # means of two numbers of six digits lie halfway: the summand makes all engines round them up
+    rows = df.select(*key, point, relation.alias("r"), score.alias("s"), attribute.alias("a"), direct.alias("d"))
+    n = F.count("*")
+    of = lambda name: F.count_if(F.col("r") == name)
+    return rows.groupBy(*key).agg(
+        n.alias("points"), *[of(x).alias(x.lower()) for x in RELATIONS], *[F.round(of(x) / n, 6).alias(f"{x.lower()}_share") for x in RELATIONS[:3]], F.round(F.count_if("a") / n, 6).alias("attribute_share"),
+        F.round(F.min("s"), 6).alias("least_score"), F.round(F.avg("s") + 1e-9, 6).alias("mean_score"), F.round(F.stddev_pop("s") + 1e-9, 6).alias("score_spread"), F.round(F.avg("d") + 1e-9, 6).alias("mean_directness"), F.every(F.col("d") >= 0.7).alias("all_direct"),
+    )
+
+
+def swap_anchors(df: DataFrame, id_col: str, text: Column, entities: list[tuple[str, str]]) -> DataFrame:
+    """(id, kind, premise, hypothesis): each text with itself, and with a number, a day or an hour, or an entity of it exchanged, where it has one.
+
+    A number grows by 10 below 100, else by 1; the first day, month, year's part or hour becomes 20, or 10 if it is 20. entities: pairs of like names that stand for each other.
+    """
+    rows = df.select(id_col, text.alias("premise"))
+    number, moment = r"(\d+(?:\.\d+)?)", r"(\d{1,2})(?=\s*[月日时点:])"
+    old = lambda p: F.regexp_extract("premise", p, 1)
+    put = lambda p, new: F.concat(F.substring("premise", F.lit(1), F.regexp_instr("premise", F.lit(p)) - 1), new, F.substring("premise", F.regexp_instr("premise", F.lit(p)) + F.char_length(old(p)), F.char_length("premise")))
+    value = old(number).try_cast("double")
+    swaps = [F.struct(F.lit("POSITIVE").alias("kind"), F.col("premise").alias("hypothesis"))]
+    swaps.append(F.when(old(number) != "", F.struct(F.lit("NUMERIC_SWAP").alias("kind"), put(number, (F.floor(value) + F.when(value < 100, 10).otherwise(1)).cast("long").cast("string")).alias("hypothesis"))))
+    swaps.append(F.when(old(moment) != "", F.struct(F.lit("TEMPORAL_SWAP").alias("kind"), put(moment, F.when(old(moment) == "20", "10").otherwise("20")).alias("hypothesis"))))
+    swapped = F.coalesce(*[F.when(F.contains("premise", F.lit(a)), F.regexp_replace("premise", f"(?s)^(.*?){re.escape(a)}", "$1" + b)) for a, b in entities]) if entities else F.lit(None).cast("string")
+    swaps.append(F.when(swapped.isNotNull(), F.struct(F.lit("ENTITY_SWAP").alias("kind"), swapped.alias("hypothesis"))))
+    return rows.select(id_col, "premise", F.explode(F.array_compact(F.array(*swaps))).alias("x")).select(id_col, "x.kind", "premise", "x.hypothesis")
+
+
+def verifier_check(df: DataFrame, kind: str, score: str, thresholds: tuple[float, ...], margin: float = 0.1, sensitivity: float = 0.8) -> DataFrame:
+    """One row: whether a verifier tells positives from swaps, and the threshold to use.
+
+    It does if the medians lie `margin` apart and, of each kind of swap, a share of `sensitivity` lies below the positives' median. The threshold is the least that a tenth of
+    positives at most and a twentieth of swaps at most miss; the greatest, if none is.
+    """
+    positive = F.col(kind) == "POSITIVE"
+    mid = df.where(positive).agg(F.percentile(score, 0.5).alias("positive_median"), F.percentile(score, 0.1).alias("p10"), F.count("*").alias("positives"))
+    swaps = df.where(~positive)
+    far = swaps.agg(F.percentile(score, 0.5).alias("swap_median"), F.percentile(score, 0.95).alias("n95"), F.count("*").alias("swaps"))
+    rates = swaps.join(F.broadcast(mid)).groupBy(kind).agg(F.avg((F.col("positive_median") > F.col(score)).cast("double")).alias("rate")).agg(F.min("rate").alias("least_rate"))
+    one = mid.join(F.broadcast(far)).join(F.broadcast(rates))  # a row each
+    fits = F.filter(F.array(*map(F.lit, sorted(thresholds))), lambda x: (F.col("p10").isNull() | (x <= F.col("p10"))) & (F.col("n95").isNull() | (x > F.col("n95"))))
+    gap = F.col("positive_median") - F.col("swap_median")
+    sound = F.coalesce((gap >= margin) & (F.col("least_rate") >= sensitivity), F.lit(False))
+    return one.select("positives", "swaps", *[F.round(c, 6).alias(c) for c in ("positive_median", "swap_median", "least_rate")], sound.alias("reliable"), F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(max(thresholds))).alias("threshold"))
+
+
 def calibrate(df: DataFrame, score: str, truth: str, steps: int = 100) -> DataFrame:
     """(threshold, f1): the threshold on a grid whose F1 is best, ties to the lower one; one pass over counts by step."""
     at = df.select(F.least(F.lit(steps - 1), F.floor(F.col(score) * steps)).cast("int").alias("s"), F.col(truth).cast("int").alias("y")).groupBy("s").agg(F.sum("y").alias("p"), F.count("*").alias("n"))

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .rounds import keep
+
 
 def seeded(seed: str, x: Column) -> Column:
     return F.sha2(F.concat(F.lit(seed + ":"), x.cast("string")), 256)
@@ -78,3 +80,14 @@ def context_before(df: DataFrame, by: str, order: str, text: str) -> DataFrame:
     """context: the texts before a row, joined."""
     w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return df.withColumn("context", F.array_join(F.collect_list(text).over(w), "\n"))
+
+
+def ranks(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """The rank of each row, from 1, in the order of all rows, without a window that takes all of them.
+
+    Rows are dealt by ranges and sorted; each part counts its own, and begins where those before it end. Ties come as the order leaves them, so it should leave none.
+    """
+    placed = keep(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_at") + F.col("_before") + 1).drop("_part", "_at", "_before")

@@ -231,3 +231,14 @@ def w18(spark, sf_dir):
 
     order = [F.desc(F.col("lang") == "en"), F.desc(F.col("n_chars") > 1000), F.desc(F.contains("text", F.lit("."))), F.asc("doc_id")]
     return _docs(spark, sf_dir).select("doc_id", F.row_number().over(W.partitionBy("source").orderBy(*order)).cast("long").alias("place"))
+
+
+@query("w1_full_ranks", "select doc_id, row_number() over (order by n_chars desc, doc_id) as rank from documents")
+def w1(spark, sf_dir):
+    return P.ranks(_docs(spark, sf_dir).select("doc_id", "n_chars"), [F.desc("n_chars"), F.asc("doc_id")], "rank").select("doc_id", "rank")
+
+
+@query("w15_top_k", "select doc_id, n_chars from documents order by n_chars desc, doc_id limit 25")
+def w15(spark, sf_dir):
+    """The first 25 of all; Spark keeps 25 a partition and sorts no more."""
+    return _docs(spark, sf_dir).select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(25)

@@ -9,6 +9,7 @@ from ..operators import evidence as E
 from ..operators import metadata as M
 from ..operators import search as S
 from ..operators.pages import all_rules, first_rule
+from ..operators.rounds import keep
 from .registry import query, table
 from .retrieval import _BM25, _top
 from .text import _SENTENCES
@@ -98,9 +99,17 @@ def e7(spark, sf_dir):
     return items.join(top, "item_id").join(docs, "id").select("item_id", "id", F.size("es").cast("long").alias("n_entities"), F.size(F.filter("es", lambda x: F.contains("text", x))).cast("long").alias("present"))
 
 
-@query("e8_term_proximity", r"select doc_id, regexp_matches(text, '(?is)(?:license).{0,120}?(?:token)|(?:token).{0,120}?(?:license)') as near from documents")
+_ABOUT = ((("the",), ("the", "und")), (("est",), ("est",)))
+_CLOSE = {"asked": ("on",), "subjects": ("est",), "actions": ("the",), "within": 120}
+
+
+@query("e8_eligibility", f"with {_SPAN}, m as ({M.META_SQL}) select item_id, id, authority_level <> 'unverified' and not (contains(title, 'En') and not contains(b.text, 'En')) and (not regexp_matches(b.text, 'the') or regexp_matches(x, 'the|und')) and (not regexp_matches(b.text, 'est') or regexp_matches(x, 'est')) and (not regexp_matches(b.text, 'on') or regexp_matches(x, '(?s)est.{{0,117}}the|the.{{0,117}}est')) as eligible from (select item_id, id, authority_level, title, title || chr(10) || m.text as x from top join m on m.doc_id = id) t join benchmark b using (item_id)")
 def e8(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", E.near(F.col("text"), "license", "token", 120).alias("near"))
+    """Evidence that may count: of some standing, of the question's subject, and near enough; by words of the driver's languages."""
+    meta = M.sources(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), "title", "text", "authority_level")
+    rows = _five(spark, sf_dir).join(meta, "id").join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q")), "item_id")
+    fits = E.core_relevant(F.col("q"), F.col("title"), F.col("text"), _ABOUT, ("En",), _CLOSE)
+    return rows.select("item_id", "id", ((F.col("authority_level") != "unverified") & fits).alias("eligible"))
 
 
 @query("e9_policy_conflicts", f"""
@@ -138,9 +147,43 @@ def e13(spark, sf_dir):
     return _best(spark, sf_dir).select("item_id", "point_no", F.array_join(E.rescue(F.col("best"), F.col("best") * 2, F.col("point_no") > 3), ",").alias("reasons"))
 
 
-@query("e14_gate_features", f"with {_SCORED} select item_id, count(distinct point_no) as n_points, round(max(score), 6) as top_score, round(avg(score), 3) as mean_score, count(*) filter (where score >= {E.PARTIAL}) as n_partial from scored group by 1")
+def _features(spark, sf_dir):
+    """A row of `E.FEATURES` for each item, over the whole texts of its five best documents."""
+    docs = M.sources(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.char_length("text").alias("n"), F.regexp_count("text", F.lit(r"\|")).alias("nav"), "title")
+    five = _five(spark, sf_dir).join(docs, "id").groupBy("item_id").agg(F.count("*").alias("n_evidence"), F.round(F.log1p(F.sum("n")), 6).alias("log_chars"), F.max("n").alias("longest"), F.min("n").alias("shortest"), F.sum("nav").alias("navigation"), F.max((F.col("n") > 310).cast("int")).alias("long"), F.concat_ws(" ", F.sort_array(F.collect_list("title"))).alias("titles"))
+    points = _best(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_points"), F.max("best").alias("best_point"), F.min("best").alias("worst_point"), F.round(F.avg("best"), 6).alias("mean_point"))
+    whole = _spans(spark, sf_dir).groupBy("item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("shared")))).alias("u"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.char_length("text").alias("query_chars"), T.content_grams(F.col("text")).alias("ig"), F.size(E.attributes(F.col("text"))).alias("asked"))
+    rows = items.join(points, "item_id").join(five, "item_id").join(whole, "item_id", "left")
+    n = F.greatest(F.lit(1), F.size("ig"))
+    return rows.select(
+        "item_id", "query_chars", "n_points", "n_evidence", "log_chars", "longest", "shortest", "navigation", F.round(F.coalesce("u", F.lit(0)) / n, 6).alias("query_score"), "best_point", "worst_point", "mean_point",
+        ((F.col("n_evidence") > 1) & (F.col("long") == 0)).cast("int").alias("all_short"), ((F.col("n_evidence") == 1) & (F.col("n_points") > 1)).cast("int").alias("one_for_many"), F.round(T.coverage(F.col("ig"), T.content_grams(F.col("titles"))), 6).alias("title_score"),
+        F.round(F.coalesce("u", F.lit(0)) / n * (F.col("asked") > 0).cast("int"), 6).alias("attribute_score"),
+    )
+
+
+_FIVE = f"five as (select item_id, count(*) as n_evidence, round(ln(1 + sum(n)), 6) as log_chars, max(n) as longest, min(n) as shortest, sum(nav)::bigint as navigation, max((n > 310)::int) as long, string_agg(title, ' ' order by title) as titles from (select item_id, length(text) as n, len(regexp_extract_all(text, '\\|')) as nav, title from top join ({M.META_SQL}) m on m.doc_id = id) group by 1)"
+
+
+def _e14_sql() -> str:
+    shared = f", ig as (select item_id, length(text) as query_chars, len({_attr('text')}) as asked, {_GRAMS.format(c='c')} as g from (select *, {_G.format('text')} as c from benchmark)), wh as (select item_id, len(list_distinct(flatten(list(list_intersect(ig.g, span.g))))) as u from ig join top using (item_id) join span using (id) group by 1)"
+    rows = f", pt as (select item_id, count(*) as n_points, max(best) as best_point, min(best) as worst_point, round(avg(best), 6) as mean_point from best group by 1), tg as (select item_id, {_GRAMS.format(c='c')} as g from (select item_id, {_G.format('titles')} as c from five))"
+    return f"with {_STATUS}, {_FIVE}{shared}{rows} select item_id, query_chars, n_points, n_evidence, log_chars, longest, shortest, navigation, round(coalesce(u, 0) / greatest(1, len(ig.g)), 6) as query_score, best_point, worst_point, mean_point, (n_evidence > 1 and long = 0)::int as all_short, (n_evidence = 1 and n_points > 1)::int as one_for_many, round(len(list_intersect(ig.g, tg.g)) / greatest(1, len(ig.g)), 6) as title_score, round(coalesce(u, 0) / greatest(1, len(ig.g)) * (asked > 0)::int, 6) as attribute_score from ig join pt using (item_id) join five using (item_id) join tg using (item_id) left join wh using (item_id)"
+
+
+@query("e14_gate_features", _e14_sql())
 def e14(spark, sf_dir):
-    return _scored(spark, sf_dir).groupBy("item_id").agg(F.count_distinct("point_no").alias("n_points"), F.round(F.max("score"), 6).alias("top_score"), F.round(F.avg("score"), 3).alias("mean_score"), F.count_if(F.col("score") >= E.PARTIAL).alias("n_partial"))
+    return _features(spark, sf_dir)
+
+
+@query("e14_learned_gate")
+def e14_gate(spark, sf_dir):
+    """A forest over the features, fitted on the even items; what it takes for truth is the rule's own decision, as the driver has no other. No SQL grows trees; a fixture tests it."""
+    truth = E.query_decision(_best(spark, sf_dir), "item_id", "status", F.lit(False)).select("item_id", F.when(F.col("decision") == "SUFFICIENT", 2).when(F.col("decision") == "PARTIAL", 1).otherwise(0).alias("label"))
+    rows = keep(_features(spark, sf_dir).join(truth, "item_id"))
+    out = E.learned_gate(rows.where("item_id % 2 = 0"), rows.where("item_id % 2 = 1"), "label", 0.5)
+    return out.select("item_id", "label", "decision", "p_sufficient")
 
 
 @query("e15_payload_invariants", f"with {_STATUS}, s as (select item_id, count(*) filter (where status = 'SUPPORTED') as n, count(*) filter (where status = 'MISSING') as m, count(*) as asked from best group by 1) select item_id, (n = asked) = (n > 0 and n = asked and m = 0) as consistent, n + m <= asked as bounded from s")
@@ -157,11 +200,33 @@ def e16(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_join(F.slice(slots, 1, 3), ",").alias("missing"))
 
 
-@query("e17_support_matrix", f"with {_SCORED}, r as (select *, row_number() over (partition by item_id order by score desc, id, span_no, point_no) as n from scored), k as (select * from r where n <= 8) select item_id, count(*) filter (where score >= {E.SUPPORTED}) as supports, count(*) filter (where score >= {E.PARTIAL} and score < {E.SUPPORTED}) as partials, round(avg(score), 6) as mean_score, min(score) as least_score from k group by 1")
+_MATRIX = f"mt as (select item_id, point_no, case when item_id % 19 = 0 and point_no = 1 then 'CONTRADICTED' when best >= {E.SUPPORTED} then 'ENTAILED' when best >= {E.PARTIAL} then 'PARTIAL' else 'NOT_FOUND' end as r, best as s, best >= 0.3 as a, least(1.0, best + 0.1) as d from best where point_no <= 3)"
+
+
+@query("e17_support_matrix", f"with {_STATUS}, {_MATRIX} select item_id, count(*) as points, " + ", ".join(f"count(*) filter (where r = '{x}') as {x.lower()}" for x in E.RELATIONS) + ", " + ", ".join(f"round(count(*) filter (where r = '{x}') / count(*), 6) as {x.lower()}_share" for x in E.RELATIONS[:3]) + ", round(count(*) filter (where a) / count(*), 6) as attribute_share, round(min(s), 6) as least_score, round(avg(s) + 1e-9, 6) as mean_score, round(stddev_pop(s) + 1e-9, 6) as score_spread, round(avg(d) + 1e-9, 6)::double as mean_directness, bool_and(d >= 0.7) as all_direct from mt group by 1")
 def e17(spark, sf_dir):
+    """Features of a support matrix with a row for each of three points at most."""
+    best = _best(spark, sf_dir).where("point_no <= 3")
+    relation = F.when((F.col("item_id") % 19 == 0) & (F.col("point_no") == 1), "CONTRADICTED").when(F.col("best") >= E.SUPPORTED, "ENTAILED").when(F.col("best") >= E.PARTIAL, "PARTIAL").otherwise("NOT_FOUND")
+    return E.matrix_features(best, ["item_id"], "point_no", relation, F.col("best"), F.col("best") >= 0.3, F.least(F.lit(1.0), F.col("best") + 0.1))
+
+
+@query("e17_top_spans", f"with {_SCORED}, r as (select *, row_number() over (partition by item_id order by score desc, id, span_no, point_no) as n from scored) select item_id, n as rank, id, span_no, point_no, score from r where n <= 8")
+def e17_spans(spark, sf_dir):
     top = S.top_k(_scored(spark, sf_dir), ["item_id"], [F.desc("score"), F.asc("id"), F.asc("span_no"), F.asc("point_no")], 8)
-    s = F.col("score")
-    return top.groupBy("item_id").agg(F.count_if(s >= E.SUPPORTED).alias("supports"), F.count_if((s >= E.PARTIAL) & (s < E.SUPPORTED)).alias("partials"), F.round(F.avg("score"), 6).alias("mean_score"), F.min("score").alias("least_score"))
+    return top.select("item_id", F.col("rank").cast("long").alias("rank"), "id", "span_no", "point_no", "score")
+
+
+@query("e17_matrix_validation", """with c as (select item_id, item_id % 8 as k from benchmark) select item_id, case when k = 1 then 'point_matrix_count' when k = 2 then 'point_ids' when k = 3 then 'matrix_point_ids' when k = 4 then 'relation' when k = 5 then 'span_reference' when k = 6 then 'attribute_match' when k = 7 then 'scores' end as fault from c""")
+def e17_faults(spark, sf_dir):
+    """Matrices with one fault each, planted by the item's number."""
+    k = F.col("item_id") % 8
+    row = lambda p, r, sp, a, x: F.struct(p.alias("point"), r.alias("relation"), F.array(sp).alias("spans"), a.alias("attribute_match"), x.alias("score"), F.lit(0.5).alias("directness"))
+    first = row(F.lit("P1"), F.when(k == 4, "MAYBE").otherwise("ENTAILED"), F.when(k == 5, "S9").otherwise("S1"), F.when(k != 6, True), F.when(k == 7, 1.5).otherwise(0.9))
+    second = row(F.when(k == 3, "P1").otherwise(F.when(k == 2, "Q2").otherwise("P2")), F.lit("PARTIAL"), F.lit("S2"), F.lit(False), F.lit(0.2))
+    points = F.array(F.lit("P1"), F.when(k == 2, "Q2").otherwise("P2"))
+    matrix = F.when(k == 1, F.array(first)).otherwise(F.array(first, second))
+    return table(spark, sf_dir, "benchmark").select("item_id", E.matrix_fault(points, matrix, F.array(F.lit("S1"), F.lit("S2"))).alias("fault"))
 
 
 @query("p1_contract_validation", f"with {_SPAN} select item_id, case when count(*) <> 5 then 'WRONG_COUNT' when count(distinct id) <> count(*) then 'REPEATED_ID' when bool_or(id not in (select doc_id from documents)) then 'UNKNOWN_ID' end as error_code from top group by 1")
@@ -309,10 +374,34 @@ def p13(spark, sf_dir):
     return E.verdicts(_spans(spark, sf_dir), ["item_id"], "score", "shared", ["id", "span_no"])
 
 
-@query("p14_threshold_calibration", "with a as (select least(99, floor(n_chars / 20000.0 * 100))::int as s, quality as y from labels join documents using (doc_id)), g as (select s::int as s from range(0, 100) t(s)), c as (select s, coalesce(sum(y), 0) as p, count(y) as n from g left join a using (s) group by 1), t as (select s, sum(p) over w as tp, sum(n) over w as named, sum(p) over () as total from c window w as (order by s desc)) select s / 100.0::double as threshold, case when named + total > 0 then round(2 * tp / (named + total), 6) else 0 end as f1 from t order by f1 desc, s limit 1")
+_ENT = [("src1", "src2"), ("src2", "src3"), ("src3", "src1")]
+#: Sentences with a number, a time and a name, as the driver's tables give them.
+_ANCHORED = "a as (select event_id, case when event_id % 4 = 0 then 'no facts at all' else 'at ' || strftime(ts, '%H') || ':' || strftime(ts, '%M') || ' the source src' || event_id % 5 || ' sold ' || floor(value)::int || ' parts' end as t from events), sw as (select event_id, 'POSITIVE' as kind, t as p, t as h from a union all select event_id, 'NUMERIC_SWAP', t, regexp_replace(t, '[0-9]+', case when regexp_extract(t, '[0-9]+')::int < 100 then (regexp_extract(t, '[0-9]+')::int + 10)::varchar else (regexp_extract(t, '[0-9]+')::int + 1)::varchar end) from a where regexp_matches(t, '[0-9]') union all select event_id, 'TEMPORAL_SWAP', t, regexp_replace(t, '[0-9]{2}:', case when regexp_extract(t, '([0-9]{2}):', 1) = '20' then '10:' else '20:' end) from a where regexp_matches(t, '[0-9]{2}:') union all select event_id, 'ENTITY_SWAP', t, case when contains(t, 'src1') then regexp_replace(t, 'src1', 'src2') when contains(t, 'src2') then regexp_replace(t, 'src2', 'src3') else regexp_replace(t, 'src3', 'src1') end from a where regexp_matches(t, 'src[123]'))"
+
+
+def _anchors(spark, sf_dir):
+    i = F.col("event_id")
+    text = F.when(i % 4 == 0, "no facts at all").otherwise(F.concat(F.lit("at "), F.date_format("ts", "HH:mm"), F.lit(" the source src"), i % 5, F.lit(" sold "), F.floor("value").cast("int"), F.lit(" parts")))
+    return E.swap_anchors(table(spark, sf_dir, "events"), "event_id", text, _ENT)
+
+
+@query("p14_swap_anchors", f"with {_ANCHORED} select event_id, kind, h as hypothesis from sw")
+def p14_anchors(spark, sf_dir):
+    return _anchors(spark, sf_dir).select("event_id", "kind", "hypothesis")
+
+
+@query("p14_verifier_check", f"with {_ANCHORED}, s as (select kind, round(1 - (0.35 * (h <> p)::int + 0.004 * (event_id % 50)), 6)::double as score from sw), po as (select median(score) as pm, quantile_cont(score, 0.1) as p10, count(*) as positives from s where kind = 'POSITIVE'), ne as (select median(score) as nm, quantile_cont(score, 0.95) as n95, count(*) as swaps from s where kind <> 'POSITIVE'), ra as (select min(rate) as least_rate from (select kind, avg((pm > score)::int) as rate from s, po where kind <> 'POSITIVE' group by 1)) select positives, swaps, round(pm, 6) as positive_median, round(nm, 6) as swap_median, round(least_rate, 6) as least_rate, pm - nm >= 0.1 and least_rate >= 0.8 as reliable, coalesce((select min(t) from (values (0.5), (0.6), (0.7), (0.75), (0.9)) v(t) where t <= p10 and t > n95), 0.9)::double as threshold from po, ne, ra")
+def p14_check(spark, sf_dir):
+    """A verifier, here a made score, over texts with themselves and with facts exchanged."""
+    rows = _anchors(spark, sf_dir).withColumn("score", F.round(1 - (0.35 * (F.col("hypothesis") != F.col("premise")).cast("int") + 0.004 * (F.col("event_id") % 50)), 6))
+    return E.verifier_check(rows, "kind", "score", (0.5, 0.6, 0.7, 0.75, 0.9))
+
+
+@query("p14_threshold_calibration", f"with {_SPANS}, a as (select least(99, floor(score * 100))::int as s, (item_id % 3 > 0)::int as y from best2 where r = 1), g as (select s::int as s from range(0, 100) t(s)), c as (select s, coalesce(sum(y), 0) as p, count(y) as n from g left join a using (s) group by 1), t as (select s, sum(p) over w as tp, sum(n) over w as named, sum(p) over () as total from c window w as (order by s desc)) select s / 100.0::double as threshold, case when named + total > 0 then round(2 * tp / (named + total), 6) else 0 end as f1 from t order by f1 desc, s limit 1")
 def p14(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select((F.col("n_chars") / 20000.0).alias("score"), "quality")
-    return E.calibrate(rows, "score", "quality")
+    """The threshold on the best span's score whose F1 is best, against marks dealt by number."""
+    first = E.best_spans(_spans(spark, sf_dir), ["item_id"], 1, ["id", "span_no"]).select("score", (F.col("item_id") % 3 > 0).cast("int").alias("y"))
+    return E.calibrate(first, "score", "y")
 
 
 @query("p19_required_points")

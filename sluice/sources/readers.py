@@ -5,11 +5,14 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import strip
 
@@ -76,9 +79,16 @@ MAGIC = {"pdf": b"%PDF", "docx": b"PK\x03\x04", "xlsx": b"PK\x03\x04", "pptx": b
 
 
 def office_text(kind: str, content: bytes, longest: int = 2_000_000) -> str | None:
-    """The text of a docx, xlsx or pptx file by its XML; None for other kinds or if the file isn't what its name says."""
-    if kind not in MAGIC or not content.startswith(MAGIC[kind]) or kind == "pdf":
+    """The text of a docx, xlsx, pptx or pdf file; None for other kinds, or if the file isn't what its name says or is broken."""
+    if kind not in MAGIC or not content.startswith(MAGIC[kind]):
         return None
+    try:
+        return re.sub(r"\n{2,}", "\n", pdf_text(content) if kind == "pdf" else _xml_text(kind, content, longest)).strip()[:longest]
+    except (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, KeyError, ValueError, EOFError, RuntimeError, NotImplementedError):
+        return None
+
+
+def _xml_text(kind: str, content: bytes, longest: int) -> str:
     out, size = [], 0
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         want = {"docx": r"word/document\.xml", "pptx": r"ppt/slides/slide\d+\.xml", "xlsx": r"xl/(?:sharedStrings|worksheets/sheet\d+)\.xml"}[kind]
@@ -90,11 +100,72 @@ def office_text(kind: str, content: bytes, longest: int = 2_000_000) -> str | No
                     size += len(e.text)
                 elif tag in ("p", "row", "si"):
                     out.append("\n")
-    return re.sub(r"\n{2,}", "\n", "".join(out)).strip()[:longest]
+    return "".join(out)
+
+
+SHOWN = re.compile(rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>|\b(?:Tj|TJ|Td|TD|T\*|ET)\b|'|\"", re.S)
+
+
+def pdf_text(content: bytes) -> str:
+    """What a PDF's pages show, where streams are plain or deflated and fonts have one-byte codes: strings in the order of their operators, a line for each move."""
+    if b"%%EOF" not in content[-1024:]:
+        raise ValueError("the file ends early")
+    out = []
+    for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", content, re.S):
+        head = content[max(0, m.start() - 300) : m.start()].rpartition(b"obj")[2]
+        body = zlib.decompress(m.group(1)) if b"FlateDecode" in head else m.group(1)
+        if b"BT" not in body:
+            continue
+        held: list[str] = []
+        for t in SHOWN.findall(body):
+            if t[:1] == b"(":
+                held.append(re.sub(rb"\\(.)", lambda x: {b"n": b"\n", b"r": b"", b"t": b" "}.get(x.group(1), x.group(1)), t[1:-1], flags=re.S).decode("latin-1"))
+            elif t[:1] == b"<":
+                digits = re.sub(rb"\s", b"", t[1:-1])
+                held.append(bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("latin-1"))
+            elif t in (b"Tj", b"TJ", b"'", b'"'):
+                out += held
+                held = []
+            else:
+                out.append("\n")
+                held = []
+    return "".join(out)
+
+
+def xlsx_rows(content: bytes) -> list[tuple[int, list[str | None]]]:
+    """(row number, cells) of the first sheet; shared and inline strings resolved. Empty where the file is broken."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            names = z.namelist()
+            shared = ["".join(t.text or "" for t in si.iter() if t.tag.endswith("}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if si.tag.endswith("}si")] if "xl/sharedStrings.xml" in names else []
+            sheet = ElementTree.fromstring(z.read(min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))))
+    except (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, KeyError, ValueError, EOFError):
+        return []
+    rows = []
+    for n, row in enumerate((e for e in sheet.iter() if e.tag.endswith("}row")), 1):
+        cells: dict[int, str] = {}
+        for c in row:
+            ref = re.match(r"[A-Z]+", c.get("r", ""))
+            at = sum((ord(x) - 64) * 26**i for i, x in enumerate(reversed(ref.group()))) - 1 if ref else len(cells)
+            text = "".join(t.text or "" for t in c.iter() if t.tag.rpartition("}")[2] in ("v", "t"))
+            cells[at] = shared[int(text)] if c.get("t") == "s" and text.isdigit() and int(text) < len(shared) else text
+        rows.append((int(row.get("r", n)), [cells.get(i) for i in range(max(cells, default=-1) + 1)]))
+    return rows
+
+
+def xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row_no, cells) of the first sheets of files; `header_rows` finds their header."""
+
+    @F.pandas_udf("array<struct<n:int,cells:array<string>>>")
+    def read(x: pd.Series) -> pd.Series:
+        return x.map(lambda b: [{"n": n, "cells": cells} for n, cells in xlsx_rows(bytes(b))])
+
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.explode(read("content")).alias("r")).select("path", F.col("r.n").alias("row_no"), F.col("r.cells").alias("cells"))
 
 
 def attachments(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, bytes, sha256, magic_ok, text) of files; text is null where the kind has no reader here."""
+    """(path, kind, bytes, sha256, magic_ok, text, reason) of files; text is null where the kind has no reader here or the file is broken, and reason says which."""
     files = spark.read.format("binaryFile").load(path)
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
 
@@ -106,13 +177,17 @@ def attachments(spark: SparkSession, path: str) -> DataFrame:
     for k, m in MAGIC.items():
         ok = ok | ((F.col("kind") == k) & (F.substring("content", 1, 4) == F.lit(bytearray(m))))
     rows = files.select("path", kind.alias("kind"), "content")
-    return rows.select("path", "kind", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"), ok.alias("magic_ok"), text("kind", "content").alias("text"))
+    return rows.select("path", "kind", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"), ok.alias("magic_ok"), text("kind", "content").alias("text")).withColumn(
+        "reason", F.when(~F.col("kind").isin(*MAGIC), "NO_READER").when(~F.col("magic_ok"), "WRONG_KIND").when(F.col("text").isNull(), "BROKEN")
+    )
 
 
-def header_rows(rows: DataFrame, order: str, cells: str, key: str) -> DataFrame:
-    """Rows of cells below the first row that holds `key`, as maps by its names; blank rows go. The header is found by its place, not by a scan on the driver."""
-    head = rows.where(F.array_contains(cells, key)).agg(F.min_by(cells, order).alias("names"), F.min(order).alias("at"))
-    body = rows.join(F.broadcast(head)).where((F.col(order) > F.col("at")) & F.exists(cells, lambda c: F.coalesce(F.trim(c), F.lit("")) != ""))
+def header_rows(rows: DataFrame, order: str, cells: str, key: str, by: str | None = None) -> DataFrame:
+    """Rows of cells below the first row that holds `key`, as maps by its names; blank rows go. With `by`, each sheet has a header of its own. It is found by its place, not by a scan on the driver."""
+    first = [F.min_by(cells, order).alias("names"), F.min(order).alias("at")]
+    found = rows.where(F.array_contains(cells, key))
+    head = found.groupBy(by).agg(*first) if by else F.broadcast(found.agg(*first))  # one row without `by`
+    body = (rows.join(head, by) if by else rows.join(head)).where((F.col(order) > F.col("at")) & F.exists(cells, lambda c: F.coalesce(F.trim(c), F.lit("")) != ""))
     return body.select(order, F.map_from_arrays("names", F.transform("names", lambda n, i: F.get(F.col(cells), i))).alias("row"))
 
 
@@ -125,3 +200,40 @@ def verify_bundle(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """(path, fault): manifest entries that are missing or whose digest differs; no row if the bundle is whole."""
     rows = manifest.select("path", F.col("sha256").alias("wanted")).join(files.select("path", "sha256"), "path", "left")
     return rows.select("path", F.when(F.col("sha256").isNull(), "MISSING").when(F.col("sha256") != F.col("wanted"), "CHANGED").alias("fault")).where("fault is not null")
+
+
+class PagedReader(DataSourceReader):
+    """Reads a dataset page by page, one page to a partition; `fetch(offset, limit)` gives the rows of a page."""
+
+    def __init__(self, options: dict, fetch: Callable[[int, int], Iterator[tuple]]):
+        self.total, self.size, self.fetch, self.tries = int(options["total"]), int(options.get("page_size", 100)), fetch, int(options.get("tries", 3))
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(i) for i in range(0, self.total, self.size)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for left in reversed(range(self.tries)):
+            try:
+                rows = list(self.fetch(partition.value, min(self.size, self.total - partition.value)))
+                break
+            except OSError:
+                if not left:
+                    raise
+        yield from rows
+
+
+def paged_source(name: str, columns: str, fetch: Callable[[int, int], Iterator[tuple]]) -> type[DataSource]:
+    """A data source to register with Spark: `spark.read.format(name).option("total", n)`. A page that fails is fetched again, `tries` times in all; executors fetch, not the driver."""
+
+    class Paged(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return columns
+
+        def reader(self, schema) -> DataSourceReader:
+            return PagedReader(self.options, fetch)
+
+    return Paged
