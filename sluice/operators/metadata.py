@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import AUDIENCES, CONTENT_KINDS, EVERYONE, TITLE_DEPARTMENTS, TOPICS
 from ..functions.urls import host
-from .pages import first_rule, hrefs
+from .pages import DETAIL_URL, first_rule, hrefs, quality, visible
 
 #: What `sources` derives from documents, as SQL.
 META_SQL = r"""
@@ -150,16 +150,36 @@ def restricted_gate(html: Column) -> list[Column]:
     return [links.cast("long").alias("n_links"), kind.alias("class")]
 
 
-def page_class(plain: Column, links: Column) -> Column:
-    """One of seven classes by the share of link text, dated lines and template marks."""
-    lines = F.filter(F.split(plain, "\n"), lambda s: s != "")
-    n = F.greatest(F.lit(1), F.size(lines))
-    link_share = F.aggregate(links, F.lit(0), lambda a, x: a + F.char_length(x["text"])) / F.greatest(F.lit(1), F.char_length(plain))
-    dated = F.size(F.filter(lines, lambda s: s.rlike(r"(?:19|20)\d{2}[-/.]\d{1,2}"))) / n
-    kind = first_rule([
-        ("empty", F.char_length(plain) == 0), ("template", plain.rlike(r"\{\{.*\}\}|%%|lorem ipsum")), ("dated_list", dated >= 0.4), ("link_list", link_share >= 0.6), ("short", F.char_length(plain) < 200), ("mixed", link_share >= 0.3),
-    ], "article")
-    return F.struct(kind.alias("class"), F.round(link_share, 6).alias("link_share"), F.round(dated, 6).alias("dated_share"))
+#: Marks of templates, of lists by their titles, of pages of a list, and lines that are a date only.
+TEMPLATE_MARKS = ("智能问答", "咨询电话", "服务时间", "(?i)copyright|版权所有", "友情链接", "网站地图", "返回顶部")
+LIST_WORDS = r"通知公告|新闻动态|招聘信息|政策文件|规章制度|目录|列表|(?i:archive|index of)"
+PAGING = r"首页.*(?:上页|下页|尾页)|第\s*/?\s*\d+\s*页|\[下页\]"
+DATE_LINE = r"^(?:\[|\()?(?:19|20)\d{2}[-/.年]\d{1,2}[-/.月]\d{1,2}日?(?:\]|\))?$"
+
+
+def page_class(markdown: Column, title: Column, url: Column) -> Column:
+    """(class, link_text_ratio, date_line_count, template_marker_count): one of seven classes of a page's text, told by its links, dated lines and template marks."""
+    q = quality(markdown, title, url, F.lit(False))
+    raw = F.filter(F.transform(F.split(markdown, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    lines = F.filter(F.transform(raw, visible), lambda t: t != "")
+    text = F.array_join(lines, "\n")
+    linked = F.aggregate(F.regexp_extract_all(markdown, F.lit(r"\[([^\]]+)\]\([^)]*\)"), 1), F.lit(0), lambda a, x: a + F.char_length(x))
+    marks = sum((text.rlike(p).cast("int") for p in TEMPLATE_MARKS), F.lit(0))
+    core = F.trim(F.regexp_replace(title, "[-—|_].*$", ""))
+    facts = F.struct(q.alias("q"), F.when(q["total_text_length"] > 0, F.round(linked / q["total_text_length"], 4)).otherwise(F.lit(0.0)).alias("links"), F.size(F.filter(lines, lambda t: t.rlike(DATE_LINE))).alias("dates"), marks.alias("marks"), text.rlike(PAGING).alias("paged"))
+    specific, detail = (F.char_length(core) >= 12) & ~core.rlike(LIST_WORDS), url.rlike(DETAIL_URL)
+
+    def judged(f: Column) -> Column:
+        main, nav, total = f["q"]["main_paragraph_count"], f["q"]["navigation_like_ratio"], f["q"]["total_text_length"]
+        listed = core.rlike(LIST_WORDS) | f["paged"] | ((f["q"]["list_item_count"] >= 8) & (f["links"] >= 0.18) & (main <= 2))
+        bare = (main == 0) & ((nav >= 0.35) | f["q"]["loading_placeholder"] | (f["links"] >= 0.35))
+        kind = first_rule([
+            ("list_page", listed & ~(detail & specific & f["q"]["loading_placeholder"])), ("content_missing", bare & (detail | specific)), ("navigation_only", bare), ("template_polluted", (f["marks"] >= 2) & ((nav >= 0.18) | (f["links"] >= 0.22)) & (main >= 1)),
+            ("thin_content", (total < 260) & (main <= 2)), ("detail_content", (main >= 2) | (f["q"]["long_paragraph_count"] >= 1) | (total >= 550)),
+        ], "mixed_or_uncertain")
+        return F.struct(kind.alias("class"), f["links"].alias("link_text_ratio"), f["dates"].alias("date_line_count"), f["marks"].alias("template_marker_count"))
+
+    return F.transform(F.array(facts), judged)[0]
 
 
 def content_kind(title: Column, text: Column, kinds=CONTENT_KINDS, head: int = 3000) -> Column:

@@ -11,21 +11,43 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 
-#: Elements and classes that never hold main content, and those that do.
+#: Elements and classes that never hold main content, and containers that do, in the order in which they are tried.
 NOISE = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript", "template", "iframe"}
-NOISE_CLASS = re.compile(r"\b(?:ad|ads|nav|menu|breadcrumb|footer|sidebar|share|pagination|related)\b", re.I)
-MAIN_CLASS = re.compile(r"\b(?:article|content|main|detail|post|body|text)\b", re.I)
+NOISE_CLASSES = {
+    "nav", "navbar", "footer", "header", "sidebar", "breadcrumb", "share", "search", "qrcode", "ewm", "print", "relatenews", "related", "recommend", "xgyd", "page", "pages", "pagination", "prev-next", "tools", "source", "views", "ad", "ads",
+}
+SELECTORS = ("article", "main article", "main .content", "[role=main]", ".article-content", ".news_content", ".v_news_content", "#vsb_content", ".detail-content", ".detail", "#content", "main")
+#: Lines that lead elsewhere, marks of lists, of pages that still load, and of detail pages.
+NAV_WORDS = ("首页", "学校概况", "教育教学", "科学研究", "招生就业", "人才招聘", "合作交流", "校园生活", "借阅", "资源", "空间", "学习支持", "科研支持", "概况", "联系我们", "网站地图", "通知公告", "上一页", "下一页", "上页", "下页", "尾页", "打印", "关闭", "分享", "友情链接")
+LIST_MARKERS = r"(?i)(?:首页|上页|下页|尾页).*第\s*/?\s*\d+\s*页|共\s*\d+\s*条"
+LIST_TITLE = r"(?i)(?:通知公告|新闻动态|动态新闻|招聘信息|政策文件|法律法规|规章制度|服务通知|站点地图|热门排序|默认排序|目录|列表)(?:[-—|_].*)?$"
+LOADING = r"(?i)读取内容中|请等待|(?:正在|数据)?加载中|\bloading\b"
+DETAIL_URL = r"(?i)/(?:info|article|news|content|detail)/[^?#]*\d+[^/?#]*\.(?:htm|html)$"
+ENDED = r"[。！？；：.!?;]"
 BLOCKS = {"p", "div", "li", "ul", "ol", "br", "tr", "table", "section", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
 VOID = {"br", "img", "hr", "meta", "link", "input", "source", "wbr", "area", "base", "col", "embed", "track"}
 
 
+def _fits(selector: str, tag: str, classes: set[str], attrs: dict[str, str], open_tags: list[str]) -> bool:
+    """Whether an element is what one of `SELECTORS` names; only their simple forms occur."""
+    if selector.startswith("main "):
+        return "main" in open_tags and _fits(selector[5:], tag, classes, attrs, [])
+    if selector.startswith("."):
+        return selector[1:] in classes
+    if selector.startswith("#"):
+        return attrs.get("id") == selector[1:]
+    if selector.startswith("["):
+        return attrs.get("role") == "main"
+    return tag == selector
+
+
 class _Extract(HTMLParser):
-    """Walks a page once; text outside of noise goes to the innermost main container that is open, or to the body."""
+    """Walks a page once; text outside of noise goes to the body and to every container that is open, the first of its kind."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []
-        self.main: list[str] = []
+        self.stack: list[tuple[str, bool, list[str]]] = []
+        self.held: dict[str, list[str]] = {}
         self.body: list[str] = []
         self.title, self.in_title, self.h1 = [], False, []
         self.links, self.images, self.anchor = [], [], None
@@ -38,16 +60,19 @@ class _Extract(HTMLParser):
         if self._noisy():
             return
         self.body.append(s)
-        if any(m for _, _, m in self.stack):
-            self.main.append(s)
+        for _, _, opened in self.stack:
+            for selector in opened:
+                self.held[selector].append(s)
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
-        mark = f"{a.get('class', '')} {a.get('id', '')}"
+        classes = set(a.get("class", "").split())
         if tag == "meta" and (a.get("property") or a.get("name")):
             self.meta[a.get("property") or a["name"]] = a.get("content", "")
         if tag not in VOID:
-            self.stack.append((tag, tag in NOISE or bool(NOISE_CLASS.search(mark)), tag in ("article", "main") or bool(MAIN_CLASS.search(mark))))
+            opened = [s for s in SELECTORS if s not in self.held and _fits(s, tag, classes, a, [t for t, _, _ in self.stack])]
+            self.held.update((s, []) for s in opened)
+            self.stack.append((tag, tag in NOISE or bool(classes & NOISE_CLASSES), opened))
         self.in_title |= tag == "title"
         if tag in BLOCKS:
             self._write("\n" + ("#" * int(tag[1]) + " " if re.fullmatch("h[1-6]", tag) else "- " if tag == "li" else ""))
@@ -83,44 +108,94 @@ def _lines(parts: list[str]) -> str:
     return "\n".join(x for x in lines if x and x != "-")
 
 
-def parse(html: str) -> dict:
+def parse(html: str | None) -> dict:
+    """What a page holds: its title, links, images and attachments, and all that may be its main content, as (method, selector, markdown)."""
     p = _Extract()
     p.feed(html or "")
     p.close()
-    main, body = _lines(p.main), _lines(p.body)
-    markdown = main if len(main) >= 0.3 * len(body) and main else body
+    found = [("generic_selector", s, _lines(p.held[s])) for s in SELECTORS if s in p.held]
+    found = [c for c in found if len(c[2]) >= 30] + [("readability", "", _lines(p.body))]
     title = p.meta.get("og:title") or " ".join("".join(p.h1).split()) or " ".join("".join(p.title).split())
     files = [(t, u, k) for u, t in p.links if (k := (re.search(r"\.([a-z]{3,4})(?:[?#]|$)", u.lower()) or [None, ""])[1]) in U.ATTACHMENTS]
-    return {"title": title, "markdown": markdown, "plain_text": re.sub(r"(?m)^(?:#+|-) ", "", markdown), "links": [{"url": u, "text": t} for u, t in p.links], "images": [{"alt": a, "url": u} for a, u in p.images], "attachments": [{"name": n, "url": u, "kind": k} for n, u, k in files]}
+    return {"title": title, "candidates": [dict(zip(("method", "selector", "markdown"), c)) for c in found], "links": [{"url": u, "text": t} for u, t in p.links], "images": [{"alt": a, "url": u} for a, u in p.images], "attachments": [{"name": n, "url": u, "kind": k} for n, u, k in files]}
+
+
+RANKS = {"detail_content": 5, "thin_content": 4, "template_polluted": 3, "list_page": 2, "navigation_only": 1, "extraction_failed": 0}
+
 
+def extract(df: DataFrame, id_cols: list[str], html_col: str, url_col: str | None = None) -> DataFrame:
+    """Title, links, images and attachments of each page, and its main content: method, selector, markdown, plain_text and quality.
 
-def extract(df: DataFrame, id_cols: list[str], html_col: str) -> DataFrame:
-    """Main content, title, links, images and attachments of each page; broken markup and null pages give what can be read."""
+    Of all candidates that one is taken whose quality has the best class, then most main paragraphs, least navigation, most text; the first, if they tie. Broken markup and
+    null pages give what can be read.
+    """
+    kinds = "struct<title:string,candidates:array<struct<method:string,selector:string,markdown:string>>,links:array<struct<url:string,text:string>>,images:array<struct<alt:string,url:string>>,attachments:array<struct<name:string,url:string,kind:string>>>"
 
-    @F.pandas_udf("struct<title:string,markdown:string,plain_text:string,links:array<struct<url:string,text:string>>,images:array<struct<alt:string,url:string>>,attachments:array<struct<name:string,url:string,kind:string>>>")
+    @F.pandas_udf(kinds)
     def run(x: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(h) for h in x], columns=["title", "markdown", "plain_text", "links", "images", "attachments"])
-
-    return df.select(*id_cols, run(F.col(html_col)).alias("p")).select(*id_cols, "p.*")
-
-
-def quality(plain: Column, markdown: Column, links: Column, url: Column, title: Column) -> Column:
-    """(class, passed, line_count, short_line_ratio, navigation_like_ratio, main_paragraph_count, title_match_ratio): the first rule that holds decides."""
-    lines = F.filter(F.split(plain, "\n"), lambda s: F.trim(s) != "")
-    n = F.greatest(F.lit(1), F.size(lines))
-    short = F.size(F.filter(lines, lambda s: F.char_length(s) < 20)) / n
-    nav = F.size(F.filter(lines, lambda s: (F.char_length(s) <= 12) & ~s.rlike("[.。!！?？]$"))) / n
-    paragraphs = F.size(F.filter(lines, lambda s: F.char_length(s) >= 60))
-    total = F.char_length(F.regexp_replace(plain, r"\s+", ""))
-    words = F.array_distinct(F.filter(F.split(F.lower(title), r"[^\p{L}\p{N}]+"), lambda w: F.char_length(w) > 1))
-    match = F.size(F.filter(words, lambda w: F.contains(F.lower(plain), w))) / F.greatest(F.lit(1), F.size(words))
-    loading = plain.rlike(r"(?i)^\s*(?:loading|please wait|加载中|正在加载)") & (total < 280)
-    detail = url.rlike(r"/(?:\d{4,}|[^/]*\d{3,}[^/]*\.html?|info|detail|article|page)(?:[/?]|$)")
-    kind = (
-        F.when((F.size(links) >= 25) & (paragraphs < 2), "list_page").when(loading, "loading").when(nav >= 0.72, "navigation").when(total < 120, "too_short")
-        .when(detail & (paragraphs >= 1), "detail").when(nav >= 0.45, "navigation").when(total < 280, "thin").when(paragraphs >= 1, "detail").otherwise("fail")
+        return pd.DataFrame([parse(h) for h in x], columns=["title", "candidates", "links", "images", "attachments"])
+
+    keep_url = [url_col] if url_col and url_col not in id_cols else []
+    rows = df.select(*id_cols, *keep_url, run(F.col(html_col)).alias("p")).select(*id_cols, *keep_url, "p.*")
+    url = F.col(url_col) if url_col else F.lit("")
+    rows = rows.select("*", F.posexplode("candidates").alias("_i", "_c"))
+    rows = rows.withColumn("_q", quality(F.col("_c.markdown"), F.col("title"), url, F.col("_c.selector") != ""))
+    rank = F.create_map(*[x for k, n in RANKS.items() for x in (F.lit(k), F.lit(n))])[F.col("_q.class")]
+    order = F.struct(rank.alias("r"), F.col("_q.main_paragraph_count").alias("m"), (-F.col("_q.navigation_like_ratio")).alias("n"), F.col("_q.total_text_length").alias("t"), (-F.col("_i")).alias("i"))
+    keys = [*id_cols, *keep_url]
+    others = ["title", "links", "images", "attachments"]
+    best = F.max_by(F.struct("_c", "_q"), order).alias("b")
+    # candidates of a page lie together, so combining them before the exchange leaves one row of it
+    out = rows.groupBy(*keys).agg(best, F.first(F.struct(*others)).alias("o"))
+    plain = F.regexp_replace("b._c.markdown", "(?m)^(?:#+|-) ", "")
+    return out.select(*id_cols, "o.*", F.col("b._c.method").alias("method"), F.col("b._c.selector").alias("selector"), F.col("b._c.markdown").alias("markdown"), plain.alias("plain_text"), F.col("b._q").alias("quality"))
+
+
+def visible(line: Column) -> Column:
+    """A line of markdown as a reader sees it, without the marks at its start."""
+    for pattern, by in ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"<[^>]+>", ""), (r"^[\s#>*:+\-|\d.()（）]+", ""), (r"\s+", " ")):
+        line = F.regexp_replace(line, pattern, by)
+    return F.trim(line)
+
+
+def quality(markdown: Column, title: Column, url: Column, selected: Column) -> Column:
+    """(class, passed, and the numbers it goes by) of a page's main content: the first rule that holds decides. `selected`: the content is of a container that was asked for."""
+    raw = F.filter(F.transform(F.split(markdown, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    pairs = F.filter(F.transform(raw, lambda r: F.struct(r.alias("r"), visible(r).alias("t"))), lambda p: p["t"] != "")
+
+    def leads_on(p: Column) -> Column:
+        r, t, n = p["r"], p["t"], F.char_length(p["t"])
+        link = r.rlike(r"^(?:- \[|:   \[|\[)") | F.contains(r, F.lit("]("))
+        return t.isin(*NAV_WORDS) | ((n <= 12) & link) | ((n <= 8) & ~t.rlike(ENDED + r"|\d{4}|电话|邮箱|时间|地点")) | t.rlike(LIST_MARKERS)
+
+    lines = F.transform(pairs, lambda p: F.struct(p["r"].alias("r"), p["t"].alias("t"), leads_on(p).alias("nav"), F.char_length(p["t"]).alias("n")))
+    made = F.transform(F.array(lines), lambda ls: F.struct(ls.alias("ls"), F.array_join(F.transform(ls, lambda x: x["t"]), " ").alias("plain")))[0]
+    ls, plain = made["ls"], made["plain"]
+    count = lambda f: F.size(F.filter(ls, f))
+    total, n = F.aggregate(ls, F.lit(0), lambda a, x: a + x["n"]), F.size(ls)
+    share = lambda k: F.when(n > 0, k / n).otherwise(F.lit(0.0))
+    main, long = count(lambda x: (x["n"] >= 40) & x["t"].rlike(ENDED) & ~x["nav"]), count(lambda x: (x["n"] >= 100) & ~x["nav"])
+    items = count(lambda x: x["r"].rlike(r"^(?:- |\* |\+ |:   )"))
+    terms = F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit(r"([\x{4e00}-\x{9fff}]{2,}|[a-z]{3,})"), 1))
+    match = F.when(F.size(terms) > 0, F.size(F.filter(terms, lambda w: F.contains(F.lower(plain), w))) / F.size(terms)).otherwise(F.lit(1.0))
+    facts = F.struct(
+        total.alias("total_text_length"), n.alias("line_count"), F.round(share(count(lambda x: x["n"] <= 12)), 6).alias("short_line_ratio"), F.round(share(count(lambda x: x["nav"])), 6).alias("navigation_like_ratio"), main.alias("main_paragraph_count"), long.alias("long_paragraph_count"),
+        items.alias("list_item_count"), F.round(match, 6).alias("title_match_ratio"), plain.rlike(LOADING).alias("loading_placeholder"), plain.rlike(LIST_MARKERS).alias("list_marks"),
     )
-    return F.struct(kind.alias("class"), (kind == "detail").alias("passed"), F.size(lines).alias("line_count"), short.alias("short_line_ratio"), nav.alias("navigation_like_ratio"), paragraphs.alias("main_paragraph_count"), match.alias("title_match_ratio"))
+    detail, list_title = url.rlike(DETAIL_URL), title.rlike(LIST_TITLE)
+
+    def judged(f: Column) -> Column:
+        main, long, nav, total = f["main_paragraph_count"], f["long_paragraph_count"], f["navigation_like_ratio"], f["total_text_length"]
+        listed = f["list_marks"] | list_title | ((f["list_item_count"] >= 8) & (main <= 1))
+        return first_rule([
+            ("list_page", listed & ~(detail & ~list_title)), ("extraction_failed", f["loading_placeholder"] & (main == 0)), ("navigation_only", (nav >= 0.72) & (main == 0)), ("extraction_failed", (total < 120) & (main == 0)),
+            ("extraction_failed", detail & (main == 0) & (long == 0) & (f["title_match_ratio"] < 0.35)), ("template_polluted", (nav >= 0.45) & (main >= 1)), ("thin_content", (total < 280) & ((main >= 1) | (long >= 1))),
+            ("detail_content", (main >= 1) | (long >= 1) | (selected & (total >= 220) & (f["title_match_ratio"] >= 0.25))),
+        ], "extraction_failed")
+
+    names = ("total_text_length", "line_count", "short_line_ratio", "navigation_like_ratio", "main_paragraph_count", "long_paragraph_count", "list_item_count", "title_match_ratio", "loading_placeholder")
+    out = lambda f: F.struct(judged(f).alias("class"), judged(f).isin("template_polluted", "thin_content", "detail_content").alias("passed"), *[f[x].alias(x) for x in names])
+    return F.transform(F.array(facts), out)[0]  # so that the numbers are made once
 
 
 def page_state(url: Column, html: Column) -> Column:

@@ -73,13 +73,19 @@ def d7(spark, sf_dir):
 _SET = r"list_distinct(list_filter(string_split(" + _NORM.format("text") + r", ' '), lambda w: length(w) >= 2))"
 
 
+_LINES = "(select doc_id, i::bigint as line_no, doc_id * 1000000 + i as k, s as text from (select doc_id, unnest(range(0, len(ss))) as i, unnest(ss) as s from (select doc_id, string_split(text, chr(10)) as ss from documents)))"
+
+
 @query("d8_lexical_screen", f"""
-with b as (select item_id, unnest({_SET}) as t from benchmark), d as (select doc_id, unnest({_SET}) as t from documents), bn as (select item_id, count(*) as n from b group by 1), dn as (select doc_id, count(*) as n from d group by 1),
-p as (select item_id, doc_id, count(*) as c from b join d using (t) group by 1, 2), j as (select doc_id, item_id, round(c / (bn.n + dn.n - c), 6) as jaccard from p join bn using (item_id) join dn using (doc_id)), r as (select *, row_number() over (partition by doc_id order by jaccard desc, item_id) as rn from j where jaccard >= 0.55)
-select doc_id, item_id as match_id, jaccard from r where rn = 1""")
+with b as (select item_id, unnest({_SET}) as t from benchmark), d as (select k, unnest({_SET}) as t from {_LINES}), bn as (select item_id, count(*) as n from b group by 1), dn as (select k, count(*) as n from d group by 1),
+p as (select item_id, k, count(*) as c from b join d using (t) group by 1, 2), j as (select k, item_id, round(c / (bn.n + dn.n - c), 6) as jaccard from p join bn using (item_id) join dn using (k)), r as (select *, row_number() over (partition by k order by jaccard desc, item_id) as rn from j where jaccard >= 0.55)
+select k // 1000000 as doc_id, k % 1000000 as line_no, item_id as match_id, jaccard from r where rn = 1""")
 def d8(spark, sf_dir):
+    """Every line of every document against the benchmark's items."""
     tokens = lambda d: d.withColumn("tokens", F.filter(T.word_set(F.col("text")), lambda w: w != ""))
-    return D.best_overlap(tokens(_docs(spark, sf_dir)), "doc_id", tokens(table(spark, sf_dir, "benchmark")), "item_id", 0.55)
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).select((F.col("doc_id") * 1_000_000 + F.col("i")).alias("k"), "text")
+    out = D.best_overlap(tokens(lines), "k", tokens(table(spark, sf_dir, "benchmark")), "item_id", 0.55)
+    return out.select(F.floor(F.col("k") / 1_000_000).alias("doc_id"), (F.col("k") % 1_000_000).alias("line_no"), "match_id", "jaccard")
 
 
 @query("d9_staged_cascade", rf"""

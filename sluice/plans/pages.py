@@ -55,14 +55,27 @@ def u5(spark, sf_dir):
 @query("u6_main_content")
 def u6(spark, sf_dir):
     """Walks broken markup, which SQL can't; tested against hand-made pages."""
-    out = P.extract(_pages(spark, sf_dir), ["page_id"], "html")
-    return out.select("page_id", "title", F.sha2("markdown", 256).alias("markdown_sha256"), F.char_length("plain_text").alias("n_chars"), F.size("links").alias("n_links"), F.size("images").alias("n_images"), F.size("attachments").alias("n_attachments"))
+    out = P.extract(_pages(spark, sf_dir), ["page_id"], "html", "url")
+    return out.select("page_id", "title", "method", "selector", F.col("quality.class").alias("class"), F.sha2("markdown", 256).alias("markdown_sha256"), F.char_length("plain_text").alias("n_chars"), F.size("links").alias("n_links"), F.size("images").alias("n_images"), F.size("attachments").alias("n_attachments"))
 
 
-@query("u7_content_quality_gate")
+_VISIBLE = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '\\[([^\\]]+)\\]\\([^)]*\\)', '\\1', 'g'), '<[^>]+>', '', 'g'), '^[\\s#>*:+\\-|\\d.()（）]+', '', 'g'), '\\s+', ' ', 'g'))".replace("\\\\", "\\")
+_NAVS = "list_contains([" + ", ".join(f"'{w}'" for w in P.NAV_WORDS) + "], t)"
+
+
+@query("u7_content_quality_gate", rf"""
+with d as (select doc_id, title, url, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '')) as r from (select doc_id, title, case when doc_id % 3 = 0 then 'https://h/info/' || doc_id || '.html' else url end as url, text from ({M.META_SQL}))),
+l as (select *, length(t) as n, {_NAVS} or (length(t) <= 12 and (regexp_matches(r, '^(?:- \[|:   \[|\[)') or contains(r, ']('))) or (length(t) <= 8 and not regexp_matches(t, '{P.ENDED}|\d{{4}}|电话|邮箱|时间|地点')) or regexp_matches(t, '{P.LIST_MARKERS}') as nav from (select *, {_VISIBLE.format('r')} as t from d) where t <> ''),
+f as (select doc_id, sum(n)::int as total, count(*)::int as lines, count(*) filter (where n <= 12) as short, count(*) filter (where nav) as navs, (count(*) filter (where n >= 40 and regexp_matches(t, '{P.ENDED}') and not nav))::int as main, (count(*) filter (where n >= 100 and not nav))::int as long, (count(*) filter (where regexp_matches(r, '^(?:- |\* |\+ |:   )')))::int as items, bool_or(regexp_matches(t, '{P.LOADING}')) as loading, bool_or(regexp_matches(t, '{P.LIST_MARKERS}')) as listed, lower(string_agg(t, ' ')) as plain from l group by 1),
+m as (select doc_id, case when doc_id % 3 = 0 then 'https://h/info/' || doc_id || '.html' else url end as url, title, list_distinct(regexp_extract_all(lower(title), '[\x{{4e00}}-\x{{9fff}}]{{2,}}|[a-z]{{3,}}')) as terms from ({M.META_SQL})),
+x as (select m.doc_id, coalesce(total, 0) as total, coalesce(lines, 0) as lines, round(coalesce(short / lines, 0), 6)::double as short, round(coalesce(navs / lines, 0), 6)::double as nav, coalesce(main, 0) as main, coalesce(long, 0) as long, coalesce(items, 0) as items, round(case when len(terms) > 0 then len(list_filter(terms, lambda w: contains(coalesce(plain, ''), w))) / len(terms) else 1 end, 6)::double as match, coalesce(loading, false) as loading, coalesce(listed, false) as marks, regexp_matches(url, '{P.DETAIL_URL}') as detail, regexp_matches(title, '{P.LIST_TITLE}') as lt from m left join f using (doc_id)),
+c as (select *, case when (marks or lt or (items >= 8 and main <= 1)) and not (detail and not lt) then 'list_page' when loading and main = 0 then 'extraction_failed' when nav >= 0.72 and main = 0 then 'navigation_only' when total < 120 and main = 0 then 'extraction_failed' when detail and main = 0 and long = 0 and match < 0.35 then 'extraction_failed' when nav >= 0.45 and main >= 1 then 'template_polluted' when total < 280 and (main >= 1 or long >= 1) then 'thin_content' when main >= 1 or long >= 1 then 'detail_content' else 'extraction_failed' end as class from x)
+select doc_id, class, class in ('template_polluted', 'thin_content', 'detail_content') as passed, total as total_text_length, lines as line_count, short as short_line_ratio, nav as navigation_like_ratio, main as main_paragraph_count, long as long_paragraph_count, items as list_item_count, match as title_match_ratio, loading as loading_placeholder from c""")
 def u7(spark, sf_dir):
-    out = P.extract(_pages(spark, sf_dir), ["page_id", "url"], "html")
-    return out.select("page_id", P.quality(F.col("plain_text"), F.col("markdown"), F.col("links"), F.col("url"), F.col("title")).alias("q")).select("page_id", "q.*")
+    """The gate over documents as markdown; `u6` runs it over all that may be a page's main content."""
+    url = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://h/info/"), "doc_id", F.lit(".html"))).otherwise(F.col("url"))
+    rows = M.sources(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", P.quality(F.col("text"), F.col("title"), url, F.lit(False)).alias("q")).select("doc_id", "q.*")
 
 
 @query("u8_page_state", r"""
@@ -74,8 +87,9 @@ def u8(spark, sf_dir):
 
 @query("u9_page_classes")
 def u9(spark, sf_dir):
-    out = P.extract(_pages(spark, sf_dir), ["page_id", "url"], "html")
-    return out.select("page_id", M.page_class(F.col("plain_text"), F.col("links")).alias("c")).select("page_id", "c.*")
+    """Classes of the main content of pages; its text comes from broken markup, so fixtures test every class."""
+    out = P.extract(_pages(spark, sf_dir), ["page_id", "url"], "html", "url")
+    return out.select("page_id", M.page_class(F.col("markdown"), F.col("title"), F.col("url")).alias("c")).select("page_id", "c.*")
 
 
 _HREFS = r"""regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1)"""

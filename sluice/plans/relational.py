@@ -147,6 +147,20 @@ def j6(spark, sf_dir):
     return c.join(o, (F.col("o_custkey") == F.col("c_custkey")) & (F.col("o_totalprice") < F.col("c_acctbal") * 10)).groupBy("c_custkey").agg(F.count("*").alias("cheaper_orders"))
 
 
+_WORDS = r"list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda w: length(w) >= 2))"
+
+
+@query("j6_similarity_join", f"with d as (select doc_id as id, {_WORDS} as s from documents), b as (select item_id as id, {_WORDS} as s from benchmark), i as (select d.id as doc_id, b.id as item_id, len(list_intersect(d.s, b.s)) as c, len(d.s) as n, len(b.s) as m from d, b where len(d.s) > 0 and len(b.s) > 0) select doc_id, item_id, round(c / (n + m - c), 6) as jaccard from i where round(c / (n + m - c), 6) >= 0.2")
+def j6_similarity(spark, sf_dir):
+    """All pairs of documents and items whose word sets have a Jaccard similarity of 0.2, found by rare words."""
+    from ..functions import text as T
+    from ..operators import dedup as D
+
+    d, b = _t(spark, sf_dir, "documents", "benchmark")
+    sets = lambda df, i: df.select(i, F.filter(T.word_set(F.col("text")), lambda w: w != "").alias("tokens"))
+    return D.overlap_pairs(sets(d, "doc_id"), "doc_id", sets(b, "item_id"), "item_id", 0.2).select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), "jaccard")
+
+
 @query("j8_term_join", r"with t as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) as term from documents), q as (select item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) as term from benchmark) select item_id, count(distinct doc_id) as docs, count(*) as postings from q join t using (term) group by 1")
 def j8(spark, sf_dir):
     from ..functions import text as T

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.rounds import shared_folder
 from ..streaming import ingest as I
 from .registry import query
 
 
 def _run(spark, df, mode):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
-    name = f"stream_{uuid.uuid4().hex}"
-    return I.run_once(df, name, mode, f"{base}/{name}")
+    return I.run_once(df, mode, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
 
 
 def _events(spark, sf_dir):
@@ -40,6 +38,6 @@ def st3(spark, sf_dir):
 
 @query("st4_crawl_state")
 def st4(spark, sf_dir):
-    """Arbitrary keyed state; a fixture tests it."""
+    """Arbitrary keyed state, which depends on the order within files; a fixture tests it."""
     rows = _events(spark, sf_dir).select(F.concat(F.lit("u"), F.col("user_id")).alias("url"), F.when(F.col("event_id") % 5 == 0, "success").otherwise("failed").alias("outcome"))
     return _run(spark, I.crawl_state(rows), "update").groupBy("url").agg(F.max("retries").alias("retries"))

@@ -55,8 +55,21 @@ def crawl_state(df: DataFrame) -> DataFrame:
     return df.groupBy("url").applyInPandasWithState(update, "url string, status string, retries int", "status string, retries int", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Process what is there, keep the result in a memory table of that name, and return it."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(df: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Process what is there and return the result, which lies in files below `folder` and never in the driver.
+
+    Each batch is written under its number, so one that is run again takes the place of what it had written. In complete mode the last batch is the result, else all are.
+    """
+    spark, schema = df.sparkSession, df.schema
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    if not q.lastProgress and not q.recentProgress:
+        return spark.createDataFrame([], schema)
+    out = spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    if mode == "complete":
+        out = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
+    return out.select(*schema.names)
