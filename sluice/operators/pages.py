@@ -108,13 +108,24 @@ def _lines(parts: list[str]) -> str:
     return "\n".join(x for x in lines if x and x != "-")
 
 
+def _dense(markdown: str, least: int = 25) -> str:
+    """The stretch of lines with most text: lines of `least` characters or more, and headings and items; short lines of other kinds part stretches."""
+    runs: list[list[str]] = [[]]
+    for line in markdown.split("\n"):
+        if len(line) >= least or re.match("#+ |- ", line):
+            runs[-1].append(line)
+        elif runs[-1]:
+            runs.append([])
+    return "\n".join(max(runs, key=lambda r: sum(map(len, r)))) or markdown
+
+
 def parse(html: str | None) -> dict:
     """What a page holds: its title, links, images and attachments, and all that may be its main content, as (method, selector, markdown)."""
     p = _Extract()
     p.feed(html or "")
     p.close()
     found = [("generic_selector", s, _lines(p.held[s])) for s in SELECTORS if s in p.held]
-    found = [c for c in found if len(c[2]) >= 30] + [("readability", "", _lines(p.body))]
+    found = [c for c in found if len(c[2]) >= 30] + [("readability", "", _dense(_lines(p.body)))]
     title = p.meta.get("og:title") or " ".join("".join(p.h1).split()) or " ".join("".join(p.title).split())
     files = [(t, u, k) for u, t in p.links if (k := (re.search(r"\.([a-z]{3,4})(?:[?#]|$)", u.lower()) or [None, ""])[1]) in U.ATTACHMENTS]
     return {"title": title, "candidates": [dict(zip(("method", "selector", "markdown"), c)) for c in found], "links": [{"url": u, "text": t} for u, t in p.links], "images": [{"alt": a, "url": u} for a, u in p.images], "attachments": [{"name": n, "url": u, "kind": k} for n, u, k in files]}

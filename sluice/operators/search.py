@@ -208,7 +208,7 @@ def tfidf_top(queries: DataFrame, query_id: str, docs: DataFrame, id_col: str, t
 
         def score(batches):
             for x in batches:
-                for s in range(0, x.num_rows, at_once):
+                for s in range(0, x.num_rows if len(ids) else 0, at_once):
                     part = x.slice(s, at_once).sort_by("id")
                     doc, f, dw = weights(part.column(1).to_pylist())
                     each = first[f + 1] - first[f]
