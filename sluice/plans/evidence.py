@@ -151,7 +151,7 @@ def _features(spark, sf_dir):
     """A row of `E.FEATURES` for each item, over the whole texts of its five best documents."""
     docs = M.sources(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.char_length("text").alias("n"), F.regexp_count("text", F.lit(r"\|")).alias("nav"), "title")
     five = _five(spark, sf_dir).join(docs, "id").groupBy("item_id").agg(F.count("*").alias("n_evidence"), F.round(F.log1p(F.sum("n")), 6).alias("log_chars"), F.max("n").alias("longest"), F.min("n").alias("shortest"), F.sum("nav").alias("navigation"), F.max((F.col("n") > 310).cast("int")).alias("long"), F.concat_ws(" ", F.sort_array(F.collect_list("title"))).alias("titles"))
-    points = _best(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_points"), F.max("best").alias("best_point"), F.min("best").alias("worst_point"), F.round(F.avg("best"), 6).alias("mean_point"))
+    points = _best(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_points"), F.max("best").alias("best_point"), F.min("best").alias("worst_point"), F.round(F.avg("best") + 1e-9, 6).alias("mean_point"))
     whole = _spans(spark, sf_dir).groupBy("item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("shared")))).alias("u"))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.char_length("text").alias("query_chars"), T.content_grams(F.col("text")).alias("ig"), F.size(E.attributes(F.col("text"))).alias("asked"))
     rows = items.join(points, "item_id").join(five, "item_id").join(whole, "item_id", "left")
@@ -168,7 +168,7 @@ _FIVE = f"five as (select item_id, count(*) as n_evidence, round(ln(1 + sum(n)),
 
 def _e14_sql() -> str:
     shared = f", ig as (select item_id, length(text) as query_chars, len({_attr('text')}) as asked, {_GRAMS.format(c='c')} as g from (select *, {_G.format('text')} as c from benchmark)), wh as (select item_id, len(list_distinct(flatten(list(list_intersect(ig.g, span.g))))) as u from ig join top using (item_id) join span using (id) group by 1)"
-    rows = f", pt as (select item_id, count(*) as n_points, max(best) as best_point, min(best) as worst_point, round(avg(best), 6) as mean_point from best group by 1), tg as (select item_id, {_GRAMS.format(c='c')} as g from (select item_id, {_G.format('titles')} as c from five))"
+    rows = f", pt as (select item_id, count(*) as n_points, max(best) as best_point, min(best) as worst_point, round(avg(best) + 1e-9, 6) as mean_point from best group by 1), tg as (select item_id, {_GRAMS.format(c='c')} as g from (select item_id, {_G.format('titles')} as c from five))"
     return f"with {_STATUS}, {_FIVE}{shared}{rows} select item_id, query_chars, n_points, n_evidence, log_chars, longest, shortest, navigation, round(coalesce(u, 0) / greatest(1, len(ig.g)), 6) as query_score, best_point, worst_point, mean_point, (n_evidence > 1 and long = 0)::int as all_short, (n_evidence = 1 and n_points > 1)::int as one_for_many, round(len(list_intersect(ig.g, tg.g)) / greatest(1, len(ig.g)), 6) as title_score, round(coalesce(u, 0) / greatest(1, len(ig.g)) * (asked > 0)::int, 6) as attribute_score from ig join pt using (item_id) join five using (item_id) join tg using (item_id) left join wh using (item_id)"
 
 
