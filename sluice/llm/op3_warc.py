@@ -24,6 +24,7 @@ CHUNK = 1 << 18
 #: WARC-Date of what is written, fixed so that runs give the same bytes.
 DATE = "2026-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+CHUNKS = "row long, page_id long, url string, n long, digest string, chunk_no int, chunk binary"
 TABLE = "page_id long, url string, record_id string, record_type string, refers_to long, chunk_no int, chunk binary, bytes_so_far long, digest_so_far string, is_last boolean, payload_bytes long, payload_digest string"
 
 
@@ -44,6 +45,30 @@ def _header(r: dict) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + HTTP
 
 
+def chunk_rows(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """A row for each `chunk` bytes of each payload, with the digest of the whole; the payload itself is only looked at where Spark has put it."""
+    names = CHUNKS.replace(",", "").split()[::2]
+    types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.binary())
+    out, size = [], 0
+    for b in batches:
+        row, page, url = (b.column(i).to_pylist() for i in range(3))
+        html = b.column(3).cast(pa.binary())  # the same bytes
+        for j in range(b.num_rows):
+            view = memoryview(html[j].as_buffer() if html[j].is_valid else b"")
+            sha = hashlib.sha256()
+            for s in range(0, len(view), chunk):
+                sha.update(view[s : s + chunk])
+            for no, s in enumerate(range(0, max(1, len(view)), chunk)):
+                piece = bytes(view[s : s + chunk])
+                out.append((row[j], page[j], url[j], len(view), sha.hexdigest(), no, piece))
+                size += len(piece) + 200
+                if size > 8 * chunk:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                    out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+
 def write_archives(df: DataFrame, where: str, chunk: int = CHUNK, smallest: int = 100) -> DataFrame:
     """Write a record per row of (page_id, url, html) to archives in the folder `where`; the manifest (path, records, bytes).
 
@@ -51,15 +76,12 @@ def write_archives(df: DataFrame, where: str, chunk: int = CHUNK, smallest: int
     a null page_id counts as the largest and is never referred to; rows that tie are all responses. Only archives in the manifest count: a
     task that is run again writes to another name.
     """
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.select("*", F.octet_length("payload").alias("n"), F.sha2("payload", 256).alias("digest"))
-    narrow = df.select(F.col("page_id").cast("long").alias("page_id"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("p")).where(F.octet_length("p") >= smallest).select("page_id", F.sha2("p", 256).alias("digest"))
-    narrow = cut(narrow)
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    narrow = cut(df.where(F.octet_length("html") >= smallest).select(F.col("page_id").cast("long").alias("page_id"), F.sha2(F.col("html").cast("binary"), 256).alias("digest")))
     first = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"))
     again = narrow.join(first, "digest").where("refers_to < coalesce(page_id, 9223372036854775807)").distinct()
     again = again.select(F.coalesce("page_id", F.lit(-1)).alias("k"), F.col("digest").alias("d"), "refers_to")
-    pieces = F.expr(f"transform(sequence(0, greatest(1, cast(ceil(n / {chunk}) as int)) - 1), i -> substring(payload, i * {chunk} + 1, {chunk}))")
-    rows = rows.select("row", "page_id", "url", "n", "digest", F.posexplode(pieces).alias("chunk_no", "chunk"))
+    rows = map_arrow(rows, lambda batches: chunk_rows(batches, chunk), CHUNKS)
     rows = rows.join(again, (F.coalesce(rows["page_id"], F.lit(-1)) == again["k"]) & (rows["digest"] == again["d"]), "left")
     rows = rows.where("refers_to is null or chunk_no = 0").select("row", "page_id", "url", "n", "digest", "refers_to", "chunk_no", "chunk").sortWithinPartitions("page_id", "row", "chunk_no")
 
@@ -184,6 +206,9 @@ def read_archives(manifest: DataFrame, chunk: int = CHUNK, payloads: bool = True
 
 
 def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of the whole `pages`, written to the shared folder and read back. No SQL: it writes and parses files; tests compare it with reading the table.
+    Null and empty html are payloads of no bytes; of equal payloads the least page_id is the response; repeated rows are records of their own.
+    """
     manifest = write_archives(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     rows = read_archives(manifest, payloads=False).where("is_last")
     whole = F.col("record_type") == "response"
