@@ -235,30 +235,48 @@ def cosine(a: DataFrame, b: DataFrame) -> DataFrame:
     return q.join(b, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("wq") * F.col("weight")), 6).alias("score"))
 
 
+def _best_products(ids: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int) -> pa.RecordBatch:
+    s = np.round(q @ v.T, 6)
+    order = np.lexsort((np.broadcast_to(vid, s.shape), -s), axis=1)[:, :k]
+    return pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, order.shape[1]), "id": vid[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+
+
 def dense_search(queries: DataFrame, query_id: str, vectors: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
-    """(query_id, rank, id, score) by dot product, ties to the smaller id; every vector is looked at, in blocks, `QUERIES_A_PASS` queries a pass."""
-    rows = queries.select(F.col(query_id).cast("long"), F.col(vec_col)).toArrow() if queries.count() <= QUERIES_A_PASS else None
-    if rows is None:
-        n = -(-queries.count() // QUERIES_A_PASS)
-        shares = [queries.where(F.pmod(F.xxhash64(query_id), F.lit(2 * n)) == i) for i in range(2 * n)]
-        out = dense_search(shares[0], query_id, vectors, id_col, vec_col, k)
-        for s in shares[1:]:
-            out = out.unionByName(dense_search(s, query_id, vectors, id_col, vec_col, k))
-        return out
-    ids = rows.column(0).to_numpy()
-    q = np.array(rows.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
-
-    def run(batches):
+    """(query_id, rank, id, score) by dot product, ties to the smaller id; every vector is looked at.
+
+    Up to `QUERIES_A_PASS` queries are held in every task, and vectors are read once. More are packed into blocks, and so are vectors; blocks meet pairwise, each pair in
+    one product of matrices, so the plan doesn't grow with the queries. Both are of one length; null vectors take no part.
+    """
+    found = "query_id long, id long, score double"
+    pick = lambda d, i: d.where(F.col(vec_col).isNotNull()).select(F.col(i).cast("long").alias("i"), F.col(vec_col).alias("v"))
+    asked, rows = pick(queries, query_id), pick(vectors, id_col)
+    matrix = lambda c, n: c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    if asked.count() <= QUERIES_A_PASS:
+        held = asked.toArrow()
+        ids = held.column(0).to_numpy()
+        q = np.array(held.column(1).to_pylist(), np.float64).reshape(len(ids), -1) if len(ids) else np.empty((0, 0))
+
+        def run(batches):
+            for b in batches:
+                if len(ids) and b.num_rows:
+                    yield _best_products(ids, q, b.column(0).to_numpy(), matrix(b.column(1), b.num_rows), k)
+
+        return ranked(rows.mapInArrow(run, found), "score", k)
+
+    def pack(batches):
         for b in batches:
-            if not len(ids) or not b.num_rows:
-                continue
-            vid = b.column(0).to_numpy()
-            s = np.round(q @ b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vid), -1).T, 6)
-            order = np.lexsort((np.broadcast_to(vid, s.shape), -s), axis=1)[:, :k]
-            yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, order.shape[1]), "id": vid[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-
-    hits = vectors.select(F.col(id_col).cast("long"), F.col(vec_col)).mapInArrow(run, "query_id long, id long, score double")
-    return ranked(hits, "score", k)
+            for s in range(0, b.num_rows, QUERIES_A_PASS):
+                part = b.slice(s, QUERIES_A_PASS)
+                yield pa.RecordBatch.from_pydict({"ids": pa.array([part.column(0).to_numpy().astype("<i8").tobytes()]), "vs": pa.array([matrix(part.column(1), part.num_rows).astype("<f8").tobytes()])})
+
+    def meet(batches):
+        for b in batches:
+            for i, v, j, w in zip(*(c.to_pylist() for c in b.columns)):
+                ids, vid = np.frombuffer(i, "<i8"), np.frombuffer(j, "<i8")
+                yield _best_products(ids, np.frombuffer(v, "<f8").reshape(len(ids), -1), vid, np.frombuffer(w, "<f8").reshape(len(vid), -1), k)
+
+    blocks = keep(asked.mapInArrow(pack, "ids binary, vs binary"))
+    return ranked(blocks.crossJoin(rows.mapInArrow(pack, "vid binary, vv binary")).mapInArrow(meet, found), "score", k)
 
 
 def reciprocal_ranks(lists: list[tuple[str, DataFrame, float]], constant: int = 60) -> DataFrame:

@@ -380,6 +380,25 @@ def test_tfidf_leaders_equal_a_plain_reading(spark, monkeypatch):
         monkeypatch.setattr(Q, "QUERIES_A_PASS", 1)
 
 
+def test_dense_search_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from sluice.operators import search as Q
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 4)).astype(np.float32)
+    df = frame(spark, [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(99, None)], "id long, v array<float>").repartition(3)
+    want = []
+    for q in range(20):
+        s = np.round(x.astype(float) @ x[q].astype(float), 6)
+        want += [(q, k, int(i), float(s[i])) for k, i in enumerate(np.lexsort((np.arange(60), -s))[:5], 1)]
+    for most in (4096, 7):
+        monkeypatch.setattr(Q, "QUERIES_A_PASS", most)
+        got = Q.dense_search(df.where("id < 20"), "id", df, "id", "v", 5).collect()
+        assert sorted((r.query_id, r["rank"], r.id, round(r.score, 6)) for r in got) == sorted((q, k, i, round(s, 6)) for q, k, i, s in want)
+    assert Q.dense_search(df.limit(0), "id", df, "id", "v", 5).count() == 0
+
+
 def test_callables_take_the_place_of_models(spark):
     from sluice.operators import search as Q
 
