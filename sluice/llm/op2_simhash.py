@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut, map_arrow, sample_at_most, table, utf8, words_of
+from .common import by_bytes, cut, map_arrow, parts, sample_at_most, table, utf8, words_of
 from .components import connected_components
 
 LANE = np.uint64(0x0101010101010101)
@@ -336,7 +336,7 @@ def similar_components(df: DataFrame, id_col: str, text_col: str, shingle: int =
 
     SimHash only finds candidates. Each set has `lanes` * 64 bits. They are read as 2 * lanes views of 32 bits, and a vantage-point tree for each view
     finds the pairs that lie within `radius` bits in it; such a pair is a candidate unless all bits together are five standard deviations beyond what
-    `similarity` lets expect. By the binomial model, 24 views of radius 3 bring 99.9 % of pairs at 0.8 together. Sets too small for that model also meet
+    `similarity` lets expect. A shard that the tree couldn't part is cut into chunks of `per_shard` rows, and each two of them meet in a task of their own. By the binomial model, 24 views of radius 3 bring 99.9 % of pairs at 0.8 together. Sets too small for that model also meet
     by exact prefixes. Groups of candidates are then linked by exact Jaccard similarity (`verified_edges`), so a candidate costs no link and a link that
     a chain of candidates stands for is still seen. Equal fingerprints are linked; texts without words are equal.
     Rows of one id are one document: their links join. A row without an id has a component only with an equal text that has one. An empty table gives no rows.
@@ -355,27 +355,64 @@ def similar_components(df: DataFrame, id_col: str, text_col: str, shingle: int =
         v = seen.column(i // 2).to_numpy().view(np.uint64)
         views.append(grow((v >> np.uint64(32 * (i % 2))) & np.uint64(0xFFFFFFFF), radius, per_shard * seen.num_rows / n, seed=i))
 
+    def view_of(f: np.ndarray, i: int) -> np.ndarray:
+        return (f[:, i // 2] >> np.uint64(32 * (i % 2))) & np.uint64(0xFFFFFFFF)
+
+    def tally(batches):
+        for b in batches:
+            f = np.stack([b.column(i).to_numpy().view(np.uint64) for i in range(lanes)], 1)
+            for i, nodes in enumerate(views):
+                shard, n = np.unique(route(nodes, view_of(f, i), radius)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), i, np.int32)), pa.array(shard), pa.array(n.astype(np.int64))], ["view", "shard", "n"])
+
+    full = map_arrow(distinct.select(*names), tally, "view int, shard long, n long").groupBy("view", "shard").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * per_shard)
+    knots = {(r["view"], r["shard"]): -(-r["n"] // per_shard) for r in full.collect()}  # no more than there are rows for each 2 * per_shard of what is dealt
+
     def deal(batches):
         for b in batches:
             f = np.stack([b.column(i).to_numpy().view(np.uint64) for i in range(lanes)], 1)
-            packed = [x.tobytes() for x in f]
+            packed, ids = pa.array([x.tobytes() for x in f], pa.binary()), b.column(lanes).to_numpy()
             for i, nodes in enumerate(views):
-                v = (f[:, i // 2] >> np.uint64(32 * (i % 2))) & np.uint64(0xFFFFFFFF)
-                where, shard = route(nodes, v, radius)
-                at = pa.array(where)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), i, np.int32)), pa.array(shard), b.column(lanes).take(at), pa.array(packed, pa.binary()).take(at)], ["view", "shard", "id", "bits"])
+                where, shard = route(nodes, view_of(f, i), radius)
+                pair = np.zeros(len(where), np.int64)
+                for (view, knot), k in knots.items():
+                    if view == i and (some := shard == knot).any():  # each two chunks of a knot meet in a task
+                        c, o = np.repeat((spread(ids[where[some]].view(np.uint64), 1) % np.uint64(k)).astype(np.int64), k), np.tile(np.arange(k), int(some.sum()))
+                        where, shard = np.concatenate((where[~some], np.repeat(where[some], k))), np.concatenate((shard[~some], np.full(len(c), knot)))
+                        pair = np.concatenate((pair[~some], np.minimum(c, o) * k + np.maximum(c, o)))
+                for s in range(0, len(where), 16_384):
+                    at = pa.array(where[s : s + 16_384])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(shard[s : s + 16_384]), pa.array(pair[s : s + 16_384]), b.column(lanes).take(at), packed.take(at)], ["view", "shard", "pair", "id", "bits"])
 
     def link(t: pa.Table) -> pa.Table:
         f = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, lanes)
         ids, i = t.column("id").to_numpy(), t.column("view")[0].as_py()
         order = np.argsort(ids, kind="stable")
         ids, f = ids[order], f[order]
-        v = (f[:, i // 2] >> np.uint64(32 * (i % 2))) & np.uint64(0xFFFFFFFF)
-        root = block_links(v, radius, lambda x, y: np.bitwise_count(f[x] ^ f[y]).sum(1) <= most)
+        root = block_links(view_of(f, i), radius, lambda x, y: np.bitwise_count(f[x] ^ f[y]).sum(1) <= most)
         hung = root != np.arange(len(root))
         return pa.table({"a": pa.array(ids[hung]), "b": pa.array(ids[root[hung]])})
 
-    met = map_arrow(distinct.select(*names, "least"), deal, "view int, shard long, id long, bits binary").groupBy("view", "shard").applyInArrow(link, "a long, b long")
+    def linked(batches):
+        at, held = None, []
+        for b in batches:  # sorted by view, shard and pair
+            keys = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+            starts = np.concatenate(([0], np.nonzero((keys[1:] != keys[:-1]).any(1))[0] + 1))
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+                if held and tuple(keys[s]) != at:
+                    yield from link(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                at = tuple(keys[s])
+                held.append(b.slice(s, e - s))
+        if held:
+            yield from link(pa.Table.from_batches(held)).to_batches()
+
+    # groups are dealt in turn, so that no task has many of them by chance
+    first = np.cumsum([0, *(len(nodes) + 1 for nodes in views)]).tolist()
+    turn = F.element_at(F.array(*map(F.lit, first)), F.col("view") + 1) + F.col("shard") + F.col("pair")
+    dealt = map_arrow(distinct.select(*names, "least"), deal, "view int, shard long, pair long, id long, bits binary")
+    dealt = dealt.repartitionById(parts(df), F.pmod(turn, F.lit(parts(df))).cast("int")).sortWithinPartitions("view", "shard", "pair")
+    met = map_arrow(dealt, linked, "a long, b long")
     short = distinct.select(F.col("least").alias("a"), F.explode("short").alias("s"))
     heads = short.groupBy("s").agg(F.min("a").alias("b"))
     groups = connected_components(met.unionByName(short.join(heads, "s").where("a <> b").select("a", "b")))
@@ -389,5 +426,8 @@ def similar_components(df: DataFrame, id_col: str, text_col: str, shingle: int =
 
 
 def op2_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`simhash_components` of the whole `documents`: three words, two bits. No SQL: components are found in rounds; tests compare it with all pairs.
+    Null texts and texts without words have the fingerprint zero and are linked; repeated rows share a component.
+    """
     out = simhash_components(table(spark, sf_dir, "documents"), "doc_id", "text", 3, 2)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
