@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.lexicons import NEARNESS, SUBJECTS, TITLE_AUDIENCES
+from ..functions.lexicons import ASKED, NEARNESS, SUBJECTS, TITLE_AUDIENCES, VALUES
 from .pages import first_rule
 
 #: When a point counts as supported, partly supported, or related at all.
@@ -30,8 +30,9 @@ def points(df: DataFrame, id_col: str, text: Column, most: int = 5, least: int =
     return rows.select(id_col, F.posexplode("ps").alias("i", "point")).select(id_col, (F.col("i") + 1).cast("long").alias("point_no"), "point")
 
 
-def attributes(text: Column, lexicon=ATTRIBUTES) -> Column:
-    """The attributes of a lexicon of (name, pattern) that a text asks for; TIME yields to DEADLINE."""
+def attributes(text: Column, lexicon=None) -> Column:
+    """The attributes of a lexicon of (name, pattern), that of Han questions by default, that a text asks for; TIME yields to DEADLINE."""
+    lexicon = patterns(ASKED) if lexicon is None else lexicon
     deadline = text.rlike(dict(lexicon)["DEADLINE"])
     return F.array_compact(F.array(*[F.when(text.rlike(p) & (~deadline if name == "TIME" else F.lit(True)), F.lit(name)) for name, p in lexicon]))
 
@@ -41,7 +42,7 @@ def patterns(lexicon: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
     return [(name, "|".join(words)) for name, words in lexicon.items()]
 
 
-def attribute_values(text: Column, values: dict[str, str]) -> Column:
+def attribute_values(text: Column, values: dict[str, str] = VALUES) -> Column:
     """What a text says of each attribute: a map to the distinct values, in order of appearance."""
     return F.create_map(*[x for name, p in values.items() for x in (F.lit(name), F.array_distinct(F.regexp_extract_all(text, F.lit(f"({p})"), 1)))])
 

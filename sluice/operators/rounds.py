@@ -28,6 +28,12 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows, dealt to as many tasks as there are cores where the input has fewer splits, as one small file has; a large input stays as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class ResultCache:
     """Results by key, each for `seconds` after it was made, at most `most` of them: the one that was asked for longest ago goes first.
 

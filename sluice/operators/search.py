@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .rounds import keep
+from .rounds import keep, spread
 
 #: Query vectors of a pass over the index; queries that are held in every task.
 QUERIES_A_PASS = 4096
 #: Query terms that are held in every task, at most.
 TERMS_A_PASS = 200_000
+#: Weights of queries that are held in every task, at most.
+MATRIX = 16_000_000
 
 
 def postings(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -27,6 +29,13 @@ def postings(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     return terms.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
+def term_counts(df: DataFrame, tokens: Column) -> DataFrame:
+    """(term, df, cf): in how many rows each term stands, and how often; one pass, whose exchange moves a row for each term of a task."""
+    one = lambda t, df_, cf: F.struct(t.alias("term"), F.lit(df_).alias("df"), F.lit(cf).alias("cf"))
+    both = F.concat(F.transform("t", lambda t: one(t, 0, 1)), F.transform(F.array_distinct("t"), lambda t: one(t, 1, 0)))
+    return spread(df).select(tokens.alias("t")).select(F.explode(both).alias("x")).groupBy("x.term").agg(F.sum("x.df").alias("df"), F.sum("x.cf").alias("cf"))
+
+
 def statistics(df: DataFrame, tokens: Column) -> DataFrame:
     """One row: n_docs and avg_len over all rows."""
     n = df.select(F.size(tokens).alias("n"))
@@ -71,7 +80,7 @@ def bm25_top(
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(n), of_term, pa.ListArray.from_arrays(starts, pa.array(tf, pa.int32()))], ["id", "len", "terms", "tfs"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    index = keep(docs.select(F.col(id_col).alias("id"), tokens.alias("t")).mapInArrow(count, f"id {kind}, len long, terms array<int>, tfs array<int>"))
+    index = keep(spread(docs).select(F.col(id_col).alias("id"), tokens.alias("t")).mapInArrow(count, f"id {kind}, len long, terms array<int>, tfs array<int>"))
     n_docs, avg_len = index.agg(F.count("*"), F.avg("len")).first()
     df_ = np.zeros(len(terms))
     for r in index.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row for each query term
@@ -154,11 +163,11 @@ def tfidf_top(queries: DataFrame, query_id: str, docs: DataFrame, id_col: str, t
     """(query_id, rank, id, score): the k documents nearest to each query by the cosine of TF-IDF weights of character n-grams.
 
     The features are those most frequent in the documents; queries are weighted by the documents' frequencies. Texts are read twice, to count features and to
-    score; each task combines its counts, and passes on its own leaders only. What tasks hold is `max_features` features and `QUERIES_A_PASS` queries at most; more
+    score; each task combines its counts, and passes on its own leaders only. What tasks hold is `max_features` features and `MATRIX` weights of queries at most; more
     queries are taken in further passes. Ties go to smaller ids. Null texts are empty; a text without features is like none.
     """
     items = queries.select(F.col(query_id).alias("q"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")))
     passes = -(-items.count() // QUERIES_A_PASS)
 
     def grams(t: str) -> Counter:
@@ -199,33 +208,43 @@ def tfidf_top(queries: DataFrame, query_id: str, docs: DataFrame, id_col: str, t
         w = (1 + np.log(np.array(tf, float))) * idf[feature]
         return own, feature, w / np.sqrt(np.bincount(own, w * w, len(texts)))[own]
 
-    def one_pass(share: DataFrame) -> DataFrame:
-        asked = share.toArrow()
-        ids, (own, feature, w) = asked.column("q").to_pylist(), weights(asked.column("t").to_pylist())
-        order = np.argsort(feature, kind="stable")
-        own, w, first = own[order], w[order], np.searchsorted(feature[order], np.arange(len(at) + 1))
+    def one_pass(ids: list, own: np.ndarray, feature: np.ndarray, w: np.ndarray) -> DataFrame:
+        used, at_row = np.unique(feature, return_inverse=True)
+        asked = np.zeros((len(used), len(ids)))
+        asked[at_row, own] = w
+        row_of = np.full(len(at), -1, np.int64)
+        row_of[used] = np.arange(len(used))
         at_once = max(1, 1_000_000 // max(1, len(ids)))
 
         def score(batches):
             for x in batches:
                 for s in range(0, x.num_rows if len(ids) else 0, at_once):
                     part = x.slice(s, at_once).sort_by("id")
+                    total = np.zeros((part.num_rows, len(ids)))
                     doc, f, dw = weights(part.column(1).to_pylist())
-                    each = first[f + 1] - first[f]
-                    rep = np.repeat(np.arange(len(f)), each)
-                    here = np.arange(len(rep)) - np.repeat(np.cumsum(each) - each, each) + first[f][rep]
-                    total = np.round(np.bincount(own[here] * part.num_rows + doc[rep], w[here] * dw[rep], len(ids) * part.num_rows), 6).reshape(len(ids), -1)
+                    known = row_of[f] >= 0
+                    doc, f, dw = doc[known], row_of[f[known]], dw[known]
+                    ends = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                    for i in range(part.num_rows):  # a product of a row and a matrix for each document
+                        total[i] = dw[ends[i] : ends[i + 1]] @ asked[f[ends[i] : ends[i + 1]]]
+                    total = np.round(total.T, 6)
                     lead = np.argsort(-total, axis=1, kind="stable")[:, :k]
                     q, j = np.repeat(np.arange(len(ids)), lead.shape[1]), lead.ravel()
                     some = total[q, j] > 0
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q[some]], asked.schema.field("q").type), part.column(0).take(pa.array(j[some])), pa.array(total[q, j][some])], ["query_id", "id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q[some]], kind), part.column(0).take(pa.array(j[some])), pa.array(total[q, j][some])], ["query_id", "id", "score"])
 
         return rows.mapInArrow(score, f"query_id {items.schema['q'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double")
 
     hits = None
     for i in range(max(1, passes)):
-        one = one_pass(items if passes <= 1 else items.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == i))
-        hits = one if hits is None else hits.unionByName(one)
+        share = (items if passes <= 1 else items.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == i)).toArrow()
+        kind, ids = share.schema.field("q").type, share.column("q").to_pylist()
+        own, feature, w = weights(share.column("t").to_pylist())
+        step = max(1, MATRIX // max(1, len(np.unique(feature))))
+        for s in range(0, max(1, len(ids)), step):
+            mine = (own >= s) & (own < s + step)
+            one = one_pass(ids[s : s + step], own[mine] - s, feature[mine], w[mine])
+            hits = one if hits is None else hits.unionByName(one)
     return ranked(hits, "score", k)
 
 

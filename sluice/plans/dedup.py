@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import dedup as D
 from ..operators import metadata as M
+from ..operators.rounds import spread
 from .pages import _HOST, _PART
 from .registry import query, table
 
@@ -83,7 +84,7 @@ select k // 1000000 as doc_id, k % 1000000 as line_no, item_id as match_id, jacc
 def d8(spark, sf_dir):
     """Every line of every document against the benchmark's items."""
     tokens = lambda d: d.withColumn("tokens", F.filter(T.word_set(F.col("text")), lambda w: w != ""))
-    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).select((F.col("doc_id") * 1_000_000 + F.col("i")).alias("k"), "text")
+    lines = spread(_docs(spark, sf_dir)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).select((F.col("doc_id") * 1_000_000 + F.col("i")).alias("k"), "text")
     out = D.best_overlap(tokens(lines), "k", tokens(table(spark, sf_dir, "benchmark")), "item_id", 0.55)
     return out.select(F.floor(F.col("k") / 1_000_000).alias("doc_id"), (F.col("k") % 1_000_000).alias("line_no"), "match_id", "jaccard")
 

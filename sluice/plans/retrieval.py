@@ -50,8 +50,7 @@ def _fused(spark, sf_dir):
 
 @query("r1_index_build", f"with t as (select doc_id, {_TOK} as ts from documents), e as (select doc_id, unnest(ts) as term from t) select term, count(distinct doc_id) as df, count(*) as cf from e group by 1")
 def r1(spark, sf_dir):
-    p = S.postings(table(spark, sf_dir, "documents"), "doc_id", T.word_tokens(F.col("text")))
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return S.term_counts(table(spark, sf_dir, "documents"), T.word_tokens(F.col("text")))
 
 
 @query("r2_bm25_search", f"with {_BM25}, r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from hits) select query_id, rank, id, score, matched from r where rank <= 10")
@@ -104,7 +103,8 @@ def _reranked(spark, sf_dir):
     meta = M.sources(table(spark, sf_dir, "documents")).where("admission_status = 'serving' and access_level = 'public'")
     words = lambda c: F.array_distinct(T.word_tokens(F.col(c))).alias(f"{c}_words")
     # each document of the pool is cut into words once, before it meets the queries that it leads for
-    meta = meta.join(fused.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "department", "effective_date", "expiry_date", "authority_level", "topics", "audience", words("title"), words("text"))
+    meta = meta.join(fused.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "department", "effective_date", "expiry_date", "authority_level", "topics", "audience", "title", "text").repartition(spark.sparkContext.defaultParallelism)  # the pool's documents, each once
+    meta = meta.select("doc_id", "department", "effective_date", "expiry_date", "authority_level", "topics", "audience", words("title"), words("text"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words("text").alias("q_words"))
     rows = fused.join(top, "query_id").join(meta, F.col("id") == F.col("doc_id")).join(items, "query_id")
     status = M.temporal_status(F.col("effective_date"), F.col("expiry_date"), "2025-06-01")
