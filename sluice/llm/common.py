@@ -54,6 +54,12 @@ def cut(df: DataFrame) -> DataFrame:
         conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what lies at a path of the shared folder and is no longer needed."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def parts(df: DataFrame) -> int:
     """Shuffle partitions of the session: the operator of the cluster sizes it for the input."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))

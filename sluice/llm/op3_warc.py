@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, parts, shared_dir, table
+from .common import cut, map_arrow, parts, remove, shared_dir, table
 
 CHUNK = 1 << 18
 #: WARC-Date of what is written, fixed so that runs give the same bytes.
@@ -209,9 +209,12 @@ def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of the whole `pages`, written to the shared folder and read back. No SQL: it writes and parses files; tests compare it with reading the table.
     Null and empty html are payloads of no bytes; of equal payloads the least page_id is the response; repeated rows are records of their own.
     """
-    manifest = write_archives(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
-    rows = read_archives(manifest, payloads=False).where("is_last")
+    where = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    rows = read_archives(write_archives(table(spark, sf_dir, "pages"), where), payloads=False).where("is_last")
     whole = F.col("record_type") == "response"
-    return rows.select(
+    out = rows.select(
         "page_id", F.when(whole, F.col("bytes_so_far")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), F.when(whole, F.col("digest_so_far")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to",
     )
+    out = cut(out)
+    remove(spark, where)
+    return out
