@@ -28,6 +28,9 @@ from .common import by_bytes, cut, map_arrow, shared_dir, table, worker_cache
 #: What the tokeniser takes for white space.
 BLANK = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The pattern of the public vocabulary's pre-tokeniser.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+STEPS = ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
+#: The same with the tokeniser's white space.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{BLANK}\p{{L}}\p{{N}}]+"
 MEMO = 200_000
 
@@ -44,6 +47,10 @@ class Vocabulary:
 
     def __init__(self, spec: dict):
         model = spec["model"]
+        steps = [*(spec["normalizer"] or {}).get("normalizers", []), *(spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        patterns = [s["pattern"].get("Regex") for s in steps if "pattern" in s]
+        if [s["type"] for s in steps] != STEPS or patterns != [r"\s+", PATTERN] or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")):
+            raise ValueError("this vocabulary normalises or cuts texts in another way than the operator does")
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -230,7 +237,11 @@ def frequent_words(df: DataFrame, text_col: str, most: int) -> list[str]:
 
 
 def encode_decode(df: DataFrame, id_col: str, text_col: str, vocabulary: str, lexicon_words: int = 50_000, with_ids: bool = False) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of each row's whole text and, if asked for, its ids and decoded text. Null texts are empty; an empty table gives no rows."""
+    """(id, n_tokens, ids_sha256, decoded_sha256) of each row's whole text and, if asked for, its ids and decoded text.
+
+    Null texts are empty; repeated rows give equal rows; other columns, whatever their names, take no part; an empty table gives no rows. A vocabulary that
+    normalises or cuts texts in another way than this operator is refused.
+    """
     spec = open(vocabulary, encoding="utf-8").read()
     voc = Vocabulary(json.loads(spec))
     where = f"{shared_dir(df.sparkSession)}/lexicon-{uuid.uuid4().hex}.bin"
@@ -260,6 +271,9 @@ def encode_decode(df: DataFrame, id_col: str, text_col: str, vocabulary: str, le
 
 
 def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`encode_decode` of the whole `documents` with the public vocabulary of 49,000 words. No SQL: merging is a loop; tests compare it with the tokenizers library.
+    Null texts are empty, and give no ids; repeated rows give equal rows.
+    """
     import public_tokenizers
 
     out = encode_decode(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))

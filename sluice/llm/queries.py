@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import importlib
-
-_WHERE = {
-    "op1_histogram_shards": "op1_shard",
-    "op2_simhash_vptree": "op2_simhash",
-    "op3_warc_chunks": "op3_warc",
-    "op4_best_fit_packing": "op4_packing",
-    "op5_bpe_transducer": "op5_bpe",
-    "op6_canonical_digest": "op6_digest",
-    "op7_fixed_block_anchors": "op7_substring",
-    "op8_levenshtein_lexicon": "op8_toxicity",
-    "op9_inverted_multi_index": "op9_imi",
-    "op10_factorisation_machine": "op10_quality",
-}
+import corpus_pipeline
+
+from . import op1_shard, op2_simhash, op3_warc, op4_packing, op5_bpe, op6_digest, op7_substring, op8_toxicity, op9_imi, op10_quality
+
+_QUERIES = [
+    op1_shard.op1_histogram_shards, op2_simhash.op2_simhash_vptree, op3_warc.op3_warc_chunks, op4_packing.op4_best_fit_packing, op5_bpe.op5_bpe_transducer, op6_digest.op6_canonical_digest,
+    op7_substring.op7_fixed_block_anchors, op8_toxicity.op8_levenshtein_lexicon, op9_imi.op9_inverted_multi_index, op10_quality.op10_factorisation_machine,
+]
 
 
 def queries() -> dict:
-    found = {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in _WHERE.items()}
-    return found | {"pipeline": importlib.import_module("corpus_pipeline").run}
+    return {f.__name__: f for f in _QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None: each query's docstring says why."""
     return {}

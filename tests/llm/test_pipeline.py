@@ -31,6 +31,31 @@ def test_near_duplicates_leave_one(spark):
     assert [i for i, _ in got] == [1, 2, 9]
 
 
+def test_near_duplicates_are_found(spark):
+    """Of planted pairs at a similarity of 0.8 or a little more, nine in ten at least go, and no document of its own does."""
+    import numpy as np
+
+    rng, rows, planted = np.random.default_rng(8), [], 0
+    for k in range(300):
+        n = int(rng.integers(60, 500))
+        words = [f"v{x}" for x in rng.integers(0, 3000, n)]
+        rows.append((10 * k, " ".join(words)))
+        if k % 2:
+            at = int(0.1 * n)  # a tenth of the words are others, in one piece: 0.8 or more of the shingles of either are shared
+            rows.append((10 * k + 1, " ".join(words[: n - at] + [f"n{k}x{i}" for i in range(at)])))
+            planted += 1
+    sets = {i: {tuple(w[j : j + 5]) for w in [t.split()] for j in range(len(w) - 4)} for i, t in rows}
+    near = {i for i in sets if i % 10 and 5 * len(sets[i] & sets[i - 1]) >= 4 * len(sets[i] | sets[i - 1])}
+    kept = {r.doc_id for r in cp.drop_near_duplicates(spark, docs(spark, rows), SF).collect()}
+    assert len(near) > 100 and len(near - kept) >= 0.9 * len(near) and set(sets) - near <= kept
+
+
+def test_near_duplicates_of_rows_without_ids(spark):
+    rows = [(None, "a text"), (None, "a text"), (None, "another"), (3, "own words"), (3, "own words"), (3, "other words")]
+    got = sorted(((r.doc_id, r.text) for r in cp.drop_near_duplicates(spark, docs(spark, rows), SF).collect()), key=str)
+    assert got == sorted([(None, "a text"), (None, "another"), (3, "own words"), (3, "other words")], key=str)
+
+
 def test_repeated_passages_equal_brute_force(spark):
     passage = " ".join(f"p{i}" for i in range(70))
     rows = [(1, f"a b {passage} c"), (2, f"d\n{passage} e"), (3, passage), (4, "kept  as\nit is"), (5, None)]
