@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import cut, shared_dir, table
+from sluice.llm.common import cut, remove, shared_dir, table
 from sluice.llm.op2_simhash import similar_components
 from sluice.llm.op4_packing import CAPACITIES, pack, word_count
 from sluice.llm.op7_substring import drop_repeats
@@ -86,10 +86,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again by the next."""
+    """All stages over `documents`, each written to the shared folder and read again by the next; what a stage has read goes when it has been written."""
     where = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{i}-{name}")
         docs = spark.read.parquet(f"{where}/{i}-{name}")
+        if i:
+            remove(spark, f"{where}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
