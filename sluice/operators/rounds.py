@@ -43,10 +43,21 @@ class ResultCache:
     def __init__(self, seconds: float = 300, most: int = 128, clock: Callable[[], float] = time.monotonic):
         self.seconds, self.most, self.clock, self.held = seconds, most, clock, OrderedDict()
 
+    @staticmethod
+    def _there(df: DataFrame) -> bool:
+        """Whether what was kept can still be read: its session may have ended, or its files may be gone."""
+        try:
+            df.take(1)
+        except Exception:
+            return False
+        return True
+
     def get(self, key: Hashable, make: Callable[[], DataFrame]) -> DataFrame:
         now = self.clock()
         for k in [k for k, (t, _) in self.held.items() if now - t > self.seconds]:
             del self.held[k]
+        if key in self.held and not self._there(self.held[key][1]):
+            del self.held[key]
         if key not in self.held:
             self.held[key] = (now, keep(make()))
             while len(self.held) > self.most:
