@@ -33,6 +33,8 @@ STEPS = ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
 #: The same with the tokeniser's white space.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{BLANK}\p{{L}}\p{{N}}]+"
 MEMO = 200_000
+#: Characters of whole texts whose results a worker remembers, for copies.
+COPIES = 2_000_000
 
 
 def byte_letters() -> list[str]:
@@ -255,10 +257,23 @@ def encode_decode(df: DataFrame, id_col: str, text_col: str, vocabulary: str, le
         kept = worker_cache()  # a worker's next task finds the words that this one met
         if where not in kept:
             kept.clear()
-            kept[where] = Codec(Vocabulary(json.loads(shipped.value)), open_lexicon(where))
-        codec = kept[where]
+            kept[where] = (Codec(Vocabulary(json.loads(shipped.value)), open_lexicon(where)), {}, [0])
+        codec, known, size = kept[where]
+
+        def once(t: str) -> tuple[bytes, bytes]:
+            got = known.get(t)
+            if got is None:
+                got = codec.text(t)
+                if len(t) <= COPIES // 100:
+                    if size[0] > COPIES:
+                        known.clear()
+                        size[0] = 0
+                    known[t] = got
+                    size[0] += len(t)
+            return got
+
         for b in by_bytes(batches, "text"):
-            got = [codec.text(t or "") for t in b.column(1).to_pylist()]
+            got = [once(t or "") for t in b.column(1).to_pylist()]
             sha = lambda i: pa.array([hashlib.sha256(x[i]).hexdigest() for x in got])
             columns = [b.column(0), pa.array([len(x[0]) // 4 for x in got], pa.int64()), sha(0), sha(1)]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
