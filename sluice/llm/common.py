@@ -128,3 +128,37 @@ def sample_at_most(df: DataFrame, key: str, n: int, total: int | None = None) ->
     if total <= n:
         return df
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * n / total))
+
+
+def sound_vectors(rows: DataFrame) -> tuple[DataFrame, int, int, float]:
+    """(rows, length, number, greatest magnitude of a component): the rows whose `vec` is not null, has no null or non-finite component, and is of the commonest length.
+
+    Of lengths met equally often the shorter is it. Components are doubles. Without a row left the length is 0.
+    """
+    fine = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (F.size("vec") > 0)
+    rows = rows.withColumn("vec", F.col("vec").cast("array<double>")).where(F.coalesce(fine, F.lit(False)))
+    greatest = F.aggregate("vec", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v)))
+    found = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.max(greatest).alias("most")).orderBy(F.desc("n"), "dim").first()
+    if found is None:
+        return rows, 0, 0, 0.0
+    return rows.where(F.size("vec") == found["dim"]), found["dim"], found["n"], found["most"]
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, count: str, deal: Column, most: int = 1_000) -> DataFrame:
+    """`rows` with the columns of `facts`, which has one row for each value of `key`, null too, and in `count` how many rows bear it; rows without facts stay.
+
+    A value that more than one row in `most` bears, of which there are fewer than `most`, is dealt by `deal` to as many shares as it has such parts of the rows, and its facts
+    are repeated for each share; so no task takes a frequent value whole. Only those few values are broadcast.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    per = max(1, total // most)
+    hot = facts.where(F.col(count) > per).select(F.col(key).alias("_key"), F.least(F.lit(most), F.ceil(F.col(count) / per)).cast("int").alias("_shares"))
+    hot = F.broadcast(hot)
+
+    def with_shares(df: DataFrame) -> DataFrame:
+        return df.join(hot, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key").withColumn("_shares", F.coalesce("_shares", F.lit(1)))
+
+    left = with_shares(rows).withColumn("_share", F.pmod(deal, F.col("_shares")).cast("int")).drop("_shares")
+    right = with_shares(facts.drop(count) if count not in rows.columns else facts)
+    right = right.withColumn("_of", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares").withColumnRenamed(key, "_fact_key")
+    return left.join(right, F.col(key).eqNullSafe(F.col("_fact_key")) & (F.col("_share") == F.col("_of")), "left").drop("_fact_key", "_share", "_of")
