@@ -21,6 +21,11 @@ def nfkc(x: Column) -> Column:
     return F.when(F.octet_length(x) == F.char_length(x), x).otherwise(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True)))
 
 
+def casefold(x: Column) -> Column:
+    """Unicode's full case folding, by the JVM's own tables."""
+    return F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), x, F.lit(True)))
+
+
 def normalize_document(x: Column) -> Column:
     """NFKC, one kind of line end, blanks in lines collapsed, provenance lines dropped, at most one empty line in a row."""
     x = F.regexp_replace(nfkc(x), r"\r\n?", "\n")

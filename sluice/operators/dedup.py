@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import hashlib
 import itertools
+import re
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import jaccard as similarity
-from ..functions.text import ngrams, norm, trigram_set
+from ..functions.text import casefold, nfkc, ngrams, norm, strip, trigram_set
+from .acceptance import accepted
+from .cosine import cosine_pairs, most_similar, tfidf
 from .rounds import keep
 
 
@@ -23,30 +26,15 @@ def two_pass(df: DataFrame, hash_col: str, url_col: str, order: list[str]) -> Da
     return first(first(df, hash_col), url_col)
 
 
-def greedy(df: DataFrame, keys: list[str], id_col: str, most_rounds: int = 200) -> DataFrame:
+def greedy(df: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     """Rows kept one after the other, in the order of ids, unless a kept row has one of the keys. Null keys don't count; ids tell rows apart.
 
-    In rounds: an undecided row that is the least of each of its keys is kept, and rows that share a key with it go. That is what going through the
-    rows one by one gives, and each round is a few aggregations, so no group has to meet in one task.
+    As `acceptance.accepted`: exact for chains of any length, and no group of equal keys meets in one task.
     """
-    undecided, kept = keep(df.select(id_col, *keys)), None
-    for _ in range(most_rounds):
-        rows = undecided
-        for k in keys:
-            least = undecided.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(id_col).alias(f"_least_{k}"))
-            rows = rows.join(least, k, "left")
-        first = F.lit(True)
-        for k in keys:
-            first = first & (F.col(k).isNull() | (F.col(f"_least_{k}") == F.col(id_col)))
-        winners = keep(rows.where(first).select(id_col, *keys))
-        kept = winners.select(id_col) if kept is None else kept.unionByName(winners.select(id_col))
-        rows = undecided.join(winners.select(id_col), id_col, "left_anti")
-        for k in keys:
-            rows = rows.join(winners.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
-        undecided = keep(rows.select(id_col, *keys))
-        if not undecided.take(1):
-            return df.join(kept, id_col, "left_semi")
-    raise RuntimeError(f"rows weren't decided in {most_rounds} rounds")
+    named = F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{i}:"), F.col(k).cast("string"))) for i, k in enumerate(keys)])
+    pairs = df.select(F.col(id_col).alias("id"), F.explode(F.array_compact(named)).alias("key"))
+    free = df.where(F.coalesce(*[F.col(k).cast("string") for k in keys]).isNull()).select(F.col(id_col).alias("id"))
+    return df.join(accepted(pairs).unionByName(free).withColumnRenamed("id", id_col), id_col, "left_semi")
 
 
 def duplicate_of(df: DataFrame, id_col: str, key: Column) -> DataFrame:
@@ -76,12 +64,17 @@ def in_core(df: DataFrame, core: DataFrame, id_col: str, keys: list[str]) -> Dat
     return out.withColumn("in_core", found).drop(*[f"_has_{k}" for k in keys])
 
 
-def simhash_blake(df: DataFrame, id_col: str, text_col: str, words: int = 3) -> DataFrame:
-    """(id, simhash): 64 votes by BLAKE2b of runs of words; a tie sets the bit."""
+#: What counts as a word of a page, a Han letter or a run of Latin letters and digits.
+PAGE_WORDS = "[\u4e00-\u9fff]|[a-z0-9]+"
+
+
+def simhash_blake(df: DataFrame, id_col: str, text_col: str, words: int = 3, pattern: str = r"\S+", glue: str = " ") -> DataFrame:
+    """(id, simhash): 64 votes by BLAKE2b of runs of words, which `pattern` finds in the lower-cased text and `glue` joins; a tie sets the bit."""
+    find = re.compile(pattern).findall
 
     def one(text: str) -> str:
-        w = (text or "").lower().split()
-        runs = [" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))]
+        w = find((text or "").lower())
+        runs = [glue.join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))]
         h = np.frombuffer(b"".join(hashlib.blake2b(r.encode(), digest_size=8).digest() for r in runs), ">u8")
         votes = 2 * np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) - len(runs)
         return np.packbits(votes >= 0).tobytes().hex()
@@ -226,3 +219,101 @@ def seen_before(df: DataFrame, key: str, order: str, accepted: Column, policy: s
     before = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     counts = F.lit(1) if policy == "all" else accepted.cast("int")
     return df.withColumn("duplicate", F.coalesce(F.max(counts).over(before), F.lit(0)) > 0)
+
+
+def cascade(candidates: DataFrame, protected: DataFrame, evaluation: DataFrame, id_col: str, text_col: str, least: float = 0.985, longest: int = 12_000, features: int = 60_000) -> DataFrame:
+    """(id, reason, max_reference_tfidf_cosine): why each candidate is left out, the first of these that holds; null if it stays.
+
+    EMPTY_PROMPT, MALFORMED (a replacement character), TOO_LONG (over `longest` characters); EXACT_DUPLICATE and NORMALIZED_DUPLICATE of a protected text or of a candidate that was accepted before, in
+    the order of ids; EVALUATION_EXACT_OR_NORMALIZED; then, for what has passed so far, a TF-IDF cosine of `least` or more with a protected or evaluation text: SEMANTIC_NEAR_DUPLICATE_EVAL or
+    _TRAINING by the side of the most similar one, protected first where they tie. The cosine is null below `least`: nothing below it is computed. Null texts are empty.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    folded = lambda x: F.sha2(F.trim(F.regexp_replace(casefold(nfkc(x)), r"[^\p{L}\p{N}_]+", " ")), 256)
+    keyed = lambda d: d.select(text.alias("text"), F.sha2(text, 256).alias("e"), folded(text).alias("n"))
+    rows = candidates.select(F.col(id_col).alias("id"), text.alias("text"), F.sha2(text, 256).alias("e"), folded(text).alias("n"))
+    own = F.when(strip(F.col("text")) == "", "EMPTY_PROMPT").when(F.contains("text", F.lit("\ufffd")), "MALFORMED").when(F.char_length("text") > longest, "TOO_LONG")
+    rows = keep(rows.withColumn("own", own))
+    held = keyed(evaluation).select("n").distinct().withColumn("in_evaluation", F.lit(True))
+    known = keyed(protected).groupBy("n").agg(F.lit(True).alias("known"))
+    exact = keyed(protected).select("e").distinct().withColumn("known_exact", F.lit(True))
+    # of each normalised text the first candidate that nothing else rules out stands for those that follow
+    groups = rows.where("own is null").groupBy("n").agg(F.min_by(F.struct("id", "e"), "id").alias("first")).join(known, "n", "left").join(held, "n", "left")
+    seen = rows.select("id", "e", "n", "own").join(groups, "n", "left").join(exact, "e", "left")
+    yes = lambda k: F.coalesce(F.col(k), F.lit(False))
+    taken = ~yes("known") & ~yes("in_evaluation")  # whether the first one was accepted
+    reason = F.coalesce(
+        "own", F.when(yes("known_exact") | (taken & (F.col("id") != F.col("first.id")) & (F.col("e") == F.col("first.e"))), "EXACT_DUPLICATE").when(yes("known") | (taken & (F.col("id") != F.col("first.id"))), "NORMALIZED_DUPLICATE").when(yes("in_evaluation"), "EVALUATION_EXACT_OR_NORMALIZED"),
+    )
+    seen = keep(seen.select("id", reason.alias("reason")))
+    passed = rows.select("id", "text").join(seen.where("reason is null").select("id"), "id", "left_semi")
+    side = lambda d, k: d.select(F.struct(F.lit(k).alias("side"), F.sha2(text, 256).alias("e")).alias("reference"), text.alias("text")).dropDuplicates(["reference"])
+    plain = lambda d: d.select(text.alias("text"))
+    pool = side(protected, 0).unionByName(side(evaluation, 1))
+    near = most_similar(passed, pool, "id", "text", "reference", least, features, corpus=plain(protected).unionByName(plain(evaluation)).unionByName(passed.select("text")))
+    out = seen.join(near, "id", "left")
+    semantic = F.when(F.col("reference.side") == 1, "SEMANTIC_NEAR_DUPLICATE_EVAL").when(F.col("reference.side") == 0, "SEMANTIC_NEAR_DUPLICATE_TRAINING")
+    return out.select(F.col("id").alias(id_col), F.coalesce("reason", semantic).alias("reason"), F.round("cosine", 6).alias("max_reference_tfidf_cosine"))
+
+
+def split_audit(train: DataFrame, validation: DataFrame, id_col: str, text_col: str, jaccard: float = 0.90, cosine: float = 0.985, features: int = 60_000) -> DataFrame:
+    """One row: how many texts two splits share exactly and normalised, how many validation rows have a training row at `jaccard` or more of their words of two letters or more, or at
+    `cosine` or more by TF-IDF, and PASS where nothing is shared. Null texts are empty, and sets without words are like none.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    plain = F.trim(F.regexp_replace(casefold(nfkc(text)), r"[^\p{L}\p{N}_]+", " "))
+    keyed = lambda d, v: d.select(F.lit(v).alias("v"), F.sha2(text, 256).alias("e"), F.sha2(plain, 256).alias("n"))
+    both = keep(keyed(train, False).unionByName(keyed(validation, True)))
+    shared = lambda k: both.groupBy(k).agg(F.bool_or("v").alias("a"), F.bool_or(~F.col("v")).alias("b")).where("a and b").count()
+    words = lambda d: d.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.filter(F.split(plain, " "), lambda w: F.char_length(w) > 1))).alias("tokens")).where(F.size("tokens") > 0)
+    # equal sets are compared once
+    of_set = lambda d: d.groupBy(F.sha2(F.array_join("tokens", " "), 256).alias("s")).agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"))
+    mine = keep(of_set(words(validation)))
+    like = overlap_pairs(of_set(words(train)).select("s", "tokens"), "s", mine.select("s", "tokens"), "s", jaccard).select(F.col("b").alias("s")).distinct()
+    lexical = mine.join(like, "s", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    corpus = train.select(text.alias("text")).unionByName(validation.select(text.alias("text")))
+    weigh = tfidf(corpus, "text", features)
+    vectors = lambda d: weigh(d.select(F.col(id_col).alias("id"), text.alias("text")), "id", "text")
+    semantic = cosine_pairs(vectors(validation), vectors(train), cosine).select("a").distinct().count()
+    found = (shared("e"), shared("n"), lexical, semantic)
+    return train.sparkSession.createDataFrame([("PASS" if not any(found) else "FAIL", *found)], "status string, exact_overlap long, normalized_overlap long, lexical_near_overlap long, semantic_near_overlap long")
+
+
+def accept_pages(pages: DataFrame, history: DataFrame, most: int = 1, least_history: int = 150) -> DataFrame:
+    """(id, decision) of new pages (id, url, title, text), in the order of ids: historical_url, repeated_url (an earlier page, accepted or not, has it), historical_content, internal_content, accepted.
+
+    Content repeats if its hash, its title's letters and digits, or its SimHash within `most` bits is one of the history's or of a page accepted before. Texts of history of `least_history`
+    characters or fewer lend no SimHash. Titles without letters and null texts take part as empty ones. Exact: acceptance goes as one page after the other would.
+    """
+    tidy = lambda x: F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}_]+", "")
+    text = F.coalesce(F.col("text"), F.lit(""))
+
+    def facts(d: DataFrame) -> DataFrame:
+        d = d.select("id", "url", F.sha2(text, 256).alias("hash"), tidy(F.col("title")).alias("title"), text.alias("text"))
+        prints = simhash_blake(d, "id", "text", 3, PAGE_WORDS, "").select("id", as_long(F.col("simhash")).alias("fp"))
+        return keep(d.withColumn("n", F.char_length("text")).drop("text").join(prints, "id"))
+
+    old = history.withColumn("id", F.monotonically_increasing_id())
+    new, old = facts(pages), facts(keep(old))
+    first = new.groupBy("url").agg(F.min("id").alias("first"))
+    mark = lambda d, k: d.where(F.col(k).isNotNull()).select(k).distinct().withColumn(f"old_{k}", F.lit(True))
+    rows = new.join(first, "url", "left")
+    for k in ("url", "hash", "title"):
+        rows = rows.join(mark(old, k), k, "left")
+    # prints that lie within the bound of each other, of both sides at once
+    prints = new.select("fp").unionByName(old.where(F.col("n") > least_history).select("fp")).distinct()
+    near = keep(near_pairs(prints.withColumn("id", F.col("fp")), "id", "fp", most))
+    gone = old.where(F.col("n") > least_history).select("fp").distinct()
+    met = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    gone = gone.unionByName(met.join(gone, met["b"] == gone["fp"], "left_semi").select(F.col("a").alias("fp"))).distinct()
+    rows = rows.join(gone.withColumn("old_fp", F.lit(True)), "fp", "left")
+    yes = lambda k: F.coalesce(F.col(k), F.lit(False))
+    before = F.when(yes("old_url"), "historical_url").when(F.col("first") < F.col("id"), "repeated_url").when(yes("old_hash") | yes("old_title") | yes("old_fp"), "historical_content")
+    rows = keep(rows.select("id", "hash", "title", "fp", before.alias("decision")))
+    left = rows.where("decision is null")
+    keys = left.select("id", F.explode(F.array(F.concat(F.lit("h"), "hash"), F.concat(F.lit("t"), "title"), F.concat(F.lit("f"), F.col("fp").cast("string")))).alias("key"))
+    # two prints that are near are one key of all rows that bear either
+    pair = met.select(F.col("a").alias("fp"), F.concat_ws("/", F.lit("p"), F.least("a", "b").cast("string"), F.greatest("a", "b").cast("string")).alias("key"))
+    taken = accepted(keys.unionByName(left.select("id", "fp").join(pair, "fp").select("id", "key")))
+    out = rows.join(taken.withColumn("taken", F.lit(True)), "id", "left")
+    return out.select("id", F.coalesce("decision", F.when(yes("taken"), "accepted").otherwise("internal_content")).alias("decision"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ NOISE_CLASSES = {
     "nav", "navbar", "footer", "header", "sidebar", "breadcrumb", "share", "search", "qrcode", "ewm", "print", "relatenews", "related", "recommend", "xgyd", "page", "pages", "pagination", "prev-next", "tools", "source", "views", "ad", "ads",
 }
 SELECTORS = ("article", "main article", "main .content", "[role=main]", ".article-content", ".news_content", ".v_news_content", "#vsb_content", ".detail-content", ".detail", "#content", "main")
-#: Lines that lead elsewhere, marks of lists, of pages that still load, and of detail pages.
+#: Lines that lead elsewhere, marks of lists, of pages that still load, and of detail pages.
 NAV_WORDS = ("首页", "学校概况", "教育教学", "科学研究", "招生就业", "人才招聘", "合作交流", "校园生活", "借阅", "资源", "空间", "学习支持", "科研支持", "概况", "联系我们", "网站地图", "通知公告", "上一页", "下一页", "上页", "下页", "尾页", "打印", "关闭", "分享", "友情链接")
 LIST_MARKERS = r"(?i)(?:首页|上页|下页|尾页).*第\s*/?\s*\d+\s*页|共\s*\d+\s*条"
 LIST_TITLE = r"(?i)(?:通知公告|新闻动态|动态新闻|招聘信息|政策文件|法律法规|规章制度|服务通知|站点地图|热门排序|默认排序|目录|列表)(?:[-—|_].*)?$"
@@ -28,41 +29,47 @@ BLOCKS = {"p", "div", "li", "ul", "ol", "br", "tr", "table", "section", "article
 VOID = {"br", "img", "hr", "meta", "link", "input", "source", "wbr", "area", "base", "col", "embed", "track"}
 
 
-def _fits(selector: str, tag: str, classes: set[str], attrs: dict[str, str], open_tags: list[str]) -> bool:
-    """Whether an element is what one of `SELECTORS` names; only their simple forms occur."""
-    if selector.startswith("main "):
-        return "main" in open_tags and _fits(selector[5:], tag, classes, attrs, [])
-    if selector.startswith("."):
-        return selector[1:] in classes
-    if selector.startswith("#"):
-        return attrs.get("id") == selector[1:]
-    if selector.startswith("["):
-        return attrs.get("role") == "main"
-    return tag == selector
+Element = tuple[str, set[str], str, str]  # tag, classes, id, role
+
+
+def _is(simple: str, e: Element) -> bool:
+    """Whether an element is what a simple selector names: a tag, .class, #id or [role=x]."""
+    tag, classes, name, role = e
+    if simple[0] == ".":
+        return simple[1:] in classes
+    if simple[0] == "#":
+        return simple[1:] == name
+    return role == simple[6:-1] if simple.startswith("[role=") else tag == simple
+
+
+def _fits(chain: list[str], e: Element, above: list[Element]) -> bool:
+    """Whether an element is what the last selector of a chain names, and the others hold, in order, for elements above it."""
+    if not _is(chain[-1], e):
+        return False
+    rest = iter(above)
+    return all(any(_is(simple, a) for a in rest) for simple in chain[:-1])
 
 
 class _Extract(HTMLParser):
-    """Walks a page once; text outside of noise goes to the body and to every container that is open, the first of its kind."""
+    """Walks a page once; text outside of noise goes to the body and to every wanted container that is open, the first of its kind."""
 
-    def __init__(self):
+    def __init__(self, selectors: tuple[str, ...]):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, list[str]]] = []
+        self.wanted = {s: s.split() for s in selectors}
+        self.stack: list[tuple[Element, bool, list[str]]] = []
+        self.noise, self.headings, self.open = 0, 0, []
         self.held: dict[str, list[str]] = {}
         self.body: list[str] = []
         self.title, self.in_title, self.h1 = [], False, []
         self.links, self.images, self.anchor = [], [], None
         self.meta: dict[str, str] = {}
 
-    def _noisy(self) -> bool:
-        return any(n for _, n, _ in self.stack)
-
     def _write(self, s: str) -> None:
-        if self._noisy():
+        if self.noise:
             return
         self.body.append(s)
-        for _, _, opened in self.stack:
-            for selector in opened:
-                self.held[selector].append(s)
+        for text in self.open:
+            text.append(s)
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -70,15 +77,22 @@ class _Extract(HTMLParser):
         if tag == "meta" and (a.get("property") or a.get("name")):
             self.meta[a.get("property") or a["name"]] = a.get("content", "")
         if tag not in VOID:
-            opened = [s for s in SELECTORS if s not in self.held and _fits(s, tag, classes, a, [t for t, _, _ in self.stack])]
-            self.held.update((s, []) for s in opened)
-            self.stack.append((tag, tag in NOISE or bool(classes & NOISE_CLASSES), opened))
+            e, above = (tag, classes, a.get("id", ""), a.get("role", "")), [x for x, _, _ in self.stack]
+            opened = [s for s, chain in self.wanted.items() if _fits(chain, e, above)]
+            for s in opened:
+                del self.wanted[s]
+                self.held[s] = []
+                self.open.append(self.held[s])
+            noisy = tag in NOISE or not classes.isdisjoint(NOISE_CLASSES)
+            self.noise += noisy
+            self.headings += tag == "h1"
+            self.stack.append((e, noisy, opened))
         self.in_title |= tag == "title"
         if tag in BLOCKS:
             self._write("\n" + ("#" * int(tag[1]) + " " if re.fullmatch("h[1-6]", tag) else "- " if tag == "li" else ""))
         if tag == "a" and a.get("href"):
             self.anchor = (a["href"], [])
-        if tag == "img" and a.get("src") and not self._noisy():
+        if tag == "img" and a.get("src") and not self.noise:
             self.images.append((a.get("alt", ""), a["src"]))
 
     def handle_endtag(self, tag):
@@ -86,19 +100,25 @@ class _Extract(HTMLParser):
             self.links.append((self.anchor[0], " ".join("".join(self.anchor[1]).split())))
             self.anchor = None
         self.in_title &= tag != "title"
-        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
+        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0][0] == tag), None)
         if at is not None:
             if tag in BLOCKS:
                 self._write("\n")
+            for e, noisy, opened in self.stack[at:]:
+                self.noise -= noisy
+                self.headings -= e[0] == "h1"
+                if opened:
+                    closed = {id(self.held[s]) for s in opened}
+                    self.open = [x for x in self.open if id(x) not in closed]
             del self.stack[at:]
 
     def handle_data(self, data):
         if self.in_title:
             self.title.append(data)
             return
-        if self.anchor and not self._noisy():
+        if self.anchor and not self.noise:
             self.anchor[1].append(data)
-        if any(t == "h1" for t, _, _ in self.stack):
+        if self.headings:
             self.h1.append(data)
         self._write(re.sub(r"\s+", " ", data))
 
@@ -119,53 +139,83 @@ def _dense(markdown: str, least: int = 25) -> str:
     return "\n".join(max(runs, key=lambda r: sum(map(len, r)))) or markdown
 
 
-def parse(html: str | None) -> dict:
-    """What a page holds: its title, links, images and attachments, and all that may be its main content, as (method, selector, markdown)."""
-    p = _Extract()
+def parse(html: str | None, site: tuple[str, ...] = ()) -> dict:
+    """What a page holds: its title, links, images and attachments, and all that may be its main content, as (method, selector, markdown): containers of `site`, of any site, the densest stretch."""
+    p = _Extract((*site, *SELECTORS))
     p.feed(html or "")
     p.close()
-    found = [("generic_selector", s, _lines(p.held[s])) for s in SELECTORS if s in p.held]
+    found = [("site_selector", s, _lines(p.held[s])) for s in site if s in p.held] + [("generic_selector", s, _lines(p.held[s])) for s in SELECTORS if s in p.held and s not in site]
     found = [c for c in found if len(c[2]) >= 30] + [("readability", "", _dense(_lines(p.body)))]
     title = p.meta.get("og:title") or " ".join("".join(p.h1).split()) or " ".join("".join(p.title).split())
     files = [(t, u, k) for u, t in p.links if (k := (re.search(r"\.([a-z]{3,4})(?:[?#]|$)", u.lower()) or [None, ""])[1]) in U.ATTACHMENTS]
-    return {"title": title, "candidates": [dict(zip(("method", "selector", "markdown"), c)) for c in found], "links": [{"url": u, "text": t} for u, t in p.links], "images": [{"alt": a, "url": u} for a, u in p.images], "attachments": [{"name": n, "url": u, "kind": k} for n, u, k in files]}
+    return {"title": title, "candidates": found, "links": [{"url": u, "text": t} for u, t in p.links], "images": [{"alt": a, "url": u} for a, u in p.images], "attachments": [{"name": n, "url": u, "kind": k} for n, u, k in files]}
 
 
 RANKS = {"detail_content": 5, "thin_content": 4, "template_polluted": 3, "list_page": 2, "navigation_only": 1, "extraction_failed": 0}
-
-
-def extract(df: DataFrame, id_cols: list[str], html_col: str, url_col: str | None = None) -> DataFrame:
+NUMBERS = ("total_text_length", "line_count", "short_line_ratio", "navigation_like_ratio", "main_paragraph_count", "long_paragraph_count", "list_item_count", "title_match_ratio", "loading_placeholder")
+#: Marks at the start of a line, links and images, as both judges of quality take them off.
+MARKS = ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]+)\]\([^)]*\)", r"\1"), (r"<[^>]+>", ""), (r"^[\s#>*:+\-|\d.()（）]+", ""), (r"\s+", " "))
+LINKED, ITEM, FACTUAL, TERM = r"^(?:- \[|:   \[|\[)", r"^(?:- |\* |\+ |:   )", r"\d{4}|电话|邮箱|时间|地点", r"[\u4e00-\u9fff]{2,}|[a-z]{3,}"
+_PATTERNS = {k: re.compile(v) for k, v in {"linked": LINKED, "item": ITEM, "ended": ENDED, "plain": ENDED + "|" + FACTUAL, "list": LIST_MARKERS, "list_title": LIST_TITLE, "loading": LOADING, "detail": DETAIL_URL, "term": TERM}.items()}
+_MARKS = [(re.compile(p), by) for p, by in MARKS]
+
+
+def judge(markdown: str, title: str | None, url: str | None, selected: bool) -> dict:
+    """What `quality` says, for text that Python holds already."""
+    p, total, n, short, nav, main, long, items, seen, words = _PATTERNS, 0, 0, 0, 0, 0, 0, 0, [], set(NAV_WORDS)
+    for raw in filter(None, (x.strip() for x in markdown.split("\n"))):
+        text = raw
+        for pattern, by in _MARKS:
+            text = pattern.sub(by, text)
+        text = text.strip()
+        if not text:
+            continue
+        size, link = len(text), len(text) <= 12 and ("](" in raw or p["linked"].search(raw))
+        leads = bool(text in words or link or (size <= 8 and not p["plain"].search(text)) or p["list"].search(text))
+        seen.append(text)
+        total, n, short, nav, items = total + size, n + 1, short + (size <= 12), nav + leads, items + bool(p["item"].search(raw))
+        if not leads:
+            main, long = main + (size >= 40 and bool(p["ended"].search(text))), long + (size >= 100)
+    plain, title = " ".join(seen), title or ""
+    low, terms = plain.lower(), set(p["term"].findall(title.lower()))
+    share = lambda k: round(k / n, 6) if n else 0.0
+    f = dict(zip(NUMBERS, (total, n, share(short), share(nav), main, long, items, round(sum(t in low for t in terms) / len(terms), 6) if terms else 1.0, bool(p["loading"].search(plain)))))
+    marks = {"list_marks": bool(p["list"].search(plain)), "detail": np.bool_(p["detail"].search(url or "") is not None), "list_title": np.bool_(p["list_title"].search(title) is not None), "selected": selected}
+    name = next((k for k, holds in class_rules(f | marks) if holds), "extraction_failed")
+    return {"class": name, "passed": name in PASSED, **f}
+
+
+QUALITY = "struct<class:string,passed:boolean,total_text_length:int,line_count:int,short_line_ratio:double,navigation_like_ratio:double,main_paragraph_count:int,long_paragraph_count:int,list_item_count:int,title_match_ratio:double,loading_placeholder:boolean>"
+
+
+def extract(df: DataFrame, id_cols: list[str], html_col: str, url_col: str | None = None, sites: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Title, links, images and attachments of each page, and its main content: method, selector, markdown, plain_text and quality.
 
-    Of all candidates that one is taken whose quality has the best class, then most main paragraphs, least navigation, most text; the first, if they tie. Broken markup and
-    null pages give what can be read.
+    sites: for a host, selectors (tags, .classes, #ids, chains of these) of its main content, which are tried before those of any site. Of all candidates that one is taken whose quality has the
+    best class, then most main paragraphs, least navigation, most text; the first, if they tie. All of it happens within a row, so pages that share an id stay apart and nothing is
+    shuffled. Broken markup and null pages give what can be read.
     """
-    kinds = "struct<title:string,candidates:array<struct<method:string,selector:string,markdown:string>>,links:array<struct<url:string,text:string>>,images:array<struct<alt:string,url:string>>,attachments:array<struct<name:string,url:string,kind:string>>>"
+    kinds = f"struct<title:string,links:array<struct<url:string,text:string>>,images:array<struct<alt:string,url:string>>,attachments:array<struct<name:string,url:string,kind:string>>,method:string,selector:string,markdown:string,plain_text:string,quality:{QUALITY}>"
+    sites, mark = sites or {}, re.compile("(?m)^(?:#+|-) ")
+
+    def one(html: str | None, url: str | None, host: str | None) -> dict:
+        page = parse(html, sites.get(host or "", ()))
+        judged = [(judge(text, page["title"], url, bool(selector)), method, selector, text) for method, selector, text in page.pop("candidates")]
+        q, method, selector, text = max(judged, key=lambda c: (RANKS[c[0]["class"]], c[0]["main_paragraph_count"], -c[0]["navigation_like_ratio"], c[0]["total_text_length"]))
+        return page | {"method": method, "selector": selector, "markdown": text, "plain_text": mark.sub("", text), "quality": q}
 
     @F.pandas_udf(kinds)
-    def run(x: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(h) for h in x], columns=["title", "candidates", "links", "images", "attachments"])
+    def run(html: pd.Series, url: pd.Series, host: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(*x) for x in zip(html, url, host)], columns=["title", "links", "images", "attachments", "method", "selector", "markdown", "plain_text", "quality"])
 
-    keep_url = [url_col] if url_col and url_col not in id_cols else []
-    rows = df.select(*id_cols, *keep_url, run(F.col(html_col)).alias("p")).select(*id_cols, *keep_url, "p.*")
     url = F.col(url_col) if url_col else F.lit("")
-    rows = rows.select("*", F.posexplode("candidates").alias("_i", "_c"))
-    rows = rows.withColumn("_q", quality(F.col("_c.markdown"), F.col("title"), url, F.col("_c.selector") != ""))
-    rank = F.create_map(*[x for k, n in RANKS.items() for x in (F.lit(k), F.lit(n))])[F.col("_q.class")]
-    order = F.struct(rank.alias("r"), F.col("_q.main_paragraph_count").alias("m"), (-F.col("_q.navigation_like_ratio")).alias("n"), F.col("_q.total_text_length").alias("t"), (-F.col("_i")).alias("i"))
-    keys = [*id_cols, *keep_url]
-    others = ["title", "links", "images", "attachments"]
-    best = F.max_by(F.struct("_c", "_q"), order).alias("b")
-    # candidates of a page lie together, so combining them before the exchange leaves one row of it
-    out = rows.groupBy(*keys).agg(best, F.first(F.struct(*others)).alias("o"))
-    plain = F.regexp_replace("b._c.markdown", "(?m)^(?:#+|-) ", "")
-    return out.select(*id_cols, "o.*", F.col("b._c.method").alias("method"), F.col("b._c.selector").alias("selector"), F.col("b._c.markdown").alias("markdown"), plain.alias("plain_text"), F.col("b._q").alias("quality"))
+    return df.select(*id_cols, run(F.col(html_col), url, U.host(url) if sites else F.lit("")).alias("p")).select(*id_cols, "p.*")
 
 
 def visible(line: Column) -> Column:
     """A line of markdown as a reader sees it, without the marks at its start."""
-    for pattern, by in ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"<[^>]+>", ""), (r"^[\s#>*:+\-|\d.()（）]+", ""), (r"\s+", " ")):
-        line = F.regexp_replace(line, pattern, by)
+    for pattern, by in MARKS:
+        line = F.regexp_replace(line, pattern, by.replace("\\", "$"))
     return F.trim(line)
 
 
@@ -176,8 +226,8 @@ def quality(markdown: Column, title: Column, url: Column, selected: Column) -> C
 
     def leads_on(p: Column) -> Column:
         r, t, n = p["r"], p["t"], F.char_length(p["t"])
-        link = r.rlike(r"^(?:- \[|:   \[|\[)") | F.contains(r, F.lit("]("))
-        return t.isin(*NAV_WORDS) | ((n <= 12) & link) | ((n <= 8) & ~t.rlike(ENDED + r"|\d{4}|电话|邮箱|时间|地点")) | t.rlike(LIST_MARKERS)
+        link = r.rlike(LINKED) | F.contains(r, F.lit("]("))
+        return t.isin(*NAV_WORDS) | ((n <= 12) & link) | ((n <= 8) & ~t.rlike(ENDED + "|" + FACTUAL)) | t.rlike(LIST_MARKERS)
 
     lines = F.transform(pairs, lambda p: F.struct(p["r"].alias("r"), p["t"].alias("t"), leads_on(p).alias("nav"), F.char_length(p["t"]).alias("n")))
     made = F.transform(F.array(lines), lambda ls: F.struct(ls.alias("ls"), F.array_join(F.transform(ls, lambda x: x["t"]), " ").alias("plain")))[0]
@@ -186,33 +236,74 @@ def quality(markdown: Column, title: Column, url: Column, selected: Column) -> C
     total, n = F.aggregate(ls, F.lit(0), lambda a, x: a + x["n"]), F.size(ls)
     share = lambda k: F.when(n > 0, k / n).otherwise(F.lit(0.0))
     main, long = count(lambda x: (x["n"] >= 40) & x["t"].rlike(ENDED) & ~x["nav"]), count(lambda x: (x["n"] >= 100) & ~x["nav"])
-    items = count(lambda x: x["r"].rlike(r"^(?:- |\* |\+ |:   )"))
+    items = count(lambda x: x["r"].rlike(ITEM))
     terms = F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit(r"([\x{4e00}-\x{9fff}]{2,}|[a-z]{3,})"), 1))
     match = F.when(F.size(terms) > 0, F.size(F.filter(terms, lambda w: F.contains(F.lower(plain), w))) / F.size(terms)).otherwise(F.lit(1.0))
     facts = F.struct(
         total.alias("total_text_length"), n.alias("line_count"), F.round(share(count(lambda x: x["n"] <= 12)), 6).alias("short_line_ratio"), F.round(share(count(lambda x: x["nav"])), 6).alias("navigation_like_ratio"), main.alias("main_paragraph_count"), long.alias("long_paragraph_count"),
         items.alias("list_item_count"), F.round(match, 6).alias("title_match_ratio"), plain.rlike(LOADING).alias("loading_placeholder"), plain.rlike(LIST_MARKERS).alias("list_marks"),
     )
-    detail, list_title = url.rlike(DETAIL_URL), title.rlike(LIST_TITLE)
-
-    def judged(f: Column) -> Column:
-        main, long, nav, total = f["main_paragraph_count"], f["long_paragraph_count"], f["navigation_like_ratio"], f["total_text_length"]
-        listed = f["list_marks"] | list_title | ((f["list_item_count"] >= 8) & (main <= 1))
-        return first_rule([
-            ("list_page", listed & ~(detail & ~list_title)), ("extraction_failed", f["loading_placeholder"] & (main == 0)), ("navigation_only", (nav >= 0.72) & (main == 0)), ("extraction_failed", (total < 120) & (main == 0)),
-            ("extraction_failed", detail & (main == 0) & (long == 0) & (f["title_match_ratio"] < 0.35)), ("template_polluted", (nav >= 0.45) & (main >= 1)), ("thin_content", (total < 280) & ((main >= 1) | (long >= 1))),
-            ("detail_content", (main >= 1) | (long >= 1) | (selected & (total >= 220) & (f["title_match_ratio"] >= 0.25))),
-        ], "extraction_failed")
-
-    names = ("total_text_length", "line_count", "short_line_ratio", "navigation_like_ratio", "main_paragraph_count", "long_paragraph_count", "list_item_count", "title_match_ratio", "loading_placeholder")
-    out = lambda f: F.struct(judged(f).alias("class"), judged(f).isin("template_polluted", "thin_content", "detail_content").alias("passed"), *[f[x].alias(x) for x in names])
+    marks = {"detail": url.rlike(DETAIL_URL), "list_title": title.rlike(LIST_TITLE), "selected": selected}
+
+    def out(f: Column) -> Column:
+        name = first_rule(class_rules({k: f[k] for k in (*NUMBERS, "list_marks")} | marks), "extraction_failed")
+        return F.struct(name.alias("class"), name.isin(*PASSED).alias("passed"), *[f[x].alias(x) for x in NUMBERS])
+
     return F.transform(F.array(facts), out)[0]  # so that the numbers are made once
 
 
+PASSED = ("template_polluted", "thin_content", "detail_content")
+
+
+def class_rules(f: dict) -> list[tuple]:
+    """The classes of main content with what each asks for, of columns or of plain numbers; the first that holds decides."""
+    main, long, nav, total, match = (f[k] for k in ("main_paragraph_count", "long_paragraph_count", "navigation_like_ratio", "total_text_length", "title_match_ratio"))
+    bare, detail = main == 0, f["detail"]
+    listed = f["list_marks"] | f["list_title"] | ((f["list_item_count"] >= 8) & (main <= 1))
+    return [
+        ("list_page", listed & ~(detail & ~f["list_title"])), ("extraction_failed", f["loading_placeholder"] & bare), ("navigation_only", (nav >= 0.72) & bare), ("extraction_failed", (total < 120) & bare),
+        ("extraction_failed", detail & bare & (long == 0) & (match < 0.35)), ("template_polluted", (nav >= 0.45) & (main >= 1)), ("thin_content", (total < 280) & ((main >= 1) | (long >= 1))),
+        ("detail_content", (main >= 1) | (long >= 1) | (f["selected"] & (total >= 220) & (match >= 0.25))),
+    ]
+
+
+#: What pages say that ask for a login, that are gone, or that are private.
+AUTH = r"统一身份认证|账号密码|验证码|access denied|\bCAS\b|\bSSO\b|oauth|请登录|用户登录"
+GONE = r"页面不存在|内容已删除|您访问的页面不存在|404\s*(?:not found)?"
+PERSONAL = r"个人成绩|个人课表|个人借阅记录|个人财务|身份证号码|个人档案|私人申请状态|个人住宿信息|个人医疗记录|账号凭证"
+#: Character references that visible text resolves; others stay as they are.
+REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+UNSEEN = r"(?is)<(?:script|style|template)\b.*?</(?:script|style|template)\s*>|<!--.*?-->"
+
+
+def visible_text(html: Column) -> Column:
+    """The text between tags, pieces trimmed and joined by a space, without scripts, styles and comments; null counts as empty."""
+    x = F.regexp_replace(F.coalesce(html, F.lit("")), UNSEEN, "<>")
+    pieces = F.transform(F.split(x, "<[^>]*>"), lambda s: F.regexp_replace(_resolved(s), r"^\s+|\s+$", ""))
+    return F.array_join(F.filter(pieces, lambda s: s != ""), " ")
+
+
+def _resolved(x: Column) -> Column:
+    for name, by in REFERENCES:
+        x = F.replace(x, F.lit(name), F.lit(by))
+    return x
+
+
 def page_state(url: Column, html: Column) -> Column:
-    """login, not_found or private pages by what they say; ok otherwise."""
-    low = F.lower(F.substring(html, 1, 4000))
-    return F.when(url.rlike(r"(?i)/(?:login|sso|cas)(?:/|\?|$)") | low.rlike(r'type="password"|sign in to continue'), "login").when(low.rlike(r"<title>[^<]*(?:404|not found|页面不存在)"), "not_found").when(low.rlike(r"permission denied|访问受限|403 forbidden"), "private").otherwise("ok")
+    """login_required, soft_404 or private_or_sensitive, by a page's title, the first 3,000 characters of its visible text and its URL, as the rule itself asks; null if it is none of these.
+
+    A page that asks for a login has a URL that says so, or fewer than 2,500 visible characters; the others are known by the first 1,000 and 1,500 of the sample. Patterns count in either case.
+    """
+    has = lambda x, pattern: x.rlike("(?i)" + pattern)
+    title = F.coalesce(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(""))
+    seen = F.struct(F.regexp_replace(_resolved(title), r"^\s+|\s+$", "").alias("title"), visible_text(html).alias("text"), F.coalesce(url, F.lit("")).alias("url"))
+
+    def judged(x: Column) -> Column:
+        sample = F.concat_ws(" ", x["title"], F.substring(x["text"], 1, 3000), x["url"])
+        asked = F.contains(F.lower(x["url"]), F.lit("login")) | (F.char_length(F.replace(x["text"], F.lit(" "), F.lit(""))) < 2500)
+        return F.when(has(sample, AUTH) & asked, "login_required").when(has(F.substring(sample, 1, 1000), GONE), "soft_404").when(has(F.substring(sample, 1, 1500), PERSONAL), "private_or_sensitive")
+
+    return F.transform(F.array(seen), judged)[0]
 
 
 HREF = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"

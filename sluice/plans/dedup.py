@@ -8,7 +8,8 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import dedup as D
 from ..operators import metadata as M
-from ..operators.rounds import spread
+from ..operators import pages as P
+from ..operators.rounds import keep, spread
 from .pages import _HOST, _PART
 from .registry import query, table
 
@@ -172,3 +173,29 @@ def d18(spark, sf_dir):
     new = D.in_core(rows.where("page_id % 3 <> 0"), rows.where("page_id % 3 = 0"), "page_id", ["u", "h"])
     new = D.seen_before(new, "u", "page_id", F.lit(True), "all")
     return new.select("page_id", (~F.col("in_core") & ~F.col("duplicate")).alias("accepted"))
+
+
+@query("d9_full_cascade")
+def d9_full(spark, sf_dir):
+    """The whole cascade. Every fourth document is protected, the others are candidates, and the benchmark's items are for evaluation. No SQL: of 60,000 features every pair of texts would have
+    to be weighed; tests hold it against a loop over all pairs."""
+    docs = _docs(spark, sf_dir)
+    return D.cascade(docs.where("doc_id % 4 <> 0"), docs.where("doc_id % 4 = 0"), table(spark, sf_dir, "benchmark"), "doc_id", "text")
+
+
+@query("d12_split_audit")
+def d12_audit(spark, sf_dir):
+    """All four overlaps of two splits, a fifth of the documents against the rest. No SQL, as for d9; tests hold it against a loop over all pairs."""
+    docs = _docs(spark, sf_dir)
+    return D.split_audit(docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0"), "doc_id", "text")
+
+
+@query("d18_accepted_pages")
+def d18_pages(spark, sf_dir):
+    """Pages accepted one after the other by URL, hash, title and SimHash of their main content; a third of the pages is history. No SQL (BLAKE2b, and each row depends on those accepted
+    before); tests hold it against the loop."""
+    pages = table(spark, sf_dir, "pages")
+    url = F.concat(U.host(F.col("url")), U.part(F.col("url"), 3)).alias("url")
+    rows = P.extract(pages, ["page_id", "url"], "html", "url").select(F.col("page_id").alias("id"), url, "title", F.regexp_replace("plain_text", r"\s+", " ").alias("text"))
+    rows = keep(rows)
+    return D.accept_pages(rows.where("id % 3 <> 0"), rows.where("id % 3 = 0")).withColumnRenamed("id", "page_id")

@@ -78,9 +78,20 @@ def u7(spark, sf_dir):
     return rows.select("doc_id", P.quality(F.col("text"), F.col("title"), url, F.lit(False)).alias("q")).select("doc_id", "q.*")
 
 
-@query("u8_page_state", r"""
-select page_id, case when regexp_matches(url, '(?i)/(?:login|sso|cas)(?:/|\?|$)') or regexp_matches(lower(left(html, 4000)), 'type="password"|sign in to continue') then 'login'
- when regexp_matches(lower(left(html, 4000)), '<title>[^<]*(?:404|not found|页面不存在)') then 'not_found' when regexp_matches(lower(left(html, 4000)), 'permission denied|访问受限|403 forbidden') then 'private' else 'ok' end as state from pages""")
+def _resolved(x: str) -> str:
+    for name, by in P.REFERENCES:
+        x = f"replace({x}, '{name}', '{by.replace(chr(39), chr(39) * 2)}')"
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+_TEXT = f"array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(html, ''), '{P.UNSEEN}', '<>', 'g'), '<[^>]*>'), lambda x: {_resolved('x')}), lambda x: x <> ''), ' ')"
+
+
+@query("u8_page_state", rf"""
+with t as (select page_id, coalesce(url, '') as u, {_resolved("coalesce(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '')")} as title, {_TEXT} as text from pages),
+x as (select *, concat_ws(' ', title, left(text, 3000), u) as sample from t)
+select page_id, case when regexp_matches(sample, '(?i){P.AUTH}') and (contains(lower(u), 'login') or length(replace(text, ' ', '')) < 2500) then 'login_required'
+ when regexp_matches(left(sample, 1000), '(?i){P.GONE}') then 'soft_404' when regexp_matches(left(sample, 1500), '(?i){P.PERSONAL}') then 'private_or_sensitive' end as state from x""")
 def u8(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", P.page_state(F.col("url"), F.col("html")).alias("state"))
 
