@@ -274,7 +274,7 @@ def split_audit(train: DataFrame, validation: DataFrame, id_col: str, text_col:
     corpus = train.select(text.alias("text")).unionByName(validation.select(text.alias("text")))
     weigh = tfidf(corpus, "text", features)
     vectors = lambda d: weigh(d.select(F.col(id_col).alias("id"), text.alias("text")), "id", "text")
-    semantic = cosine_pairs(vectors(validation), vectors(train), cosine).select("a").distinct().count()
+    semantic = cosine_pairs(vectors(validation), vectors(train), cosine, features).select("a").distinct().count()
     found = (shared("e"), shared("n"), lexical, semantic)
     return train.sparkSession.createDataFrame([("PASS" if not any(found) else "FAIL", *found)], "status string, exact_overlap long, normalized_overlap long, lexical_near_overlap long, semantic_near_overlap long")
 
