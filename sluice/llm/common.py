@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import re
 import sys
-import tempfile
 import types
 from collections.abc import Callable, Iterator
 
@@ -14,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rounds import shared_folder as shared_dir
+
 #: White space that separates words: space and the controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that Python works on at a time, whatever the size of an Arrow batch.
@@ -28,20 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode, and an error on a cluster."""
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    where = where or "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-    sc.setCheckpointDir(where)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, kept in the shared folder, so that a lost executor costs no recomputation; what was shuffled on the way there is dropped."""
     shared_dir(df.sparkSession)

@@ -134,7 +134,8 @@ def histogram_shards(
 
 def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`histogram_shards` of the whole `documents` into 40 shards of near-equal bytes. No SQL: splitters come from rounds of probes, and XXH64 is Spark's; tests hold the law of bytes.
-    Null texts have the size 16; equal texts, null ones too, lie together; repeated rows have slots of their own.
+    Null texts have the size 16; equal texts, null ones too, lie together; repeated rows have slots of their own; a very long text is one
+    row, which no shard splits; an empty table gives no rows; columns besides, whatever their names, play no part.
     """
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -199,18 +199,35 @@ def block_links(values: np.ndarray, radius: int, also=None, bits: int = 32) -> n
 def hamming_components(distinct: DataFrame, column: str, radius: int = 2, sample: int = 65_536, per_shard: int = 20_000) -> DataFrame:
     """(node, root) of the distinct fingerprints that link with another at `radius` bits or fewer.
 
-    sample bounds what the driver sees to grow the upper tree; it decides only how shards are cut, not which links are found.
+    sample bounds what the driver sees to grow the upper tree; it decides only how shards are cut, not which links are found. A shard of more than twice `per_shard` fingerprints,
+    which no vantage point parts, is dealt in chunks of `per_shard`, and each two of them meet in a task of their own.
     """
     fps = distinct.select(F.col(column).alias("fp"))
     n = fps.count()
     seen = np.array([r[0] for r in sample_at_most(fps, "fp", sample, n).collect()], np.int64).view(np.uint64)
     nodes = grow(seen, radius, per_shard * len(seen) / max(1, n)) if len(seen) else []
 
+    def tally(batches):
+        for b in batches:
+            shard, n = np.unique(route(nodes, b.column(0).to_numpy().view(np.uint64), radius)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(n.astype(np.int64))], ["shard", "n"])
+
+    full = map_arrow(fps, tally, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * per_shard)
+    knots = {r["shard"]: -(-r["n"] // per_shard) for r in full.collect()}  # one for each 2 * per_shard of what is dealt, at most
+
     def deal(batches):
         for b in batches:
             v = b.column(0).to_numpy()
             where, shard = route(nodes, v.view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(v[where])], ["shard", "fp"])
+            pair = np.zeros(len(where), np.int64)
+            for knot, k in knots.items():
+                if (some := shard == knot).any():
+                    c = np.repeat((spread(v[where[some]].view(np.uint64), 1) % np.uint64(k)).astype(np.int64), k)
+                    o = np.tile(np.arange(k), int(some.sum()))
+                    where, shard = np.concatenate((where[~some], np.repeat(where[some], k))), np.concatenate((shard[~some], np.full(len(c), knot)))
+                    pair = np.concatenate((pair[~some], np.minimum(c, o) * k + np.maximum(c, o)))
+            for s in range(0, len(where), 16_384):
+                yield pa.RecordBatch.from_arrays([pa.array(shard[s : s + 16_384]), pa.array(pair[s : s + 16_384]), pa.array(v[where[s : s + 16_384]])], ["shard", "pair", "fp"])
 
     def link(t: pa.Table) -> pa.Table:
         v = np.sort(t.column("fp").to_numpy().view(np.uint64))
@@ -218,14 +235,15 @@ def hamming_components(distinct: DataFrame, column: str, radius: int = 2, sample
         hung = root != v
         return pa.table({"a": pa.array(v[hung].view(np.int64)), "b": pa.array(root[hung].view(np.int64))})
 
-    edges = map_arrow(fps, deal, "shard long, fp long").groupBy("shard").applyInArrow(link, "a long, b long")
+    edges = map_arrow(fps, deal, "shard long, pair long, fp long").groupBy("shard", "pair").applyInArrow(link, "a long, b long")
     return connected_components(edges)
 
 
 def simhash_components(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, radius: int = 2) -> DataFrame:
     """(id, fp, component_id) of each row: component_id is the least id that links reach, the row's own included.
 
-    Rows with equal fingerprints are linked, those without words (zero) too. Null texts have no words. An empty table gives no rows.
+    Rows with equal fingerprints are linked, those without words (zero) too. Null texts have no words. Very long texts are read whole, one at a time. Columns besides, whatever their names,
+    play no part. An empty table gives no rows.
     """
     rows = cut(fingerprints(df, id_col, text_col, shingle).select("id", F.col("f0").alias("fp")))
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))

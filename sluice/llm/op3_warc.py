@@ -69,50 +69,93 @@ def chunk_rows(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
 
-def write_archives(df: DataFrame, where: str, chunk: int = CHUNK, smallest: int = 100) -> DataFrame:
-    """Write a record per row of (page_id, url, html) to archives in the folder `where`; the manifest (path, records, bytes).
+def write_archives(df: DataFrame, where: str, chunk: int = CHUNK, smallest: int = 100, largest: int = 1 << 30, part: int = 1 << 26) -> DataFrame:
+    """Write a record per row of (page_id, url, html) to archives in the folder `where`; the manifest (path, start, bytes, records), a row for each part of an archive.
 
-    Of records with equal payloads of `smallest` bytes or more, those whose page_id isn't the least are revisits of the least. Null html is an empty payload;
-    a null page_id counts as the largest and is never referred to; rows that tie are all responses. Only archives in the manifest count: a
-    task that is run again writes to another name.
+    Of records with equal payloads of `smallest` bytes or more, the one with the least page_id (of those the one with the least url) is the response and the others are revisits of it. Null
+    html is an empty payload; a null page_id counts as the largest and is never referred to, so payloads that have no other are all responses. A task goes on in a new archive when one has `largest` bytes,
+    and notes a record's start after each `part` bytes, so that archives of any number are read in parts; only a record that is longer by itself makes either larger. Only
+    archives in the manifest count: a task that is run again writes to another name. Columns besides, whatever their names, play no part. An empty table gives no archive.
     """
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    narrow = cut(df.where(F.octet_length("html") >= smallest).select(F.col("page_id").cast("long").alias("page_id"), F.sha2(F.col("html").cast("binary"), 256).alias("digest")))
+    narrow = cut(df.where(F.octet_length("html") >= smallest).select(F.col("page_id").cast("long").alias("page_id"), "url", F.sha2(F.col("html").cast("binary"), 256).alias("digest")))
     first = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"))
-    again = narrow.join(first, "digest").where("refers_to < coalesce(page_id, 9223372036854775807)").distinct()
+    again = narrow.select("page_id", "digest").join(first, "digest").where("refers_to < coalesce(page_id, 9223372036854775807)").distinct()
     again = again.select(F.coalesce("page_id", F.lit(-1)).alias("k"), F.col("digest").alias("d"), "refers_to")
     rows = map_arrow(rows, lambda batches: chunk_rows(batches, chunk), CHUNKS)
-    rows = rows.join(again, (F.coalesce(rows["page_id"], F.lit(-1)) == again["k"]) & (rows["digest"] == again["d"]), "left")
-    rows = rows.where("refers_to is null or chunk_no = 0").select("row", "page_id", "url", "n", "digest", "refers_to", "chunk_no", "chunk").sortWithinPartitions("page_id", "row", "chunk_no")
+    marked = rows.join(again, (F.coalesce(rows["page_id"], F.lit(-1)) == again["k"]) & (rows["digest"] == again["d"]), "left")
+    marked = marked.where("refers_to is null or chunk_no = 0").select("row", "page_id", "url", "n", "digest", "refers_to", "chunk_no", "chunk")
+    # repeated rows of the page that the others refer to: what is equal is counted, and one of the copies is the response
+    ties = cut(narrow.groupBy("page_id", "digest").agg(F.count("*").alias("c"), F.min("url").alias("least")).where("c > 1 and page_id is not null").join(first.withColumnRenamed("refers_to", "page_id"), ["page_id", "digest"], "left_semi"))
+    if ties.take(1):
+        one = ties.select("page_id", "digest")
+        copies = rows.join(ties, ["page_id", "digest"]).groupBy("page_id", "digest", "url", "chunk_no").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("chunk").alias("chunk"), F.count("*").alias("c"), F.first("least").alias("least"))
+        own = F.col("url").eqNullSafe(F.col("least"))
+        names = ["row", "page_id", "url", "n", "digest", "refers_to", "chunk_no", "chunk"]
+        response = copies.where(own).withColumn("refers_to", F.lit(None).cast("long")).select(*names)
+        left = F.col("c") - own.cast("int")
+        revisit = copies.where("chunk_no = 0").where(left > 0).withColumn("refers_to", F.col("page_id")).withColumn("copy", F.explode(F.sequence(F.lit(1), left))).withColumn("row", F.lit(-1).cast("long")).select(*names)  # not between the chunks of another
+        marked = marked.join(one, ["page_id", "digest"], "left_anti").select(*names).unionByName(response).unionByName(revisit)
+    rows = marked.sortWithinPartitions("page_id", "row", "chunk_no")
 
     def write(batches: Iterator[pa.RecordBatch]):
         fs, path = pafs.FileSystem.from_uri(where)
         t = TaskContext.get()
-        name = f"{path}/part-{t.partitionId():05d}-{t.attemptNumber()}-{uuid.uuid4().hex}.warc.gz"
-        out, z, records = None, None, 0
+        stem, archives = f"{path}/part-{t.partitionId():05d}-{t.attemptNumber()}-{uuid.uuid4().hex}", 0
+        out, z, name, start, records, made = None, None, "", 0, 0, []
 
         def end():
+            nonlocal z
             if z is not None:
                 out.write(z.compress(b"\r\n\r\n") + z.flush())
+                z = None
+
+        def note():
+            nonlocal start, records
+            if records:
+                made.append((name, start, out.tell() - start, records))
+            start, records = out.tell(), 0
 
         for b in batches:
             for r in b.to_pylist():
-                if out is None:
-                    fs.create_dir(path, recursive=True)
-                    out = fs.open_output_stream(name, compression=None)
                 if r["chunk_no"] == 0:
-                    end()
+                    if out is not None:
+                        end()
+                        if out.tell() - start >= part:
+                            note()
+                        if out.tell() >= largest:
+                            note()
+                            out.close()
+                            out = None
+                    if out is None:
+                        fs.create_dir(path, recursive=True)
+                        name, archives, start = f"{stem}-{archives:05d}.warc.gz", archives + 1, 0
+                        out = fs.open_output_stream(name, compression=None)
                     z, records = zlib.compressobj(3, zlib.DEFLATED, 31), records + 1
                     out.write(z.compress(_header(r)))
                 if r["refers_to"] is None:
                     out.write(z.compress(r["chunk"]))
         if out is not None:
             end()
-            size = out.tell()
+            note()
             out.close()
-            yield pa.RecordBatch.from_pydict({"path": [name], "records": pa.array([records], pa.int64()), "bytes": pa.array([size], pa.int64())})
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made)], ["path", "start", "bytes", "records"])
+
+    return cut(map_arrow(rows, write, "path string, start long, bytes long, records long"))
+
 
-    return cut(map_arrow(rows, write, "path string, records long, bytes long"))
+class _Part:
+    """`size` bytes of a file from `start` on, as a stream."""
+
+    def __init__(self, file, start: int, size: int):
+        self.file, self.left = file, size
+        file.seek(start)
+
+    def read(self, n: int) -> bytes:
+        got = self.file.read(min(n, self.left))
+        self.left -= len(got)
+        return got
 
 
 class _Members:
@@ -183,31 +226,33 @@ def records(stream, chunk: int = CHUNK) -> Iterator[dict]:
 
 
 def read_archives(manifest: DataFrame, chunk: int = CHUNK, payloads: bool = True) -> DataFrame:
-    """The chunked record table of the archives in a manifest. Without `payloads`, chunk is null; digests still cover every byte."""
+    """The chunked record table of the archives in a manifest, each part read by itself. Without `payloads`, chunk is null; digests still cover every byte."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("chunk_no", pa.int32()), ("chunk", pa.binary()), ("bytes_so_far", pa.int64()), ("digest_so_far", pa.string()), ("is_last", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
 
+    uri = shared_dir(manifest.sparkSession)
+
     def read(batches):
+        fs = pafs.FileSystem.from_uri(uri)[0]
         for b in batches:
-            for path in b.column(0).to_pylist():
-                fs, _ = pafs.FileSystem.from_uri(uri) if (uri := where.get("uri")) else (pafs.LocalFileSystem(), "")
-                with fs.open_input_stream(path, compression=None) as stream:
-                    rows, size = [], 0
-                    for r in records(stream, chunk):
-                        size += len(r["chunk"])
+            for path, start, size in zip(*(c.to_pylist() for c in b.columns)):
+                with fs.open_input_file(path) as file:
+                    rows, held = [], 0
+                    for r in records(_Part(file, start, size), chunk):
+                        held += len(r["chunk"])
                         rows.append(r if payloads else r | {"chunk": None})
-                        if size > 8 * chunk or len(rows) == 2000:
+                        if held > 8 * chunk or len(rows) == 2000:
                             yield pa.RecordBatch.from_pylist(rows, schema)
-                            rows, size = [], 0
+                            rows, held = [], 0
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    where = {"uri": shared_dir(manifest.sparkSession)}
-    return map_arrow(manifest.select("path").repartition(parts(manifest), "path"), read, TABLE)
+    return map_arrow(manifest.select("path", "start", "bytes").repartition(parts(manifest), "path", "start"), read, TABLE)
 
 
 def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of the whole `pages`, written to the shared folder and read back. No SQL: it writes and parses files; tests compare it with reading the table.
-    Null and empty html are payloads of no bytes; of equal payloads the least page_id is the response; repeated rows are records of their own.
+    Null and empty html are payloads of no bytes; of equal payloads the least page_id is the response; repeated rows are records of
+    their own, one of which is the response; very long html travels in chunks; an empty table gives no rows.
     """
     where = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     rows = read_archives(write_archives(table(spark, sf_dir, "pages"), where), payloads=False).where("is_last")

@@ -149,6 +149,7 @@ CAPACITIES = [256, 512, 1024, 2048, 4096]
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`pack` of the words of the whole `documents`. No SQL: best fit is a loop; tests hold it against fitting piece by piece. Null and empty texts have one row without a place."""
+    """`pack` of the words of the whole `documents`. No SQL: best fit is a loop; tests hold it against fitting piece by piece. Null and empty texts have one row without a place;
+    repeated rows are pieces of their own; very long texts are cut into pieces of the greatest length; an empty table gives no rows; columns besides play no part."""
     docs = table(spark, sf_dir, "documents").select("doc_id", word_count(F.col("text")).alias("n"))
     return pack(docs, "doc_id", "n", CAPACITIES).withColumnRenamed("id", "doc_id")

@@ -287,7 +287,8 @@ def encode_decode(df: DataFrame, id_col: str, text_col: str, vocabulary: str, le
 
 def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`encode_decode` of the whole `documents` with the public vocabulary of 49,000 words. No SQL: merging is a loop; tests compare it with the tokenizers library.
-    Null texts are empty, and give no ids; repeated rows give equal rows.
+    Null texts are empty, and give no ids; repeated rows give equal rows; very long texts are encoded
+    whole, one at a time; an empty table gives no rows; columns besides, whatever their names, play no part.
     """
     import public_tokenizers
 

@@ -102,7 +102,8 @@ def with_next(df: DataFrame, id_col: str, text_col: str, carry: list[str], deriv
 
 def op6_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of the whole `documents` and of their edited texts, and the group of equal canonical texts. No SQL: DuckDB has no such folding and no XXH64 of Spark's; tests
-    compare it with Python's. Null texts are empty; repeated rows follow each other; an empty table gives no rows.
+    compare it with Python's. Null texts are empty; repeated rows follow each other; very long texts are hashed whole, in the JVM; an empty
+    table gives no rows; columns besides, whatever their names, play no part.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     groups = digest_groups(docs, "doc_id", "text")

@@ -445,7 +445,8 @@ def drop_repeats(df: DataFrame, id_col: str, text_col: str, window: int = 50, ca
 
 def op7_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`drop_repeats` of the whole `documents`, windows of 50 words. No SQL: hashing every window of every text is too slow there; tests compare it with going through all
-    windows. Null and empty texts have no words, so n_removed is 0; repeated rows of one id keep what they share; an empty table gives no rows.
+    windows. Null and empty texts have no words, so n_removed is 0; repeated rows of one id keep what they share; a very long text is a slab by
+    itself, so a task's memory holds the longest text; an empty table gives no rows; columns besides, whatever their names, play no part.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_repeats(docs, "doc_id", "text", 50, ["doc_id"], with_text=False)

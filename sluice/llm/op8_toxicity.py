@@ -175,11 +175,11 @@ def judge_of(terms: dict[str, float]) -> Judge:
     return kept[key]
 
 
-def learn_terms(rows: DataFrame, least: int = 4, part: float = 0.02, purity: float = 0.6, most: int = 5_000) -> dict[str, float]:
+def learn_terms(rows: DataFrame, least: int = 4, part: float = 0.02, purity: float = 0.6) -> dict[str, float]:
     """Words and stems that the distinct (text, y) rows show to be toxic, with their worth from 0 to 1.
 
     A term stands in toxic rows more often than in others, and in `part` of the distinct toxic texts, `least` at least, with as many different neighbours. So what copies
-    of a few texts repeat is no term. At most `most` candidates, the frequent ones, are looked at.
+    of a few texts repeat is no term. All that qualify are terms, however long; the rows are a bounded sample, and a term asks for a share of them, so there are few.
     """
 
     def count(batches):
@@ -188,7 +188,7 @@ def learn_terms(rows: DataFrame, least: int = 4, part: float = 0.02, purity: flo
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 times: Counter = Counter()
                 for w, n in Counter(WORD.findall((t or "").lower())).items():
-                    for term in (w[:40], *(w[:k] + "*" for k in range(SHORTEST, min(LONGEST, len(w)) + 1))):
+                    for term in (w, *(w[:k] + "*" for k in range(SHORTEST, min(LONGEST, len(w)) + 1))):
                         times[term] += min(n, 2)  # a row that repeats a word says no more
                 for term, n in times.items():
                     got = seen.setdefault(term, [0, 0, 0])
@@ -200,7 +200,7 @@ def learn_terms(rows: DataFrame, least: int = 4, part: float = 0.02, purity: flo
     need = max(least, int(part * rows.where("y > 0").count()))
     sums = map_arrow(rows, count, "term string, clean long, toxic long, rows long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "rows")])
     pure = sums.where((F.col("rows") >= need) & (F.col("toxic") >= purity * (F.col("toxic") + F.col("clean") + 4)) & (F.length("term") >= SHORTEST))
-    found = {r["term"]: (r["toxic"], r["clean"], r["rows"]) for r in pure.orderBy(F.desc("toxic"), "term").limit(most).collect()}
+    found = {r["term"]: (r["toxic"], r["clean"], r["rows"]) for r in pure.orderBy(F.desc("toxic"), "term").collect()}
     support = {t: n for t, (n, _, _) in found.items()}
 
     def neighbours(batches):
@@ -209,7 +209,7 @@ def learn_terms(rows: DataFrame, least: int = 4, part: float = 0.02, purity: flo
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = WORD.findall((t or "").lower()) if y else []
                 for before, w in zip(["", *words], words):
-                    seen.update((x, before) for x in (w[:40], *(w[:k] + "*" for k in range(SHORTEST, min(LONGEST, len(w)) + 1))) if x in support)
+                    seen.update((x, before) for x in (w, *(w[:k] + "*" for k in range(SHORTEST, min(LONGEST, len(w)) + 1))) if x in support)
         if seen:
             yield pa.RecordBatch.from_pydict({"term": [x[0] for x in seen], "before": [x[1] for x in seen]})
 
@@ -286,7 +286,7 @@ def score_toxicity(df: DataFrame, id_col: str, text_col: str, model, carry: list
 
 def op8_levenshtein_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of the whole `documents` by a lexicon and weights learned from labelled rows outside the held-out third. No SQL: automata are walked letter by letter; tests hold
-    them against edit distances, and the scores against held-out labels. Null and empty texts have no hits; repeated rows score alike.
+    them against edit distances, and the scores against held-out labels. Null and empty texts have no hits; repeated rows score alike; very long texts are read whole, one at a time.
     """
     docs = table(spark, sf_dir, "documents")
     out = score_toxicity(docs, "doc_id", "text", fit_toxicity(docs, table(spark, sf_dir, "labels")))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import cut, map_arrow, parts, sample_at_most, table
 
@@ -63,6 +64,17 @@ def walk(a: np.ndarray, b: np.ndarray, held: np.ndarray, wanted: float) -> list[
     return out
 
 
+def visited(a: np.ndarray, b: np.ndarray, held: np.ndarray, wanted: float, width: int, step: int = 16) -> np.ndarray:
+    """(query, first half's centroid, bytes of bits): the cells that each query walks, `step` queries spread out at a time."""
+    out = np.zeros((len(a), len(held) // width, -(-width // 8)), np.uint8)
+    for s in range(0, len(a), step):
+        cells = np.zeros((len(a[s : s + step]), len(held)), bool)
+        for i in range(len(cells)):
+            cells[i, walk(a[s + i], b[s + i], held, wanted)] = True
+        out[s : s + step] = np.packbits(cells.reshape(len(cells), -1, width), axis=2)
+    return out
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -81,15 +93,15 @@ def unpacked(payload: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
     return out
 
 
-def meet(rows: Iterator[tuple], dim: int, width: int, k: int) -> Iterator[pa.RecordBatch]:
+def meet(rows: Iterator[tuple], dim: int, width: int, k: int, kind: str = "<f4") -> Iterator[pa.RecordBatch]:
     """The k nearest that each query finds among the vectors of a part; rows come by part and salt, vectors first."""
     at, held, ready = None, [], None
     bits = -(-width // 8)
-    for part, salt, kind, payload in rows:
+    for part, salt, what, payload in rows:
         if (part, salt) != at:
             at, held, ready = (part, salt), [], None
-        if kind == 0:
-            held.append(unpacked(payload, ("<i8", 0), ("<i4", 0), ("<f4", dim)))
+        if what == 0:
+            held.append(unpacked(payload, ("<i8", 0), ("<i4", 0), (kind, dim)))
             continue
         if ready is None:
             ready = [np.concatenate(x) for x in zip(*held)] if held else []
@@ -97,7 +109,7 @@ def meet(rows: Iterator[tuple], dim: int, width: int, k: int) -> Iterator[pa.Rec
         if not ready:
             continue
         ids, cell, vectors = ready
-        qid, q, visits = unpacked(payload, ("<i8", 0), ("<f4", dim), ("u1", bits))
+        qid, q, visits = unpacked(payload, ("<i8", 0), (kind, dim), ("u1", bits))
         q, visits = q.astype(np.float64), np.unpackbits(visits, axis=1)[:, :width]
         some = np.nonzero(visits.any(0)[cell])[0]  # queries of a block are alike, so that this is little more than each needs
         if not len(some):
@@ -151,10 +163,10 @@ def multi_index_search(
     share: the part of all vectors that a query's cells must hold, 16 (k + 1) vectors at least; if None, the one that brings `recall` of the true neighbours of
     `trials` rows. sample bounds the rows that centroids are fitted on; every row is indexed. Vectors that are null, zero, of another length than most, or have
     null or non-finite components take no part. Fewer than k others: all of them. Rows that share an id are candidates of each other's queries no more than a
-    row of its own. Ties go to smaller ids. An empty table gives no rows.
+    row of its own. Ties go to smaller ids. Columns besides, whatever their names, play no part. An empty table gives no rows.
     """
-    x = F.col(f"`{vec_col}`")
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), x.cast("array<float>").alias("vec")).where("id is not null and vec is not null")
+    x, kind = F.col(f"`{vec_col}`"), "<f4" if df.schema[vec_col].dataType == ArrayType(FloatType()) else "<f8"  # vectors stay as exact as they are
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), x.cast("array<float>" if kind == "<f4" else "array<double>").alias("vec")).where("id is not null and vec is not null")
     fine = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
     rows = cut(rows.where(F.coalesce(fine, F.lit(False))))
     sizes = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
@@ -217,7 +229,7 @@ def multi_index_search(
             order = np.argsort(group, kind="stable")
             full, starts = np.unique(group[order], return_index=True)
             for g, p in zip(full.tolist(), np.split(order, starts[1:])):
-                out.append((g, count % int(salts[g]), 0, packed(i[p].astype("<i8"), (cell[p] % width).astype("<i4"), x[p].astype("<f4"))))
+                out.append((g, count % int(salts[g]), 0, packed(i[p].astype("<i8"), (cell[p] % width).astype("<i4"), x[p].astype(kind))))
             count, ids, v = count + 1, [], []
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), TYPES)], NAMES)
 
@@ -238,22 +250,24 @@ def multi_index_search(
                 a, c = distances(v[:, :half], books[0]), distances(v[:, half:], books[1])
                 order = np.argsort(c.argmin(1), kind="stable")  # neighbours in a block visit much the same cells
                 ids, v, a, c = ids[order], v[order], a[order], c[order]
-                visits = np.zeros((len(ids), len(held)), bool)
-                for i in range(len(ids)):
-                    visits[i, walk(a[i], c[i], held, wanted)] = True
+                for t in range(0, len(ids), BLOCK):
+                    yield from ask(ids[t : t + BLOCK], v[t : t + BLOCK], a[t : t + BLOCK], c[t : t + BLOCK])
+
+    def ask(ids: np.ndarray, v: np.ndarray, a: np.ndarray, c: np.ndarray):
+        visits = visited(a, c, held, wanted, width)
+        out = []
+        for g in np.nonzero(visits.any((0, 2)))[0].tolist():
+            p = np.nonzero(visits[:, g].any(1))[0]
+            payload = packed(ids[p].astype("<i8"), v[p].astype(kind), visits[p, g])
+            out += [(g, salt, 1, payload) for salt in range(int(salts[g]))]
+            if len(out) >= 64:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), TYPES)], NAMES)
                 out = []
-                for g in range(len(groups)):
-                    own = visits[:, g * width : (g + 1) * width]
-                    some = np.nonzero(own.any(1))[0]
-                    for t in range(0, len(some), BLOCK):
-                        p = some[t : t + BLOCK]
-                        payload = packed(ids[p].astype("<i8"), v[p].astype("<f4"), np.packbits(own[p], axis=1))
-                        out += [(g, salt, 1, payload) for salt in range(int(salts[g]))]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), TYPES)], NAMES)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), TYPES)], NAMES)
 
     def run(batches):
-        return meet((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), dim, width, k)
+        return meet((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), dim, width, k, kind)
 
     together = map_arrow(rows, blocks, ROWS).unionByName(map_arrow(asked, probes, ROWS))
     together = together.repartition(parts(df), "part", "salt").sortWithinPartitions("part", "salt", "kind")

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import unicodedata
 
 import numpy as np
@@ -106,6 +107,21 @@ def test_op2_trees_lose_no_link(base, flips, leaf):
                 assert seen[i] & seen[j]
 
 
+def test_op2_knots_are_dealt_in_chunks(spark):
+    """Fingerprints of which each lies within four bits of all others: no vantage point parts them, and no link may be lost between chunks."""
+    base = 0x0123456789ABCDEF
+    v = sorted({base ^ (1 << a) ^ (1 << b) for a in range(40) for b in range(a)} | {base ^ (0xFF << 50) ^ (1 << a) for a in range(20)})
+    df = spark.createDataFrame([(x - 2**64 if x >> 63 else x,) for x in v], "fp long")
+    edges = {r.node: r.root for r in op2_simhash.hamming_components(df, "fp", 2, per_shard=50).collect()}
+    want = brute_components(list(enumerate(v)))
+    groups = {}
+    for i, root in want.items():
+        groups.setdefault(root, set()).add(v[i] - 2**64 if v[i] >> 63 else v[i])
+    for g in groups.values():
+        assert len({edges.get(x, x) for x in g}) == 1
+    assert len({edges.get(min(g), min(g)) for g in groups.values()}) == len(groups) < len(v)
+
+
 def test_similar_components(spark):
     base = [f"w{i}" for i in range(400)]
     near = lambda k: " ".join(x if i % 100 != k else f"new{k}" for i, x in enumerate(base))
@@ -163,11 +179,12 @@ def test_op3_equals_brute_force(spark, tmp_path):
     assert max(len(r.chunk) for r in rows) <= 1000
     last = sorted((r.page_id if r.page_id is not None else 99, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in rows if r.is_last)
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
-    want = []
+    want, told = [], set()
     for i, _, t in pages:
         same = [j for j, _, u in pages if u == t and len((t or "").encode()) >= 100 and j is not None]
         first = min(same) if same else None
-        again = first is not None and (i is None or first < i)
+        again = first is not None and (i is None or first < i or (i, t) in told)  # of rows that tie one is the response
+        told.add((i, t))
         want.append((99 if i is None else i, "revisit" if again else "response", first if again else None, len((t or "").encode()), sha(t)))
     key = lambda r: tuple(map(str, r))
     assert sorted(last, key=key) == sorted(want, key=key)
@@ -535,6 +552,77 @@ def test_op8_automaton_equals_distances(word):
     assert (got[0] if got else None) == best
 
 
+def test_op8_keeps_long_terms(spark):
+    """A term of 45 letters is learned and matched whole, and no number of terms is too large."""
+    long = "".join(chr(97 + i * 7 % 26) for i in range(45))
+    rows = [(f"some talk w{'abcdefghij'[i % 10]}x {long} n{'klmnopqrst'[i % 10]} on", 1) for i in range(40)] + [(f"calm words here num{chr(97 + i % 26)}", 0) for i in range(60)]
+    terms = op8_toxicity.learn_terms(spark.createDataFrame([(t + " x" * i, y) for i, (t, y) in enumerate(rows)], "text string, y int"))
+    judge = op8_toxicity.Judge(terms)
+    assert judge.match(long) == (0, long) and judge.match(long[:20] + "q" + long[21:]) == (1, long)
+    assert judge.match(long[:40]) is None
+
+
+def plain_features(text, terms):
+    """What `Judge` says of a text, from edit distances to all terms and sums over all windows."""
+    low = text.lower()
+    hits, n = [], 0
+    inside = [False] * (len(low) + 1)
+    for m in op8_toxicity.QUOTED.finditer(low):
+        for i in range(m.start(), m.end()):
+            inside[i] = True
+    for i, m in enumerate(op8_toxicity.WORD.finditer(low)):
+        n, best = n + 1, None
+        for t in terms:
+            body = t.rstrip("*")
+            row = distance(body, m.group())
+            d = min(row) if t.endswith("*") else row[-1]
+            if d <= op8_toxicity.edits(len(body)) and (best is None or (d, t) < best):
+                best = (d, t)
+        if best:
+            hits.append((i, best[0] == 0, inside[m.start()], terms[best[1]]))
+    if not hits:
+        return [0.0] * 6
+    part = lambda exact, quoted: math.log1p(sum(w for _, e, q, w in hits if (e, q) == (exact, quoted)))
+    weight = lambda e, q, w: w * (1.0 if e else 0.4) * (0.3 if q else 1.0)
+    near = max(sum(weight(e, q, w) for j, e, q, w in hits if abs(j - i) <= op8_toxicity.WINDOW) for i, *_ in hits)
+    return [part(True, False), part(True, True), part(False, False), part(False, True), math.log1p(near), min(1.0, 20 * sum(weight(e, q, w) for _, e, q, w in hits) / n)]
+
+
+def test_op8_scores_equal_a_plain_scorer(spark):
+    terms = {"scoundrel": 0.9, "vermin": 0.5, "idiot*": 0.8, "fool": 0.3, "scoundrels": 0.7}
+    weights = op8_toxicity.PRIOR
+    texts = ["", "no hit at all here", 'you scoundrle said "vermin and idiotic fools" ' + "calm " * 30 + "scoundrels, vermni!", "idiots idoit fool Fool", "“vermin” «scoundrel» vermin " * 9, "é ünï " + "word " * 200 + "idiot"]
+    got = {r.doc_id: r.score for r in op8_toxicity.score_toxicity(docs(spark, list(enumerate(texts))), "doc_id", "text", (terms, weights)).collect()}
+    for i, t in enumerate(texts):
+        z = sum(a * b for a, b in zip([*plain_features(t, terms), 1.0], weights))
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-9
+    assert got[2] > got[1]
+
+
+def test_op10_scores_equal_a_plain_scorer(spark):
+    """All pairs of inputs, one by one, from the words of the text."""
+    texts = ["", "one two two three", "A line.\nAnother | line, here!\n" * 3, "é ünï 日本 $$ 12"]
+    rng, inputs = np.random.default_rng(3), op10_quality.Inputs()
+    m = op10_quality.Machine(seed=8)
+    m.w0, m.w[:] = 0.25, rng.normal(0, 0.3, len(m.w))
+    m.v[:] = rng.normal(0, 0.3, m.v.shape)
+    scale = (np.full(op10_quality.STATS, 0.2), np.full(op10_quality.STATS, 0.7))
+    got = {r.doc_id: r.score for r in op10_quality.score_quality(docs(spark, list(enumerate(texts))), "doc_id", "text", (m, scale)).collect()}
+    for i, t in enumerate(texts):
+        counts = {}
+        for w in t.encode().lower().split():
+            counts[w] = counts.get(w, 0) + 1
+        norm = math.sqrt(sum(math.log1p(c) ** 2 for c in counts.values()))
+        x = [(xxhash.xxh64_intdigest(w, 10) % op10_quality.BUCKETS, math.log1p(c) / norm) for w, c in counts.items()]
+        stats = inputs.of(t.encode())[2]
+        x += [(op10_quality.BUCKETS + k, max(-4, min(4, (s - 0.2) / 0.7)) / 4) for k, s in enumerate(stats)]
+        z = m.w0 + sum(float(m.w[a]) * v for a, v in x) + sum(float(m.v[a].astype(float) @ m.v[b].astype(float)) * v * u for n, (a, v) in enumerate(x) for b, u in x[:n])
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-4
+    none = docs(spark).limit(0)
+    assert op10_quality.score_quality(none, "doc_id", "text", (m, scale)).count() == 0
+    assert op10_quality.fit_quality(none, spark.createDataFrame([(1, 1)], "doc_id long, quality int")) is None
+
+
 def test_op8_quotation_counts_less():
     judge = op8_toxicity.Judge({"scoundrel": 1.0})
     score = lambda t: float(np.array([*judge.features(t), 1.0]) @ op8_toxicity.PRIOR)
@@ -583,12 +671,31 @@ def test_op9_recall_on_made_tables(spark, tmp_path, clusters):
     assert op9_recall(found, x.astype(float), np.arange(20_000)) >= 0.9
 
 
+def test_op9_visits_take_little_memory():
+    """A block of 256 queries over 1,024 x 1,024 cells."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    a, b, held = rng.random((256, 1024)), rng.random((256, 1024)), np.ones(1 << 20, np.int64)
+    tracemalloc.start()
+    bits = op9_imi.visited(a, b, held, 2_000, 1024)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and bits.shape == (256, 1024, 128)
+    for i in (0, 17, 255):
+        got = np.nonzero(np.unpackbits(bits[i], axis=1).ravel())[0]
+        assert sorted(op9_imi.walk(a[i], b[i], held, 2_000)) == got.tolist()
+
+
 def test_op9_awkward(spark):
     rows = [(0, [1.0, 0.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0, 0.0]), (2, None), (3, [0.0] * 4), (4, [1.0, float("nan"), 0.0, 0.0]), (5, [None, 1.0, 0.0, 0.0]), (6, [float("inf"), 1.0, 0.0, 0.0]), (7, [1.0, 2.0]), (100, [0.0, 1.0, 0.0, 0.0]), (8, []), (None, [1.0, 1.0, 1.0, 1.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, part string")
     got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in op9_imi.multi_index_search(df, "vec_id", "embedding", lambda i: i % 100 == 0).collect())
     assert got == [(0, 1, 1, 0.0), (0, 2, 100, round(2**0.5, 6)), (100, 1, 0, round(2**0.5, 6)), (100, 2, 1, round(2**0.5, 6))]
     assert op9_imi.multi_index_search(df.limit(0), "vec_id", "embedding", lambda i: i % 100 == 0).count() == 0
+    close = spark.createDataFrame([(i, [1.0, i * 1e-12]) for i in range(40)], "vec_id long, embedding array<double>")  # alike as floats
+    got = op9_imi.multi_index_search(close, "vec_id", "embedding", lambda i: i == 20).orderBy("rank").collect()
+    assert {r.vec_id for r in got} == {*range(15, 26)} - {20} and all(abs(r.score - abs(r.vec_id - 20) * 1e-12) < 1e-20 for r in got)
     ties = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(300)], "vec_id long, embedding array<float>")
     got = op9_imi.multi_index_search(ties, "vec_id", "embedding", lambda i: i == 100).orderBy("rank").collect()
     assert [r.vec_id for r in got] == list(range(10))
