@@ -2,6 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and gives the columns of `documents`; the last gives the places of
 pieces in packed sequences. Rows of null or empty texts are documents like others. SQL can express no stage; tests compare them with brute force.
+Columns besides those of `documents`, whatever their names, are dropped by the first stage. Very long texts are read whole, one at a time, by every stage.
 """
 
 from __future__ import annotations
