@@ -155,6 +155,48 @@ def c3(spark, sf_dir):
     return C.paragraph_chunks(_docs(spark, sf_dir), "doc_id", "text").withColumn("text", F.sha2("text", 256))
 
 
+#: Where sentences of the driver's texts end and may be parted.
+_ENDS, _COMMAS = ".!?;", ",:"
+_ALL = r"regexp_replace({}, '^[\s\p{{Z}}\x1c-\x1f\x85]+|[\s\p{{Z}}\x1c-\x1f\x85]+$', '', 'g')"
+_BEHIND = "regexp_extract_all({x}, '[^{m}]*[{m}]|[^{m}]+$')"
+_PACK = f"list_reduce(list_transform(list_transform({_BEHIND.format(x='p', m=_COMMAS)}, lambda t: regexp_replace(t, '^[\\s\\p{{Z}}]+', '')), lambda t: [t]), lambda acc, t: case when length(acc[-1]) + length(t[1]) <= {C.PACKED} then list_concat(acc[:-2], [acc[-1] || t[1]]) else list_concat(acc, t) end)"
+_CITED = rf"""d as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '(?s)```.*?```', ' ', 'g'), '\n+'), lambda x: {_ALL.format('x')}), lambda x: x not in ('', '---')) as ls from documents),
+l as (select doc_id, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as x from d), h as (select *, starts_with(x, '#') or (length(x) <= 30 and starts_with(x, '**') and ends_with(x, '**')) as is_h from l),
+c as (select *, coalesce(last_value(case when is_h then regexp_replace(x, '^[#*\s]+|[*\s]+$', '', 'g') end ignore nulls) over (partition by doc_id order by i rows between unbounded preceding and current row), '') as heading from h),
+q as (select doc_id, i, heading, list_filter(list_transform({_BEHIND.format(x="regexp_replace(x, '^[-*][\\s]+', '')", m=_ENDS)}, lambda p: {_ALL.format('p')}), lambda p: p <> '') as ps from c where not is_h),
+u as (select doc_id, i, j, heading, p from q, unnest(range(1, len(ps) + 1)) as r(j), lateral (select ps[j] as p)), v as (select doc_id, i, j, heading, case when length(p) > {C.LONGEST} then {_PACK} else [p] end as ts from u),
+units as (select doc_id, row_number() over (partition by doc_id order by i, j, k) - 1 as n, heading, ts[k] as text from v, unnest(range(1, len(ts) + 1)) as r(k))"""
+
+
+@query("t15_cited_sentences", f"with {_CITED} select doc_id, count(*) as n_sentences, sha256(string_agg(heading || '|' || text, chr(10) order by n)) as sentences_sha256 from units group by 1")
+def t15_cited(spark, sf_dir):
+    s = C.cited_sentences(F.col("text"), _ENDS, _COMMAS)
+    rows = _docs(spark, sf_dir).select("doc_id", s.alias("s")).where(F.size("s") > 0)
+    return rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.sha2(F.array_join(F.transform("s", lambda x: F.concat_ws("|", x["heading"], x["text"])), "\n"), 256).alias("sentences_sha256"))
+
+
+_TEACH = ("est", "the", "und", "de")
+
+
+@query("t15_training_sentences", rf"""
+with x as (select doc_id, regexp_replace(regexp_replace({_ALL.format("coalesce(text, '')")}, '^#+[^\n]*\n+', ''), '[\s\p{{Z}}\x1c-\x1f\x85]+', ' ', 'g') as t from documents),
+s as (select doc_id, list_filter(list_transform(regexp_extract_all(t, '[^.!?;]*[.!?;]|[^.!?;]+$'), lambda s: regexp_replace(s, '^[ \-•]+|[ \-•]+$', '', 'g')), lambda s: length(s) between 24 and 180 and len(regexp_extract_all(s, '\d')) <= 10 and regexp_matches(s, 'est|the|und|de') and not regexp_matches(s, '&|password') and len(regexp_extract_all(s, ':')) <= 3) as ss from x)
+select doc_id, len(ss)::bigint as n_sentences, sha256(array_to_string(ss, '|')) as sentences_sha256 from s""")
+def t15_training(spark, sf_dir):
+    """With words of the driver's languages for signals, and their colon."""
+    s = C.training_sentences(F.col("text"), _TEACH, ("&", "password"), ".!?;", colon=":")
+    return _docs(spark, sf_dir).select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.sha2(F.array_join(s, "|"), 256).alias("sentences_sha256"))
+
+
+@query("c5_citation_spans", rf"""
+with {_CITED}, w as (select a.doc_id, a.n as s, a.n + width - 1 as e, a.heading, (select string_agg(b.text, '' order by b.n) from units b where b.doc_id = a.doc_id and b.n between a.n and a.n + width - 1) as body from units a, unnest(range(1, 4)) as r(width) where exists (select 1 from units b where b.doc_id = a.doc_id and b.n = a.n + width - 1)),
+x as (select doc_id, s, e, {_ALL.format("case when heading <> '' and not contains(body, heading) then heading || '：' || body else body end")} as span from w), f as (select * from x where length(span) between 12 and 600 qualify row_number() over (partition by doc_id, regexp_replace(lower(span), '\s+', '', 'g') order by s, e) = 1)
+select doc_id, row_number() over (partition by doc_id order by s, e) as span_no, s as sentence_start, e as sentence_end, sha256(span) as span_sha256 from f""")
+def c5_cited(spark, sf_dir):
+    out = C.cited_spans(_docs(spark, sf_dir), "doc_id", "text", T.citation_norm, 3, 12, 600, _ENDS, _COMMAS)
+    return out.select("doc_id", "span_no", "sentence_start", "sentence_end", F.sha2("span", 256).alias("span_sha256"))
+
+
 @query("c4_stride_chunks", """
 select doc_id, (i // 680)::bigint as chunk_index, i as char_start, least(i + 800, length(text))::bigint as char_end, sha256(substring(text, i + 1, 800)) as chunk_sha256
 from documents, unnest(range(0, greatest(length(text), 1), 680)) as u(i)""")

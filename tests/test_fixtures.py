@@ -57,21 +57,23 @@ def test_strict_urls(spark):
     assert got == ["http://ex.com/a/b?a=1&b=2", None, "https://h/p"]
 
 
-@pytest.mark.parametrize("cut", [C._boundary, C._half_break])
+@pytest.mark.parametrize("cut", [C._boundary, lambda *a: C._half_break(*a, 80)])
 def test_chunks_cover_and_round_trip(cut):
     text = "\n".join(f"Sentence number {i} is here. And more words follow it" for i in range(120))
-    out = cut(text, 800, 120, 80)
+    out = cut(text, 800, 120)
     assert all(text[s:e].strip() == t for s, e, t in out)
     assert out[0][0] == 0 and out[-1][1] == len(text)
     assert all(b[0] <= a[1] for a, b in zip(out, out[1:]))
 
 
-def test_boundary_chunks_by_hand():
+def test_boundary_chunks_by_hand(spark):
     """A break counts from 55 % of the width on; a chunk starts with a word behind the overlap; only the last chunk joins, by an empty line."""
     first = "x" * 5 + "。" + "y" * 3 + "\n" + "z" * 11 + " tail words"
-    assert C._boundary(first, 10, 3, 2)[:2] == [(0, 10, "xxxxx。yyy"), (10, 20, "z" * 10)]
-    assert C._boundary("a" * 9 + "。" + "b" * 4, 10, 0, 6) == [(0, 14, "a" * 9 + "。\n\n" + "b" * 4)]
-    assert C._boundary("a" * 9 + "。" + "b" * 8, 10, 0, 6) == [(0, 10, "a" * 9 + "。"), (10, 18, "b" * 8)] and C._boundary("", 10, 2, 3) == []
+    cut = lambda t, *a: [(r.char_start, r.char_end, r.text) for r in C.boundary_chunks(frame(spark, [(1, t)], "id long, t string"), "id", "t", *a).orderBy("chunk_index").collect()]
+    assert cut(first, 10, 3, 2)[:2] == [(0, 10, "xxxxx。yyy"), (10, 20, "z" * 10)]
+    assert cut("a" * 9 + "。" + "b" * 4, 10, 0, 6) == [(0, 14, "a" * 9 + "。\n\n" + "b" * 4)]
+    assert cut("a" * 9 + "。" + "b" * 8, 10, 0, 6) == [(0, 10, "a" * 9 + "。"), (10, 18, "b" * 8)] and cut("", 10, 2, 3) == cut(None, 10, 2, 3) == [] and cut("short", 10, 2, 6) == [(0, 5, "short")]
+    assert cut("a" * 9 + "。" + "c" * 9 + "。" + "b" * 5, 10, 0, 6) == [(0, 10, "a" * 9 + "。"), (10, 20, "c" * 9 + "。"), (20, 25, "b" * 5)]  # too long together
 
 
 def test_half_break_chunks_by_hand():
@@ -85,11 +87,15 @@ def test_half_break_indices_start_at_one(spark):
     assert [(r.id, r.chunk_index) for r in got] == [(1, 1), (1, 2)]
 
 
-def test_paragraph_chunks_by_hand():
-    text = "\n\n".join(["a" * 50, "b" * 40, "c" * 30, "d" * 250, "e" * 5])
-    got = C._paragraphs(text, 100, 20, 10)
-    assert got == ["a" * 50 + "\n\n" + "b" * 40, "b" * 20 + "\n\n" + "c" * 30, "d" * 100, "d" * 100, "d" * 90]
-    assert all(len(c) <= 800 for c in C._paragraphs("\n\n".join("p" * (i * 37 % 700 + 1) for i in range(60)), 800, 120, 80)) and C._paragraphs("", 100, 20, 10) == []
+def test_paragraph_chunks_by_hand(spark):
+    """Paragraphs fill a chunk; the next begins with the last characters of the one before; strides neither give nor take any; what doesn't fit is cut off."""
+    cut = lambda t, *a: [r.text for r in C.paragraph_chunks(frame(spark, [(1, t)], "id long, t string"), "id", "t", *a).orderBy("chunk_index").collect()]
+    assert cut("\n\n".join(["a" * 50, "b" * 40, "c" * 30, "d" * 250, "e" * 5]), 100, 20, 10) == ["a" * 50 + "\n\n" + "b" * 40, "b" * 20 + "\n\n" + "c" * 30, "d" * 100, "d" * 100, "d" * 90]
+    assert cut("a" * 20 + "\n \t\n" + "b" * 95 + "\n\n" + "c" * 3, 100, 20, 4) == ["a" * 20, "a" * 20 + "\n\n" + "b" * 78, "b" * 37 + "\n\nccc"]  # 20 + 2 + 95 is over 100: the rest has the carry too
+    assert cut("d" * 101, 100, 20, 1) == ["d" * 100, "d" * 21] and cut("d" * 100, 100, 20, 1) == ["d" * 100] and cut("d" * 181, 100, 20, 1) == ["d" * 100, "d" * 100, "d" * 21]
+    assert cut("x" * 150 + "\n\n" + "y" * 10, 100, 0, 1) == ["x" * 100, "x" * 50, "y" * 10] and cut("a b\n\n  c  ", 100, 20, 1) == ["a b\n\nc"]
+    assert cut("", 100, 20, 10) == cut(None, 100, 20, 10) == cut(" \n\n ", 100, 20, 0) == []
+    assert all(len(c) <= 800 for c in cut("\n\n".join("p" * (i * 37 % 700 + 1) for i in range(60)), 800, 120, 80))
 
 
 def test_greedy_drops_by_kept_rows_only(spark):
@@ -502,3 +508,31 @@ def test_office_files_are_sound_packages():
         assert "a & b" in R.office_text(kind, body) and "THE END" in R.office_text(kind, K.changed_file(kind, body, "the end", "THE END"))
     with pytest.raises(ValueError):
         K.changed_file("pdf", b"%PDF", "a", "b")
+
+
+def test_cited_sentences_by_hand(spark):
+    """Headings are carried, fences and rules left out, long sentences parted at commas and packed."""
+    text = "intro one。intro two；\r\n# Head A\n```\ncode。here\n```\n- item one！  item two\n---\n**Bold head**\n* starred\n\n**" + "b" * 31 + "** tail。\n####\nafter an empty heading"
+    one = lambda t, **k: [(r.heading, r.text) for r in frame(spark, [(1, t)], "id long, t string").select(C.cited_sentences(F.col("t"), **k).alias("u")).first().u]
+    assert one(text) == [("", "intro one。"), ("", "intro two；"), ("Head A", "item one！"), ("Head A", "item two"), ("Bold head", "starred"), ("Bold head", "**" + "b" * 31 + "** tail。"), ("", "after an empty heading")]
+    parts = ["a" * 200 + "，", "b" * 129 + ",", "c" * 10 + "，", "d" * 340 + "，", "e"]
+    assert one("".join(parts)) == [("", parts[0] + parts[1][:0] + parts[1]) if len(parts[0] + parts[1]) <= 330 else ("", parts[0])] + ([] if len(parts[0] + parts[1]) <= 330 else [("", parts[1] + parts[2])]) + [("", parts[3]), ("", parts[4])]
+    assert one("x" * 400) == [("", "x" * 400)] and one(("y" * 99 + "， ") * 4) == [("", ("y" * 99 + "，") * 3), ("", "y" * 99 + "，")]
+    assert one("") == one(None) == one("# only\n\n---") == []
+
+
+def test_cited_spans_by_hand(spark):
+    rows = [(1, "# Fees\nFees are 5.\nPay now.\n# Hours\nPay now.\nOpen late."), (2, None), (3, "x")]
+    out = C.cited_spans(frame(spark, rows, "id long, t string"), "id", "t", F.lower, 2, 8, 30, ".", ",")
+    got = [(r.id, r.span_no, r.sentence_start, r.sentence_end, r.span) for r in out.orderBy("id", "span_no").collect()]
+    assert got == [
+        (1, 1, 0, 0, "Fees are 5."), (1, 2, 0, 1, "Fees are 5.Pay now."), (1, 3, 1, 1, "Fees：Pay now."), (1, 4, 1, 2, "Fees：Pay now.Pay now."), (1, 5, 2, 2, "Hours：Pay now."), (1, 6, 2, 3, "Hours：Pay now.Open late."), (1, 7, 3, 3, "Hours：Open late."),
+    ]
+    same = C.cited_spans(frame(spark, [(1, "Same thing.\nsame THING.\nother one.")], "id long, t string"), "id", "t", F.lower, 1, 1, 99, ".", ",").collect()
+    assert [(r.span_no, r.sentence_start) for r in same] == [(1, 0), (2, 2)]
+
+
+def test_training_sentences_by_hand(spark):
+    text = "# 标题\n\n学生 申请 办理时应当在系统内提交全部规定的材料并等待审核结果。太短申请。" + "申请" + "1" * 11 + "这里的数字太多所以不能用于训练这个句子要够长。电话：申请办理时应当在系统内提交全部规定的材料并等待。没有任何信号的句子虽然足够长但是不应该出现在这里面的啊。"
+    got = frame(spark, [(1, text), (2, None)], "id long, t string").select("id", C.training_sentences(F.col("t")).alias("s")).orderBy("id").collect()
+    assert got[0].s == ["学生申请办理时应当在系统内提交全部规定的材料并等待审核结果。"] and got[1].s == []
