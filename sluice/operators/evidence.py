@@ -18,10 +18,6 @@ SUPPORTED, PARTIAL, RELATED = 0.52, 0.18, 0.08
 ATTRIBUTES = (("DEADLINE", r"(?i)\b(?:deadline|until|expires?)\b"), ("TIME", r"(?i)\b(?:when|time|date)\b"), ("PRICE", r"(?i)\b(?:price|cost|fee)\b"), ("CONTACT", r"(?i)\b(?:contact|email|phone)\b"), ("PLACE", r"(?i)\b(?:where|place|address)\b"), ("STEPS", r"(?i)\b(?:how|steps?|process)\b"))
 
 
-#: Needles without a word between two others that are looked for in one pass.
-BARE = 500
-
-
 def points(df: DataFrame, id_col: str, text: Column, most: int = 5, least: int = 4) -> DataFrame:
     """(id, point_no, point): a query cut at commas and conjunctions; kept whole if a part is too short."""
     parts = F.filter(F.transform(F.split(text, r"[,;，；、]|\s(?:and|und|et|y)\s"), lambda s: F.trim(s)), lambda s: s != "")
@@ -102,32 +98,6 @@ def rescue(lexical: Column, dense: Column, blocked: Column) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))
 
 
-def locate(df: DataFrame, text_col: str, needle_col: str) -> DataFrame:
-    """start, end (0-based, in characters), and how often the needle occurs; null offsets if it doesn't."""
-    at = F.expr(f"instr({text_col}, {needle_col})")
-    times = F.expr(f"case when length({needle_col}) = 0 then 0 else (length({text_col}) - length(replace({text_col}, {needle_col}, ''))) div length({needle_col}) end")
-    return df.withColumns({"start": F.when(at > 0, (at - 1).cast("long")), "end": F.when(at > 0, (at - 1 + F.char_length(needle_col)).cast("long")), "occurrences": times.cast("long")})
-
-
-def locate_all(docs: DataFrame, id_col: str, text_col: str, needles: DataFrame, needle_id: str, needle: str) -> DataFrame:
-    """What `locate` gives for every text that holds a needle. Texts don't move with their words: ids of candidates are found first, and texts fetched for these.
-
-    A needle's words that stand between two others are words of any text that holds it. A needle without such a word may begin or end inside a word; such ones
-    are looked for in every text, `BARE` to a pass. An empty needle is nowhere.
-    """
-    inner = F.regexp_extract_all(needle, F.lit(r"(?<=[^\p{L}\p{N}])([\p{L}\p{N}]+)(?=[^\p{L}\p{N}])"), 1)
-    asked = needles.where(F.char_length(needle) > 0).select(needle_id, needle, F.element_at(F.array_sort(F.concat(F.array(F.lit("")), inner), lambda a, b: F.char_length(b) - F.char_length(a)), 1).alias("_w"))
-    words = docs.select(id_col, F.explode(F.array_distinct(F.split(text_col, r"[^\p{L}\p{N}]+"))).alias("_w"))
-    pairs = words.join(asked.where("_w <> ''").select(needle_id, "_w"), "_w").select(id_col, needle_id).distinct()
-    found = pairs.join(docs.select(id_col, text_col), id_col).join(asked.select(needle_id, needle), needle_id).where(F.contains(text_col, needle))
-    bare = asked.where("_w = ''").select(needle_id, needle).collect()
-    for i in range(0, len(bare), BARE):
-        some = F.array(*[F.struct(F.lit(r[0]).alias(needle_id), F.lit(r[1]).alias(needle)) for r in bare[i : i + BARE]])
-        here = docs.select(id_col, text_col, F.explode(F.filter(some, lambda n: F.contains(text_col, n[needle]))).alias("n"))
-        found = found.unionByName(here.select(id_col, text_col, f"n.{needle_id}", f"n.{needle}"))
-    return locate(found, text_col, needle)
-
-
 def sentence_offsets(df: DataFrame, id_col: str, text_col: str, ends: str = r"[.!?\n]+") -> DataFrame:
     """(id, start, end) of the sentences of whole texts, without the marks that end them; blank ones are left out."""
     parts = F.split(F.col(text_col), f"(?<={ends[:-1]})(?!{ends[:-1]})")  # each with the marks at its end

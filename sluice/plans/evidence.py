@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import metadata as M
 from ..operators import search as S
+from ..operators import spans as SP
 from ..operators.pages import all_rules, first_rule
 from ..operators.rounds import keep
 from .registry import query, table
@@ -245,9 +246,40 @@ def p1(spark, sf_dir):
 
 @query("p2_span_location", "with f as (select d.doc_id, d.text, b.item_id, trim(b.text, ' ' || chr(10)) as needle from documents d join benchmark b on contains(d.text, trim(b.text, ' ' || chr(10))) where trim(b.text, ' ' || chr(10)) <> '') select doc_id, item_id, strpos(text, needle)::bigint - 1 as start, strpos(text, needle)::bigint - 1 + length(needle)::bigint as \"end\", ((length(text) - length(replace(text, needle, ''))) // length(needle))::bigint as occurrences from f")
 def p2(spark, sf_dir):
-    """Whole items in whole texts. Candidates share the item's longest word that stands between others, or, where it has none, any word that holds its own; only those texts are searched."""
+    """Whole items in whole texts, all by one automaton that each text is walked with once."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.trim(F.col("text"), F.lit(" \n")).alias("needle"))
-    return E.locate_all(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", items, "item_id", "needle").select("doc_id", "item_id", "start", "end", "occurrences")
+    return SP.locate_needles(table(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "needle", exact=True).select("doc_id", "item_id", "start", "end", "occurrences")
+
+
+@query("p2_canonical_location")
+def p2_canonical(spark, sf_dir):
+    """Items in canonical texts, by canonical form; offsets in raw ones. Canonical forms take walks over letters, which SQL lacks; tests compare it with a search for each needle."""
+    out = SP.locate_needles(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return out.select("doc_id", "item_id", "start", "end", "occurrences", F.array_join("reasons", ",").alias("reasons"), F.sha2("raw", 256).alias("raw_sha256"))
+
+
+def _located(spark, sf_dir):
+    """What becomes of the four best spans of each point, in the five best documents of its item."""
+    best = E.best_spans(_scored(spark, sf_dir).where(F.col("score") >= E.PARTIAL), ["item_id", "point_no"], 4, ["id", "span_no"])
+    status = _best(spark, sf_dir).select("item_id", "point_no", F.when(F.col("status") == "PARTIAL", "PARTIALLY_SUPPORTED").otherwise(F.col("status")).alias("status"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.col("text").alias("chunk"))
+    spans = best.join(_span(spark, sf_dir).select("id", "span_no", "span"), ["id", "span_no"]).join(status, ["item_id", "point_no"]).join(docs.select("id", "source"), "id")
+    spans = spans.select(F.col("item_id").alias("query"), F.col("point_no").alias("point"), "status", F.concat_ws("#S", "id", "span_no").alias("span_id"), F.col("id").alias("chunk_id"), F.col("source").alias("source_id"), F.col("span").alias("text"))
+    chunks = _five(spark, sf_dir).join(docs, "id").select(F.col("item_id").alias("query"), F.col("id").alias("chunk_id"), F.col("source").alias("source_id"), F.col("chunk").alias("text"))
+    return SP.support_spans(spans, chunks)
+
+
+@query("p3_located_units")
+def p3_units(spark, sf_dir):
+    """Units of support by where they stand. No SQL, as for `p2_canonical_location`; tests compare it with a loop over spans."""
+    out = SP.support_units(_located(spark, sf_dir))
+    return out.select(F.col("query").alias("item_id"), F.col("chunk_id").alias("doc_id"), "start", "end", "occurrences", F.array_join("reasons", ",").alias("reasons"), F.array_join(F.transform("points", lambda p: p.cast("string")), ",").alias("points"), F.array_join("span_ids", ",").alias("span_ids"))
+
+
+@query("p3_excluded_spans")
+def p3_excluded(spark, sf_dir):
+    """The second output: spans that make no unit, with the reason. No SQL, as for the units."""
+    return _located(spark, sf_dir).where("excluded is not null").select(F.col("query").alias("item_id"), F.col("point").alias("point_no"), "span_id", F.col("excluded").alias("reason"))
 
 
 @query("p3_support_units", f"with {_SCORED} select id, span_no, count(distinct item_id * 1000 + point_no) as n_points, round(max(score), 6) as best from scored where score >= {E.PARTIAL} group by 1, 2")
@@ -334,6 +366,26 @@ def p16(spark, sf_dir):
     return f.select("item_id", "id", F.row_number().over(W.partitionBy("item_id").orderBy("first", F.desc("best"), "id")).cast("long").alias("reference_no"))
 
 
+_CITED = f"""{_SCORED}, r as (select *, row_number() over (partition by item_id, point_no order by score desc, id, span_no) as rank from scored where score >= {E.PARTIAL}),
+c as (select item_id, point_no, any_value(span) filter (where rank = 1) as claim, list(id order by rank) filter (where rank <= 3) as ids from r join span using (id, span_no) group by 1, 2),
+u as (select item_id, id, row_number() over (partition by item_id order by min(point_no), min_by(rank, point_no)) as n from r where rank <= 3 group by 1, 2),
+m as (select item_id, point_no, claim, (select string_agg('[' || n || ']', '' order by n) from u where u.item_id = c.item_id and list_contains(c.ids, u.id)) as mark from c)"""
+
+
+@query("p16_cited_answers", f"with {_CITED}, t as (select item_id, string_agg(claim || mark, ' ' order by point_no) as body from m group by 1), b as (select item_id, count(*) as n_references, string_agg('[' || n || '] ' || id, chr(10) order by n) as refs from u group by 1) select item_id, n_references, sha256(body || chr(10) || chr(10) || 'References:' || chr(10) || refs) as cited_sha256 from t join b using (item_id)")
+def p16_cited(spark, sf_dir):
+    """The answer of `p17_answer_assembly` with markers of the documents that hold up to three spans of each claim."""
+    best = E.best_spans(_scored(spark, sf_dir).where(F.col("score") >= E.PARTIAL), ["item_id", "point_no"], 3, ["id", "span_no"])
+    rows = best.join(_span(spark, sf_dir).select("id", "span_no", "span"), ["id", "span_no"])
+    claims = rows.groupBy("item_id", "point_no").agg(F.min_by("span", "rank").alias("claim"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
+    claims = keep(claims)
+    whole = claims.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("point_no", "claim"))).alias("cs")).withColumn("text", F.array_join(F.transform("cs", lambda c: c["claim"]), " "))
+    before = F.filter("cs", lambda c: c["point_no"] <= F.col("point_no"))
+    ends = claims.join(whole.select("item_id", "cs"), "item_id").select("item_id", "point_no", "ids", F.aggregate(before, F.lit(-1), lambda a, c: a + 1 + F.char_length(c["claim"])).alias("end"))
+    out = SP.cited_texts(whole, "item_id", "text", ends, "point_no", "end", "ids", lambda x: x.cast("string"), "\n\nReferences:\n")
+    return out.select("item_id", F.size("references").cast("long").alias("n_references"), F.sha2("cited", 256).alias("cited_sha256"))
+
+
 @query("p17_answer_assembly", f"with {_SCORED}, r as (select *, row_number() over (partition by item_id, point_no order by score desc, id, span_no) as rank from scored where score >= {E.PARTIAL}), a as (select item_id, count(*) as claims, sha256(string_agg(point_no || ':' || span, '|' order by point_no)) as answer_sha256 from r join span using (id, span_no) where rank = 1 group by 1), n as (select item_id, count(*) as asked from points group by 1) select item_id, claims, claims = asked as complete, answer_sha256 from a join n using (item_id)")
 def p17(spark, sf_dir):
     """One claim for each point that has support: the text of its first span; complete if no point is without."""

@@ -533,6 +533,6 @@ def test_cited_spans_by_hand(spark):
 
 
 def test_training_sentences_by_hand(spark):
-    text = "# 标题\n\n学生 申请 办理时应当在系统内提交全部规定的材料并等待审核结果。太短申请。" + "申请" + "1" * 11 + "这里的数字太多所以不能用于训练这个句子要够长。电话：申请办理时应当在系统内提交全部规定的材料并等待。没有任何信号的句子虽然足够长但是不应该出现在这里面的啊。"
+    text = "# Title\n\n学生 申请 办理时应当在系统内提交全部规定的材料并等待审核结果。太短申请。" + "申请" + "1" * 11 + "这里的数字太多所以不能用于训练这个句子要够长。电话：申请办理时应当在系统内提交全部规定的材料并等待。没有任何信号的句子虽然足够长但是不应该出现在这里面的啊。"
     got = frame(spark, [(1, text), (2, None)], "id long, t string").select("id", C.training_sentences(F.col("t")).alias("s")).orderBy("id").collect()
     assert got[0].s == ["学生申请办理时应当在系统内提交全部规定的材料并等待审核结果。"] and got[1].s == []
