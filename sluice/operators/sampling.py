@@ -91,3 +91,36 @@ def ranks(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
     return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_at") + F.col("_before") + 1).drop("_part", "_at", "_before")
+
+
+def running(df: DataFrame, order: list[Column], weight: Column, start: str, total: str) -> DataFrame:
+    """`start`: the sum of the weights of the rows before each in the order of all rows; `total`: of all. As `ranks`, without a window that takes all rows. Null weights count as 0."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).withColumn("_w", F.coalesce(weight, F.lit(0)).cast("long"))
+    placed = keep(placed)
+    sums = placed.groupBy("_part").agg(F.sum("_w").alias("_s"))
+    before = sums.select("_part", (F.sum("_s").over(W.orderBy("_part")) - F.col("_s")).alias("_before"), F.sum("_s").over(W.partitionBy()).alias(total))  # a row a partition
+    within = F.sum("_w").over(W.partitionBy("_part").orderBy("_at")) - F.col("_w")
+    return placed.join(F.broadcast(before), "_part").withColumn(start, F.col("_before") + within).drop("_part", "_at", "_before")
+
+
+def drawn(df: DataFrame, id_col: str, family: Column, weight: Column, quotas: dict[str, int], seed: str, epoch: int = 0) -> DataFrame:
+    """(family, draw, id): `quotas` draws from each family, with replacement, so a row may come again; a row comes as often as its weight, a whole number, asks for.
+
+    Inverse sampling: rows lie end to end, in the order of ids, each as long as its weight; a draw is a point, by a hash of seed, epoch, family and number, and takes the row that it falls into. Rows and draws meet
+    by segments of the mean weight, so that a row lies in few and no task takes a family. Weights of 0 or less and null ids never come; families without rows give no draws.
+    """
+    out = None
+    for name, n in quotas.items():
+        rows = df.where((family == name) & (weight > 0) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), weight.cast("long").alias("w"))
+        placed = running(rows, [F.col("id")], F.col("w"), "start", "total")
+        placed = keep(placed.select("id", "w", "start", "total"))
+        head = placed.agg(F.max("total").alias("t"), F.count("*").alias("n")).first()
+        if not head["n"]:
+            continue
+        wide = max(1, head["t"] // head["n"])
+        segments = placed.select("id", "start", (F.col("start") + F.col("w")).alias("end"), F.explode(F.sequence(F.floor(F.col("start") / wide), F.floor((F.col("start") + F.col("w") - 1) / wide))).alias("segment"))
+        point = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:{epoch}:{name}:"), F.col("draw").cast("string")), 256), 1, 15), 16, 10).cast("long") % head["t"]
+        draws = df.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("point", point).withColumn("segment", F.floor(F.col("point") / wide))
+        met = draws.join(segments, "segment").where((F.col("start") <= F.col("point")) & (F.col("point") < F.col("end"))).select(F.lit(name).alias("family"), "draw", "id")
+        out = met if out is None else out.unionByName(met)
+    return out if out is not None else df.limit(0).select(F.lit("").alias("family"), F.lit(0).cast("long").alias("draw"), F.col(id_col).alias("id"))

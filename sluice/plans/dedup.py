@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import dedup as D
+from ..operators import discovery as DI
 from ..operators import metadata as M
 from ..operators import pages as P
 from ..operators.rounds import keep, spread
@@ -148,6 +149,19 @@ def d15(spark, sf_dir):
     return values.groupBy(F.sha2(F.lower("v"), 256).alias("query_hash")).agg(F.count("*").alias("n"))
 
 
+_NEST = """case when event_id % 50 = 0 then '{"query": "cut off' when event_id % 50 = 1 then null when event_id % 50 = 2 then '[1, null, "text"]' else '{"id": ' || event_id || ', "query": ' || case event_id % 3 when 0 then '"Where is Hall ' || user_id || '?"' when 1 then '7' else '"  "' end || ', "user_question": "Who  asks, ' || event_type || '?", "items": [{"question": "What of ' || user_id || '"}, 5, [' || props || ', {"deep": {"candidate_user_question": "Dél ' || event_id % 40 || '!", "record_id": "r' || event_id || '"}}], null]}' end"""
+
+
+@query("d15_nested_registry", rf"""
+with t as (select event_id as id, {_NEST} as j from events), o as (select t.id as id, x.fullkey as path, x.value as v from t, lateral (select * from json_tree(case when json_valid(j) then j end)) as x where x.type = 'OBJECT'),
+q as (select id, v, coalesce({", ".join(f"case when json_type(v, '$.{k}') = 'VARCHAR' and trim(json_extract_string(v, '$.{k}')) <> '' then json_extract_string(v, '$.{k}') end" for k in DI.QUESTIONS)}) as raw, coalesce({", ".join(f"nullif(json_extract_string(v, '$.{k}'), '')" for k in DI.NAMES)}, '') as query_id from o)
+select id, query_id, sha256(raw) as raw_sha256, regexp_replace(lower(raw), '[^\p{{L}}\p{{N}}]+', '', 'g') as normalized from q where length(raw) <= 2000""")
+def d15_nested(spark, sf_dir):
+    """Questions at any depth of nested JSON that is made of the events, null and broken texts among it."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(_NEST).alias("j"))
+    return DI.excluded_questions(DI.json_objects(rows, "event_id", "j")).select("id", "query_id", "raw_sha256", "normalized")
+
+
 @query("d16_version_supersession", f"""
 with m as ({M.META_SQL}), k as (select source_id, effective_date, policy_key, max(effective_date) over (partition by policy_key) as newest, count(effective_date) over (partition by policy_key) as dated from m), n as (select policy_key, max(source_id) as top from k where effective_date = newest group by 1)
 select source_id, case when dated >= 2 and (effective_date is null or effective_date < newest) then top end as superseded_by from k left join n using (policy_key)""")

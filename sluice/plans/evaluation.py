@@ -195,6 +195,22 @@ def w11(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", "lang", key.alias("k")).orderBy("k", "doc_id").limit(100).select("doc_id", "lang")
 
 
+_POINT = "('0x' || substring(sha256('epochs:3:{f}:' || i), 1, 15))::bigint % (select sum(w)::bigint from r where family = '{f}')"
+
+
+@query("w11_families_with_replacement", f"""
+with r as (select doc_id, case when lang = 'en' then 'english' else 'other' end as family, 1 + doc_id % 3 as w from documents), s as (select *, sum(w) over (partition by family order by doc_id) - w as start from r), n as (select count(*) as n, round(count(*) * 0.35)::bigint as k from documents),
+d as (select 'english' as family, i as draw, {_POINT.format(f='english')} as point from n, range((select k from n)) t(i) union all select 'other', i, {_POINT.format(f='other')} from n, range((select n - k from n)) t(i))
+select d.family, draw, doc_id from d join s on d.family = s.family and start <= point and point < start + w""")
+def w11_epochs(spark, sf_dir):
+    """An epoch of as many draws as there are documents, 35 % of them English ones, each document weighing 1 to 3."""
+    docs = _docs(spark, sf_dir)
+    n = docs.count()
+    k = int(n * 0.35 + 0.5)
+    family = F.when(F.col("lang") == "en", "english").otherwise("other")
+    return P.drawn(docs, "doc_id", family, 1 + F.col("doc_id") % 3, {"english": k, "other": n - k}, "epochs", 3).withColumnRenamed("id", "doc_id")
+
+
 @query("w12_novel_first", "with r as (select doc_id, lang, source, row_number() over (partition by lang, source order by doc_id) as n from documents) select doc_id, n as repeat_no from r where n <= 3")
 def w12(spark, sf_dir):
     rows = P.round_robin(_docs(spark, sf_dir).withColumn("combo", F.concat_ws("/", "lang", "source")), "combo", ["doc_id"])

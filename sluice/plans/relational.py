@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators import discovery as DI
 from ..operators import metadata as M
 from ..sources import readers as R
 from ..sources import sinks as K
@@ -26,6 +27,32 @@ def s6(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(R.sitemap_urls(xml)).alias("loc"))
 
 
+def _sites(spark, sf_dir):
+    """(url, body) of what five sites would serve, made of `pages`: robots.txt, indexes three deep with loops, foreign hosts and more than twenty children, sitemaps of pages, and broken files."""
+    site, section = (F.col("page_id") % 5).cast("string"), (F.floor(F.col("page_id") / 5) % 30).cast("int")
+    link = lambda *parts: F.concat(F.lit("https://s"), F.col("site"), F.lit(".example.org/"), *[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    locs = lambda tag, entry, urls: F.concat(F.lit(f'<?xml version="1.0"?><{tag} xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.transform(urls, lambda u: F.concat(F.lit(f"<{entry}><loc> "), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit(f" </loc></{entry}>"))), ""), F.lit(f"</{tag}>"))
+    own = link("p/", F.col("page_id").cast("string"), F.lit("?a=1&b="), (F.col("page_id") % 7).cast("string"))
+    pages = table(spark, sf_dir, "pages").select("page_id", site.alias("site"), section.alias("section"))
+    pages = pages.select("site", "section", F.struct("page_id", F.when(F.col("page_id") % 11 == 0, "https://elsewhere.net/x").otherwise(own).alias("u")).alias("p")).groupBy("site", "section").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["u"]).alias("us"))
+    k = F.col("section").cast("string")
+    body = F.when(F.col("section") % 9 == 8, "<urlset><url>").otherwise(locs("urlset", "url", F.col("us")))
+    deep = pages.select(link(F.when(F.col("section") % 2 == 0, "l2-").otherwise("l1-"), k, ".xml").alias("url"), body.alias("body"))
+    even = pages.where("section % 2 = 0").select(link("l1-", k, ".xml").alias("url"), locs("sitemapindex", "sitemap", F.array(link("l2-", k, ".xml"), link("sitemap.xml"), F.lit("https://foreign.net/s.xml"), link("missing.xml"))).alias("body"))
+    sites = pages.select("site").distinct()
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: link("l1-", i.cast("string"), ".xml"))
+    top = sites.select(link("sitemap.xml").alias("url"), locs("sitemapindex", "sitemap", F.concat(F.array(link("sitemap.xml#again")), numbers)).alias("body"))
+    robots = sites.select(link("robots.txt").alias("url"), F.concat(F.lit("User-agent: *\n sitemap: "), link("l1-27.xml"), F.lit("\nSITEMAP:"), link("l1-29.xml"), F.lit("\n")).alias("body"))
+    return deep.unionByName(even).unionByName(top).unionByName(robots), sites.select("site", F.regexp_replace(link(""), "/$", "").alias("origin"))
+
+
+@query("s6_sitemap_tree")
+def s6_tree(spark, sf_dir):
+    """Sitemaps of sitemaps, over pages dealt to five sites. No SQL: what is seen in one round keeps the next from it; tests compare it with going through a queue."""
+    fetched, sites = _sites(spark, sf_dir)
+    return DI.sitemap_pages(sites.withColumnRenamed("site", "seed"), fetched, lambda u: F.regexp_replace(u, "#.*$", ""), lambda u: F.regexp_extract(u, r"^https?://([^/]+)", 1).endswith(".example.org"))
+
+
 @query("s8_source_adapters", "select 'doc' || doc_id as id, 'documents' as dataset, length(text)::bigint as n from documents union all select 'page' || page_id, 'pages', length(html) from pages union all select 'item' || item_id, 'benchmark', length(text) from benchmark")
 def s8(spark, sf_dir):
     d, p, b = _t(spark, sf_dir, "documents", "pages", "benchmark")
