@@ -126,3 +126,43 @@ def merged_tasks(tasks: DataFrame, key: str, text: str, order: str, most: int =
     first = tasks.withColumn("_n", F.row_number().over(W.partitionBy(key, text).orderBy(order))).where("_n = 1").drop("_n")
     last = first.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where(F.col("_n") <= most).drop("_n")
     return last.withColumn("deadline", F.nullif(F.regexp_extract(text, deadline, 1), F.lit("")))
+
+
+def support_schema(points: Column, status: Column) -> Column:
+    """The JSON schema of an answer that keeps to its support: `points`, an array of (point, units), are what it may and must speak of, in order, each with one of its own units; `status` is what it has to state."""
+    text = lambda **more: F.struct(F.lit("string").alias("type"), *[v.alias(k) for k, v in more.items()])
+    one = F.lit(1)
+
+    def variant(p: Column) -> Column:
+        units = F.struct(F.lit("array").alias("type"), text(enum=p["units"]).alias("items"), one.alias("minItems"), one.alias("maxItems"), F.lit(True).alias("uniqueItems"))
+        members = F.struct(text(enum=F.array(p["point"])).alias("required_point_id"), text(minLength=one).alias("claim_text"), units.alias("support_unit_ids"))
+        return F.struct(F.lit("object").alias("type"), members.alias("properties"), F.array(*map(F.lit, ("required_point_id", "claim_text", "support_unit_ids"))).alias("required"), F.lit(False).alias("additionalProperties"))
+
+    claims = F.struct(F.lit("array").alias("type"), F.struct(F.transform(points, variant).alias("oneOf")).alias("items"), F.size(points).alias("minItems"), F.size(points).alias("maxItems"))
+    members = F.struct(text(enum=F.array(status)).alias("answer_status"), claims.alias("claims"))
+    sound = (F.size(points) > 0) & F.forall(points, lambda p: p["point"].isNotNull() & (F.size(p["units"]) > 0) & F.forall(p["units"], lambda u: F.coalesce(u != "", F.lit(False)))) & status.isNotNull()
+    return F.when(sound, F.to_json(F.struct(F.lit("object").alias("type"), members.alias("properties"), F.array(F.lit("answer_status"), F.lit("claims")).alias("required"), F.lit(False).alias("additionalProperties"))))
+
+
+CLAIMS = "struct<answer_status:string,claims:array<struct<required_point_id:string,claim_text:string,support_unit_ids:array<string>>>>"
+
+
+def schema_fault(answer: Column, points: Column, status: Column) -> Column:
+    """The first way in which an answer, as JSON, breaks `support_schema` of the same points and status; null if it keeps to it.
+
+    NOT_AN_OBJECT, UNKNOWN_MEMBER (of the answer or of a claim), ANSWER_STATUS, CLAIM_COUNT, UNKNOWN_POINT, EMPTY_CLAIM, SUPPORT_COUNT (of a claim, other than one), FOREIGN_SUPPORT (a unit of no point or another one's).
+    """
+    whole = F.try_parse_json(answer)
+    keys = lambda j: F.coalesce(F.json_object_keys(j), F.array().cast("array<string>"))
+    parts = F.from_json(F.get_json_object(answer, "$.claims"), "array<string>")
+    known = F.array(*map(F.lit, ("required_point_id", "claim_text", "support_unit_ids")))
+    extra = F.size(F.array_except(keys(answer), F.array(F.lit("answer_status"), F.lit("claims")))) > 0
+    a = F.from_json(answer, CLAIMS)
+    units = F.map_from_entries(points)
+    wrong = lambda f: F.exists(F.coalesce(a["claims"], F.array().cast("array<struct<required_point_id:string,claim_text:string,support_unit_ids:array<string>>>")), f)
+    mine = lambda c: F.coalesce(F.try_element_at(units, c["required_point_id"]), F.array().cast("array<string>"))
+    return first_rule([
+        ("NOT_AN_OBJECT", whole.isNull() | ~F.coalesce(F.startswith(F.trim(answer), F.lit("{")), F.lit(False))), ("UNKNOWN_MEMBER", extra | F.coalesce(F.exists(parts, lambda c: F.size(F.array_except(keys(c), known)) > 0), F.lit(False))), ("ANSWER_STATUS", ~a["answer_status"].eqNullSafe(status)),
+        ("CLAIM_COUNT", F.coalesce(F.size(a["claims"]), F.lit(-1)) != F.size(points)), ("UNKNOWN_POINT", wrong(lambda c: ~F.coalesce(F.array_contains(F.map_keys(units), c["required_point_id"]), F.lit(False)))), ("EMPTY_CLAIM", wrong(lambda c: F.coalesce(c["claim_text"], F.lit("")) == "")),
+        ("SUPPORT_COUNT", wrong(lambda c: F.coalesce(F.size(c["support_unit_ids"]), F.lit(-1)) != 1)), ("FOREIGN_SUPPORT", wrong(lambda c: F.size(F.array_except(c["support_unit_ids"], mine(c))) > 0)),
+    ], None)

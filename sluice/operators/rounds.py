@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import time
@@ -34,6 +35,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def files_state(spark: SparkSession, *paths: str) -> str:
+    """What lies at these paths, as a digest of names, sizes and times of change: another one as soon as a table is written anew."""
+    found = []
+    for p in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
 class ResultCache:
     """Results by key, each for `seconds` after it was made, at most `most` of them: the one that was asked for longest ago goes first.
 
@@ -43,6 +56,10 @@ class ResultCache:
     def __init__(self, seconds: float = 300, most: int = 128, clock: Callable[[], float] = time.monotonic):
         self.seconds, self.most, self.clock, self.held = seconds, most, clock, OrderedDict()
 
+    def forget(self) -> None:
+        """Drop all that is held."""
+        self.held.clear()
+
     @staticmethod
     def _there(df: DataFrame) -> bool:
         """Whether what was kept can still be read: its session may have ended, or its files may be gone."""

@@ -149,16 +149,6 @@ def ranked(hits: DataFrame, score: str, k: int) -> DataFrame:
     return top_k(hits, ["query_id"], [F.desc(score), F.asc("id")], k)
 
 
-def tfidf(df: DataFrame, id_col: str, grams: Column, max_features: int = 60_000) -> DataFrame:
-    """(term, id, weight): 1 + ln tf times smooth idf, L2 normalised; the features most frequent in the corpus are kept, ties by term."""
-    tf = df.select(F.col(id_col).alias("id"), F.explode(grams).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).orderBy(F.desc("cf"), "term").limit(max_features)
-    n = F.broadcast(df.agg(F.count("*").alias("n")))
-    w = tf.join(terms, "term").join(n).withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "id").select("term", "id", (F.col("w") / F.col("norm")).alias("weight"))
-
-
 def tfidf_top(queries: DataFrame, query_id: str, docs: DataFrame, id_col: str, text: str, k: int, sizes: tuple[int, ...] = (2, 3, 4), max_features: int = 60_000) -> DataFrame:
     """(query_id, rank, id, score): the k documents nearest to each query by the cosine of TF-IDF weights of character n-grams.
 
@@ -248,12 +238,6 @@ def tfidf_top(queries: DataFrame, query_id: str, docs: DataFrame, id_col: str, t
     return ranked(hits, "score", k)
 
 
-def cosine(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(query_id, id, score) of rows of two weighted indexes that share a term."""
-    q = a.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("wq"))
-    return q.join(b, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("wq") * F.col("weight")), 6).alias("score"))
-
-
 def _best_products(ids: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int) -> pa.RecordBatch:
     s = np.round(q @ v.T, 6)
     order = np.lexsort((np.broadcast_to(vid, s.shape), -s), axis=1)[:, :k]
@@ -370,3 +354,34 @@ def lookup(x: Column, values: dict[str, float], default: float = 0.35) -> Column
 def case_sql(x: str, values: dict[str, float], default: float = 0.35) -> str:
     """The same as SQL."""
     return f"(case {x} " + " ".join(f"when '{k}' then {v}" for k, v in values.items()) + f" else {default} end)::double"
+
+
+def gap_filled(atoms: DataFrame, hits: DataFrame, search: Callable[[DataFrame], DataFrame], first: int = 3, more: int = 2, shortest: int = 120) -> DataFrame:
+    """(query, covered_atoms, missing_atoms, stage2, sources): which pieces of knowledge the sources of a query cover, after a second search for the first one that none of the first sources does.
+
+    atoms: (query, atom, terms), terms an array. hits: (query, url, tier, score, content, snippet) of the first search; of each URL its best row counts, and the `first` sources are taken, tier A before B, then by score,
+    ties to the least URL. A source covers an atom if its content, of `shortest` characters at least, or its snippet holds one of the terms, in either case. search: takes (query, atom, terms) of the first missing
+    atoms, and gives hits; `more` of these, with URLs that the first search didn't meet, fill the gap, and cover further atoms too. Null contents are empty.
+    """
+    order = [F.asc("tier"), F.desc("score"), F.asc("url")]
+    rank = lambda d: d.withColumn("_n", F.row_number().over(W.partitionBy("query").orderBy(*order)))
+    once = lambda d: d.withColumn("_u", F.row_number().over(W.partitionBy("query", "url").orderBy(*order))).where("_u = 1").drop("_u")
+
+    def covers(sources: DataFrame) -> DataFrame:
+        said = F.lower(F.concat_ws("\n", "content", "snippet"))
+        sound = sources.where(F.char_length("content") >= shortest).select("query", said.alias("_said"))
+        return sound.join(atoms, "query").where(F.exists("terms", lambda t: F.contains(F.col("_said"), F.lower(t)))).select("query", "atom").distinct()
+
+    met = keep(once(hits))
+    taken = keep(rank(met).where(F.col("_n") <= first).drop("_n"))
+    covered = keep(covers(taken))
+    open_ = atoms.join(covered, ["query", "atom"], "left_anti")
+    gaps = keep(open_.groupBy("query").agg(F.min_by(F.struct("atom", "terms"), "atom").alias("g")).select("query", "g.atom", "g.terms"))
+    further = once(search(gaps)).join(met.select("query", "url"), ["query", "url"], "left_anti")
+    further = keep(rank(further).where(F.col("_n") <= more).drop("_n"))
+    now = covered.unionByName(covers(further)).distinct().withColumn("_has", F.lit(True))
+    names = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("atom"))))
+    out = atoms.join(now, ["query", "atom"], "left").groupBy("query").agg(names(F.col("_has").isNotNull()).alias("covered_atoms"), names(F.col("_has").isNull()).alias("missing_atoms"))
+    count = taken.unionByName(further.select(*taken.columns)).groupBy("query").agg(F.count("*").alias("n"))
+    out = out.join(gaps.select("query", F.lit(True).alias("_gap")), "query", "left").join(count, "query", "left")
+    return out.select("query", "covered_atoms", "missing_atoms", F.coalesce("_gap", F.lit(False)).alias("stage2"), F.coalesce("n", F.lit(0)).alias("sources"))

@@ -10,10 +10,10 @@ from ..operators import metadata as M
 from ..operators import planning as PL
 from ..operators import search as S
 from ..operators.pages import first_rule
-from ..operators.rounds import ResultCache
+from ..operators.rounds import ResultCache, files_state, keep
 from .registry import query, table
 
-#: Leaders of the search, which many queries start from, by session and table.
+#: Leaders of the search, which many queries start from, by session, folder and what its files are.
 CACHE = ResultCache()
 
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -34,7 +34,8 @@ def _pool(spark, sf_dir):
     """Of each benchmark item, the documents that lead by BM25 or by the number of shared terms, `POOL` each and some more."""
     tokens = T.word_tokens(F.col("text"))
     make = lambda: S.bm25_top(table(spark, sf_dir, "benchmark"), "item_id", tokens, table(spark, sf_dir, "documents"), "doc_id", tokens, POOL, ("score", "matched"))
-    return CACHE.get((spark.sparkContext.applicationId, sf_dir), make)
+    state = files_state(spark, f"{sf_dir}/benchmark.parquet", f"{sf_dir}/documents.parquet")
+    return CACHE.get((spark.sparkContext.applicationId, sf_dir, state), make)
 
 
 def _top(spark, sf_dir, k: int):
@@ -268,3 +269,42 @@ def r19(spark, sf_dir):
     wide = S.dense_search(e.where("vec_id % 100 = 0"), "vec_id", e, "vec_id", "embedding", 25)
     status = first_rule([("FOUND", F.col("score") >= 0.7), ("NOT_FOUND", F.col("score") < 0.6)], "AMBIGUOUS")
     return wide.where("rank between 6 and 15").select("query_id", (F.col("rank") - 5).cast("long").alias("rank"), "id", status.alias("status"))
+
+
+def _hits(q: str, source: str) -> str:
+    return f"""{q}t as (select query_id, unnest({_TOK}) as term from {source}), {q}q as (select query_id, term, count(*) as qtf from {q}t group by 1, 2),
+{q}hits as (select query_id, id, round(sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 6) as score from {q}q join df using (term) join p using (term) cross join st group by 1, 2)"""
+
+
+_ATOMS = r"""atoms as (select item_id as query_id, i as atom, [ws[i]] as terms from (select item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}'))) as ws from benchmark), unnest(range(1, 1 + least(4, len(ws)))) as t(i))"""
+
+
+@query("r13_gap_filled", f"""
+with {_BM25}, {_ATOMS}, docs as (select doc_id as id, lower(text) as said, length(text) as n, 1 + doc_id % 3 as tier from documents),
+one as (select query_id, h.id, tier, score, row_number() over (partition by query_id order by tier, score desc, h.id::varchar) as n from (select * from (select *, row_number() over (partition by query_id order by score desc, id) as k from hits) where k <= 8) h join docs using (id)),
+ca as (select distinct query_id, atom from one join docs using (id) join atoms using (query_id) where one.n <= 3 and docs.n >= 120 and len(list_filter(terms, lambda t: contains(said, t))) > 0),
+gaps as (select query_id, min(atom) as atom from atoms where (query_id, atom) not in (select query_id, atom from ca) group by 1), asks as (select query_id, array_to_string(terms, ' ') || ' formula definition theorem' as text from gaps join atoms using (query_id, atom)),
+{_hits('g', 'asks')},
+two as (select query_id, id from (select query_id, h.id, row_number() over (partition by query_id order by tier, score desc, h.id::varchar) as n from (select * from (select *, row_number() over (partition by query_id order by score desc, id) as k from ghits) where k <= 8) h join docs using (id) where (query_id, h.id) not in (select query_id, id from one)) where n <= 2),
+cb as (select * from ca union select distinct query_id, atom from two join docs using (id) join atoms using (query_id) where docs.n >= 120 and len(list_filter(terms, lambda t: contains(said, t))) > 0),
+s as (select query_id, count(*) as n from (select query_id, id from one where n <= 3 union all select query_id, id from two) group by 1)
+select a.query_id as item_id, array_to_string(list_sort(coalesce(list(a.atom) filter (where cb.atom is not null), [])), ',') as covered, array_to_string(list_sort(coalesce(list(a.atom) filter (where cb.atom is null), [])), ',') as missing, bool_or(a.query_id in (select query_id from gaps)) as stage2, any_value(coalesce(s.n, 0)) as sources
+from atoms a left join cb on cb.query_id = a.query_id and cb.atom = a.atom left join s on s.query_id = a.query_id group by 1""")
+def r13_gaps(spark, sf_dir):
+    """Items as problems, their long words as pieces of knowledge, documents as pages, dealt to three tiers by number; the second search is BM25 for the words that are missing."""
+    tokens = T.word_tokens(F.col("text"))
+    docs = table(spark, sf_dir, "documents")
+    words = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{9,})"), 1))), 1, 4)
+    atoms = keep(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.posexplode(words).alias("i", "w")).select("query", (F.col("i") + 1).alias("atom"), F.array("w").alias("terms")))
+    page = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("url"), (1 + F.col("doc_id") % 3).alias("tier"), F.col("text").alias("content"), F.lit(None).cast("string").alias("snippet"))
+
+    def hits(found):
+        return found.select(F.col("query_id").alias("query"), "id", "score").join(page, "id").drop("id")
+
+    def search(gaps):
+        asked = gaps.select(F.col("query").alias("query_id"), F.concat(F.array_join("terms", " "), F.lit(" formula definition theorem")).alias("text"))
+        return hits(S.ranked(S.bm25_top(asked, "query_id", tokens, docs, "doc_id", tokens, 8, ("score",)), "score", 8))
+
+    out = S.gap_filled(atoms, hits(_top(spark, sf_dir, 8)), search)
+    joined = lambda c: F.array_join(F.transform(c, lambda a: a.cast("string")), ",")
+    return out.select(F.col("query").alias("item_id"), joined("covered_atoms").alias("covered"), joined("missing_atoms").alias("missing"), "stage2", "sources")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import calibration as CA
 from ..operators import evidence as E
+from ..functions import text as T
 from ..operators import metadata as M
 from ..operators import sufficiency as SU
 from ..operators.rounds import keep
-from .evidence import _G, _GRAMS, _SCORED, _five, _points, _scored, _span
+from .evidence import _ANCHORED, _G, _GRAMS, _SCORED, _anchors, _five, _points, _scored, _span
 from .registry import query, table
 
 #: What the driver's invented languages let a point ask for, how a sentence shows it, and its values.
@@ -128,3 +130,46 @@ def e14(spark, sf_dir):
     rows = keep(_features(spark, sf_dir).join(truth, "item_id"))
     out = E.learned_gate(rows.where("item_id % 2 = 0"), rows.where("item_id % 2 = 1"), "label", 0.5)
     return out.select("item_id", "label", "decision", "p_sufficient")
+
+
+_THRESHOLDS = (0.5, 0.58, 0.62, 0.66, 0.7, 0.74, 0.78, 0.82, 0.9)
+_LIKELY = "select *, (t + share) / (sum(t) over (partition by {by}, cell) + 1) as p from (select *, case when sum(t) over (partition by {by}) > 0 then sum(t) over (partition by {by}, label) / sum(t) over (partition by {by}) else 0 end as share from {of})"
+_WIDE = "select {by}, cell, max(p) filter (where label = 'SUFFICIENT') as ps, max(p) filter (where label = 'PARTIAL') as pp, max(p) filter (where label = 'INSUFFICIENT') as pi from {of} group by all"
+_NAME = "case when ps >= threshold then 'SUFFICIENT' when pp >= pi then 'PARTIAL' else 'INSUFFICIENT' end"
+
+
+def _utility(by: str, of: str) -> str:
+    n = lambda c: f"coalesce(sum(n) filter (where {c}), 0)"
+    sums = ", ".join(f"{n(f"label = '{x}' and named = '{x}'")} as h{i}, {n(f"label = '{x}'")} as o{i}, {n(f"named = '{x}'")} as s{i}" for i, x in enumerate(CA.LABELS))
+    part = lambda a, b: f"case when {b} > 0 then {a} / {b} else 0.0::double end"
+    total = f"0.32 * (1 - {part('(s0 - h0)', '(o1 + o2)')}) + 0.28 * {part('h0', 'o0')} + 0.16 * {part('h1', 'o1')} + 0.12 * {part('h2', 'o2')} + 0.12 * (({' + '.join(part(f'2 * h{i}', f'(o{i} + s{i})') for i in range(3))}) / 3)"
+    return f"select {by}, round({total}, 9) as u from (select {by}, {sums} from {of} group by all)"
+
+
+_CELLS = r"select l.doc_id, case when quality = 1 and toxic = 0 then 'SUFFICIENT' when quality = 1 then 'PARTIAL' else 'INSUFFICIENT' end as label, floor(10 * length(regexp_replace(text, '[^a-z]', '', 'g')) / greatest(1, length(text)))::int || '/' || (length(text) > 900)::int as cell from labels l join documents using (doc_id) where quality is not null and toxic is not null"
+
+
+@query("e17_nested_thresholds", f"""
+with b as ({_CELLS}), f as (select *, sha256(doc_id || '||cv') as h from b), g as (select *, (row_number() over (partition by label order by h) - 1) % 5 as f from f), r as (select g.*, o from g, range(5) t(o)),
+tr as (select *, (row_number() over (partition by o, label order by h) - 1) % 3 as i from r where f <> o), held as (select o, cell, label, count(*) as v from r where f = o group by all), cn as (select o, i, cell, label, count(*) as c from tr group by all),
+cells as (select distinct cell from b), grid as (select t.o, s.i, cells.cell, l.label, coalesce(c, 0) as c from cells, range(5) t(o), range(3) s(i), (select unnest({list(CA.LABELS)}) as label) l left join cn on cn.o = t.o and cn.i = s.i and cn.cell = cells.cell and cn.label = l.label),
+ins as (select *, sum(c) over (partition by o, cell, label) - c as t from grid), li as ({_LIKELY.format(by='o, i', of='ins')}), wi as ({_WIDE.format(by='o, i', of='li')}),
+named as (select grid.o, k, threshold, label, {_NAME} as named, c as n from grid join wi using (o, i, cell), (select unnest(range({len(_THRESHOLDS)})) as k, unnest({list(_THRESHOLDS)})::double as threshold) where c > 0), sc as ({_utility('o, k, threshold', 'named')}),
+ch as (select o, threshold, u from sc qualify row_number() over (partition by o order by u desc, k) = 1), ot as (select o, cell, label, sum(c) as t from grid group by all), lo as ({_LIKELY.format(by='o', of='ot')}), wo as ({_WIDE.format(by='o', of='lo')}),
+ju as (select held.o, label, {_NAME} as named, v as n from held join wo using (o, cell) join ch using (o)), ut as ({_utility('o', 'ju')})
+select o + 1 as fold, threshold, ch.u as inner_utility, n::bigint as validation_n, ut.u as validation_utility from ch join ut using (o) join (select o, sum(v) as n from held group by 1) using (o)""")
+def e17_thresholds(spark, sf_dir):
+    """Thresholds of a gate by the documents' own labels; what it sees of a text is its share of small letters, in tenths, and whether it is long."""
+    text, plain = F.col("text"), F.regexp_replace("text", "[^a-z]", "")
+    label = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "SUFFICIENT").when(F.col("quality") == 1, "PARTIAL").otherwise("INSUFFICIENT")
+    cell = F.concat_ws("/", F.floor(10 * F.char_length(plain) / F.greatest(F.lit(1), F.char_length(text))).cast("string"), (F.char_length(text) > 900).cast("int").cast("string"))
+    rows = table(spark, sf_dir, "labels").where("quality is not null and toxic is not null").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    rows = rows.select("doc_id", label.alias("label"), label.alias("stratum"), cell.alias("cell"))
+    return CA.nested_thresholds(rows, "doc_id", "stratum", "label", "cell", _THRESHOLDS)
+
+
+@query("p14_span_quantiles", f"with {_ANCHORED}, g as (select kind, {_GRAMS.format(c='pc')} as pg, {_GRAMS.format(c='hc')} as hg from (select kind, {_G.format('p')} as pc, {_G.format('h')} as hc from sw)), s as (select kind, round(len(list_intersect(hg, pg)) / greatest(1, len(hg)), 6) as score from g), po as (select median(score) as pm, quantile_cont(score, 0.1) as p10, count(*) as positives from s where kind = 'POSITIVE'), ne as (select median(score) as nm, quantile_cont(score, 0.95) as n95, count(*) as swaps from s where kind <> 'POSITIVE'), ra as (select min(rate) as least_rate from (select kind, avg((pm > score)::int) as rate from s, po where kind <> 'POSITIVE' group by 1)) select positives, swaps, round(pm, 6) as positive_median, round(nm, 6) as swap_median, round(least_rate, 6) as least_rate, pm - nm >= 0.1 and least_rate >= 0.8 as reliable, coalesce((select min(t) from (values (0.8), (0.9), (0.95), (0.98), (1.0)) v(t) where t <= p10 and t > n95), 1.0)::double as threshold from po, ne, ra")
+def p14(spark, sf_dir):
+    """How well the spans' own score, the part of a claim's grams that its evidence has, tells texts from texts with facts exchanged."""
+    score = F.round(T.coverage(T.content_grams(F.col("hypothesis")), T.content_grams(F.col("premise"))), 6)
+    return E.verifier_check(_anchors(spark, sf_dir).withColumn("score", score), "kind", "score", (0.8, 0.9, 0.95, 0.98, 1.0))
