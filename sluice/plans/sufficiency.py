@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calibration as CA
 from ..operators import evidence as E
+from ..operators import judging as J
 from ..functions import text as T
 from ..operators import metadata as M
 from ..operators import sufficiency as SU
@@ -173,3 +174,49 @@ def p14(spark, sf_dir):
     """How well the spans' own score, the part of a claim's grams that its evidence has, tells texts from texts with facts exchanged."""
     score = F.round(T.coverage(T.content_grams(F.col("hypothesis")), T.content_grams(F.col("premise"))), 6)
     return E.verifier_check(_anchors(spark, sf_dir).withColumn("score", score), "kind", "score", (0.8, 0.9, 0.95, 0.98, 1.0))
+
+
+_INVENTORY = f"""{_SCORED}, iv as (select item_id, point_no, list(id || '#S' || span_no order by score desc, id, span_no)[1:3] as us from scored where score >= {E.PARTIAL} group by 1, 2)"""
+_QUOTED = "'[' || array_to_string(list_transform(us, lambda u: '\"' || u || '\"'), ',') || ']'"
+_VARIANT = (
+    """'{"type":"object","properties":{"required_point_id":{"type":"string","enum":["P' || point_no || '"]},"claim_text":{"type":"string","minLength":1},"support_unit_ids":{"type":"array","items":{"type":"string","enum":' || """ + _QUOTED
+    + """ || '},"minItems":1,"maxItems":1,"uniqueItems":true}},"required":["required_point_id","claim_text","support_unit_ids"],"additionalProperties":false}'"""
+)
+_SCHEMA = (
+    """'{"type":"object","properties":{"answer_status":{"type":"string","enum":["READY"]},"claims":{"type":"array","items":{"oneOf":[' || string_agg(""" + _VARIANT
+    + """, ',' order by point_no) || ']},"minItems":' || count(*) || ',"maxItems":' || count(*) || '}},"required":["answer_status","claims"],"additionalProperties":false}'"""
+)
+
+
+def _inventory(spark, sf_dir):
+    """(item_id, points): of each item, its points with up to three spans each that support them."""
+    best = E.best_spans(_scored(spark, sf_dir).where(F.col("score") >= E.PARTIAL), ["item_id", "point_no"], 3, ["id", "span_no"])
+    units = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.col("id").cast("string"), F.lit("#S"), F.col("span_no").cast("string")).alias("u")))), lambda x: x["u"])
+    rows = best.groupBy("item_id", "point_no").agg(units.alias("units"))
+    of = F.transform(F.array_sort(F.collect_list(F.struct("point_no", "units"))), lambda x: F.struct(F.concat(F.lit("P"), x["point_no"].cast("string")).alias("point"), x["units"].alias("units")))
+    return rows.groupBy("item_id").agg(of.alias("points"))
+
+
+@query("v10_support_schema", f"with {_INVENTORY} select item_id, sha256({_SCHEMA}) as schema_sha256 from iv group by 1")
+def v10(spark, sf_dir):
+    return _inventory(spark, sf_dir).select("item_id", F.sha2(J.support_schema(F.col("points"), F.lit("READY")), 256).alias("schema_sha256"))
+
+
+_FAULTS = ("NOT_AN_OBJECT", "UNKNOWN_MEMBER", "ANSWER_STATUS", "CLAIM_COUNT", "UNKNOWN_POINT", "EMPTY_CLAIM", "SUPPORT_COUNT", "FOREIGN_SUPPORT")
+
+
+@query("v11_schema_faults", f"with {_INVENTORY} select item_id, case item_id % 9 {' '.join(f'when {i} then {chr(39)}{x}{chr(39)}' for i, x in enumerate(_FAULTS, 1))} end as fault from iv group by item_id")
+def v11(spark, sf_dir):
+    """Answers made from the inventories, each with a fault by its item's number, or none."""
+    k, points = F.col("item_id") % 9, F.col("points")
+    first = lambda p, i: i == 0
+    claim = lambda p, i: F.struct(
+        F.when(first(p, i) & (k == 5), "P99").otherwise(p["point"]).alias("required_point_id"), F.when(first(p, i) & (k == 6), "").otherwise("A claim.").alias("claim_text"),
+        F.when(first(p, i) & (k == 7), F.array(p["units"][0], p["units"][0])).when(first(p, i) & (k == 8), F.array(F.lit("0#S0"))).otherwise(F.array(p["units"][0])).alias("support_unit_ids"),
+        F.when(first(p, i) & (k == 2), "more").alias("note"),
+    )
+    claims = F.transform(points, claim)
+    claims = F.when(k == 4, F.slice(claims, 1, F.size(claims) - 1)).otherwise(claims)
+    answer = F.to_json(F.struct(F.when(k == 3, "PARTIAL").otherwise("READY").alias("answer_status"), claims.alias("claims")))
+    answer = F.when(k == 1, F.concat(F.lit("answer: "), answer)).otherwise(answer)
+    return _inventory(spark, sf_dir).select("item_id", J.schema_fault(answer, points, F.lit("READY")).alias("fault"))
