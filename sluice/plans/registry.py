@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_PLANS = ("text", "pages", "screening", "dedup", "retrieval", "evidence", "sufficiency", "evaluation", "judging", "relational", "files", "stream")
+_PLANS = ("text", "pages", "screening", "dedup", "retrieval", "evidence", "sufficiency", "claims", "evaluation", "judging", "relational", "files", "stream")
 
 
 def query(name: str, sql: str | None = None):

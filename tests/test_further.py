@@ -309,3 +309,36 @@ def test_page_states_by_what_is_seen(spark):
     ]
     got = [r[0] for r in frame(spark, rows, "u string, h string").select(P.page_state(F.col("u"), F.col("h"))).collect()]
     assert got == ["login_required", None, "login_required", "soft_404", None, "private_or_sensitive", None, None, "soft_404", None]
+
+
+# claims
+
+
+def test_fact_rules_by_hand(spark):
+    from sluice.operators import claims as CL
+
+    facts = CL.Facts(aliases={"信息化中心": ("信息办",)})
+    rows = [
+        ("费用 05.50 元", "收费5.5元", []), ("费用 5 元", "费用 5", []), ("费用 5 元", "费用 5 天", ["NUMERIC_MISMATCH"]), ("8:30 开门", "8:30", []), ("2026年5月1日截止", "截止 2026 年 5 月 1 日", []), ("5月1日截止", "6月1日 5 月", ["TEMPORAL_MISMATCH"]),
+        ("信息化中心", "去信息办", []), ("去国际中心", "去信息办", ["ENTITY_MISMATCH"]), ("首先登录", "登录", ["SEQUENCE_MISMATCH"]), ("提交表格", "表格", ["PROCEDURAL_MISMATCH"]), (None, None, []), ("", "x", []),
+    ]
+    got = frame(spark, [(i, c, e) for i, (c, e, _) in enumerate(rows)], "i int, c string, e string").select("i", CL.fact_rules(F.col("c"), F.col("e"), facts).alias("f")).orderBy("i").collect()
+    assert [r.f.flags for r in got] == [f for *_, f in rows]
+    assert (got[0].f.coverage, got[10].f.coverage, got[10].f.exact) == (got[0].f.coverage, 0.0, True) and 0 < got[1].f.coverage < 1
+
+
+def test_citation_audit_by_hand(spark):
+    from sluice.operators import claims as CL
+
+    claims = [(1, 1, "The library opens at nine[C1]", "FACTUAL"), (1, 2, "Bring a student card[C9]", "FACTUAL"), (1, 3, "Perhaps", "UNCERTAIN"), (2, 1, "Unknown zebra facts", "FACTUAL"), (3, 1, "The library opens at nine[C2]", "FACTUAL")]
+    contexts = [(q, k, t) for q in (1, 2, 3) for k, t in (("C1", "Our library opens at nine. Bring a student card"), ("C2", "Quite other words"))]
+    answers = [(1, "The library opens at nine", "SUFFICIENT", False), (2, "zebra", "INSUFFICIENT", False), (3, "The library opens at nine", "SUFFICIENT", True), (4, "no", "INSUFFICIENT", True)]
+    points = [(1, "library opens"), (1, "student card"), (2, "zebra"), (3, "library opens")]
+    out = CL.citation_audit(
+        frame(spark, claims, "query int, claim_no int, text string, type string"), frame(spark, contexts, "query int, label string, text string"), frame(spark, answers, "query int, text string, decision string, refused boolean"), frame(spark, points, "query int, point string"), ("FACTUAL",)
+    )
+    got = {r.query: tuple(r)[1:] for r in out.collect()}
+    assert got == {
+        1: (2, 2, 1, 1, 0, 0.5, ["INCOMPLETE", "CITATION_MISMATCH"], "INCOMPLETE"), 2: (1, 0, 0, 0, 1, 1.0, ["FAILED_REFUSAL", "UNSUPPORTED_ADDITION", "CITATION_MISSING"], "FAILED_REFUSAL"), 3: (1, 1, 1, 0, 0, 1.0, ["WRONG_REFUSAL", "CITATION_MISMATCH"], "WRONG_REFUSAL"),
+        4: (0, 0, 0, 0, 0, None, [], "NO_GENERATION_FAILURE"),
+    }
