@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import HAN, citation_norm, compact, content_grams, ngrams
 from .evidence import PARTIAL
@@ -105,3 +106,21 @@ def citation_audit(claims: DataFrame, contexts: DataFrame, answers: DataFrame, p
     labels = all_rules([(k, rules[k]) for k in FAILURES])
     out = out.withColumn("labels", labels)
     return out.select("query", "required", "cited", "valid", "supporting", "unsupported", "completeness", "labels", F.coalesce(F.try_element_at("labels", F.lit(1)), F.lit("NO_GENERATION_FAILURE")).alias("primary"))
+
+
+def confirmed_facts(queries: DataFrame, sentences: DataFrame, tokens, hit_order: list[str], terms: tuple[str, ...] = (), most: int = 5, longest: int = 320) -> DataFrame:
+    """(query, fact_no, hit, sentence): of each hit of a query the sentence that says most of it, no sentence twice, `most` of them, in the order of the hits.
+
+    queries: (query, text). sentences: (query, hit, sentence_no, sentence) and the columns of `hit_order`. A sentence counts by the terms that it shares with the query, over the root of how many it has; of equal ones the shorter comes first, then the earlier.
+    Headings don't count, nor do sentences without a shared term; where a hit has sentences with one of `terms`, only these do. Facts are cut to `longest` characters by the rule itself.
+    """
+    asked = queries.select("query", F.array_distinct(tokens(F.col("text"))).alias("q"))
+    rows = sentences.where(~F.startswith(F.ltrim("sentence"), F.lit("#"))).join(asked, "query").withColumn("s", F.array_distinct(tokens(F.col("sentence"))))
+    named = F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains("sentence", t)) if terms else F.lit(True)
+    shared = F.size(F.array_intersect("q", "s"))
+    rows = rows.select("query", "hit", *hit_order, "sentence_no", "sentence", named.alias("named"), shared.alias("shared"), F.round(shared / F.sqrt(F.greatest(F.lit(1), F.size("s"))), 6).alias("score"))
+    first = F.row_number().over(W.partitionBy("query", "hit").orderBy(F.desc("named"), F.desc("score"), F.char_length("sentence"), "sentence_no"))
+    best = rows.withColumn("_n", first).where("_n = 1 and shared > 0").withColumn("_k", F.regexp_replace("sentence", r"[*#\s]+", ""))
+    once = best.withColumn("_d", F.row_number().over(W.partitionBy("query", "_k").orderBy(*hit_order))).where("_d = 1")
+    out = once.withColumn("fact_no", F.row_number().over(W.partitionBy("query").orderBy(*hit_order)).cast("long")).where(F.col("fact_no") <= most)
+    return out.select("query", "fact_no", "hit", F.substring("sentence", 1, longest).alias("sentence"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import claims as CL
 from ..operators import evidence as E
-from .evidence import _CLAIMS, _G, _GRAMS, _STATUS, _best, _claims, _five, _points, _scored, _span
+from .evidence import _CLAIMS, _G, _GRAMS, _SPAN, _STATUS, _best, _claims, _five, _points, _scored, _span
 from .registry import query, table
 
 _FACTS = CL.Facts(units="parts|%|euro|tion", moment=r"\d{1,2}:\d{2}|(?:19|20)\d{2}", entity=r"\p{Lu}\p{L}{3,}", procedure=("tion", "ment", "ing"), sequence=("der", "que", "the"), aliases={"sche": ("ung", "lich"), "there": ("then",)})
@@ -62,3 +63,19 @@ def p20(spark, sf_dir):
     answers = E.query_decision(_best(spark, sf_dir), "item_id", "status", F.lit(False)).join(said, "item_id").select(F.col("item_id").alias("query"), "text", "decision", (F.col("item_id") % 5 == 0).alias("refused"))
     out = CL.citation_audit(claims, contexts, answers, _points(spark, sf_dir).select(F.col("item_id").alias("query"), "point"), ("FACTUAL",))
     return out.select(F.col("query").alias("item_id"), "required", "cited", "valid", "supporting", "unsupported", "completeness", F.array_join("labels", ",").alias("labels"), F.col("primary").alias("worst"))
+
+
+_TOKENS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'))"
+
+
+@query("p15_confirmed_facts", f"""
+with {_SPAN}, pc as (select item_id, top.id, span_no, span, contains(span, 'tion') as named, {_TOKENS.format('b.text')} as q, {_TOKENS.format('span')} as s from top join sp using (id) join benchmark b using (item_id) where not starts_with(ltrim(span), '#')),
+pr as (select *, len(list_intersect(q, s)) as shared from pc), pf as (select * from (select *, row_number() over (partition by item_id, id order by named desc, round(shared / sqrt(greatest(1, len(s))), 6) desc, length(span), span_no) as n from pr) where n = 1 and shared > 0),
+pd as (select * from (select *, row_number() over (partition by item_id, regexp_replace(span, '[*#\\s]+', '', 'g') order by id) as k from pf) where k = 1), pe as (select *, row_number() over (partition by item_id order by id) as fact_no from pd)
+select item_id, fact_no, id, left(span, 320) as fact from pe where fact_no <= 5""")
+def p15(spark, sf_dir):
+    """What the five best documents of an item say of it, a sentence each; those with `tion` before others, as canonical terms."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    spans = _five(spark, sf_dir).join(_span(spark, sf_dir).select("id", "span_no", "span"), "id").select(F.col("item_id").alias("query"), F.col("id").alias("hit"), F.col("span_no").alias("sentence_no"), F.col("span").alias("sentence"))
+    out = CL.confirmed_facts(queries, spans.withColumn("place", F.col("hit")), T.word_tokens, ["place"], ("tion",))
+    return out.select(F.col("query").alias("item_id"), "fact_no", F.col("hit").alias("id"), F.col("sentence").alias("fact"))
