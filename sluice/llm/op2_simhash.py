@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import by_bytes, cut, map_arrow, parts, sample_at_most, table, utf8, words_of
 from .components import connected_components
 
+#: Pairs of fingerprints that are compared at a time: their distances take 32 MB.
+PAIRS = 1 << 22
 LANE = np.uint64(0x0101010101010101)
 #: Odd multipliers that turn one hash into further ones.
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
@@ -152,8 +154,11 @@ def settle(pairs_a: np.ndarray, pairs_b: np.ndarray, label: np.ndarray) -> None:
 
 def meet(values: np.ndarray, rows: np.ndarray, radius: int, label: np.ndarray, also=None) -> None:
     """Settle all pairs of `rows` (positions that ascend) that lie within `radius` bits and meet the further condition."""
-    for s in range(0, len(rows), 256):
-        block, rest = rows[s : s + 256], rows[s:]
+    s = 0
+    while s < len(rows):
+        step = max(1, min(256, PAIRS // (len(rows) - s)))
+        block, rest = rows[s : s + step], rows[s:]
+        s += step
         i, j = np.nonzero(np.bitwise_count(values[block][:, None] ^ values[rest][None, :]) <= radius)
         keep = i < j
         a, b = block[i[keep]], rest[j[keep]]
