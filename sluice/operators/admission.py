@@ -47,17 +47,20 @@ def admission_rules(as_of: str, hosts: tuple[str, ...], news: str, shut_types: t
     ]
 
 
-def crawl_admission(title: Column, body: Column, published: Column, kind: Column, topics: Column, low_value: str, generic: str, subject: str, action: str, facts: str, plain_topic: str, good: tuple[str, ...] = ("policy", "procedure_guide", "faq"), head: int = 5000) -> tuple[list[tuple[str, Column]], Column]:
-    """(the reasons that turn a crawled page away, its additive score); patterns are of title and the first `head` visible characters, by the rule itself."""
-    visible = F.regexp_replace(body, r"\s+", " ")
-    sample = F.concat(title, F.lit("\n"), F.substring(visible, 1, head))
-    relevant = sample.rlike(subject)
-    actionable = kind.isin(*good) | sample.rlike(action) | (relevant & sample.rlike(facts))
-    n = F.char_length(visible)
-    score = F.lit(0.25) + F.when(kind.isin(*good), 0.25).otherwise(0.08) + F.when(n >= 500, 0.20).when(n >= 200, 0.10).otherwise(0.0) + F.when(published.isNotNull(), 0.15).otherwise(0.0)
+def crawl_admission(df: DataFrame, title: Column, body: Column, published: Column, kind: Column, topics: Column, low_value: str, generic: str, subject: str, action: str, facts: str, plain_topic: str, good: tuple[str, ...] = ("policy", "procedure_guide", "faq"), head: int = 5000) -> tuple[DataFrame, list[tuple[str, Column]], Column]:
+    """(df with what the rules go by, the reasons that turn a crawled page away, its additive score); patterns are of title and the first `head` visible characters, by the rule itself.
+
+    The visible text, its sample and what patterns find there are columns of their own, so that each is made once a row however many rules ask for it.
+    """
+    c = F.col
+    rows = df.withColumns({"_visible": F.regexp_replace(body, r"\s+", " "), "_title": title, "_kind": kind})
+    rows = rows.withColumns({"_sample": F.concat("_title", F.lit("\n"), F.substring("_visible", 1, head)), "_n": F.char_length("_visible")})
+    rows = rows.withColumn("_relevant", c("_sample").rlike(subject))
+    rows = rows.withColumn("_able", c("_kind").isin(*good) | c("_sample").rlike(action) | (c("_relevant") & c("_sample").rlike(facts)))
+    score = F.lit(0.25) + F.when(c("_kind").isin(*good), 0.25).otherwise(0.08) + F.when(c("_n") >= 500, 0.20).when(c("_n") >= 200, 0.10).otherwise(0.0) + F.when(published.isNotNull(), 0.15).otherwise(0.0)
     score = score + F.when((F.size(topics) > 0) & (topics != F.array(F.lit(plain_topic))), 0.15).otherwise(0.05)
-    rules = [("CONTENT_TOO_SHORT", n < 200), ("LOW_VALUE_NEWS_OR_PROFILE", title.rlike(low_value)), ("GENERIC_NON_ACTIONABLE_TITLE", title.rlike(generic) & ~actionable), ("NO_SUBJECT_SIGNAL", ~relevant), ("NO_ACTIONABLE_OR_SERVICE_FACTS", relevant & ~actionable)]
-    return rules, score
+    rules = [("CONTENT_TOO_SHORT", c("_n") < 200), ("LOW_VALUE_NEWS_OR_PROFILE", c("_title").rlike(low_value)), ("GENERIC_NON_ACTIONABLE_TITLE", c("_title").rlike(generic) & ~c("_able")), ("NO_SUBJECT_SIGNAL", ~c("_relevant")), ("NO_ACTIONABLE_OR_SERVICE_FACTS", c("_relevant") & ~c("_able"))]
+    return rows, rules, score
 
 
 def shadow_rules(served: Column, allow: str, reject: str, generic: str, foreign: str, versions: tuple[str, ...], queue: tuple[str, ...] = ("review_required", "auto_review_candidate"), good: tuple[str, ...] = ("policy", "procedure_guide", "faq"), least: float = 0.70) -> list[tuple[str, Column]]:

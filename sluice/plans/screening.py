@@ -48,8 +48,8 @@ r as (select source_id, list_filter([case when n < 200 then 'CONTENT_TOO_SHORT'
 select source_id, array_to_string(rs, ',') as reasons, score, len(rs) = 0 and score >= 0.58 as admitted from r""")
 def f2(spark, sf_dir):
     kind = F.when((F.col("content_type") == "article") & (F.col("doc_id") % 3 == 0), "policy").otherwise(F.col("content_type"))
-    rules, score = A.crawl_admission(F.col("title"), F.col("text"), F.col("effective_date"), kind, F.col("topics"), "^(?:En|La) ", r"^\w+$", "(?i)the|und", "(?i)license", "[0-9]", "foreign")
-    return A.all_failing(_meta(spark, sf_dir), rules, score, 0.58).select("source_id", F.array_join("reasons", ",").alias("reasons"), "score", "admitted")
+    rows, rules, score = A.crawl_admission(_meta(spark, sf_dir), F.col("title"), F.col("text"), F.col("effective_date"), kind, F.col("topics"), "^(?:En|La) ", r"^\w+$", "(?i)the|und", "(?i)license", "[0-9]", "foreign")
+    return A.all_failing(rows, rules, score, 0.58).select("source_id", F.array_join("reasons", ",").alias("reasons"), "score", "admitted")
 
 
 @query("f3_shadow_decision", rf"""
