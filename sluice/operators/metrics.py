@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import compact
+
 
 def ratio(a: Column, b: Column, zero_division: float | None) -> Column:
     """a / b; `zero_division` (null, or a number) where b is 0."""
@@ -76,3 +78,14 @@ def intent_coverage(docs: DataFrame, intents: DataFrame, id_col: str, text: Colu
     out = intents.select("intent", "minimum").join(counts, "intent", "left").join(first, "intent", "left")
     n = F.coalesce("sources", F.lit(0))
     return out.select("intent", F.when(n >= F.col("minimum"), "READY").when(n > 0, "PARTIAL").otherwise("GAP").alias("status"), n.alias("sources"), F.coalesce("recent", F.lit(0)).alias("recent"), F.coalesce("undated", F.lit(0)).alias("undated"), F.coalesce(F.transform("s", lambda x: x["id"]), F.array().cast("array<string>")).alias("first"))
+
+
+def leaks(queries: DataFrame, id_col: str, text_col: str, registry: DataFrame, registry_text: str) -> DataFrame:
+    """(group_hash, n, first_id, in_registry, verbatim): questions, by their letters and digits, that come more than once or that a registry has; verbatim if one of them stands there letter by letter."""
+    key = lambda c: F.sha2(compact(F.col(c)), 256)
+    known = registry.select(key(registry_text).alias("group_hash"), F.sha2(registry_text, 256).alias("raw"))
+    rows = queries.select(F.col(id_col).alias("id"), key(text_col).alias("group_hash"), F.sha2(text_col, 256).alias("raw"))
+    rows = rows.join(known.select("raw").distinct().withColumn("_same", F.lit(True)), "raw", "left")
+    groups = rows.groupBy("group_hash").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.coalesce(F.bool_or("_same"), F.lit(False)).alias("verbatim"))
+    out = groups.join(known.select("group_hash").distinct().withColumn("_known", F.lit(True)), "group_hash", "left").withColumn("in_registry", F.coalesce("_known", F.lit(False)))
+    return out.where((F.col("n") > 1) | F.col("in_registry")).select("group_hash", "n", "first_id", "in_registry", "verbatim")

@@ -137,6 +137,18 @@ def g16(spark, sf_dir):
     return g.agg(F.count("*").alias("queries"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum("n").alias("n_rows"))
 
 
+@query("g16_registry_leaks", rf"""
+with q as (select conv_id || '/' || turn as id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', '', 'g') as k, sha256(text) as raw from conversations where role = 'user' union all select 'item/' || item_id, regexp_replace(lower(text || '?'), '[^\p{{L}}\p{{N}}]+', '', 'g'), sha256(text || '?') from benchmark where item_id % 3 = 0),
+r as (select distinct sha256(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', '', 'g')) as k, sha256(text) as raw from benchmark)
+select sha256(k) as group_hash, count(*) as n, min(id) as first_id, sha256(k) in (select k from r) as in_registry, bool_or(q.raw in (select raw from r)) as verbatim from q group by k having count(*) > 1 or sha256(k) in (select k from r)""")
+def g16_registry(spark, sf_dir):
+    """Questions that come again, or that a registry has: users' turns, and every third item with a mark added, against the benchmark."""
+    q = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
+    items = table(spark, sf_dir, "benchmark")
+    q = q.unionByName(items.where("item_id % 3 = 0").select(F.concat(F.lit("item/"), "item_id").alias("id"), F.concat("text", F.lit("?")).alias("text")))
+    return G.leaks(q, "id", "text", items, "text")
+
+
 @query("w2_cap_per_group", "select doc_id, source from (select *, row_number() over (partition by source order by n_chars desc, doc_id) as n from documents) where n <= 2")
 def w2(spark, sf_dir):
     return P.first_per(_docs(spark, sf_dir), ["source"], [F.desc("n_chars"), "doc_id"], 2).select("doc_id", "source")

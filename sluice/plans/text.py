@@ -225,3 +225,19 @@ with c as (select doc_id, (i // 680) as chunk_index, substring(text, i + 1, 800)
 select doc_id, count(*) as n_chunks, max(chunk_index) + 1 = count(*) as contiguous, count(distinct chunk_index) = count(*) as is_unique, count(*) filter (where length(t) < 80) as short_chunks from c group by 1""")
 def c7(spark, sf_dir):
     return C.chunk_audit(C.stride_chunks(_docs(spark, sf_dir), "doc_id", "text"), "doc_id")
+
+
+@query("c7_chunk_contract", """
+with c as (select doc_id, (i // 680)::bigint as k, substring(text, i + 1, 800) as t, source, lang from documents, unnest(range(0, greatest(length(text), 1), 680)) as u(i)),
+x as (select doc_id, case when doc_id % 31 = 0 and k > 0 then k + 1 else k end as k, t, doc_id || '-' || case when doc_id % 37 = 0 then 0 else k end as id, sha256(case when doc_id % 41 = 0 and k = 0 then t || ' ' else t end) as h, case when doc_id % 43 = 0 then ' ' else source end as s, case when doc_id % 47 = 0 and k = 1 then null else lang end as l from c)
+select doc_id, count(*) as n_chunks, min(k) as first, max(k) - min(k) + 1 = count(*) and count(distinct k) = count(*) as contiguous, count(*) filter (where n > 1) as repeated_ids, count(*) filter (where sha256(t) <> h) as wrong_hashes, count(*) filter (where trim(s) = '' or l is null or trim(t) = '') as lacking
+from (select *, count(*) over (partition by id) as n from x) group by 1""")
+def c7_contract(spark, sf_dir):
+    """Strides of all documents with faults planted by number: gaps, ids that come again, other hashes, blank and lacking fields."""
+    d, k = F.col("doc_id"), F.col("chunk_index")
+    rows = C.stride_chunks(_docs(spark, sf_dir), "doc_id", "text").join(_docs(spark, sf_dir).select("doc_id", "source", "lang"), "doc_id")
+    rows = rows.select(
+        "doc_id", F.when((d % 31 == 0) & (k > 0), k + 1).otherwise(k).alias("chunk_index"), F.concat_ws("-", d, F.when(d % 37 == 0, F.lit(0).cast("long")).otherwise(k)).alias("chunk_id"), "text", F.sha2(F.when((d % 41 == 0) & (k == 0), F.concat("text", F.lit(" "))).otherwise(F.col("text")), 256).alias("h"),
+        F.when(d % 43 == 0, " ").otherwise(F.col("source")).alias("source"), F.when(~((d % 47 == 0) & (k == 1)), F.col("lang")).alias("lang"),
+    )
+    return C.chunk_contract(rows, "doc_id", "chunk_id", "text", "h", ["source", "lang", "text"])
