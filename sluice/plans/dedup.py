@@ -210,6 +210,6 @@ def d18_pages(spark, sf_dir):
     before); tests hold it against the loop."""
     pages = table(spark, sf_dir, "pages")
     url = F.concat(U.host(F.col("url")), U.part(F.col("url"), 3)).alias("url")
-    rows = P.extract(pages, ["page_id", "url"], "html", "url").select(F.col("page_id").alias("id"), url, "title", F.regexp_replace("plain_text", r"\s+", " ").alias("text"))
+    rows = P.extract(spread(pages), ["page_id", "url"], "html", "url").select(F.col("page_id").alias("id"), url, "title", F.regexp_replace("plain_text", r"\s+", " ").alias("text"))
     rows = keep(rows)
     return D.accept_pages(rows.where("id % 3 <> 0"), rows.where("id % 3 = 0")).withColumnRenamed("id", "page_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators import pages as P
 from ..operators import metadata as M
+from ..operators.rounds import spread
 from .registry import query, table
 
 #: Parts of a URL in SQL, as the functions take them apart.
@@ -55,7 +56,7 @@ def u5(spark, sf_dir):
 @query("u6_main_content")
 def u6(spark, sf_dir):
     """Walks broken markup, which SQL can't; tested against hand-made pages."""
-    out = P.extract(_pages(spark, sf_dir), ["page_id"], "html", "url")
+    out = P.extract(spread(_pages(spark, sf_dir)), ["page_id"], "html", "url")
     return out.select("page_id", "title", "method", "selector", F.col("quality.class").alias("class"), F.sha2("markdown", 256).alias("markdown_sha256"), F.char_length("plain_text").alias("n_chars"), F.size("links").alias("n_links"), F.size("images").alias("n_images"), F.size("attachments").alias("n_attachments"))
 
 
@@ -99,7 +100,7 @@ def u8(spark, sf_dir):
 @query("u9_page_classes")
 def u9(spark, sf_dir):
     """Classes of the main content of pages; its text comes from broken markup, so fixtures test every class."""
-    out = P.extract(_pages(spark, sf_dir), ["page_id", "url"], "html", "url")
+    out = P.extract(spread(_pages(spark, sf_dir)), ["page_id", "url"], "html", "url")
     return out.select("page_id", M.page_class(F.col("markdown"), F.col("title"), F.col("url")).alias("c")).select("page_id", "c.*")
 
 
