@@ -113,7 +113,12 @@ def pdf_text(content: bytes) -> str:
     out = []
     for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", content, re.S):
         head = content[max(0, m.start() - 300) : m.start()].rpartition(b"obj")[2]
-        body = zlib.decompress(m.group(1)) if b"FlateDecode" in head else m.group(1)
+        body = m.group(1)
+        if b"FlateDecode" in head:  # a stream ends by itself, and its last byte may be one that also ends lines
+            unpack = zlib.decompressobj()
+            body = unpack.decompress(content[m.start(1) : m.end()])
+            if not unpack.eof:
+                raise ValueError("a stream ends early")
         if b"BT" not in body:
             continue
         held: list[str] = []
