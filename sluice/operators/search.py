@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .batches import map_batches, shares
 from .rounds import keep, spread
 
 #: Query vectors of a pass over the index; queries that are held in every task.
@@ -21,6 +22,8 @@ QUERIES_A_PASS = 4096
 TERMS_A_PASS = 200_000
 #: Weights of queries that are held in every task, at most.
 MATRIX = 16_000_000
+#: Meetings of a document's term and a query's that are weighed at a time.
+MEETINGS = 1_000_000
 
 
 def postings(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -80,13 +83,12 @@ def bm25_top(
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(n), of_term, pa.ListArray.from_arrays(starts, pa.array(tf, pa.int32()))], ["id", "len", "terms", "tfs"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    index = keep(spread(docs).select(F.col(id_col).alias("id"), tokens.alias("t")).mapInArrow(count, f"id {kind}, len long, terms array<int>, tfs array<int>"))
+    index = keep(map_batches(spread(docs).select(F.col(id_col).alias("id"), tokens.alias("t")), count, f"id {kind}, len long, terms array<int>, tfs array<int>"))
     n_docs, avg_len = index.agg(F.count("*"), F.avg("len")).first()
     df_ = np.zeros(len(terms))
     for r in index.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row for each query term
         df_[r["t"]] = r["count"]
     weight = times * np.repeat(np.log1p((n_docs - df_ + 0.5) / (df_ + 0.5)), np.diff(first))
-    rows_at_once = max(1, 1_000_000 // max(1, n_queries))
 
     def lead(found: list[tuple]) -> list[tuple]:
         """The leaders among (query, id, score, matched) arrays."""
@@ -100,8 +102,10 @@ def bm25_top(
     def score(batches):
         found, size = [], 0
         for x in batches:
-            for s in range(0, x.num_rows, rows_at_once):
-                part = x.slice(s, rows_at_once)
+            terms_of = pc.list_value_length(x.column(2)).to_numpy(zero_copy_only=False)
+            met = np.concatenate(([0], np.cumsum(np.diff(first)[x.column(2).flatten().to_numpy()])))[np.concatenate(([0], np.cumsum(terms_of)))]
+            for s, e in shares(np.maximum(np.diff(met), n_queries), MEETINGS):
+                part = x.slice(s, e - s)
                 ids, length = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy()
                 n = pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False)
                 doc, term, tf = np.repeat(np.arange(len(n)), n), part.column(2).flatten().to_numpy(), part.column(3).flatten().to_numpy().astype(float)
@@ -122,7 +126,7 @@ def bm25_top(
             yield pa.RecordBatch.from_arrays([names.take(pa.array(own)), pa.array(ids), pa.array(total), pa.array(matched.astype(np.int64))], ["query_id", "id", "score", "matched"])
 
     out = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {kind}, score double, matched long"
-    return index.where(F.size("terms") > 0).mapInArrow(score, out).withColumn("score", F.round("score", 6))
+    return map_batches(index.where(F.size("terms") > 0), score, out).withColumn("score", F.round("score", 6))
 
 
 def bm25(queries: DataFrame, query_id: str, query_tokens: Column, docs: DataFrame, id_col: str, tokens: Column, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -180,7 +184,7 @@ def tfidf_top(queries: DataFrame, query_id: str, docs: DataFrame, id_col: str, t
                     yield from flush()
         yield from flush()
 
-    terms = rows.select("t").mapInArrow(count, "term string, cf long, df long").groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+    terms = map_batches(rows.select("t"), count, "term string, cf long, df long").groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
     found = terms.orderBy(F.desc("cf"), "term").limit(max_features).toArrow()
     at = {t: i for i, t in enumerate(found.column("term").to_pylist())}
     n_docs = rows.count()
@@ -223,7 +227,7 @@ def tfidf_top(queries: DataFrame, query_id: str, docs: DataFrame, id_col: str, t
                     some = total[q, j] > 0
                     yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q[some]], kind), part.column(0).take(pa.array(j[some])), pa.array(total[q, j][some])], ["query_id", "id", "score"])
 
-        return rows.mapInArrow(score, f"query_id {items.schema['q'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double")
+        return map_batches(rows, score, f"query_id {items.schema['q'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double")
 
     hits = None
     for i in range(max(1, passes)):
@@ -264,7 +268,7 @@ def dense_search(queries: DataFrame, query_id: str, vectors: DataFrame, id_col:
                 if len(ids) and b.num_rows:
                     yield _best_products(ids, q, b.column(0).to_numpy(), matrix(b.column(1), b.num_rows), k)
 
-        return ranked(rows.mapInArrow(run, found), "score", k)
+        return ranked(map_batches(rows, run, found), "score", k)
 
     def pack(batches):
         for b in batches:

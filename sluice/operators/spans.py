@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .batches import map_batches
 from .chunking import canonical
 from .rounds import keep
 
@@ -114,7 +115,7 @@ def locate_needles(docs: DataFrame, id_col: str, text_col: str, needles: DataFra
 
         kinds = f"`{id_col}` {doc}, `{needle_id}` {item}, {PLACED}"
         schema = _arrow(docs, id_col, needles, needle_id)
-        found = docs.select(id_col, text_col).mapInArrow(run, kinds)
+        found = map_batches(docs.select(id_col, text_col), run, kinds)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], f"`{id_col}` {doc}, `{needle_id}` {item}, {PLACED}")
 
@@ -175,7 +176,7 @@ def support_spans(spans: DataFrame, chunks: DataFrame, least: int = 6) -> DataFr
                 where.append(got)
             yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(why, pa.string()), pa.array(where, place)], ["query", "point", "span_id", "chunk_id", "source_id", "text", "excluded", "place"])
 
-    rows = told.mapInArrow(find, schema)
+    rows = map_batches(told, find, schema)
     again = F.row_number().over(W.partitionBy("query", "point", "chunk_id", "place.start", "place.end", "place.normalized").orderBy("span_id")) > 1
     rows = rows.withColumn("excluded", F.when(F.col("excluded").isNull() & again, "DUPLICATE_SUPPORT").otherwise(F.col("excluded")))
     return rows.select("query", "point", "span_id", "chunk_id", "source_id", "text", "excluded", "place.*")
