@@ -263,6 +263,10 @@ def simhash_components(df: DataFrame, id_col: str, text_col: str, shingle: int =
 SHORT = 40
 #: Members of a chunk of an unfinished group; two chunks are compared in one task.
 CHUNK = 256
+#: Words of a fingerprint that travel with a view, at most: enough to tell a pair that bears a link from chance.
+CARRIED = 4
+#: Dealt rows for each fingerprint in one pass over the views, of about 50 bytes each.
+DEALT = 48
 
 
 def set_fingerprints(df: DataFrame, shingle: int, lanes: int, similarity: float) -> DataFrame:
@@ -354,12 +358,13 @@ def verified_edges(texts: DataFrame, members: DataFrame, shingle: int, similarit
     return star.unionByName(dealt.groupBy("root", "i", "j").applyInArrow(link, "a long, b long"))
 
 
-def similar_components(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8, lanes: int = 12, radius: int = 3, sample: int = 65_536, per_shard: int = 100_000) -> DataFrame:
+def similar_components(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8, lanes: int = 12, radius: int = 3, sample: int = 65_536, per_shard: int = 100_000, dealt_rows: int = DEALT) -> DataFrame:
     """(id, component_id) of each row, with links by exact Jaccard similarity of shingle sets.
 
     SimHash only finds candidates. Each set has `lanes` * 64 bits. They are read as 2 * lanes views of 32 bits, and a vantage-point tree for each view
-    finds the pairs that lie within `radius` bits in it; such a pair is a candidate unless all bits together are five standard deviations beyond what
-    `similarity` lets expect. A shard that the tree couldn't part is cut into chunks of `per_shard` rows, and each two of them meet in a task of their own. By the binomial model, 24 views of radius 3 bring 99.9 % of pairs at 0.8 together. Sets too small for that model also meet
+    finds the pairs that lie within `radius` bits in it; such a pair is a candidate unless the bits of `CARRIED` words, the view's among them, are together five standard
+    deviations beyond what `similarity` lets expect. Copies at the trees' boundaries grow faster than the rows, so views are gone through in passes that deal
+    `dealt_rows` rows for each fingerprint at most, or one view by itself, and what a pass has shuffled is dropped. A shard that the tree couldn't part is cut into chunks of `per_shard` rows, and each two of them meet in a task of their own. By the binomial model, 24 views of radius 3 bring 99.9 % of pairs at 0.8 together. Sets too small for that model also meet
     by exact prefixes. Groups of candidates are then linked by exact Jaccard similarity (`verified_edges`), so a candidate costs no link and a link that
     a chain of candidates stands for is still seen. Equal fingerprints are linked; texts without words are equal.
     Rows of one id are one document: their links join. A row without an id has a component only with an equal text that has one. An empty table gives no rows.
@@ -369,7 +374,8 @@ def similar_components(df: DataFrame, id_col: str, text_col: str, shingle: int =
     rows = cut(set_fingerprints(texts, shingle, lanes, similarity))
     first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "key", "short"))).alias("m")
     distinct = cut(rows.groupBy(*names).agg(first).where("m is not null").select(*names, F.col("m.id").alias("least"), "m.key", "m.short"))
-    bits = 64 * lanes
+    carried = min(lanes, CARRIED)
+    bits = 64 * carried
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     n, most = distinct.count(), int(bits * p + 5 * np.sqrt(bits * p * (1 - p)))
     seen = sample_at_most(distinct, "least", sample, n).select(*names).toArrow()
@@ -388,31 +394,44 @@ def similar_components(df: DataFrame, id_col: str, text_col: str, shingle: int =
                 shard, n = np.unique(route(nodes, view_of(f, i), radius)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), i, np.int32)), pa.array(shard), pa.array(n.astype(np.int64))], ["view", "shard", "n"])
 
-    full = map_arrow(distinct.select(*names), tally, "view int, shard long, n long").groupBy("view", "shard").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * per_shard)
-    knots = {(r["view"], r["shard"]): -(-r["n"] // per_shard) for r in full.collect()}  # no more than there are rows for each 2 * per_shard of what is dealt
-
-    def deal(batches):
-        for b in batches:
-            f = np.stack([b.column(i).to_numpy().view(np.uint64) for i in range(lanes)], 1)
-            packed, ids = pa.array([x.tobytes() for x in f], pa.binary()), b.column(lanes).to_numpy()
-            for i, nodes in enumerate(views):
-                where, shard = route(nodes, view_of(f, i), radius)
-                pair = np.zeros(len(where), np.int64)
-                for (view, knot), k in knots.items():
-                    if view == i and (some := shard == knot).any():  # each two chunks of a knot meet in a task
-                        c, o = np.repeat((spread(ids[where[some]].view(np.uint64), 1) % np.uint64(k)).astype(np.int64), k), np.tile(np.arange(k), int(some.sum()))
-                        where, shard = np.concatenate((where[~some], np.repeat(where[some], k))), np.concatenate((shard[~some], np.full(len(c), knot)))
-                        pair = np.concatenate((pair[~some], np.minimum(c, o) * k + np.maximum(c, o)))
-                for s in range(0, len(where), 16_384):
-                    at = pa.array(where[s : s + 16_384])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(shard[s : s + 16_384]), pa.array(pair[s : s + 16_384]), b.column(lanes).take(at), packed.take(at)], ["view", "shard", "pair", "id", "bits"])
+    tallied = map_arrow(distinct.select(*names), tally, "view int, shard long, n long").groupBy("view", "shard").agg(F.sum("n").alias("n"))
+    tallied = cut(tallied.withColumn("k", F.when(F.col("n") > 2 * per_shard, F.ceil(F.col("n") / per_shard)).otherwise(1)))
+    knots = {(r["view"], r["shard"]): r["k"] for r in tallied.where("k > 1").collect()}  # no more than there are rows for each 2 * per_shard of what is dealt
+    passes, held = [], dealt_rows * n  # each view in one pass
+    for r in tallied.groupBy("view").agg(F.sum(F.col("n") * F.col("k")).alias("n")).orderBy("view").collect():
+        if not passes or held + r["n"] > dealt_rows * n:
+            passes.append([])
+            held = 0
+        passes[-1].append(r["view"])
+        held += r["n"]
+
+    def dealing(some: list[int]):
+        def deal(batches):
+            for b in batches:
+                f = np.stack([b.column(i).to_numpy().view(np.uint64) for i in range(lanes)], 1)
+                ids = b.column(lanes).to_numpy()
+                for i in some:
+                    where, shard = route(views[i], view_of(f, i), radius)
+                    pair = np.zeros(len(where), np.int64)
+                    for (view, knot), k in knots.items():
+                        if view == i and (there := shard == knot).any():  # each two chunks of a knot meet in a task
+                            c, o = np.repeat((spread(ids[where[there]].view(np.uint64), 1) % np.uint64(k)).astype(np.int64), k), np.tile(np.arange(k), int(there.sum()))
+                            where, shard = np.concatenate((where[~there], np.repeat(where[there], k))), np.concatenate((shard[~there], np.full(len(c), knot)))
+                            pair = np.concatenate((pair[~there], np.minimum(c, o) * k + np.maximum(c, o)))
+                    mine = np.ascontiguousarray(f[:, [(i // 2 + j) % lanes for j in range(carried)]])  # the view's word first
+                    packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * carried), len(f), [None, pa.py_buffer(mine)]).cast(pa.binary())
+                    for s in range(0, len(where), 16_384):
+                        at = pa.array(where[s : s + 16_384])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(shard[s : s + 16_384]), pa.array(pair[s : s + 16_384]), b.column(lanes).take(at), packed.take(at)], ["view", "shard", "pair", "id", "bits"])
+
+        return deal
 
     def link(t: pa.Table) -> pa.Table:
-        f = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, lanes)
+        f = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, carried)
         ids, i = t.column("id").to_numpy(), t.column("view")[0].as_py()
         order = np.argsort(ids, kind="stable")
         ids, f = ids[order], f[order]
-        root = block_links(view_of(f, i), radius, lambda x, y: np.bitwise_count(f[x] ^ f[y]).sum(1) <= most)
+        root = block_links(view_of(f, i % 2), radius, lambda x, y: np.bitwise_count(f[x] ^ f[y]).sum(1) <= most)
         hung = root != np.arange(len(root))
         return pa.table({"a": pa.array(ids[hung]), "b": pa.array(ids[root[hung]])})
 
@@ -433,9 +452,13 @@ def similar_components(df: DataFrame, id_col: str, text_col: str, shingle: int =
     # groups are dealt in turn, so that no task has many of them by chance
     first = np.cumsum([0, *(len(nodes) + 1 for nodes in views)]).tolist()
     turn = F.element_at(F.array(*map(F.lit, first)), F.col("view") + 1) + F.col("shard") + F.col("pair")
-    dealt = map_arrow(distinct.select(*names, "least"), deal, "view int, shard long, pair long, id long, bits binary")
-    dealt = dealt.repartitionById(parts(df), F.pmod(turn, F.lit(parts(df))).cast("int")).sortWithinPartitions("view", "shard", "pair")
-    met = map_arrow(dealt, linked, "a long, b long")
+    met = None
+    for some in passes or [[]]:
+        dealt = map_arrow(distinct.select(*names, "least"), dealing(some), "view int, shard long, pair long, id long, bits binary")
+        dealt = dealt.repartitionById(parts(df), F.pmod(turn, F.lit(parts(df))).cast("int")).sortWithinPartitions("view", "shard", "pair")
+        found = map_arrow(dealt, linked, "a long, b long")
+        found = found if len(passes) < 2 else cut(found.distinct())  # what was dealt goes before the next pass
+        met = found if met is None else met.unionByName(found)
     short = distinct.select(F.col("least").alias("a"), F.explode("short").alias("s"))
     heads = short.groupBy("s").agg(F.min("a").alias("b"))
     groups = connected_components(met.unionByName(short.join(heads, "s").where("a <> b").select("a", "b")))
