@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import metadata as M
+from ..operators.batches import map_batches
 from ..sources import readers as R
 from ..operators.rounds import shared_folder
 from ..sources import sinks as K
@@ -111,20 +113,27 @@ def s9(spark, sf_dir):
     return rows.select(F.regexp_extract("path", r"(\d+)\.[a-z]+$", 1).cast("long").alias("item_id"), "reason", F.sha2(text, 256).alias("text_sha256"))
 
 
+#: Ids of the documents that one sheet holds.
+SHEET = 40_000
+
+
 @query("s3_sheet_rows", "select doc_id, lang, source from documents where doc_id % 7 > 0")
 def s3(spark, sf_dir):
-    """A sheet for each source, with a title, an empty row and a header above its rows, and blank rows among them; the header is found in each."""
+    """Sheets of each source, one for `SHEET` ids, with a title, an empty row and a header above its rows, and blank rows among them; the header is found in each."""
     i = F.col("doc_id")
     cells = F.array(i.cast("string"), F.col("lang"), F.col("source"))
-    rows = table(spark, sf_dir, "documents").select("source", i.alias("n"), F.when(i % 7 > 0, cells).otherwise(F.array(F.lit(""), F.lit(" "))).alias("cells"))
-    sheets = rows.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("n", "cells"))).alias("r"))  # a sheet is read and written whole
+    rows = table(spark, sf_dir, "documents").select("source", F.floor(i / SHEET).alias("part"), i.alias("n"), F.when(i % 7 > 0, cells).otherwise(F.array(F.lit(""), F.lit(" "))).alias("cells"))
+    sheets = rows.groupBy("source", "part").agg(F.array_sort(F.collect_list(F.struct("n", "cells"))).alias("r"))  # a sheet is read and written whole
 
-    @F.pandas_udf("binary")
-    def made(x: pd.Series) -> pd.Series:
-        return x.map(lambda r: K.office_file("xlsx", [["A list of documents"], [], ["doc_id", "lang", "source"], *[list(c) for c in r]]))
+    def made(batches):
+        for b in batches:
+            for i in range(b.num_rows):  # a sheet at a time
+                content = K.office_file("xlsx", [["A list of documents"], [], ["doc_id", "lang", "source"], *b.column(1)[i].as_py()])
+                yield pa.RecordBatch.from_pydict({"name": b.column(0).slice(i, 1), "content": pa.array([content], pa.binary())})
 
     path = _folder(spark)
-    K.write_files(sheets.select(F.concat("source", F.lit(".xlsx")).alias("name"), made(F.transform("r", lambda x: x["cells"])).alias("content")), path, "name", "content").agg(F.sum("bytes")).collect()
+    named = sheets.select(F.concat("source", F.lit("-"), "part", F.lit(".xlsx")).alias("name"), F.transform("r", lambda x: x["cells"]).alias("cells"))
+    K.write_files(map_batches(named, made, "name string, content binary"), path, "name", "content").agg(F.sum("bytes")).collect()
     out = R.header_rows(R.xlsx(spark, path), "row_no", "cells", "doc_id", by="path")
     return out.select(F.col("row")["doc_id"].cast("long").alias("doc_id"), F.col("row")["lang"].alias("lang"), F.col("row")["source"].alias("source"))
 

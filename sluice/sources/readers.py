@@ -10,11 +10,13 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import strip
+from ..operators.batches import map_batches
 
 BOM = "﻿"
 
@@ -161,12 +163,15 @@ def xlsx_rows(content: bytes) -> list[tuple[int, list[str | None]]]:
 def xlsx(spark: SparkSession, path: str) -> DataFrame:
     """(path, row_no, cells) of the first sheets of files; `header_rows` finds their header."""
 
-    @F.pandas_udf("array<struct<n:int,cells:array<string>>>")
-    def read(x: pd.Series) -> pd.Series:
-        return x.map(lambda b: [{"n": n, "cells": cells} for n, cells in xlsx_rows(bytes(b))])
+    def read(batches):
+        for b in batches:
+            for i in range(b.num_rows):  # a sheet at a time, and its rows by thousands
+                rows = xlsx_rows(b.column(1)[i].as_buffer().to_pybytes())
+                for s in range(0, len(rows), 1_000):
+                    n, cells = zip(*rows[s : s + 1_000])
+                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * len(n), pa.string()), pa.array(n, pa.int32()), pa.array(cells, pa.list_(pa.string()))], ["path", "row_no", "cells"])
 
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.explode(read("content")).alias("r")).select("path", F.col("r.n").alias("row_no"), F.col("r.cells").alias("cells"))
+    return map_batches(spark.read.format("binaryFile").load(path).select("path", "content"), read, "path string, row_no int, cells array<string>")
 
 
 def attachments(spark: SparkSession, path: str) -> DataFrame:
