@@ -162,11 +162,17 @@ def page_class(markdown: Column, title: Column, url: Column) -> Column:
     q = quality(markdown, title, url, F.lit(False))
     raw = F.filter(F.transform(F.split(markdown, "\n"), lambda s: F.trim(s)), lambda s: s != "")
     lines = F.filter(F.transform(raw, visible), lambda t: t != "")
-    text = F.array_join(lines, "\n")
     linked = F.aggregate(F.regexp_extract_all(markdown, F.lit(r"\[([^\]]+)\]\([^)]*\)"), 1), F.lit(0), lambda a, x: a + F.char_length(x))
-    marks = sum((text.rlike(p).cast("int") for p in TEMPLATE_MARKS), F.lit(0))
     core = F.trim(F.regexp_replace(title, "[-—|_].*$", ""))
-    facts = F.struct(q.alias("q"), F.when(q["total_text_length"] > 0, F.round(linked / q["total_text_length"], 4)).otherwise(F.lit(0.0)).alias("links"), F.size(F.filter(lines, lambda t: t.rlike(DATE_LINE))).alias("dates"), marks.alias("marks"), text.rlike(PAGING).alias("paged"))
+    # what follows names the lines, the text and the numbers several times, and they are made once a page
+    made = F.transform(F.array(F.struct(q.alias("q"), lines.alias("lines"), linked.alias("linked"))), lambda m: F.struct(m["q"].alias("q"), m["lines"].alias("lines"), m["linked"].alias("linked"), F.array_join(m["lines"], "\n").alias("text")))
+
+    def told(m: Column) -> Column:
+        total, text = m["q"]["total_text_length"], m["text"]
+        marks = sum((text.rlike(p).cast("int") for p in TEMPLATE_MARKS), F.lit(0))
+        links = F.when(total > 0, F.round(m["linked"] / total, 4)).otherwise(F.lit(0.0))
+        return F.struct(m["q"].alias("q"), links.alias("links"), F.size(F.filter(m["lines"], lambda t: t.rlike(DATE_LINE))).alias("dates"), marks.alias("marks"), text.rlike(PAGING).alias("paged"))
+
     specific, detail = (F.char_length(core) >= 12) & ~core.rlike(LIST_WORDS), url.rlike(DETAIL_URL)
 
     def judged(f: Column) -> Column:
@@ -179,7 +185,7 @@ def page_class(markdown: Column, title: Column, url: Column) -> Column:
         ], "mixed_or_uncertain")
         return F.struct(kind.alias("class"), f["links"].alias("link_text_ratio"), f["dates"].alias("date_line_count"), f["marks"].alias("template_marker_count"))
 
-    return F.transform(F.array(facts), judged)[0]
+    return F.transform(F.transform(made, told), judged)[0]
 
 
 def content_kind(title: Column, text: Column, kinds=CONTENT_KINDS, head: int = 3000) -> Column:

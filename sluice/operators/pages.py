@@ -230,26 +230,29 @@ def quality(markdown: Column, title: Column, url: Column, selected: Column) -> C
         return t.isin(*NAV_WORDS) | ((n <= 12) & link) | ((n <= 8) & ~t.rlike(ENDED + "|" + FACTUAL)) | t.rlike(LIST_MARKERS)
 
     lines = F.transform(pairs, lambda p: F.struct(p["r"].alias("r"), p["t"].alias("t"), leads_on(p).alias("nav"), F.char_length(p["t"]).alias("n")))
-    made = F.transform(F.array(lines), lambda ls: F.struct(ls.alias("ls"), F.array_join(F.transform(ls, lambda x: x["t"]), " ").alias("plain")))[0]
-    ls, plain = made["ls"], made["plain"]
-    count = lambda f: F.size(F.filter(ls, f))
-    total, n = F.aggregate(ls, F.lit(0), lambda a, x: a + x["n"]), F.size(ls)
-    share = lambda k: F.when(n > 0, k / n).otherwise(F.lit(0.0))
-    main, long = count(lambda x: (x["n"] >= 40) & x["t"].rlike(ENDED) & ~x["nav"]), count(lambda x: (x["n"] >= 100) & ~x["nav"])
-    items = count(lambda x: x["r"].rlike(ITEM))
+    made = F.transform(F.array(lines), lambda ls: F.struct(ls.alias("ls"), F.array_join(F.transform(ls, lambda x: x["t"]), " ").alias("plain")))  # once a page
     terms = F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit(r"([\x{4e00}-\x{9fff}]{2,}|[a-z]{3,})"), 1))
-    match = F.when(F.size(terms) > 0, F.size(F.filter(terms, lambda w: F.contains(F.lower(plain), w))) / F.size(terms)).otherwise(F.lit(1.0))
-    facts = F.struct(
-        total.alias("total_text_length"), n.alias("line_count"), F.round(share(count(lambda x: x["n"] <= 12)), 6).alias("short_line_ratio"), F.round(share(count(lambda x: x["nav"])), 6).alias("navigation_like_ratio"), main.alias("main_paragraph_count"), long.alias("long_paragraph_count"),
-        items.alias("list_item_count"), F.round(match, 6).alias("title_match_ratio"), plain.rlike(LOADING).alias("loading_placeholder"), plain.rlike(LIST_MARKERS).alias("list_marks"),
-    )
+
+    def told(m: Column) -> Column:
+        ls, plain = m["ls"], m["plain"]
+        count = lambda f: F.size(F.filter(ls, f))
+        total, n = F.aggregate(ls, F.lit(0), lambda a, x: a + x["n"]), F.size(ls)
+        share = lambda k: F.when(n > 0, k / n).otherwise(F.lit(0.0))
+        main, long = count(lambda x: (x["n"] >= 40) & x["t"].rlike(ENDED) & ~x["nav"]), count(lambda x: (x["n"] >= 100) & ~x["nav"])
+        items = count(lambda x: x["r"].rlike(ITEM))
+        match = F.when(F.size(terms) > 0, F.size(F.filter(terms, lambda w: F.contains(F.lower(plain), w))) / F.size(terms)).otherwise(F.lit(1.0))
+        return F.struct(
+            total.alias("total_text_length"), n.alias("line_count"), F.round(share(count(lambda x: x["n"] <= 12)), 6).alias("short_line_ratio"), F.round(share(count(lambda x: x["nav"])), 6).alias("navigation_like_ratio"), main.alias("main_paragraph_count"), long.alias("long_paragraph_count"),
+            items.alias("list_item_count"), F.round(match, 6).alias("title_match_ratio"), plain.rlike(LOADING).alias("loading_placeholder"), plain.rlike(LIST_MARKERS).alias("list_marks"),
+        )
+
     marks = {"detail": url.rlike(DETAIL_URL), "list_title": title.rlike(LIST_TITLE), "selected": selected}
 
     def out(f: Column) -> Column:
         name = first_rule(class_rules({k: f[k] for k in (*NUMBERS, "list_marks")} | marks), "extraction_failed")
         return F.struct(name.alias("class"), name.isin(*PASSED).alias("passed"), *[f[x].alias(x) for x in NUMBERS])
 
-    return F.transform(F.array(facts), out)[0]  # so that the numbers are made once
+    return F.transform(F.transform(made, told), out)[0]  # so that the numbers are made once
 
 
 PASSED = ("template_polluted", "thin_content", "detail_content")
