@@ -92,6 +92,20 @@ def test_cosine_candidates_are_few(spark):
     assert C.cosine_pairs(vectors, vectors, 0.985).count() == len(texts)
 
 
+def test_cosine_join_keeps_no_vectors(spark, monkeypatch):
+    """Whole vectors are ten times as large as texts, so neither they nor pairs that only share a frequent word are kept."""
+    kept = []
+    monkeypatch.setattr(C, "keep", lambda d, keep=C.keep: kept.append(keep(d)) or kept[-1])
+    texts = made(150, 21)
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    weigh = C.tfidf(frame, "t")
+    entries = weigh(frame, "id", "t").select(F.sum(F.size("at"))).first()[0]
+    vectors = weigh(frame, "id", "t")
+    assert C.cosine_pairs(vectors, vectors, 0.985).count() == len(texts)
+    assert all(d.select(F.sum(F.size("at"))).first()[0] < 0.25 * entries for d in kept if "at" in d.columns)
+    assert all(d.count() <= 2 * len(texts) for d in kept)
+
+
 def plain_cascade(candidates, protected, evaluation, features):
     def norm(t):
         return " ".join(re.sub(r"[^\w]+", " ", unicodedata.normalize("NFKC", t or "").casefold()).split())
