@@ -10,7 +10,7 @@ from ..operators import metadata as M
 from ..operators import search as S
 from ..operators import spans as SP
 from ..operators.pages import all_rules, first_rule
-from ..operators.rounds import keep
+from ..operators.rounds import keep, spread
 from .registry import query, table
 from .retrieval import _BM25, _top
 from .text import _SENTENCES
@@ -440,7 +440,7 @@ _ANCHORED = "a as (select event_id, case when event_id % 4 = 0 then 'no facts at
 def _anchors(spark, sf_dir):
     i = F.col("event_id")
     text = F.when(i % 4 == 0, "no facts at all").otherwise(F.concat(F.lit("at "), F.date_format("ts", "HH:mm"), F.lit(" the source src"), i % 5, F.lit(" sold "), F.floor("value").cast("int"), F.lit(" parts")))
-    return E.swap_anchors(table(spark, sf_dir, "events"), "event_id", text, _ENT)
+    return E.swap_anchors(spread(table(spark, sf_dir, "events")), "event_id", text, _ENT)
 
 
 @query("p14_swap_anchors", f"with {_ANCHORED} select event_id, kind, h as hypothesis from sw")

@@ -173,7 +173,8 @@ def e17_thresholds(spark, sf_dir):
 def p14(spark, sf_dir):
     """How well the spans' own score, the part of a claim's grams that its evidence has, tells texts from texts with facts exchanged."""
     score = F.round(T.coverage(T.content_grams(F.col("hypothesis")), T.content_grams(F.col("premise"))), 6)
-    return E.verifier_check(_anchors(spark, sf_dir).withColumn("score", score), "kind", "score", (0.8, 0.9, 0.95, 0.98, 1.0))
+    rows = _anchors(spark, sf_dir).groupBy("kind", "premise", "hypothesis").agg(F.count("*").alias("n"))  # equal pairs are weighed once
+    return E.verifier_check(rows.withColumn("score", score), "kind", "score", (0.8, 0.9, 0.95, 0.98, 1.0), weight="n")
 
 
 _INVENTORY = f"""{_SCORED}, iv as (select item_id, point_no, list(id || '#S' || span_no order by score desc, id, span_no)[1:3] as us from scored where score >= {E.PARTIAL} group by 1, 2)"""
