@@ -17,6 +17,7 @@ from ..functions.text import jaccard as similarity
 from ..functions.text import casefold, nfkc, ngrams, norm, strip, trigram_set
 from .acceptance import accepted
 from .cosine import have_similar, most_similar, tfidf
+from .matching import common
 from .rounds import keep
 
 
@@ -171,8 +172,10 @@ def block_ratio(df: DataFrame, a: str, b: str, name: str = "ratio", least: float
     """The matching-blocks ratio of two texts, after candidates were found by other means; 0 where bounds show that it is less than `least`."""
 
     def one(p: str, q: str) -> float:
-        m = difflib.SequenceMatcher(None, p, q, autojunk=False)
-        return 0.0 if min(m.real_quick_ratio(), m.quick_ratio()) < least - 1e-9 else round(m.ratio(), 6)
+        m, total = difflib.SequenceMatcher(None, p, q, autojunk=False), len(p) + len(q)
+        if least and total and (min(m.real_quick_ratio(), m.quick_ratio()) < least - 1e-9 or 2 * common(p)(q) / total < least - 1e-9):
+            return 0.0  # blocks are a common subsequence
+        return round(m.ratio(), 6)
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
