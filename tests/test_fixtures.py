@@ -536,3 +536,27 @@ def test_training_sentences_by_hand(spark):
     text = "# Title\n\n学生 申请 办理时应当在系统内提交全部规定的材料并等待审核结果。太短申请。" + "申请" + "1" * 11 + "这里的数字太多所以不能用于训练这个句子要够长。电话：申请办理时应当在系统内提交全部规定的材料并等待。没有任何信号的句子虽然足够长但是不应该出现在这里面的啊。"
     got = frame(spark, [(1, text), (2, None)], "id long, t string").select("id", C.training_sentences(F.col("t")).alias("s")).orderBy("id").collect()
     assert got[0].s == ["学生申请办理时应当在系统内提交全部规定的材料并等待审核结果。"] and got[1].s == []
+
+
+def test_like_pairs_equal_brute_force(spark, monkeypatch):
+    """Titles with letters changed, left out and put in; all runs meet in one pass, and in several."""
+    import difflib
+    import random
+
+    rng = random.Random(5)
+    words = ["the", "tion", "and", "ing", "ñez", "läch", "of", "re", "字"]
+    texts = {" ".join(rng.choices(words, k=rng.randrange(2, 30))) for _ in range(60)}
+    for t in sorted(texts):
+        for _ in range(2):
+            u = list(t)
+            for _ in range(rng.randrange(1, 2 + len(u) // 12)):
+                i = rng.randrange(len(u))
+                u[i : i + rng.randrange(2)] = rng.choice(["", "x", "e"])
+            texts.add("".join(u))
+    texts = sorted(t for t in texts if t)
+    rows = spark.createDataFrame([*enumerate(texts), (-1, None), (-2, "")], "id long, text string")
+    want = {(i, j) for i, p in enumerate(texts) for j, q in enumerate(texts) if i != j and difflib.SequenceMatcher(None, p, q, autojunk=False).ratio() >= 0.94}
+    assert want and {(r.a, r.b) for r in D.like_pairs(rows, "id", "text", 0.94).collect()} == want
+    monkeypatch.setattr(D, "LETTERS_A_PASS", 6_000)
+    monkeypatch.setattr(D, "RUN_TEXTS", 20)
+    assert {(r.a, r.b) for r in D.like_pairs(rows, "id", "text", 0.94).collect()} == want
