@@ -24,6 +24,8 @@ TERMS_A_PASS = 200_000
 MATRIX = 16_000_000
 #: Meetings of a document's term and a query's that are weighed at a time.
 MEETINGS = 1_000_000
+#: Words of documents that are looked up among the query terms at a time.
+WORDS = 250_000
 
 
 def postings(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -75,9 +77,14 @@ def bm25_top(
         for x in batches:
             lists = x.column(1)
             n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = pc.index_in(lists.flatten(), terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            doc = np.repeat(np.arange(len(n)), n)[at >= 0]
-            pair, tf = np.unique(doc * max(1, len(terms)) + at[at >= 0], return_counts=True)
+            words, ends, pairs = lists.flatten(), np.cumsum(n), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+            for s in range(0, len(words), WORDS):  # of a long text too, so that what is held doesn't follow its words
+                at = pc.index_in(words.slice(s, WORDS), terms).fill_null(-1).to_numpy(zero_copy_only=False)
+                there = np.nonzero(at >= 0)[0]
+                pairs.append(np.unique(np.searchsorted(ends, s + there, "right") * max(1, len(terms)) + at[there], return_counts=True))
+            pair, same = np.unique(np.concatenate([p for p, _ in pairs]), return_inverse=True)
+            tf = np.zeros(len(pair), np.int64)
+            np.add.at(tf, same, np.concatenate([c for _, c in pairs]))
             starts = pa.array(np.searchsorted(pair // max(1, len(terms)), np.arange(len(n) + 1)), pa.int32())
             of_term = pa.ListArray.from_arrays(starts, pa.array(pair % max(1, len(terms)), pa.int32()))
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(n), of_term, pa.ListArray.from_arrays(starts, pa.array(tf, pa.int32()))], ["id", "len", "terms", "tfs"])
