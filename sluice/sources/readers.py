@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -35,8 +36,9 @@ def jsonl(spark: SparkSession, path: str, schema: str, missing_ok: bool = True)
 
 
 def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A header and quoted fields, which may hold line ends; a byte order mark isn't part of the first name."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    """A header and quoted fields, which may hold line ends; a byte order mark isn't part of the first name. A field of nothing is null, and one of two quotes an empty text."""
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("charToEscapeQuoteEscaping", '"')
+    reader = reader.option("nullValue", uuid.uuid4().hex)  # what a field of nothing is taken for: no text that may stand in the file
     df = reader.schema(schema).csv(path) if schema else reader.csv(path)
     return df.toDF(*[c.removeprefix(BOM) for c in df.columns])
 

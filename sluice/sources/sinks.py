@@ -27,7 +27,9 @@ def write_jsonl(df: DataFrame, path: str, order: list[str]) -> None:
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
-    df.select(*fields).write.option("header", True).option("escape", '"').csv(path)
+    """A header and quoted fields, white space at their ends kept; nulls are nothing, and empty texts are quoted."""
+    writer = df.select(*fields).write.option("header", True).option("escape", '"').option("charToEscapeQuoteEscaping", '"')  # else a zero character beside quotes goes
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
