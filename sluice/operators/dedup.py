@@ -406,6 +406,8 @@ def cascade(candidates: DataFrame, protected: DataFrame, evaluation: DataFrame,
 
 #: Places of the counts by which rare tokens are told, and texts that they are learned from, about.
 TOKEN_PLACES, TOKEN_ROWS = 1 << 18, 20_000
+#: Pairs of sets whose tokens meet in one pass, about; a pass's shuffle is dropped before the next.
+PAIRS_A_PASS = 100_000
 
 
 def like_sets(rows: DataFrame, pool: DataFrame, least: float, some: DataFrame) -> DataFrame:
@@ -443,11 +445,16 @@ def like_sets(rows: DataFrame, pool: DataFrame, least: float, some: DataFrame) -
     def texts(d: DataFrame, k: str) -> DataFrame:
         wanted = unlike.select(F.col(k).alias("s")).distinct()
         wanted = F.broadcast(wanted) if wanted.count() <= 500_000 else wanted  # so that not all sets are shuffled
-        return d.join(wanted, "s", "left_semi").dropDuplicates(["s"]).select(F.col("s").alias(k), F.col("tokens").alias(f"t{k}"))
+        return keep(d.join(wanted, "s", "left_semi").dropDuplicates(["s"]).select(F.col("s").alias(k), F.col("tokens").alias(f"t{k}")))
 
+    of_a, of_b, passes = texts(rows, "a"), texts(pool, "b"), max(1, -(-unlike.count() // PAIRS_A_PASS))
     shared = F.size(F.array_intersect("ta", "tb"))
     similar = F.round(shared / (F.size("ta") + F.size("tb") - shared), 6) >= least
-    return unlike.join(texts(rows, "a"), "a").join(texts(pool, "b"), "b").where(similar).select("a", "b").unionByName(met.where("a = b"))
+    out = met.where("a = b")
+    for i in range(passes):
+        some = unlike.where(F.pmod(F.xxhash64("a", "b"), F.lit(passes)) == i)
+        out = out.unionByName(keep(some.join(of_a, "a").join(of_b, "b").where(similar).select("a", "b")))
+    return out
 
 
 def split_audit(train: DataFrame, validation: DataFrame, id_col: str, text_col: str, jaccard: float = 0.90, cosine: float = 0.985, features: int = 60_000) -> DataFrame:
